@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, pii, simhash
+from . import bpe, decontam, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,12 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+    return found.select("doc_id", (quality.fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+
+
 OP9_SQL = r"""
 WITH words AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
@@ -58,7 +64,7 @@ WITH words AS (
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
   sha256(coalesce(m.listed, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
-""".replace("\\", "\")
+"""
 
 
 def _tokenizer() -> str:
@@ -81,6 +87,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
+        "op8_quality_classifier": op8_quality_classifier,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
     }
