@@ -7,13 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontam, pii, quality, simhash
+from . import bpe, decontam, html_extract, langid, lmscore, media, packing, pii, quality, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.fit(docs, _vocabulary("piece_bpe_32k.model")))
+    return found.select("doc_id", (quality.fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
+def op2_media_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = media.from_media(media.to_media(_table(spark, sf_dir, "documents")))
+    return found.select(
+        "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"), F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
+        "feature", F.sha2("rgb", 256).alias("rgb_sha256"),
+    )
+
+
+def op3_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(_table(spark, sf_dir, "pages"))
+
+
 def op4_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", simhash.hex_digits(F.col("fp")).alias("fingerprint"), "component_id")
@@ -35,6 +60,21 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     )
 
 
+#: The target domain of op6: the documents of this source.
+OP6_TARGET = "src1"
+
+
+def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    target = F.col("source") == OP6_TARGET
+    return lmscore.score(docs, lmscore.fit(docs, target), target)
+
+
+def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), pad=50256, end=50256)
+    return found.select("block", "row_in_block", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
+
+
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
@@ -67,15 +107,9 @@ FROM words w LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
 """
 
 
-def _tokenizer() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("byte_bpe_50k.json")
-
-
 def encoded(docs: DataFrame) -> DataFrame:
     """The digests of bpe.encode() over a table of documents."""
-    found = bpe.encode(docs, _tokenizer(), decoded=True)
+    found = bpe.encode(docs, _vocabulary("byte_bpe_50k.json"), decoded=True)
     return found.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.encode("decoded", "UTF-8"), 256).alias("decoded_sha256"))
 
 
@@ -85,8 +119,13 @@ def op10_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": op1_language_id,
+        "op2_media_progressive_jpeg": op2_media_progressive_jpeg,
+        "op3_html_main_text": op3_html_main_text,
         "op4_simhash_near_dedup": op4_simhash_near_dedup,
         "op5_pii_anchor_expansion": op5_pii_anchor_expansion,
+        "op6_cross_entropy_difference": op6_cross_entropy_difference,
+        "op7_best_fit_packing": op7_best_fit_packing,
         "op8_quality_classifier": op8_quality_classifier,
         "op9_benchmark_decontamination": op9_benchmark_decontamination,
         "op10_bpe_encode_decode": op10_bpe_encode_decode,
