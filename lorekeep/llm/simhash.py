@@ -236,7 +236,8 @@ def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", radiu
         out = out.unionByName(docs.join(again, id, "left_semi").dropDuplicates([id]))
     nameless = classes.where(F.col(id).isNull() & F.col("component_id").isNull()).select("fp", "root").distinct()
     if nameless.limit(1).count():
-        marked = fingerprints(docs.where(F.col(id).isNull()), text, tuple(docs.columns), size)
-        marked = marked.join(nameless.withColumnRenamed("root", "_root"), "fp").dropDuplicates(["_root"])
-        out = out.unionByName(marked.select(*docs.columns))
+        plain = [f"c{i}" for i in range(len(docs.columns))]
+        marked = fingerprints(docs.where(F.col(id).isNull()).toDF(*plain), plain[docs.columns.index(text)], tuple(plain), size)
+        marked = marked.join(nameless, "fp").dropDuplicates(["root"])
+        out = out.unionByName(marked.select(*plain).toDF(*docs.columns))
     return out

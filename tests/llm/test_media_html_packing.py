@@ -1,0 +1,148 @@
+import hashlib
+import random
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from lorekeep.llm import bpe, html_extract, media, packing, queries
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.binary(max_size=2500), min_size=1, max_size=5))
+def test_payload_round_trip(texts):
+    payloads = [media.padded(t) for t in texts]
+    assert all(len(p) % 576 == 0 and p for p in payloads)
+    stored = media.encode_payloads(payloads)
+    got = media.decode(stored)
+    assert [p for p, _ in got] == payloads
+    assert media.encode_payloads(payloads[:1]) == stored[:1]
+    alone = media.decode(stored[-1:])[0][1]
+    assert (alone == got[-1][1]).all() and media.feature_of(alone) == media.feature_of(got[-1][1])
+
+
+def test_coefficients_with_zeros_and_the_inverse_transform():
+    rng = np.random.default_rng(0)
+    coef = rng.integers(128, 256, (12, 64)) * rng.choice([-1, 1], (12, 64))
+    # Zeros alone or at the end of a block, whole blocks of zeros, and full blocks.
+    coef[rng.random(12) < 0.5, 3::4] = 0
+    coef[2, 40:] = 0
+    coef[5], coef[7] = 0, 0
+    image = media._parse(media.encode_coefficients(coef, [(2, 1)], [b""])[0])
+    got, _ = media.coefficients([image])
+    luma = media._scan_blocks((0,), 2, 1)
+    assert (got[: len(luma)] == coef[luma]).all()
+    # Against the textbook sum for one block.
+    c = np.zeros(64)
+    small = coef[:1] // 16
+    c[media.ZIGZAG] = small[0]
+    c = c.reshape(8, 8)
+    s = lambda u: np.sqrt(0.125) if u == 0 else 0.5
+    want = [[sum(s(u) * s(v) * c[u, v] * np.cos((2 * y + 1) * u * np.pi / 16) * np.cos((2 * x + 1) * v * np.pi / 16) for u in range(8) for v in range(8)) for x in range(8)] for y in range(8)]
+    assert np.abs(media._samples(small.astype(np.int32), np.ones(64, np.int32)).reshape(8, 8).astype(int) - np.clip(np.array(want) + 128, 0, 255)).max() <= 0.51
+
+
+def test_refinement_places_new_coefficients():
+    """A hand-made refinement scan: a new coefficient behind one zero, passing one that is known."""
+    table = media.AC_TABLE
+    put = lambda pairs: "".join(f"{int(v):0{int(n)}b}" for v, n in pairs if n)
+    text = put([(table.code[0x01], table.size[0x01]), (1, 1), (1, 1)]) + put([(table.code[0], table.size[0])])
+    raw = bytes(int(text.ljust(-(-len(text) // 8) * 8, "1")[i : i + 8], 2) for i in range(0, len(text), 8))
+    coef = np.zeros((1, 64), np.int32)
+    coef[0, 1] = 2
+    media._refine_band(media._Bits([raw]), coef, np.array([0]), np.array([0]), np.array([1]), 1, 63, 0, table)
+    assert coef[0, :4].tolist() == [0, 3, 1, 0]
+
+
+def test_media_query(spark, small):
+    texts = {r.doc_id: (r.text or "").encode() for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    for r in queries.op2_media_progressive_jpeg(spark, small).collect():
+        p = texts[r.doc_id] + b"\xff" * (max(1, -(-len(texts[r.doc_id]) // 576)) * 576 - len(texts[r.doc_id]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(texts[r.doc_id]), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+
+
+def test_media_of_odd_rows(odd, empty):
+    stored = media.to_media(odd)
+    got = {r.doc_id: r for r in media.from_media(stored).collect()}
+    texts = {r.doc_id: (r.text or "").encode() for r in odd.collect()}
+    assert all(bytes(r.payload)[: r.n_bytes] == texts[i] and len(r.rgb) == 3 * r.height * r.width for i, r in got.items())
+    assert media.from_media(stored.selectExpr("doc_id", "cast(null as binary) as media", "1 as payload")).where("payload is null").count() == odd.count()
+    assert media.from_media(media.to_media(empty)).count() == 0
+
+
+PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header><h1>Site name</h1></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
+<div id="cookie-notice">We use cookies to make this site work well for all of you, please agree to it now</div><article><h1>Head &amp; line</h1><p>First   <b>para</b>graph with caf&eacute;&nbsp;and <a href=x>a link</a> in it.
+<p>Short.<script>if (a<b) document.write("<p>no</p>")</script><aside>Read our other long story about things that aren't part of this one at all</aside><section class="comments"><p>I liked this article very much and say so here in many words</p></section></article>
+<form><p>Subscribe to the letter that we send each week to all of our readers</p></form><footer>&copy; all rights</footer>"""
+
+
+def test_html():
+    tree = html_extract.trained()
+    (got,) = html_extract.main_texts([PAGE], tree)
+    assert got == "Head & line\nFirst paragraph with café and a link in it.\nShort."
+    plain = PAGE.replace("<article>", '<div class="entry">').replace("</article>", "</div>")
+    assert html_extract.main_texts([plain], tree) == [got]
+    assert html_extract.main_texts(["", "<div>" * 50, "<p", "<!-- x", "<a href='"], tree)[:2] == ["", ""]
+
+
+def test_html_learns_its_table():
+    table = np.array(html_extract.LABELLED)
+    assert ((html_extract.trained().predict(table[:, :-1]) >= 0.5) == table[:, -1]).mean() > 0.95
+
+
+def test_html_query(spark, small, odd):
+    got = queries.op3_html_main_text(spark, small)
+    assert got.count() == spark.read.parquet(f"{small}/pages.parquet").count()
+    assert got.where("n_chars <> length(text) or text = '' or text like '%<p>%'").count() == 0
+    extra = odd.selectExpr("doc_id as page_id", "source as url", "text as html", "'clash' as text", "1 as n_chars")
+    rows = {r.page_id: r for r in html_extract.extract(extra).collect()}
+    assert rows[2].text == "" and rows[2].n_chars == 0
+    assert html_extract.extract(extra.limit(0)).count() == 0
+
+
+def brute_rows(lens, size):
+    rows = []
+    for i in sorted(range(len(lens)), key=lambda i: -lens[i]):
+        fit = [r for r in rows if r[0] >= lens[i]]
+        if fit:
+            least = min(r[0] for r in fit)
+            fit = [r for r in fit if r[0] == least][0]
+            fit[0] -= lens[i]
+        else:
+            rows.append([size - lens[i]])
+    return sorted(r[0] for r in rows)
+
+
+def test_best_fit_decreasing_equals_a_scan():
+    random.seed(1)
+    for _ in range(60):
+        size = random.choice([1, 2, 7, 64, 100])
+        lens = np.array([random.randint(1, size) for _ in range(random.randint(0, 80))], dtype=np.int64)
+        rows = packing.best_fit_decreasing(lens, size)
+        assert sorted(i for r in rows for i in r) == list(range(len(lens)))
+        assert sorted(size - int(lens[r].sum()) for r in rows) == brute_rows(lens.tolist(), size)
+
+
+@pytest.mark.parametrize("size", [16, 2048])
+def test_packing_is_lossless(odd, empty, size):
+    rows = packing.pack(odd, PATH, size=size, pad=50256).collect()
+    want = {}
+    for r in bpe.encode(odd, PATH).collect():
+        want.setdefault(r.doc_id, []).append(np.frombuffer(bytes(r.ids), "<u4"))
+    got = {}
+    for r in rows:
+        ids, position = np.frombuffer(bytes(r.ids), "<u4"), np.frombuffer(bytes(r.position_ids), "<u4")
+        assert len(ids) == size == len(position) and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == 50256).all()
+        for d, s, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]):
+            assert position[a:b].tolist() == list(range(b - a))
+            got.setdefault(d, []).append((s, ids[a:b]))
+    for d, texts in want.items():
+        assert sorted(np.concatenate(texts).tolist()) == sorted(np.concatenate([x for _, x in got.get(d, [(0, np.zeros(0, int))])]).tolist())
+        if len(texts) == 1 and len(texts[0]):
+            assert np.concatenate([x for _, x in sorted(got[d], key=lambda y: y[0])]).tolist() == texts[0].tolist()
+    assert packing.pack(empty, PATH).count() == 0
