@@ -5,7 +5,7 @@ from pathlib import Path
 import pytest
 
 ROOT = Path(__file__).resolve().parent.parent
-sys.path.insert(0, str(ROOT))
+sys.path[:0] = [str(ROOT), str(ROOT / "tests")]
 os.environ["PYTHONPATH"] = f"{ROOT}:{os.environ.get('PYTHONPATH', '')}"
 os.environ.setdefault("PYSPARK_PYTHON", sys.executable)
 DATA = "/root/testdata"
@@ -46,11 +46,3 @@ def duck():
         return c
 
     return over
-
-
-def rows_of(frame):
-    """Rows of a pandas frame as sorted tuples of texts, columns by name."""
-    import pandas as pd
-
-    frame = frame[sorted(frame.columns)]
-    return sorted(tuple("NULL" if v is None or v is pd.NaT or isinstance(v, float) and v != v else repr(float(v)) if isinstance(v, float) else str(v) for v in r) for r in frame.itertuples(index=False))
