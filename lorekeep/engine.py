@@ -6,7 +6,9 @@ from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.utils import AnalysisException
 
+from . import schemas
 from .config import CURATE_THRESHOLD, DEFAULTS
 from .operators import conflicts as C
 from .operators import curate as U
@@ -14,7 +16,7 @@ from .operators import distill as D
 from .operators import maintain as M
 from .operators import search as S
 from .sources import exchange
-from .sources.store import Store
+from .sources.store import TABLES, Store
 
 
 class Engine:
@@ -58,6 +60,32 @@ class Engine:
         self.store.commit(changed)
         return {k: got.get(k, 0) for k in ("added", "merged", "skipped")}
 
+    def learn(self, text: str, as_of: datetime, project: str = "", session_id: str = "manual") -> dict[str, int]:
+        """Record a sentence by hand; it is kept however it scores, unless it holds a secret."""
+        row = (as_of.isoformat(), "manual", "manual", text, {"file": None, "language": None, "error_message": None, "command": None}, False, session_id)
+        return self.curate(self.spark.createDataFrame([row], f"{schemas.QUEUE}, session_id string"), as_of, project)
+
+    def search(self, text: str, limit: int = 10) -> DataFrame:
+        """Records of all scopes by keyword points."""
+        found = S.keyword_search(self.store.bullets, text, limit)
+        return M.listing(found, "id", "content", "scope", "section", "knowledge_type", "score")
+
+    def status(self) -> dict:
+        """Counts by kind, and the snapshot's version and layout."""
+        now = self.store.state()
+        return self.stats() | {"version": now["version"], "layout": now["layout"], "archived": self.store.archive.count(), "open_conflicts": self.conflicts_list(False).count()}
+
+    def health(self) -> dict[str, bool]:
+        """Whether each table of the newest snapshot can be read."""
+        out = {}
+        for name in TABLES:
+            try:
+                self.store.table(name).limit(1).collect()
+                out[name] = True
+            except AnalysisException:
+                out[name] = False
+        return out
+
     def stats(self) -> dict:
         out: dict = {"total": 0, "scope": {}, "knowledge_type": {}, "section": {}}
         for r in M.stats(self.store.bullets).collect():

@@ -25,6 +25,14 @@ def export_json(bullets: DataFrame, exported_at: str, project: str | None = None
     return json.dumps({"export_version": EXPORT_VERSION, "exported_at": exported_at, "source_project": project or "unknown", "bullet_count": len(rows), "bullets": rows}, indent=2, ensure_ascii=False)
 
 
+def save(spark: SparkSession, text: str, path: str) -> None:
+    """Write an export's text to a path of any file system that Spark reaches."""
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+
+
 def markdown_lines() -> Column:
     """A record's line, and a second one for its code."""
     content = F.regexp_replace("content", r"([|#])", r"\\$1")
