@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontam, html_extract, langid, lmscore, media, packing, pii, quality, simhash
@@ -20,10 +20,14 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _held_out() -> Column:
+    return F.coalesce(quality.fold(F.col("doc_id")) == quality.HELD_OUT, F.lit(False)).alias("held_out")
+
+
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = langid.identify(docs, langid.fit(docs, _vocabulary("piece_bpe_32k.model")))
-    return found.select("doc_id", (quality.fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "lang_pred", "score")
+    return found.select("doc_id", _held_out(), "lang_pred", "score")
 
 
 def op2_media_progressive_jpeg(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -78,7 +82,7 @@ def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     found = quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
-    return found.select("doc_id", (quality.fold(F.col("doc_id")) == quality.HELD_OUT).alias("held_out"), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
+    return found.select("doc_id", _held_out(), "score", (F.col("score") >= quality.ACCEPT).cast("int").alias("predicted"))
 
 
 OP9_SQL = r"""
