@@ -85,4 +85,5 @@ def detect(events: DataFrame) -> DataFrame:
     write = F.when((path == "") | (content == ""), null).when((lines > 5) | (F.length(content) > 100), created).when(written.isNotNull(), pattern(written))
     edit = F.when((path == "") | (new == ""), null).when(edited.isNotNull(), pattern(edited))
     found = F.when(F.col("tool_input").isNull(), null).when(F.col("tool_name") == "Bash", bash).when(F.col("tool_name") == "Write", write).when(F.col("tool_name") == "Edit", edit)
-    return events.withColumn("_found", found).where("_found is not null").select(*events.columns, "_found.pattern_type", "_found.summary", "_found.context")
+    # A generator instead of a filter: conditions that follow aren't pushed through it, so the rules above stay in the plan once.
+    return events.withColumn("_found", F.explode(F.array_compact(F.array(found)))).select(*events.columns, "_found.pattern_type", "_found.summary", "_found.context")

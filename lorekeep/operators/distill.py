@@ -63,7 +63,8 @@ def distill(entries: DataFrame, project: str = "", settings: dict = DEFAULTS["re
     """
     project = project or "unknown"
     least = settings["min_quality_score"] * 100
-    own = entries.withColumn("_text", template(settings["max_content_length"])).where(F.size(secrets.reasons(F.col("_text"))) == 0)
+    # A generator over the texts without secrets: the template stays in the plan once.
+    own = entries.withColumn("_text", F.explode(F.filter(F.array(template(settings["max_content_length"])), lambda t: F.size(secrets.reasons(t)) == 0)))
     own = own.withColumn("content", secrets.anonymized(F.col("_text"))).withColumn("_score", scoring.instructivity(F.col("content")))
     kind, score, rejected = scoring.knowledge_type(F.col("content")), F.round("_score"), F.col("_score") < least
     if evaluate:
