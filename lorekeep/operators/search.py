@@ -34,8 +34,13 @@ def visible(bullets: DataFrame, scopes: list[str], floor: float = FLOOR) -> Data
     return bullets.where(F.col("scope").isin(*scopes) & (F.col("decay_weight") >= floor))
 
 
-def keyword_points(query: str) -> Column:
-    """Raw points of a record for a query: the words themselves, their stems, CJK bigrams, tools, tags and entities."""
+def own_stems() -> Column:
+    """Stems of a record's tokens, each once."""
+    return F.array_distinct(F.transform(T.tokenize(F.col("content")), T.stem))
+
+
+def keyword_points(query: str, stems_of: Column | None = None) -> Column:
+    """Raw points of a record for a query: the words themselves, their stems, CJK bigrams, tools, tags and entities. stems_of: own_stems() where it is known already."""
     tokens, grams = T.py_search_tokens(query), T.py_cjk_ngrams(query, 2)
     total = F.lit(0)
     for t in tokens:
@@ -44,7 +49,7 @@ def keyword_points(query: str) -> Column:
     stems = [s for s in map(T.py_stem, tokens) if len(s) >= 2]
     if stems:
         mine = F.array(*[F.lit(s) for s in stems])
-        total = total + T.bound(F.transform(T.tokenize(F.col("content")), T.stem), lambda own: F.size(F.filter(mine, lambda s: F.array_contains(own, s)))) * STEM
+        total = total + T.bound(own_stems() if stems_of is None else stems_of, lambda own: F.size(F.filter(mine, lambda s: F.array_contains(own, s)))) * STEM
     if grams:
         mine = F.array(*[F.lit(g) for g in grams])
         total = total + T.bound(T.cjk_ngrams(F.col("content"), 2), lambda own: F.size(F.filter(mine, lambda g: F.array_contains(own, g)))) * STEM
@@ -107,13 +112,14 @@ def recall_many(bullets: DataFrame, queries: list[Query], as_of: Column, c: dict
     A record becomes a row only for the queries that give it points, and of these rows only the ranking is shuffled, by query.
     """
     out = None
+    scored = bullets.where(F.col("decay_weight") >= FLOOR).withColumn("_stems", own_stems())
     for start in range(0, len(queries), block):
         parts = []
         for i, q in enumerate(queries[start : start + block], start):
-            points = F.when(F.col("scope").isin(*q.scopes), keyword_points(q.text)) if q.text.strip() else F.lit(None).cast("double")
+            points = F.when(F.col("scope").isin(*q.scopes), keyword_points(q.text, F.col("_stems"))) if q.text.strip() else F.lit(None).cast("double")
             on = q.vector is not None and len(q.text.strip()) > 2
             parts.append(F.struct(F.lit(i).alias("query_id"), points.alias("keyword_score"), (similarity_to(q.vector) if on else F.lit(None).cast("double")).alias("semantic_score")))
-        rows = bullets.where(F.col("decay_weight") >= FLOOR).withColumn("_q", F.explode(F.array(*parts)))
+        rows = scored.withColumn("_q", F.explode(F.array(*parts)))
         rows = rows.where((F.col("_q.keyword_score") > 0) | (F.col("_q.keyword_score").isNotNull() & (F.col("_q.semantic_score") > 0)))
         rows = rows.select(*bullets.columns, "_q.*")
         most = rows.groupBy("query_id").agg(F.max("keyword_score").alias("_most"))
