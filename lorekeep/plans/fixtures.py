@@ -77,6 +77,23 @@ def events(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(i, *e, "s") for i, e in enumerate(_EVENTS)], f"id int, {schemas.EVENTS}")
 
 
+def _text(value: str | None) -> str:
+    return "NULL" if value is None else "'" + value.replace("'", "''") + "'"
+
+
+def events_sql() -> str:
+    """The events with the fields of their input as columns."""
+    fields = ("command", "file_path", "old_string", "new_string", "content")
+    rows = [f"({i}, {_text(tool)}, {str(given is not None).lower()}, {', '.join(_text((given or {}).get(f, '')) for f in fields)}, {_text(response)})" for i, (tool, given, response) in enumerate(_EVENTS)]
+    return f"(VALUES {', '.join(rows)}) AS t(id, tool, given, command, path, old, new, content, response)"
+
+
+def rivals_sql() -> str:
+    """The rivals; where one has a vector it is that of the first axis."""
+    rows = [f"({', '.join(_text(x) for x in r[:4])}, [{', '.join(_text(e) for e in r[4])}]::VARCHAR[], {str(r[5] is not None).lower()})" for r in _RIVALS]
+    return f"(VALUES {', '.join(rows)}) AS t(id, scope, section, content, key_entities, placed)"
+
+
 def rivals(spark: SparkSession) -> DataFrame:
     unit = lambda k: None if k is None else [float(i == k) for i in range(8)]
     rows = spark.createDataFrame([(*r[:5], unit(r[5])) for r in _RIVALS], "id string, scope string, section string, content string, key_entities array<string>, embedding array<float>")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from ..functions import scoring
 from ..functions import text as T
+from ..schemas import SECTION_OF
 from . import fixtures
 from .queries import PROJECT, TEXT, TEXTS
 from .testviews import AGE_SQL, BULLETS_SQL, WEIGHT_SQL
@@ -58,15 +59,103 @@ def _words(alternatives: tuple[str, ...]) -> str:
     return "(?i)\\b(?:" + "|".join(alternatives) + ")\\b"
 
 
-def _classified(id: str, content: str, source: str) -> str:
+def _kind(content: str) -> str:
     has = lambda w: f"regexp_matches({content}, {_QUOTE(_words(w))})"
+    return (
+        f"CASE WHEN {has(scoring.PITFALL)} AND {has(scoring.SOLUTION)} THEN 'Pitfall' WHEN {has(scoring.METHOD)} THEN 'Method' WHEN {has(scoring.TRICK)} THEN 'Trick'"
+        f" WHEN {has(scoring.PREFERENCE)} THEN 'Preference' ELSE 'Knowledge' END"
+    )
+
+
+def _score(content: str) -> str:
     count = lambda w: f"len(regexp_extract_all({content}, {_QUOTE(_words(w))}))"
     base = "least(80, " + " + ".join(f"{k} * {count(w)}" for w, k in scoring.WEIGHTS) + ")"
     density = f"CASE WHEN len({content}) > 0 THEN len(regexp_replace({content}, '\\s', '', 'g')) / len({content}) * 100 ELSE 0 END"
     capped = f"CASE WHEN len(regexp_replace({content}, '^\\s+|\\s+$', '', 'g')) < 20 THEN least({base}, 15) ELSE {base} END"
-    score = f"greatest(0.0, least(100.0, CAST({capped} AS DOUBLE) * (0.6 + 0.4 * ({density}) / 100) + 5))"
-    return f"""SELECT {id}, CASE WHEN {has(scoring.PITFALL)} AND {has(scoring.SOLUTION)} THEN 'Pitfall' WHEN {has(scoring.METHOD)} THEN 'Method' WHEN {has(scoring.TRICK)} THEN 'Trick'
-  WHEN {has(scoring.PREFERENCE)} THEN 'Preference' ELSE 'Knowledge' END AS knowledge_type, round({score}, 6) AS score, {score} < 30 AS rejected FROM {source}"""
+    return f"greatest(0.0, least(100.0, CAST({capped} AS DOUBLE) * (0.6 + 0.4 * ({density}) / 100) + 5))"
+
+
+def _classified(id: str, content: str, source: str) -> str:
+    return f"SELECT {id}, {_kind(content)} AS knowledge_type, round({_score(content)}, 6) AS score, {_score(content)} < 30 AS rejected FROM {source}"
+
+
+def _entities(content: str) -> str:
+    imported = "(?:import|from)\\s+[''\"]([^''\"]+)[''\"]|require\\s*\\(\\s*[''\"]([^''\"]+)[''\"]\\s*\\)"
+    named = f"list_filter(list_transform(list_zip(regexp_extract_all({content}, '{imported}', 1), regexp_extract_all({content}, '{imported}', 2)), lambda p: CASE WHEN p[1] <> '' THEN p[1] ELSE p[2] END), lambda x: x <> '')"
+    every = f"regexp_extract_all({content}, '[A-Z][a-z]+(?:[A-Z][a-z]+)+') || regexp_extract_all({content}, '`([^`]+)`', 1) || {named}"
+    return f"(SELECT coalesce(array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|'), '') FROM (SELECT {every} AS e))"
+
+
+def _detected() -> str:
+    """Common table expressions up to `found`: the candidates of the fixture's events."""
+    from ..functions.text import LANGUAGES
+    from ..operators.detect import TRIVIAL
+
+    # The patterns, in this dialect.
+    error = "\\berror\\b|\\bError\\b|\\bERROR\\b|\\bfailed\\b|\\bFailed\\b|\\bFAILED\\b|\\bnot found\\b|\\bNot found\\b|\\bcannot\\b|\\bCannot\\b|\\bTypeError\\b|\\bReferenceError\\b|\\bSyntaxError\\b|\\bENOENT\\b|\\bEACCES\\b|\\bEPERM\\b|\\bpanic|\\bPANIC|\\bfatal\\b|\\bFatal\\b|\\bexception\\b|\\bException\\b|TS[0-9]{4}"
+    is_error = lambda x: f"regexp_matches(regexp_replace({x}, '0 (failed|Failed|FAILED)\\b', '0 x', 'g'), '{error}')"
+    notable = "\\b(?:(npm|npx|pnpm|yarn|bun)\\s+(run|test|build|start|install|ci|publish|exec)\\b|cargo\\s+(build|test|run|bench|check|clippy|publish)\\b|go\\s+(build|test|run|vet|generate)\\b|(python|python3|pip|pip3)\\s|(docker|docker-compose|podman)\\s|git\\s+(push|pull|merge|rebase|cherry-pick|tag)\\b|(make|cmake|msbuild)\\b|(vitest|jest|mocha|pytest)\\b|(tsc|tsup|esbuild|vite|webpack|rollup)\\b|(deploy|migrate|seed|prisma|typeorm|knex)\\b|(curl|wget|ssh|scp|rsync)\\b)"
+    line = "(?m)^[+]?\\s*(?:import\\s+.+|const\\s+\\w+\\s*=\\s*require\\(.+\\)|from\\s+[''\"]).*"
+    handling = "\\b(?:try\\s*\\{|\\.catch\\s*\\(|catch\\s*\\(|if\\s*\\(\\s*err|\\.on\\s*\\(\\s*[''\"]error)"
+    config = "(?i)\\.(?:json|yaml|yml|toml|ini|env|config\\.\\w+)$|config|settings|\\.rc$"
+    kind = "\\b(?:interface|type|enum)\\s+\\w+"
+    has = lambda x, p: f"regexp_matches({x}, '{p}')"
+    languages = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LANGUAGES.items()) + "}"
+    return f"""events AS (
+  SELECT *, coalesce(response, '') AS r, regexp_extract(path, '([^/\\\\]*)$', 1) AS base, {languages}[lower(regexp_extract(path, '(\\.[^.]*)$', 1))] AS language, list_filter(list_transform(string_split(coalesce(response, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines,
+    CASE WHEN tool = 'Edit' THEN new ELSE content END AS text, CASE WHEN tool = 'Edit' THEN old ELSE '' END AS past, len(string_split(content, chr(10))) AS n, string_split_regex(trim(command), '\\s+') AS parts FROM {fixtures.events_sql()} WHERE given
+), judged AS (
+  SELECT *, {is_error('r')} AS failed, left(coalesce(list_filter(lines, lambda x: {is_error('x')})[1], lines[1], ''), 200) AS line, regexp_replace(coalesce(list_filter(parts, lambda x: NOT contains(x, '='))[1], parts[1]), '^.*[/\\\\]', '') AS name,
+    CASE WHEN {has('text', line)} AND (past = '' OR NOT {has('past', line)}) THEN 'Added import: ' || left(trim(regexp_extract(text, '{line}')), 120) || ' in ' || base
+      WHEN {has('text', handling)} AND NOT {has('past', handling)} THEN 'Added error handling in ' || base WHEN {has('path', config)} AND len(text) > 10 THEN 'Modified config: ' || base
+      WHEN {has('text', kind)} AND NOT {has('past', kind)} THEN 'Added type definition: ' || regexp_extract(text, '{kind}') || ' in ' || base END AS change FROM events
+), typed AS (
+  SELECT *, CASE WHEN tool = 'Bash' AND command <> '' AND failed AND line <> '' THEN 'error_fix' WHEN tool = 'Bash' AND command <> '' AND NOT failed AND NOT list_contains({_list(list(TRIVIAL))}, name) AND {has('command', notable)} THEN 'command_usage'
+    WHEN tool = 'Write' AND path <> '' AND content <> '' AND (n > 5 OR len(content) > 100) THEN 'file_creation' WHEN tool IN ('Write', 'Edit') AND path <> '' AND text <> '' AND change IS NOT NULL THEN 'code_pattern' END AS pattern_type FROM judged
+), found AS (
+  SELECT id, tool, pattern_type, CASE pattern_type WHEN 'error_fix' THEN 'Command failed: ' || left(command, 100) || ' — ' || line WHEN 'command_usage' THEN 'Executed: ' || left(command, 200) WHEN 'file_creation' THEN 'Created file: ' || base || ' (' || n || ' lines)' ELSE change END AS summary,
+    CASE WHEN tool = 'Bash' THEN '' ELSE path END AS file, CASE WHEN tool = 'Bash' THEN '' ELSE coalesce(language, '') END AS language, CASE WHEN pattern_type = 'error_fix' THEN line ELSE '' END AS error_message, CASE WHEN tool = 'Bash' THEN left(command, 300) ELSE '' END AS command
+  FROM typed WHERE pattern_type IS NOT NULL
+)"""
+
+
+def _distilled() -> str:
+    from ..functions.secrets import GENERIC_SECRET, HOME_PATH, NAMED_KEYS
+
+    secret = " OR ".join(f"regexp_matches(text, {_QUOTE(p)})" for p in [*(p for p, _ in NAMED_KEYS), GENERIC_SECRET])
+    section = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SECTION_OF.items())
+    return f"""WITH {_detected()}, sentences AS (
+  SELECT *, left(CASE pattern_type WHEN 'error_fix' THEN 'When encountering "' || error_message || '", always apply this fix: ' || summary || '. Ensure you use the correct approach to avoid re-running into the same error.'
+    WHEN 'code_pattern' THEN 'In ' || CASE WHEN language = '' THEN 'coding' ELSE language END || ': ' || summary || '. Apply and use this correctly to ensure good results.'
+    WHEN 'command_usage' THEN 'Always run `' || command || '` to ' || regexp_replace(summary, '^Executed:\\s*', '') || '. Use this command when you need to execute this operation.'
+    ELSE 'Always create ' || file || ' using this approach: ' || summary || '. Apply this approach consistently.' END, 500) AS text FROM found
+), clean AS (
+  SELECT *, regexp_replace(text, {_QUOTE(HOME_PATH)}, '~', 'g') AS content FROM sentences WHERE NOT ({secret})
+), scored AS (SELECT *, {_kind('content')} AS knowledge_type, {_score('content')} AS score FROM clean)
+SELECT id, CASE WHEN contains(file, 'myapp') OR starts_with(file, '.') OR starts_with(file, 'src/') OR contains(summary, 'myapp') THEN 'project:myapp' ELSE 'global' END AS scope, CASE knowledge_type {section} END AS section, knowledge_type, content,
+  round(score) AS instructivity_score, pattern_type || CASE WHEN language = '' THEN '' ELSE ',' || language END AS tags, {_entities('content')} AS entities,
+  CASE WHEN pattern_type NOT IN ('code_pattern', 'file_creation') THEN '' WHEN language <> '' THEN language ELSE lower(regexp_extract(file, '([^.]*)$', 1)) END AS code_language
+FROM scored WHERE score >= 30"""
+
+
+def _clashes() -> str:
+    """Contradictions of the fixture by comparing all pairs of a scope."""
+    from ..operators.conflicts import ANTONYMS
+
+    meets = [f"((contains(lower(a.content), {_QUOTE(x)}) AND contains(lower(b.content), {_QUOTE(y)})) OR (contains(lower(a.content), {_QUOTE(y)}) AND contains(lower(b.content), {_QUOTE(x)})))" for x, y in ANTONYMS]
+    semantic = "CASE " + " ".join(f"WHEN {m} THEN '{x}/{y}'" for m, (x, y) in zip(meets, ANTONYMS, strict=True)) + " END"
+    shared = "len(list_filter(a.key_entities, lambda e: list_contains(list_transform(b.key_entities, lambda f: lower(f)), lower(e)))) > 0"
+    versions = _VERSIONS.format(id="id", content="content", source=fixtures.rivals_sql(), more="scope,", keep="scope,")
+    quoted = "'\"' || left(a.content, 80) || '\" vs \"' || left(b.content, 80) || '\"'"
+    return f"""WITH rivals AS (SELECT * FROM {fixtures.rivals_sql()}), {versions}, couples AS (
+  SELECT a.id AS x, b.id AS y, CASE WHEN a.placed AND b.placed AND a.section = b.section THEN {semantic} END AS antonyms, {_negated('a.content', 'b.content')} AND ({shared} OR a.section = b.section) AS negation, {quoted} AS quoted
+  FROM rivals a JOIN rivals b ON a.scope = b.scope AND a.id < b.id
+), moved AS (
+  SELECT a.id AS x, b.id AS y, arg_min('Version mismatch: ' || a.name || ' ' || a.version || ' vs ' || b.version, a.ord) AS text FROM versions a JOIN versions b ON a.scope = b.scope AND a.name = b.name AND a.version <> b.version AND a.id < b.id GROUP BY ALL
+)
+SELECT x AS bullet_id_a, y AS bullet_id_b, CASE WHEN antonyms IS NOT NULL THEN 'semantic' WHEN negation THEN 'negation' ELSE 'version' END AS conflict_type,
+  CASE WHEN antonyms IS NOT NULL THEN 'Semantic contradiction (similarity: 1.00, antonyms: ' || antonyms || '): ' || quoted WHEN negation THEN 'Direct negation: ' || quoted ELSE text END AS description
+FROM couples LEFT JOIN moved USING (x, y) WHERE antonyms IS NOT NULL OR negation OR text IS NOT NULL"""
 
 
 def _sanitized(id: str, content: str, source: str) -> str:
@@ -140,8 +229,10 @@ SELECT id, scope, round(CAST(raw AS DOUBLE), 6) AS keyword_score, round(CASE WHE
         "classify_fixture": _classified("id", "content", fixtures.values_sql(fixtures.SENTENCES)),
         "sanitize_docs": _sanitized("doc_id", "text", "documents"),
         "sanitize_fixture": _sanitized("id", "content", fixtures.values_sql(fixtures.SECRETS)),
-        "entities_fixture": f"""SELECT id, coalesce(array_to_string(list_filter(e, lambda x, i: list_position(e, x) = i), '|'), '') AS entities FROM (SELECT id, regexp_extract_all(content, '[A-Z][a-z]+(?:[A-Z][a-z]+)+') || regexp_extract_all(content, '`([^`]+)`', 1)
-  || list_filter(list_transform(list_zip(regexp_extract_all(content, '(?:import|from)\\s+[''"]([^''"]+)[''"]|require\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 1), regexp_extract_all(content, '(?:import|from)\\s+[''"]([^''"]+)[''"]|require\\s*\\(\\s*[''"]([^''"]+)[''"]\\s*\\)', 2)), lambda p: CASE WHEN p[1] <> '' THEN p[1] ELSE p[2] END), lambda x: x <> '') AS e FROM {fixtures.values_sql(fixtures.SENTENCES)})""",
+        "entities_fixture": f"SELECT id, {_entities('content')} AS entities FROM {fixtures.values_sql(fixtures.SENTENCES)}",
+        "detect_fixture": f"WITH {_detected()} SELECT id, pattern_type, summary, file, language, error_message, command FROM found",
+        "distill_fixture": _distilled(),
+        "conflicts_fixture": _clashes(),
         "versions_docs": f"WITH {docs_versions} SELECT doc_id, name, version FROM versions",
         "curate_exact": f"""{_WITH}, {_RECORDS}
 SELECT r.id, md5(r.content) AS content_md5, CASE WHEN n = 1 AND f.seq IS NOT NULL THEN greatest(r.instructivity_score, f.score) ELSE r.instructivity_score END AS instructivity_score, recall_count,

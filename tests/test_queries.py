@@ -15,4 +15,4 @@ def test_query_equals_its_sql(spark, small, duck, name):
 
 
 def test_every_query_has_sql_or_a_test():
-    assert set(queries.queries()) - set(SQL) == {"detect_fixture", "distill_fixture", "curate_semantic", "conflicts_fixture"}
+    assert set(queries.queries()) - set(SQL) == {"curate_semantic"}
