@@ -35,16 +35,16 @@ def _vector(spark: SparkSession, sf_dir: str) -> tuple[float, ...]:
 
 
 def recall_keyword_topk(spark, sf_dir):
-    return S.keyword_search(S.visible(bullets(spark, sf_dir), ["global", f"project:{PROJECT}"]), TEXT, 10).select("id", "scope", _r("score", "score"))
+    return S.keyword_search(S.visible(bullets(spark, sf_dir, spread=True), ["global", f"project:{PROJECT}"]), TEXT, 10).select("id", "scope", _r("score", "score"))
 
 
 def recall_hybrid_topk(spark, sf_dir):
-    found = S.recall(bullets(spark, sf_dir, True), S.Query(TEXT, PROJECT, _vector(spark, sf_dir)), as_of(), limit=10)
+    found = S.recall(bullets(spark, sf_dir, True, True), S.Query(TEXT, PROJECT, _vector(spark, sf_dir)), as_of(), limit=10)
     return found.select("id", "scope", _r("keyword_score", "keyword_score"), _r("semantic_score", "semantic_score"), _r("final_score", "final_score"))
 
 
 def recall_multi_query(spark, sf_dir):
-    found = S.recall_many(bullets(spark, sf_dir), [S.Query(t, p) for t, p in TEXTS], as_of(), limit=5)
+    found = S.recall_many(bullets(spark, sf_dir, spread=True), [S.Query(t, p) for t, p in TEXTS], as_of(), limit=5)
     return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", _r("final_score", "final_score"))
 
 
@@ -116,12 +116,12 @@ def context_budget(spark, sf_dir):
 
 
 def tokenize_docs(spark, sf_dir):
-    own = table(spark, sf_dir, "documents").select("doc_id", T.search_tokens(F.col("text")).alias("t"))
+    own = table(spark, sf_dir, "documents", True).select("doc_id", T.search_tokens(F.col("text")).alias("t"))
     return own.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.md5(F.encode(F.array_join("t", " "), "UTF-8")).alias("tokens_md5"))
 
 
 def stem_tokens(spark, sf_dir):
-    words = table(spark, sf_dir, "documents").select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").count()
+    words = table(spark, sf_dir, "documents", True).select(F.explode(T.tokenize(F.col("text"))).alias("token")).groupBy("token").count()
     return words.groupBy(T.stem(F.col("token")).alias("stem")).agg(F.sum("count").alias("n"), F.count("*").alias("n_forms"))
 
 
@@ -131,7 +131,7 @@ def cjk_bigrams(spark, sf_dir):
 
 
 def content_density(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", _r(scoring.content_density(F.col("text")), "density"))
+    return table(spark, sf_dir, "documents", True).select("doc_id", _r(scoring.content_density(F.col("text")), "density"))
 
 
 def _classified(own: DataFrame, id: str, content: str) -> DataFrame:
@@ -140,7 +140,7 @@ def _classified(own: DataFrame, id: str, content: str) -> DataFrame:
 
 
 def classify_docs(spark, sf_dir):
-    return _classified(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _classified(table(spark, sf_dir, "documents", True), "doc_id", "text")
 
 
 def classify_fixture(spark, sf_dir):
@@ -153,7 +153,7 @@ def _sanitized(own: DataFrame, id: str, content: str) -> DataFrame:
 
 
 def sanitize_docs(spark, sf_dir):
-    return _sanitized(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return _sanitized(table(spark, sf_dir, "documents", True), "doc_id", "text")
 
 
 def sanitize_fixture(spark, sf_dir):
@@ -165,7 +165,7 @@ def entities_fixture(spark, sf_dir):
 
 
 def versions_docs(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", F.explode(C.versions(F.col("text"))).alias("v")).select("doc_id", "v.name", "v.version")
+    return table(spark, sf_dir, "documents", True).select("doc_id", F.explode(C.versions(F.col("text"))).alias("v")).select("doc_id", "v.name", "v.version")
 
 
 def detect_fixture(spark, sf_dir):
@@ -211,7 +211,7 @@ def curate_semantic(spark, sf_dir):
 
 
 def conflicts_version(spark, sf_dir):
-    return C.all_conflicts(bullets(spark, sf_dir), as_of()).where("conflict_type = 'version'").select("bullet_id_a", "bullet_id_b", "description")
+    return C.all_conflicts(bullets(spark, sf_dir, spread=True), as_of()).where("conflict_type = 'version'").select("bullet_id_a", "bullet_id_b", "description")
 
 
 def conflicts_fixture(spark, sf_dir):

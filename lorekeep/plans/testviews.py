@@ -18,18 +18,21 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """A test table. spread: for work that is heavy on the CPU, deal the rows out if the files give fewer tasks than there are cores; larger tables stay as they are."""
+    out = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    return out.repartition(cores) if spread and out.rdd.getNumPartitions() < cores else out
 
 
-def bullets(spark: SparkSession, sf_dir: str, vectors: bool = False) -> DataFrame:
+def bullets(spark: SparkSession, sf_dir: str, vectors: bool = False, spread: bool = False) -> DataFrame:
     """One record for each document, with ages, counts and kinds by arithmetic on its id; vectors joins the embeddings by id."""
     n = F.col("doc_id")
     pick = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), (n % 5 + 1).cast("int"))
     created = F.timestamp_micros(F.unix_micros(as_of()) - (n % 400) * F.lit(86_400_000_000))
     recalls = (n % 20).cast("int")
     empty = F.array().cast("array<string>")
-    docs = table(spark, sf_dir, "documents")
+    docs = table(spark, sf_dir, "documents", spread)
     vector = F.lit(None).cast("array<float>")
     if vectors:
         docs, vector = docs.join(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left"), F.col("embedding")
