@@ -124,3 +124,45 @@ def test_cross_entropy_of_odd_rows(odd, empty):
     got = {r.doc_id: r for r in lmscore.score(odd, models, target).collect()}
     assert got[2].n_tokens == got[3].n_tokens == 0 and got[2].score == 0.0 and got[5].n_tokens == 60000
     assert lmscore.score(empty, lmscore.fit(empty, target), target).count() == 0
+
+
+def test_cross_entropy_counts_every_word_apart(spark):
+    from lorekeep.llm.lmscore import PAIR_WEIGHT, PRIOR
+
+    # More words than 2 ** 18, and more pairs than 2 ** 20 could hold apart.
+    docs = [" ".join(f"w{(7 * i + 1) * (3001 * k + 11) % 400_009}" for i in range(5000)) for k in range(240)]
+    inside = [k % 3 == 0 for k in range(len(docs))]
+    words, pairs = ({}, {}), ({}, {})
+    for d, m in zip(docs, inside):
+        w = d.split()
+        for k in range(2):
+            if k or m:
+                for x in w:
+                    words[k][x] = words[k].get(x, 0) + 1
+                for x in zip(w, w[1:]):
+                    pairs[k][x] = pairs[k].get(x, 0) + 1
+    assert len(words[1]) > 1 << 18 and len(pairs[1]) > 1 << 20
+    d = spark.createDataFrame([(i, t, "in" if m else "out") for i, (t, m) in enumerate(zip(docs, inside))], "doc_id int, text string, source string").repartition(3)
+    target = F.col("source") == "in"
+    models = lmscore.fit(d, target)
+    assert models.totals == (sum(words[0].values()), sum(words[1].values())) and models.vocabulary == len(words[1])
+    got = {r.doc_id: r for r in lmscore.score(d, models, target).collect()}
+    assert len(got) == len(docs)
+    for i in (0, 1, 100, 239):
+        w = docs[i].split()
+        for k, ce in ((0, got[i].ce_target), (1, got[i].ce_background)):
+            mine = k or inside[i]
+            own_words, own_pairs = {}, {}
+            for x in w if mine else ():
+                own_words[x] = own_words.get(x, 0) + 1
+            for x in zip(w, w[1:]) if mine else ():
+                own_pairs[x] = own_pairs.get(x, 0) + 1
+            loss = 0.0
+            for j, x in enumerate(w):
+                p = (words[k].get(x, 0) - own_words.get(x, 0) + PRIOR) / (models.totals[k] - sum(own_words.values()) + PRIOR * len(words[1]))
+                history = words[k].get(w[j - 1], 0) - own_words.get(w[j - 1], 0) if j else 0
+                if history:
+                    both = pairs[k].get((w[j - 1], x), 0) - own_pairs.get((w[j - 1], x), 0)
+                    p = PAIR_WEIGHT * both / history + (1 - PAIR_WEIGHT) * p
+                loss -= np.log(p)
+            assert abs(ce - loss / len(w)) < 1e-9
