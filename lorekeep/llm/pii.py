@@ -1,12 +1,12 @@
 """Personal data: Aho-Corasick finds anchors, local parsers expand them.
 
 One automaton finds at-signs, scheme marks, plus signs before digits, dots before digits, pairs of neighbouring
-digits and identifier cues in all texts of a batch. From each anchor a deterministic parser walks to the
+digits, countries of IBANs before digits and identifier cues in all texts of a batch. From each anchor a deterministic parser walks to the
 boundaries of the address or number and checks it. All characters concerned are ASCII, so the scan
 works on UTF-8 bytes and only the spans found are turned into code points.
 
-Kinds: email, ip, card and phone are the base. account: an IBAN with valid check digits, or a number of 6 to
-17 digits behind an account cue. secret: a quoted or bare value of 16 or more characters with a digit behind a secret
+Kinds: email, ip, card and phone are the base. account: an IBAN of its country's length with valid check digits
+(behind an account cue, of any other country too), or a number of 6 to 17 digits behind an account cue. secret: a quoted or bare value of 16 or more characters with a digit behind a secret
 cue and `=` or `:`. login: name and password inside a URL.
 """
 
@@ -28,6 +28,16 @@ KINDS = (*BASE, "account", "secret", "login")
 # Cues, in lower case.
 ACCOUNT_CUES = ("iban", "account", "acct", "ssn", "passport")
 SECRET_CUES = ("token", "secret", "password", "passwd", "api_key", "apikey", "api-key")
+#: Length of a country's IBANs.
+IBAN_LENGTHS = {
+    c: n
+    for n, names in {
+        15: "no", 16: "be", 18: "dk fi fk fo gl nl sd", 19: "mk si", 20: "at ba ee kz lt lu mn xk", 21: "ch hr li lv", 22: "bg bh cr de gb ge ie me rs va",
+        23: "ae gi il iq om so tl", 24: "ad cz es md pk ro sa se sk tn vg", 25: "ly pt st", 26: "is tr", 27: "bi dj fr gr it mc mr sm", 28: "al az by cy do gt hu lb ni pl sv",
+        29: "br eg ps qa ua", 30: "jo kw mu ye", 31: "mt sc", 32: "lc", 33: "ru",
+    }.items()
+    for c in names.split()
+}
 
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _SCHEME = frozenset("abcdefghijklmnopqrstuvwxyz0123456789+.-")
@@ -37,7 +47,8 @@ _DOMAIN = re.compile(r"[a-z0-9-]+(?:\.[a-z0-9-]+)+")
 _CHAIN = re.compile(r"[0-9]+(?:\.[0-9]+)*")
 _RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_ACCOUNT = re.compile(r"(?: (?:number|no\.?|nr\.?|num))?[ \t]*[:=#]?[ \t]*([a-z]{2}[0-9]{2}(?: ?[a-z0-9]){11,30}|[0-9](?:[ -]?[0-9]){5,16})(?![a-z0-9])")
+_ACCOUNT = re.compile(r"(?: (?:number|no\.?|nr\.?|num))?[ \t]*[:=#]?[ \t]*(?:([0-9](?:[ -]?[0-9]){5,16})(?![a-z0-9])|(?=[a-z]{2}[0-9]{2}))")
+_IBANS = {n: re.compile(rf"[a-z]{{2}}[0-9]{{2}}(?: ?[a-z0-9]){{{n - 4}}}(?![a-z0-9])") for n in range(15, 35)}
 _SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([a-z0-9+/_=-]{16,})")
 _LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@[a-z0-9]")
 
@@ -52,6 +63,8 @@ def _automaton() -> ahocorasick.Automaton:
         for e in _DIGITS:
             for mid in ("", " ", "-"):
                 out.add_word(f"{d}{mid}{e}", ("card", 2 + len(mid)))
+        for c in IBAN_LENGTHS:
+            out.add_word(f"{c}{d}", ("iban", 3))
     for c in ACCOUNT_CUES:
         out.add_word(c, ("account", len(c)))
     for c in SECRET_CUES:
@@ -74,6 +87,16 @@ def iban(text: str) -> bool:
     return int("".join(str(int(c, 36)) for c in text[4:] + text[:4])) % 97 == 1
 
 
+def iban_end(text: str, at: int) -> int:
+    """End of the IBAN that starts here, 0 for none: at its country's length, or for other countries at the greatest length with right check digits."""
+    size = IBAN_LENGTHS.get(text[at : at + 2])
+    for n in [size] if size else range(34, 14, -1):
+        m = _IBANS[n].match(text, at)
+        if m and iban(m[0].replace(" ", "")):
+            return m.end()
+    return 0
+
+
 def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in a text whose letters A-Z are in lower case."""
     found = []
@@ -122,11 +145,15 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
             continue
         elif kind == "account":
             m = _ACCOUNT.match(text, last + 1)
-            if m and m.start(1) >= account_end:
-                value = m[1].replace(" ", "").replace("-", "")
-                if value[0] in _DIGITS or 15 <= len(value) <= 34 and iban(value):
-                    account_end = m.end(1)
-                    found.append(("account", m.start(1), account_end))
+            if m:
+                start, end = m.span(1) if m[1] else (m.end(), iban_end(text, m.end()))
+                if start >= account_end and end:
+                    account_end = end
+                    found.append(("account", start, end))
+        elif kind == "iban":
+            if at >= account_end and (end := iban_end(text, at)):
+                account_end = end
+                found.append(("account", at, end))
         elif kind == "secret":
             m = _SECRET.match(text, last + 1)
             if m and m.start(1) >= secret_end and any(c in _DIGITS for c in m[1]):

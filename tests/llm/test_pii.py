@@ -60,3 +60,16 @@ def test_odd_rows(odd, empty):
     assert r.text == "数据库 émile 😀 mail <EMAIL> <PHONE>" and r.n_chars == len(r.text)
     assert clean.where("doc_id = 2 and text is null and n_chars is null").count() == 1
     assert pii.find(empty).count() == 0 and pii.redact(empty).count() == 0
+
+
+def test_ibans_end_at_their_countrys_length():
+    for text, want in (
+        ("IBAN: DE89 3704 0044 0532 0130 00 by Friday, thanks", "DE89 3704 0044 0532 0130 00"),
+        ("IBAN: DE89370400440532013000 is mine.", "DE89370400440532013000"),
+        ("pay to NO93 8601 1117 947 or é GB82WEST12345698765432 12", "NO93 8601 1117 947,GB82WEST12345698765432"),
+        ("iban GB82WEST12345698765432 account GB82WEST12345698765432 and more", "GB82WEST12345698765432,GB82WEST12345698765432"),
+        ("IBAN: DE88 3704 0044 0532 0130 00 by Friday; xDE89370400440532013000 DE893704004405320130001", ""),
+        ("account: ZZ71370400440532013 it is", "ZZ71370400440532013"),
+    ):
+        (found,) = pii.spans_of([text.encode()], pii._automaton())
+        assert ",".join(text[s:e] for k, s, e in found if pii.KINDS[k] == "account") == want, text
