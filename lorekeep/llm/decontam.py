@@ -28,7 +28,7 @@ PART_BYTES = 32 << 20
 
 @dataclass
 class Index:
-    """The benchmark's side. vocab: sorted hashes of its words; word i of vocab has id i + 1. windows: distinct windows as rows of ids, zeros behind short ones. owners[first[i]:first[i+1]]: the items with window i."""
+    """The benchmark's side. vocab: sorted hashes of its words; word i of vocab has id i + 1. windows: distinct windows as rows of ids, zeros behind short ones. owners[first[i]:first[i+1]]: the items with window i. words, word_item: the id and the item of every word."""
 
     vocab: np.ndarray
     filter: np.ndarray
@@ -39,8 +39,8 @@ class Index:
     names: list[str | None]
     prefix: int
     starts: np.ndarray
-    suffixes: np.ndarray
-    suffix_item: np.ndarray
+    words: np.ndarray
+    word_item: np.ndarray
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Id of each word, 0 for words that the benchmark lacks."""
@@ -61,8 +61,8 @@ class Index:
         return key
 
 
-def build_index(items: list[tuple[str | None, bytes]], window: int = WINDOW, depth: int = 0) -> Index:
-    """Index of (name, text) items. depth: words of each suffix kept for longest_matches(), 0 for none."""
+def build_index(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Index:
+    """Index of (name, text) items."""
     words = _words.split([t for _, t in items], _words.NOT_ALNUM)
     h = words.hashes()
     vocab = np.unique(h)
@@ -82,14 +82,8 @@ def build_index(items: list[tuple[str | None, bytes]], window: int = WINDOW, dep
     pairs = np.unique(np.stack([inverse.reshape(-1), np.concatenate(owner) if owner else np.zeros(0, np.int64)], axis=1), axis=0)
     filter = np.zeros(1 << 20, dtype=bool)
     filter[(vocab >> np.uint64(44)).astype(np.int64)] = True
-    out = Index(vocab, filter, table, lens, np.searchsorted(pairs[:, 0], np.arange(len(table) + 1)), pairs[:, 1], [n for n, _ in items], int(min(PREFIX, lens.min())) if len(lens) else 1, np.zeros(0, np.uint64), np.zeros((0, depth), np.int64), np.zeros(0, np.int64))
+    out = Index(vocab, filter, table, lens, np.searchsorted(pairs[:, 0], np.arange(len(table) + 1)), pairs[:, 1], [n for n, _ in items], int(min(PREFIX, lens.min())) if len(lens) else 1, np.zeros(0, np.uint64), ids, words.rows())
     out.starts = np.unique(out.keys(table))
-    if depth:
-        padded = np.concatenate([ids, np.zeros(depth, np.int64)])
-        at = np.arange(len(ids))
-        left = words.bounds[words.rows() + 1] - at
-        out.suffixes = np.where(np.arange(depth) < left[:, None], padded[at[:, None] + np.arange(depth)], 0)
-        out.suffix_item = words.rows()
     return out
 
 
@@ -240,38 +234,70 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", ite
     return out
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", depth: int = 64) -> DataFrame:
-    """Per benchmark item (id as string) and shard the longest verbatim match: item, length in words (up to `depth`), doc, position of the match among the document's words.
+def _longest(ids: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
+    """For each word of the benchmark the length of the longest match that starts there, and where in the texts one of them begins.
 
-    Matches shorter than the index's prefix of three words aren't listed. Take the greatest length for each item to get the longest of all shards.
+    ids: of the words of all texts; ends: the end of each word's text. Position doubling: equal numbers on
+    level k mean equal words, 2 ** k of them or up to where the text, the item or its known words end.
+    """
+    n, m = len(ids), len(index.words)
+    item_end = np.searchsorted(index.word_item, index.word_item, side="right")
+    number = np.concatenate([ids, index.words])
+    at = np.arange(n + m)
+    end = np.concatenate([ends, n + item_end])
+    unknown = np.append(np.where(number == 0, at, n + m), n + m)
+    left = np.minimum(np.minimum.accumulate(unknown[::-1])[::-1][:-1], end) - at
+    most = int(left[n:].max())
+    levels = [number]
+    while 1 << (len(levels) - 1) < most:
+        step = 1 << (len(levels) - 1)
+        after = np.zeros(n + m, np.int64)
+        more = np.flatnonzero(left > step)
+        after[more] = number[more + step]
+        number = np.unique(number * (int(number.max()) + 1) + after, return_inverse=True)[1] + (0 if (left == 0).any() else 1)
+        levels.append(number)
+    texts = np.flatnonzero(left[:n])
+    best, place = np.zeros(m, np.int64), np.zeros(m, np.int64)
+    if not len(texts):
+        return best, place
+    texts = texts[np.argsort(number[texts], kind="stable")]
+    # The longest match is with a neighbour in lexicographic order.
+    near = np.searchsorted(number[texts], number[n:])
+    for row in (near - 1, near):
+        there = texts[np.clip(row, 0, len(texts) - 1)]
+        length = np.zeros(m, np.int64)
+        for k in range(len(levels) - 1, -1, -1):
+            a, b = np.minimum(there + length, n + m - 1), np.minimum(at[n:] + length, n + m - 1)
+            whole = (left[there] - length >= 1 << k) & (left[n:] - length >= 1 << k)
+            length += np.where(whole & (levels[k][a] == levels[k][b]), 1 << k, 0)
+        better = length > best
+        best, place = np.where(better, length, best), np.where(better, there, place)
+    return best, place
+
+
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Per benchmark item (id as string) and shard the longest verbatim match, of any length: item, length in words, doc, position of the match among the document's words.
+
+    Take the greatest length for each item to get the longest of all shards. Of equally long ones in a shard one is listed.
     """
     out = None
     for part in _parts(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index([(r.i, bytes(r.t)) for r in part.collect()], PREFIX, depth))
+        shared = docs.sparkSession.sparkContext.broadcast(build_index([(r.i, bytes(r.t)) for r in part.collect()]))
 
         def work(shared=shared):
             index = shared.value
 
             def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                shard = build_shard(as_bytes(batch.column(1)), index, depth)
-                if not len(shard.at):
+                words = _words.split(as_bytes(batch.column(1)), _words.NOT_ALNUM)
+                if not len(words) or not len(index.words):
                     return None
-                lens = np.full(len(index.suffixes), depth)
-                at = _bound(shard.sorted, index.suffixes, lens, False)
-                best = np.zeros(len(at), np.int64)
-                place = np.zeros(len(at), np.int64)
-                for near in (at - 1, at):
-                    row = np.clip(near, 0, len(shard.at) - 1)
-                    same = (shard.sorted[row] == index.suffixes) & (index.suffixes > 0)
-                    length = np.where(same.all(axis=1), depth, (~same).argmax(axis=1))
-                    better = length > best
-                    best, place = np.where(better, length, best), np.where(better, row, place)
-                order = np.lexsort((-best, index.suffix_item))
-                first = order[np.concatenate([[True], np.diff(index.suffix_item[order]) > 0])]
-                first = first[best[first] >= PREFIX]
-                where = shard.at[place[first]]
-                row = np.searchsorted(shard.words.bounds, where, side="right") - 1
-                return pa.RecordBatch.from_arrays([pa.array([index.names[i] for i in index.suffix_item[first]], pa.string()), pa.array(best[first]), batch.column(0).take(pa.array(row)), pa.array(where - shard.words.bounds[row])], names=["item", "length", "doc", "position"])
+                best, place = _longest(index.ids(words.hashes()), np.repeat(words.bounds[1:], words.counts()), index)
+                order = np.lexsort((-best, index.word_item))
+                first = order[np.concatenate([[True], np.diff(index.word_item[order]) > 0])]
+                first = first[best[first] > 0]
+                where = place[first]
+                row = np.searchsorted(words.bounds, where, side="right") - 1
+                return pa.RecordBatch.from_arrays([pa.array([index.names[i] for i in index.word_item[first]], pa.string()), pa.array(best[first]), batch.column(0).take(pa.array(row)), pa.array(where - words.bounds[row])], names=["item", "length", "doc", "position"])
 
             return each
 

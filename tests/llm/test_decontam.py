@@ -67,3 +67,24 @@ def test_odd_rows(spark, odd, empty):
     assert decontam.decontaminate(odd, b).columns == odd.columns
     assert decontam.contamination(odd, b.limit(0)).where("n_hit > 0").count() == 0
     assert decontam.contamination(empty, b).count() == 0
+
+
+def test_longest_matches_equal_brute_force(spark):
+    random.seed(5)
+    passage = " ".join(f"p{i % 90}" for i in range(200))
+    for trial in range(3):
+        text = lambda n, k=(2, 4, 30)[trial]: " ".join(f"w{random.randrange(k)}" for _ in range(n))
+        docs = [f"{text(5)} {passage} {text(9)}", f"x {' '.join(passage.split()[:150])} y", "one", "", *(text(random.choice([1, 30, 200])) for _ in range(8))]
+        items = [("whole", f"{passage} z"), ("one", "One"), ("two", "one absent"), ("none", "absent"), *((f"r{i}", text(random.choice([1, 2, 40, 150]))) for i in range(6))]
+        d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string").repartition(2)
+        best = {}
+        for r in decontam.longest_matches(d, spark.createDataFrame(items, "item_id string, text string")).collect():
+            best[r["item"]] = max(best.get(r["item"], 0), r.length)
+            own, found = words_of(dict(items)[r["item"]]), words_of(docs[r.doc])[r.position : r.position + r.length]
+            assert len(found) == r.length and any(own[i : i + r.length] == found for i in range(len(own)))
+        padded = [f" {' '.join(words_of(t))} " for t in docs]
+        for name, t in items:
+            w = words_of(t)
+            want = max((n for i in range(len(w)) for n in range(1, len(w) - i + 1) if any(f" {' '.join(w[i : i + n])} " in p for p in padded)), default=0)
+            assert best.get(name, 0) == want, name
+        assert best["whole"] == 200 and best["one"] == 1
