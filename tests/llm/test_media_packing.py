@@ -8,7 +8,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from lorekeep.llm import bpe, html_extract, media, packing, queries
+from lorekeep.llm import bpe, media, packing, queries
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -75,36 +75,6 @@ def test_media_of_odd_rows(odd, empty):
     assert media.from_media(media.to_media(empty)).count() == 0
 
 
-PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style></head><body class="home"><header><h1>Site name</h1></header><nav><ul><li><a href=/a>One</a><li><a href=/b>Two</a></ul></nav>
-<div id="cookie-notice">We use cookies to make this site work well for all of you, please agree to it now</div><article><h1>Head &amp; line</h1><p>First   <b>para</b>graph with caf&eacute;&nbsp;and <a href=x>a link</a> in it.
-<p>Short.<script>if (a<b) document.write("<p>no</p>")</script><aside>Read our other long story about things that aren't part of this one at all</aside><section class="comments"><p>I liked this article very much and say so here in many words</p></section></article>
-<form><p>Subscribe to the letter that we send each week to all of our readers</p></form><footer>&copy; all rights</footer>"""
-
-
-def test_html():
-    tree = html_extract.trained()
-    (got,) = html_extract.main_texts([PAGE], tree)
-    assert got == "Head & line\nFirst paragraph with café and a link in it.\nShort."
-    plain = PAGE.replace("<article>", '<div class="entry">').replace("</article>", "</div>")
-    assert html_extract.main_texts([plain], tree) == [got]
-    assert html_extract.main_texts(["", "<div>" * 50, "<p", "<!-- x", "<a href='"], tree)[:2] == ["", ""]
-
-
-def test_html_learns_its_table():
-    table = np.array(html_extract.LABELLED)
-    assert ((html_extract.trained().predict(table[:, :-1]) >= 0.5) == table[:, -1]).mean() > 0.95
-
-
-def test_html_query(spark, small, odd):
-    got = queries.op3_html_main_text(spark, small)
-    assert got.count() == spark.read.parquet(f"{small}/pages.parquet").count()
-    assert got.where("n_chars <> length(text) or text = '' or text like '%<p>%'").count() == 0
-    extra = odd.selectExpr("doc_id as page_id", "source as url", "text as html", "'clash' as text", "1 as n_chars")
-    rows = {r.page_id: r for r in html_extract.extract(extra).collect()}
-    assert rows[2].text == "" and rows[2].n_chars == 0
-    assert html_extract.extract(extra.limit(0)).count() == 0
-
-
 def brute_rows(lens, size):
     rows = []
     for i in sorted(range(len(lens)), key=lambda i: -lens[i]):
