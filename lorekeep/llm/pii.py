@@ -49,8 +49,9 @@ _RUN = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _ACCOUNT = re.compile(r"(?: (?:number|no\.?|nr\.?|num))?[ \t]*[:=#]?[ \t]*(?:([0-9](?:[ -]?[0-9]){5,16})(?![a-z0-9])|(?=[a-z]{2}[0-9]{2}))")
 _IBANS = {n: re.compile(rf"[a-z]{{2}}[0-9]{{2}}(?: ?[a-z0-9]){{{n - 4}}}(?![a-z0-9])") for n in range(15, 35)}
-_SECRET = re.compile(r"[ \t]*[:=][ \t]*[\"']?([a-z0-9+/_=-]{16,})")
-_LOGIN = re.compile(r"([^\s/@:]+:[^\s/@]+)@[a-z0-9]")
+_ASSIGN = re.compile(r"[ \t]*[:=][ \t]*[\"']?")
+_SECRET = re.compile(r"[a-z0-9+/_=-]{16,}")
+_LOGIN = re.compile(r"([^\x00-\x20\x7f/@:]+:[^\x00-\x20\x7f/@]+)@[a-z0-9]")
 
 
 def _automaton() -> ahocorasick.Automaton:
@@ -100,7 +101,7 @@ def iban_end(text: str, at: int) -> int:
 def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, int]]:
     """Spans (kind, start, end) in a text whose letters A-Z are in lower case."""
     found = []
-    email_end = chain_end = run_end = account_end = secret_end = 0
+    email_end = chain_end = run_end = account_end = value_end = 0
     for last, (kind, size) in automaton.iter(text):
         at = last - size + 1
         if kind == "card":
@@ -155,10 +156,12 @@ def scan(text: str, automaton: ahocorasick.Automaton) -> list[tuple[str, int, in
                 account_end = end
                 found.append(("account", at, end))
         elif kind == "secret":
-            m = _SECRET.match(text, last + 1)
-            if m and m.start(1) >= secret_end and any(c in _DIGITS for c in m[1]):
-                secret_end = m.end(1)
-                found.append(("secret", m.start(1), secret_end))
+            m = _ASSIGN.match(text, last + 1)
+            # A cue inside a value that was looked at has nothing to add.
+            if m and m.end() >= value_end and (m := _SECRET.match(text, m.end())):
+                value_end = m.end()
+                if any(c in _DIGITS for c in m[0]):
+                    found.append(("secret", m.start(), value_end))
         else:
             m = _LOGIN.match(text, last + 1)
             if m and at and text[at - 1] in _SCHEME:
@@ -226,7 +229,11 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
 
 
 def redact(docs: DataFrame, text: str = "text", n_chars: str | None = None) -> DataFrame:
-    """The documents with their personal data masked; all other columns and all rows stay. n_chars: a column to hold the new text's length."""
+    """The documents with their personal data masked; all other columns and all rows stay. n_chars: a column to hold the new text's length.
+
+    Null and empty texts, and those without personal data, stay as they are, and so does their n_chars. Repeated rows and rows with null or equal ids are
+    masked alike. Texts of any length are read whole. An empty table gives an empty result.
+    """
     where = docs.columns.index(text)
     sized = docs.columns.index(n_chars) if n_chars else -1
 

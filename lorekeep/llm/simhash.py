@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _words
-from ._batches import as_bytes, map_slices, mapped, written
+from ._batches import as_bytes, drop_written, map_slices, mapped, written
 from .components import components
 
 BITS = 64
@@ -27,6 +27,8 @@ SHINGLE = 3
 SEED = 42
 #: Buckets up to this size are compared pair by pair; larger ones through the values between their members.
 SMALL_BUCKET = 512
+#: A bucket of more fingerprints than this is split by further bits before any task gets it.
+HOT_BUCKET = 1 << 18
 
 
 def covering_masks(radius: int = RADIUS, bits: int = BITS) -> list[int]:
@@ -161,23 +163,57 @@ def _link_sorted(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.nda
     return own[a], own[b]
 
 
+def signed(x: int) -> int:
+    """The long of the same 64 bits."""
+    return x - (1 << 64) if x >> 63 else x
+
+
+def narrower(mask: int, radius: int = RADIUS) -> list[int]:
+    """Masks that split what one mask holds together: its other bits fall into radius + 1 groups, and of two values within the radius one group at least is equal."""
+    mask &= (1 << BITS) - 1
+    free = [i for i in range(BITS) if not mask >> i & 1]
+    return [mask | sum(1 << i for i in free[k :: radius + 1]) for k in range(min(radius + 1, max(1, len(free))))]
+
+
+def _masked(rows: DataFrame, masks: Column) -> DataFrame:
+    """(mask, key, fp): each fingerprint under each of its masks."""
+    return rows.select("fp", F.explode(masks).alias("mask")).select("mask", F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+
+
+def buckets(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(mask, key, fp): the fingerprints in all their buckets, none of which is hot, whatever their number.
+
+    A bucket of more than HOT_BUCKET members is dealt out under narrower masks, which keep every pair within the radius in some
+    bucket, and so on. Only the masks that have hot buckets come to the driver.
+    """
+    now = _masked(distinct.select("fp"), F.array(*[F.lit(signed(m)) for m in covering_masks(radius)]))
+    out = None
+    while True:
+        hot = written(now.groupBy("mask", "key").count().where(F.col("count") > HOT_BUCKET).select("mask", "key"), "hot")
+        masks = [r.mask for r in hot.select("mask").distinct().collect()]
+        if not masks:
+            drop_written(hot)
+            return now if out is None else out.unionByName(now)
+        # At most one row for each HOT_BUCKET rows of `now`.
+        cool = now.join(F.broadcast(hot), ["mask", "key"], "left_anti")
+        out = cool if out is None else out.unionByName(cool)
+        into = F.create_map(*[F.lit(x) if isinstance(x, int) else F.array(*[F.lit(signed(m)) for m in x]) for m0 in masks for x in (m0, narrower(m0, radius))])
+        now = _masked(now.join(F.broadcast(hot), ["mask", "key"], "left_semi").select("fp", F.element_at(into, F.col("mask")).alias("into")), F.col("into")).distinct()
+
+
 def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(a, b) links between different fingerprints of the column `fp`, which connect all that are within the radius.
 
     Not every pair is listed: of each bucket as few links as hold its near members together, so a bucket of n rows gives n - 1 at most.
     """
-    masks = covering_masks(radius)
-    signed = [m - (1 << 64) if m >> 63 else m for m in masks]
-    tables = F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("key")) for i, m in enumerate(signed)]))
-    rows = distinct.select("fp", tables.alias("x")).select("x.t", "x.key", "fp")
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", "fp")
+    rows = buckets(distinct, radius).repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
 
         def linked(part: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(part) > 1:
-                # Masked values of different tables may be equal, so both are the key.
+                # Masked values under different masks may be equal, so both are the key.
                 change = np.cumsum(np.concatenate([[0], (part[1:, :2] != part[:-1, :2]).any(axis=1)]))
                 a, b = _link_sorted(change, part[:, 2].view(np.uint64), radius)
                 if len(a):
@@ -200,6 +236,13 @@ def links(distinct: DataFrame, radius: int = RADIUS) -> DataFrame:
     return mapped(rows, run, "a long, b long")
 
 
+def _classes(own: DataFrame, radius: int) -> DataFrame:
+    """(fp, root) of the distinct fingerprints of a table."""
+    distinct = own.select("fp").distinct()
+    found = components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return distinct.join(found, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
     """Per document: id, fp (long), component_id (smallest id among all that links reach, itself included).
 
@@ -208,10 +251,7 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", rad
     like others. Repeated rows each get a row. An empty table gives an empty result. Only the two columns named are read.
     """
     own = written(fingerprints(docs, text, (id,), size).withColumnRenamed(id, "id"), "fingerprints")
-    distinct = own.groupBy("fp").agg(F.min("id").alias("least_id"))
-    found = components(links(distinct.select("fp"), radius))
-    known = distinct.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    known = written(known, "classes")
+    known = written(_classes(own, radius).join(own.groupBy("fp").agg(F.min("id").alias("least_id")), "fp"), "classes")
     least = known.groupBy("root").agg(F.min("least_id").alias("component_id"))
     classes = known.join(least, "root").select("fp", "component_id", "root")
     return own.join(classes, "fp").select(F.col("id").alias(id), "fp", "component_id", "root")
@@ -223,21 +263,32 @@ def hex_digits(fp: Column) -> Column:
 
 
 def first_of_each(docs: DataFrame, id: str = "doc_id", text: str = "text", radius: int = RADIUS, size: int = SHINGLE) -> DataFrame:
-    """The documents without near duplicates: of each group the row with the smallest id stays, with all its columns.
+    """The documents without near duplicates: of each group exactly one row stays, with all its columns.
 
-    Where several rows share that id, one of them stays. Rows without an id stay only if no row that has
-    one is in their group, and then one of each group.
+    The row with the smallest id stays, nulls behind all others; of several with that id the one whose text has the smallest SHA-256,
+    and of those with equal texts the one whose other columns come first as JSON. So a row is chosen by its own
+    fingerprint, also where rows with one id have different texts. Null texts count as empty. Repeated rows are near
+    duplicates of each other. An empty table gives an empty result. Columns may have any names.
     """
-    classes = written(near_duplicates(docs, id, text, radius, size), "members")
-    keep = classes.where(F.col(id) == F.col("component_id")).groupBy(id).agg(F.count("*").alias("n"))
-    once, again = keep.where("n = 1").select(id), keep.where("n > 1").select(id)
-    out = docs.join(once, id, "left_semi")
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    i, t = names[docs.columns.index(id)], names[docs.columns.index(text)]
+    # The fingerprint depends on the text alone, so id and digest name what a row is in a group.
+    plain = docs.toDF(*names).withColumn("d_", F.unhex(F.sha2(F.encode(F.coalesce(F.col(t).cast("string"), F.lit("")), "UTF-8"), 256)))
+    own = written(fingerprints(plain, t, (i, "d_"), size).withColumnsRenamed({i: "i_"}), "fingerprints")
+    rows = own.groupBy("fp", "i_", "d_").agg(F.count("*").alias("n_"))
+    order = F.struct(F.col("i_").isNull().alias("a"), F.col("i_").alias("i_"), F.col("d_").alias("d_"))
+    first = rows.join(_classes(own, radius), "fp").groupBy("root").agg(F.min(F.struct(order.alias("k"), "n_")).alias("m"))
+    first = written(first.select(F.col("m.k.i_").alias("i_"), F.col("m.k.d_").alias("d_"), F.col("m.n_").alias("n_")), "firsts")
+
+    def of(rows: DataFrame) -> DataFrame:
+        right = rows.select("i_", F.col("d_").alias("e_"))
+        return plain.join(right, plain[i].eqNullSafe(right["i_"]) & (plain["d_"] == right["e_"]), "left_semi")
+
+    out = of(first.where("n_ = 1")).select(*names)
+    again = first.where("n_ > 1")
     if again.limit(1).count():
-        out = out.unionByName(docs.join(again, id, "left_semi").dropDuplicates([id]))
-    nameless = classes.where(F.col(id).isNull() & F.col("component_id").isNull()).select("fp", "root").distinct()
-    if nameless.limit(1).count():
-        plain = [f"c{i}" for i in range(len(docs.columns))]
-        marked = fingerprints(docs.where(F.col(id).isNull()).toDF(*plain), plain[docs.columns.index(text)], tuple(plain), size)
-        marked = marked.join(nameless, "fp").dropDuplicates(["root"])
-        out = out.unionByName(marked.select(*plain).toDF(*docs.columns))
-    return out
+        # Rows with one id and text: an aggregate, so that repeats of any number meet only as one row of each task.
+        rest = F.to_json(F.struct(F.col(t).isNull().alias("null"), *[F.col(n) for n in names if n != t]))
+        one = of(again).groupBy(i, "d_").agg(F.min_by(F.struct(*names), rest).alias("r"))
+        out = out.unionByName(one.select("r.*"))
+    return out.toDF(*docs.columns)

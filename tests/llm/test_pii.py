@@ -39,6 +39,20 @@ def test_spans_that_the_method_adds():
     assert {(pii.KINDS[k], text[s:e]) for k, s, e in found} == {("account", "GB82 WEST 1234 5698 7654 32"), ("account", "12345678"), ("secret", "24be64439e3e49cf46b2"), ("login", "bob:pw")}
 
 
+def test_logins_of_any_letters_and_time_in_proportion():
+    import time
+
+    for text, want in (("https://bobà:pw@host", "bobà:pw"), ("ftp://b\u0085x:p\u00a0w@h", "b\u0085x:p\u00a0w"), ("https://a b:c@host https://:c@host https://a:b@@", "")):
+        (found,) = pii.spans_of([text.encode()], pii._automaton())
+        assert ",".join(text[s:e] for k, s, e in found if pii.KINDS[k] == "login") == want
+    (found,) = pii.spans_of([b"token=aaaaaaaaaaaaaaaaaaaa-token= abcdefgh12345678 secret:x-token=abcdefgh12345678"], pii._automaton())
+    assert [(s, e) for _, s, e in found] == [(34, 50), (58, 82)]
+    start = time.perf_counter()
+    for part in ("token=", "a@", "://a:", "+1", "1.", "12 ", "iban de", "account 1-", "de1"):
+        pii.spans_of([(part * (600_000 // len(part))).encode()], pii._automaton())
+    assert time.perf_counter() - start < 60
+
+
 def test_query_on_documents(spark, small):
     from lorekeep.llm import queries
 

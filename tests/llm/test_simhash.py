@@ -70,6 +70,41 @@ def test_near_duplicates_equal_brute_force(spark, small):
     assert kept == {c for _, c in want.values()}
 
 
+def test_hot_buckets_are_split_without_loss(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    # Families of fingerprints that share most bits, so that many share a bucket.
+    base = rng.integers(0, 2**63, 4, dtype=np.uint64)
+    fps = np.unique(np.concatenate([b ^ (rng.integers(0, 2**14, 500, dtype=np.uint64) << np.uint64(7 * k)) for k, b in enumerate(base)]))
+    a, b = np.nonzero(np.triu(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3, 1))
+    d = spark.createDataFrame([(int(x),) for x in fps.view(np.int64)], "fp long")
+    number = {int(x): i for i, x in enumerate(fps.view(np.int64))}
+    monkeypatch.setattr(simhash, "HOT_BUCKET", 20)
+    assert simhash.buckets(d).groupBy("mask", "key").count().where("count > 20").count() == 0
+    got = [(number[r.a], number[r.b]) for r in simhash.links(d).collect()]
+    assert all((fps[x] ^ fps[y]).bit_count() <= 3 for x, y in got)
+    assert roots(len(fps), got) == roots(len(fps), zip(a.tolist(), b.tolist()))
+
+
+def test_narrower_masks_keep_every_near_pair():
+    for mask in (*simhash.covering_masks(), simhash.narrower(simhash.covering_masks()[3])[1]):
+        free = [i for i in range(64) if not mask >> i & 1]
+        for triple in itertools.combinations(free, 3):
+            assert any(not any(m >> i & 1 for i in triple) for m in simhash.narrower(mask))
+
+
+def test_one_row_of_each_group_stays(spark):
+    text = lambda k: " ".join(f"{k}{i}" for i in range(300))
+    near = text("b").replace("b299", "changed")
+    rows = [(5, text("a"), "x"), (5, text("b"), "x"), (2, text("b"), "x"), (2, text("b"), "x"), (2, text("b"), "w"), (9, near, "x"), (None, text("b"), "x"), (None, text("c"), "x"), (None, text("c"), None), (7, text("d"), "y"), (7, text("e"), "y"), (3, None, "x"), (3, "", "x")]
+    assert (brute_fingerprint(near) ^ brute_fingerprint(text("b"))).bit_count() <= 3
+    for schema, cast in (("doc_id long, text string, d_ string", lambda i: i), ("doc_id string, text string, root string", lambda i: i if i is None else f"k{i}")):
+        d = spark.createDataFrame([(cast(i), t, x) for i, t, x in rows], schema)
+        kept = [tuple(r) for r in simhash.first_of_each(d).collect()]
+        want = [(cast(5), text("a"), "x"), (cast(2), text("b"), "w"), (None, text("c"), "x"), (cast(7), text("d"), "y"), (cast(7), text("e"), "y")]
+        assert {r for r in kept if r[1]} == set(want)
+        assert len(kept) == 6 and [r[0] for r in kept if not r[1]] == [cast(3)]
+
+
 def test_odd_rows(odd, empty):
     got = simhash.near_duplicates(odd).collect()
     assert len(got) == odd.count()
