@@ -69,6 +69,38 @@ def split(texts: list[bytes], separators: np.ndarray, lower: bool = True) -> Wor
     return Words(buf, starts, ends - starts, bounds)
 
 
+def same(a: Words, i: np.ndarray, b: Words, j: np.ndarray) -> np.ndarray:
+    """Whether word i[k] of a and word j[k] of b have the same bytes, for each k."""
+    out = a.lens[i] == b.lens[j]
+    wide_a, wide_b = (np.ndarray((len(x.buf) - 7,), "<u8", np.ascontiguousarray(x.buf), 0, (1,)) for x in (a, b))
+    on, step = np.flatnonzero(out & (a.lens[i] > 0)), 0
+    while len(on):
+        left = a.lens[i[on]] - step
+        keep = np.uint64(2**64 - 1) >> (np.uint64(8) * np.maximum(8 - left, 0).astype(np.uint64))
+        out[on] = (wide_a[a.starts[i[on]] + step] ^ wide_b[b.starts[j[on]] + step]) & keep == 0
+        on, step = on[out[on] & (left > 8)], step + 8
+    return out
+
+
+def distinct(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(index, of): a word of each kind, and the kind of each word. Words are told apart by their hashes first and by their bytes in the end."""
+    _, index, of = np.unique(words.hashes(), return_index=True, return_inverse=True)
+    of = of.reshape(-1)
+    own = np.flatnonzero(index[of] != np.arange(len(of)))
+    clash = own[~same(words, own, words, index[of[own]])]
+    if len(clash):
+        known: dict[bytes, int] = {}
+        more: list[int] = []
+        for k in clash.tolist():
+            b = words.buf[words.starts[k] : words.starts[k] + words.lens[k]].tobytes()
+            if b not in known:
+                known[b] = len(index) + len(more)
+                more.append(k)
+            of[k] = known[b]
+        index = np.concatenate([index, more])
+    return index, of
+
+
 def spaced(words: Words) -> Words:
     """The same words with exactly one space between neighbours, so that a run of words is one span."""
     total = int(words.lens.sum()) + len(words)

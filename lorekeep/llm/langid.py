@@ -5,6 +5,10 @@ probability of a word in a language is the sum over all its segmentations into p
 algorithm; the probabilities are learned by expectation-maximisation from the words of labelled texts. The words
 of a text are independent, so a text's score is a sum over its words. All distinct words of a batch go through
 an automaton of the pieces, and through the forward algorithm, side by side.
+
+A word may be of any length, as in scripts without blanks. Where no piece reaches over a place in a word, every segmentation has
+a boundary there, so the sum is the product of the sums of both sides: words are cut at such places without any loss. What
+is still long goes through the forward algorithm with as many columns as the longest piece has bytes.
 """
 
 from __future__ import annotations
@@ -18,14 +22,18 @@ from pyspark.sql import functions as F
 
 from . import _words
 from ._batches import as_bytes, map_slices
+from ._sample import balanced
 from .bpe import minimal_automaton
 from .quality import HELD_OUT, fold
 
-#: Labelled documents of each language, chosen by a hash of the id, on which the probabilities are fitted.
+#: Labelled documents of each language, chosen by a hash of id and text, on which the probabilities are fitted, and most of their bytes.
 TRAIN_ROWS = 300
+TRAIN_BYTES = 8 << 20
 ROUNDS = 4
-#: Words longer than this many bytes are scored as stretches of this length.
-STRETCH = 48
+#: Stretches up to this many bytes go through the forward algorithm side by side; longer ones aren't used to learn.
+SHORT = 64
+#: Bytes of words that are segmented at once.
+AT_ONCE = 1 << 20
 UNKNOWN = "und"
 _START = "▁".encode()
 _NOT_LETTERS = _words.table([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
@@ -44,15 +52,27 @@ def pieces_of(path: str) -> list[bytes]:
 
 @dataclass
 class Lattice:
-    """All pieces found in some words: piece number, word, and byte range of each, by end."""
+    """All pieces found in some stretches: piece number, stretch, and byte range of each, by end and stretch. word: of each stretch."""
 
-    n: int
     lens: np.ndarray
-    piece: np.ndarray
     word: np.ndarray
+    piece: np.ndarray
+    at: np.ndarray
     start: np.ndarray
     end: np.ndarray
 
+    @property
+    def n(self) -> int:
+        return len(self.lens)
+
+    def of(self, which: np.ndarray) -> Lattice:
+        """Some of its stretches."""
+        number = np.full(self.n, -1)
+        number[which] = np.arange(len(which))
+        own = np.flatnonzero(number[self.at] >= 0)
+        order = own[np.lexsort((number[self.at[own]], self.end[own]))]
+        return Lattice(self.lens[which], self.word[which], self.piece[order], number[self.at[order]], self.start[order], self.end[order])
+
 
 class Pieces:
     """The automaton of the vocabulary. Pieces have numbers from 256 on; a number below stands for that single byte."""
@@ -81,12 +101,22 @@ class Pieces:
             hit = on[a["final"][state[on]]]
             found.append((entry[hit] + 256, word[hit], begin[hit], begin[hit] + step))
         piece, word, begin, end = (np.concatenate(x) for x in zip(*found, strict=True))
-        order = np.lexsort((word, end))
-        return Lattice(len(lens), lens, piece[order], word[order], begin[order], end[order])
+        # Places inside a word that some piece reaches over.
+        first = np.cumsum(lens) - lens
+        wide = np.flatnonzero(end - begin > 1)
+        over = np.bincount(first[word[wide]] + begin[wide] + 1, minlength=total + 1) - np.bincount(first[word[wide]] + end[wide], minlength=total + 1)
+        cut = np.cumsum(over)[:total] == 0
+        cut[first] = True
+        place = np.flatnonzero(cut)
+        number = np.cumsum(cut) - 1
+        at = number[first[word] + begin]
+        shift = place[at] - first[word]
+        order = np.lexsort((at, end - shift))
+        return Lattice(np.diff(place, append=total), np.searchsorted(first, place, side="right") - 1, piece[order], at[order], (begin - shift)[order], (end - shift)[order])
 
 
 def forward(lattice: Lattice, p: np.ndarray, scale: float = 64.0) -> np.ndarray:
-    """alpha[word, position, language]: sum over the segmentations of each word's first bytes, times scale ** position."""
+    """alpha[stretch, position, language]: sum over the segmentations of each stretch's first bytes, times scale ** position."""
     longest = int(lattice.lens.max()) if lattice.n else 0
     alpha = np.zeros((lattice.n, longest + 1, p.shape[1]))
     alpha[:, 0] = 1
@@ -95,47 +125,89 @@ def forward(lattice: Lattice, p: np.ndarray, scale: float = 64.0) -> np.ndarray:
         a, b = cut[t - 1], cut[t]
         if a == b:
             continue
-        word, begin = lattice.word[a:b], lattice.start[a:b]
+        word, begin = lattice.at[a:b], lattice.start[a:b]
         part = alpha[word, begin] * p[lattice.piece[a:b]] * (scale ** (t - begin))[:, None]
         first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
         alpha[word[first], t] = np.add.reduceat(part, first, axis=0)
     return alpha
 
 
+def _forward_long(lattice: Lattice, p: np.ndarray) -> np.ndarray:
+    """Log of the same sum for whole stretches of any length. Only as many positions are held as a piece has bytes; each new one is made 1 and its log kept aside."""
+    width = int((lattice.end - lattice.start).max()) + 1
+    out = np.zeros((lattice.n, p.shape[1]))
+    held = np.zeros((lattice.n, width, p.shape[1]))
+    held[:, 0] = 1
+    cut = np.searchsorted(lattice.end, np.arange(1, int(lattice.lens.max()) + 2))
+    for t in range(1, len(cut)):
+        a, b = cut[t - 1], cut[t]
+        at = lattice.at[a:b]
+        part = held[at, lattice.start[a:b] % width] * p[lattice.piece[a:b]]
+        first = np.flatnonzero(np.concatenate([[True], at[1:] != at[:-1]]))
+        own, new = at[first], np.maximum(np.add.reduceat(part, first, axis=0), 1e-300)
+        out[own] += np.log(new)
+        held[own] /= new[:, None]
+        held[own, t % width] = 1
+    return out
+
+
 def log_probability(lattice: Lattice, p: np.ndarray, scale: float = 64.0) -> np.ndarray:
-    """Log probability of each word in each language."""
-    alpha = forward(lattice, p, scale)
-    return np.log(np.maximum(alpha[np.arange(lattice.n), lattice.lens], 1e-300)) - (lattice.lens * np.log(scale))[:, None]
+    """Log probability of each word in each language: the sum of those of its stretches."""
+    each = np.zeros((lattice.n, p.shape[1]))
+    short, long = (np.flatnonzero(x) for x in (lattice.lens <= SHORT, lattice.lens > SHORT))
+    if len(short):
+        own = lattice.of(short) if len(long) else lattice
+        alpha = forward(own, p, scale)
+        each[short] = np.log(np.maximum(alpha[np.arange(own.n), own.lens], 1e-300)) - (own.lens * np.log(scale))[:, None]
+    if len(long):
+        # Longest first and some at a time, so that what is held stays small.
+        order = long[np.argsort(-lattice.lens[long], kind="stable")]
+        for k in range(0, len(order), 2048):
+            each[order[k : k + 2048]] = _forward_long(lattice.of(order[k : k + 2048]), p)
+    edge = np.flatnonzero(np.concatenate([[True], lattice.word[1:] != lattice.word[:-1]]))
+    return np.add.reduceat(each, edge, axis=0)
 
 
 def _backward(lattice: Lattice, p: np.ndarray, scale: float = 64.0) -> np.ndarray:
     longest = int(lattice.lens.max())
     beta = np.zeros((lattice.n, longest + 1, p.shape[1]))
     beta[np.arange(lattice.n), lattice.lens] = 1
-    order = np.lexsort((lattice.word, lattice.start))
+    order = np.lexsort((lattice.at, lattice.start))
     start = lattice.start[order]
     cut = np.searchsorted(start, np.arange(longest + 1))
     for t in range(longest - 1, -1, -1):
         own = order[cut[t] : cut[t + 1]]
         if len(own):
-            word, end = lattice.word[own], lattice.end[own]
+            word, end = lattice.at[own], lattice.end[own]
             part = beta[word, end] * p[lattice.piece[own]] * (scale ** (end - t))[:, None]
             first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
             beta[word[first], t] += np.add.reduceat(part, first, axis=0)
     return beta
 
 
-def learn(pieces: Pieces, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, scale: float = 64.0, at_once: int = 20000) -> np.ndarray:
-    """Piece probabilities (pieces x languages) by expectation-maximisation over words with counts (words x languages)."""
+def _runs(lens: np.ndarray, most: int = AT_ONCE) -> list[slice]:
+    """Runs of words of about `most` bytes together; a longer word is alone."""
+    edge = np.flatnonzero(np.diff(np.cumsum(lens) // most, prepend=0)) if len(lens) else []
+    cuts = sorted({0, *(int(x) for x in edge), len(lens)})
+    return [slice(a, b) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def learn(pieces: Pieces, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, scale: float = 64.0) -> np.ndarray:
+    """Piece probabilities (pieces x languages) by expectation-maximisation over words with counts (words x languages). Stretches of more than SHORT bytes aren't used."""
     p = np.full((pieces.size, counts.shape[1]), 1.0 / pieces.size)
-    lattices = [(i, pieces.lattice(buf, starts[i : i + at_once], lens[i : i + at_once])) for i in range(0, len(starts), at_once)]
+    lattices = []
+    for run in _runs(lens):
+        lattice = pieces.lattice(buf, starts[run], lens[run])
+        lattice = lattice.of(np.flatnonzero(lattice.lens <= SHORT))
+        if lattice.n:
+            lattices.append((counts[run][lattice.word], lattice))
     for _ in range(rounds):
         seen = np.zeros_like(p)
-        for i, lattice in lattices:
+        for n, lattice in lattices:
             alpha, beta = forward(lattice, p, scale), _backward(lattice, p, scale)
             whole = np.maximum(alpha[np.arange(lattice.n), lattice.lens], 1e-300)
-            share = alpha[lattice.word, lattice.start] * beta[lattice.word, lattice.end] * p[lattice.piece] * (scale ** (lattice.end - lattice.start))[:, None]
-            share *= (counts[i : i + lattice.n] / whole)[lattice.word]
+            share = alpha[lattice.at, lattice.start] * beta[lattice.at, lattice.end] * p[lattice.piece] * (scale ** (lattice.end - lattice.start))[:, None]
+            share *= (n / whole)[lattice.at]
             for k in range(p.shape[1]):
                 seen[:, k] += np.bincount(lattice.piece, weights=share[:, k], minlength=pieces.size)
         total = seen.sum(axis=0)
@@ -145,18 +217,10 @@ def learn(pieces: Pieces, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray,
 
 
 def _word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(buf, starts, lens, of, bounds): distinct stretches of words with the mark of a word's start before them, the number of each occurrence's stretch, and the occurrences of each text."""
+    """(buf, starts, lens, of, bounds): distinct words with the mark of a word's start before them, the number of each occurrence's word, and the occurrences of each text."""
     words = _words.split(texts, _NOT_LETTERS)
-    starts, lens, bounds = words.starts, words.lens, words.bounds
-    if len(lens) and lens.max() > STRETCH:
-        parts = -(-lens // STRETCH)
-        nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
-        begin = np.repeat(starts, parts) + nth * STRETCH
-        lens = np.minimum(STRETCH, np.repeat(lens, parts) - nth * STRETCH)
-        starts, bounds = begin, np.concatenate([[0], np.cumsum(parts)])[bounds]
-    hashes = _words.xxh64(words.buf, starts, lens)
-    _, first, of = np.unique(hashes, return_index=True, return_inverse=True)
-    starts, lens = starts[first], lens[first]
+    index, of = _words.distinct(words)
+    starts, lens = words.starts[index], words.lens[index]
     size = lens + len(_START)
     at = np.cumsum(size) - size
     out = np.zeros(int(size.sum()) + 40, dtype=np.uint8)
@@ -164,7 +228,7 @@ def _word_spans(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray,
         out[at + i] = b
     into = np.arange(int(lens.sum())) - np.repeat(np.cumsum(lens) - lens, lens)
     out[np.repeat(at + len(_START), lens) + into] = words.buf[np.repeat(starts, lens) + into]
-    return out, at, size, of.reshape(-1), bounds
+    return out, at, size, of, words.bounds
 
 
 @dataclass
@@ -179,7 +243,7 @@ class Model:
         buf, starts, lens, of, bounds = _word_spans(texts)
         n = np.diff(bounds)
         if len(starts) and self.languages:
-            each = np.concatenate([log_probability(self.pieces.lattice(buf, starts[i : i + 20000], lens[i : i + 20000]), self.p) for i in range(0, len(starts), 20000)])
+            each = np.concatenate([log_probability(self.pieces.lattice(buf, starts[run], lens[run]), self.p) for run in _runs(lens)])
             some = np.flatnonzero(n)
             sums[some] = np.add.reduceat(each[of], bounds[some], axis=0)
         best = sums.argmax(axis=1)
@@ -204,18 +268,21 @@ def train(texts: list[bytes], languages: list[str], vocabulary: list[bytes]) ->
 
 
 def fit(docs: DataFrame, vocabulary_path: str, id: str = "doc_id", text: str = "text", lang: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about `rows` documents of each language, chosen by a hash of the id, none of them from the held-out fold. Rows with a null text or language aren't used."""
-    known = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).alias("l")).where(F.col("l").isNotNull() & F.col("t").isNotNull())
+    """Fit on `rows` documents of each language (all, if it has fewer) and TRAIN_BYTES of text of each at most, chosen by a hash of id and text, none of them from the held-out fold.
+
+    Rows with a null text or language aren't used; rows without an id are like others. Repeated rows count as often as they occur, as far as they fit into `rows`.
+    """
+    known = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"), F.col(lang).cast("string").alias("g"), F.lit(0).alias("y")).where(F.col("g").isNotNull() & F.col("t").isNotNull())
     known = known.where(F.coalesce(fold(F.col("i")), F.lit(0)) != HELD_OUT)
-    share = F.lit(0)
-    for r in known.groupBy("l").count().collect():
-        share = F.when(F.col("l") == r["l"], F.lit(int((1 << 30) * min(1, rows / r["count"])))).otherwise(share)
-    got = known.where(F.pmod(F.xxhash64("i", "l"), F.lit(1 << 30)) < share).orderBy("i", "l", "t").collect()
-    return train([r.t.encode() for r in got], [r["l"] for r in got], pieces_of(vocabulary_path))
+    got = balanced(known, rows, TRAIN_BYTES).collect()
+    return train([r.t.encode() for r in got for _ in range(r.n)], [r.g for r in got for _ in range(r.n)], pieces_of(vocabulary_path))
 
 
 def identify(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id, lang_pred and score. Null, empty and letterless texts are `und` with score 0. Only the columns named are read."""
+    """Per document: id, lang_pred and score. Null, empty and letterless texts are `und` with score 0; of languages with equal probability the first by name is taken.
+
+    Texts and words of any length are read whole. Repeated rows and rows with equal or null ids each get a row. An empty table gives an empty result. Only the columns named are read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
 

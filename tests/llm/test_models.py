@@ -1,5 +1,7 @@
 """The fitted operators: language, quality, cross-entropy difference."""
 
+import math
+import re
 import zlib
 
 import numpy as np
@@ -8,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.llm import langid, lmscore, quality, queries
+from lorekeep.llm._sample import balanced
 
 
 def held_out(id):
@@ -44,6 +47,67 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(model.p.sum(axis=0), 1)
 
 
+def brute_log_probability(word, p, number, longest):
+    """The forward sum of one word in one language, position by position, as a log."""
+    logs = [0.0]
+    for t in range(1, len(word) + 1):
+        terms = [logs[t - 1] + math.log(p[word[t - 1]])] + [logs[b] + math.log(p[number[word[b:t]]]) for b in range(max(0, t - longest), t) if word[b:t] in number]
+        top = max(terms)
+        logs.append(top + math.log(sum(math.exp(x - top) for x in terms)))
+    return logs[-1]
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return langid.pieces_of(public_tokenizers.path("piece_bpe_32k.model"))
+
+
+def test_words_of_any_length_sum_all_segmentations(vocabulary):
+    model = langid.train([t.encode() for t in ("hello world it is text", "数据库连接数据库 接口", "écrire été à la")], ["en", "zh", "fr"], vocabulary)
+    number, longest = {p: i + 256 for i, p in enumerate(vocabulary)}, max(map(len, vocabulary))
+    words = ["数据库连接" * 3 + "数据", "据" * 17, "x" * 200, "hello" * 60, "กข" * 40, "aé数" * 50, "q"]
+    raw = [langid._START + w.encode() for w in words]
+    lens = np.array([len(w) for w in raw])
+    got = langid.log_probability(model.pieces.lattice(np.frombuffer(b"".join(raw) + bytes(40), np.uint8), np.cumsum(lens) - lens, lens), model.p)
+    for w, row in zip(raw, got):
+        assert np.allclose(row, [brute_log_probability(w, model.p[:, k], number, longest) for k in range(3)], rtol=1e-9), w
+    names, score = model.predict(["数据库连接".encode() * 20000, b"x" * 100_000, b""])
+    assert names[0] == "zh" and names[2] == "und" and (score <= 1).all()
+
+
+def test_language_query_equals_brute_force(spark, small, vocabulary):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = langid.fit(docs, public_tokenizers.path("piece_bpe_32k.model"))
+    number, longest = {p: i + 256 for i, p in enumerate(vocabulary)}, max(map(len, vocabulary))
+    known = {}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in queries.op1_language_id(spark, small).collect():
+        words = re.findall(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+", texts[r.doc_id].encode().lower())
+        if len(words) > 3000:
+            continue
+        for w in set(words) - known.keys():
+            known[w] = [brute_log_probability(langid._START + w, model.p[:, k], number, longest) for k in range(len(model.languages))]
+        sums = [sum(known[w][k] for w in words) for k in range(len(model.languages))]
+        if not words:
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        best = max(range(len(sums)), key=lambda k: sums[k])
+        assert r.lang_pred == model.languages[best] and math.isclose(r.score, 1 / sum(math.exp(x - sums[best]) for x in sums), rel_tol=1e-6)
+
+
+def test_samples_are_bounded_and_leave_no_group_out(spark):
+    rows = [(None, "même texte", "fr", 0)] * 1500 + [(None, f"text {i}", "en", 0) for i in range(1500)] + [(7, f"ein {i}", "de", 0) for i in range(900)] + [(i, "x", "es", 0) for i in range(5)]
+    known = spark.createDataFrame(rows, "i long, t string, g string, y int").repartition(3)
+    got = balanced(known, 300, 1 << 20).collect()
+    assert {g: sum(r.n for r in got if r.g == g) for g in ("fr", "en", "de", "es")} == {"fr": 300, "en": 300, "de": 300, "es": 5}
+    assert [tuple(r) for r in balanced(known.repartition(7), 300, 1 << 20).collect()] == [tuple(r) for r in got]
+    few = balanced(known, 300, 50).collect()
+    assert {r.g for r in few} == {"fr", "en", "de", "es"} and all(sum(len(r.t) for r in few if r.g == g) <= 50 for g in ("en", "de"))
+    docs = spark.createDataFrame([(1, f"good words here {i}") for i in range(3000)] + [(2, "bad! bad!"), (4, None)], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (4, 0)], "doc_id long, quality int")
+    assert quality.fit(docs, labels, rows=100).temperature > 0
+
+
 def test_language_of_odd_rows(odd, empty):
     path = public_tokenizers.path("piece_bpe_32k.model")
     model = langid.fit(odd, path)
@@ -74,6 +138,48 @@ def test_quality_of_odd_rows(spark, odd, empty):
     assert quality.score(odd, one_kind).where("score < 0.9").count() == 0
 
 
+def test_quality_query_equals_plain_python(spark, small):
+    """Pooling, network and probability, one number after the other, with the fitted weights."""
+    import xxhash
+
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    model = quality.fit(docs, spark.read.parquet(f"{small}/labels.parquet"))
+    vectors = dict(zip(model.vocab.tolist(), model.vectors.astype(float).tolist()))
+    mask = 2**64 - 1
+
+    def index_vector(h):
+        out = [0.0] * quality.DIM
+        for _ in range(quality.NONZERO):
+            h = ((h ^ (h >> 31)) * 0x9E3779B97F4A7C15 + 0x165667B19E3779F9) & mask
+            out[(h >> 40) % quality.DIM] += 1.0 if h >> 33 & 1 else -1.0
+        return [x / math.sqrt(quality.NONZERO) for x in out]
+
+    def shape(w):
+        kinds = [ord("x") if 97 <= b <= 122 or b >= 128 else ord("X") if 65 <= b <= 90 else ord("9") if 48 <= b <= 57 else b for b in w]
+        return bytes(b for i, b in enumerate(kinds) if not i or kinds[i - 1] != b)
+
+    def pooled(text):
+        sums = [[0.0] * quality.DIM for _ in range(quality.CHANNELS)]
+        words, seen = re.findall(rb"[^\x20\x09-\x0D]+", text), set()
+        for i, w in enumerate(words):
+            low = w.lower()
+            depth = int(math.log2(i + 1)) // 2
+            units = [xxhash.xxh64_intdigest(low), xxhash.xxh64_intdigest(shape(w), 1), depth * 4 + 2 * (low not in seen) + (i > 0 and words[i - 1].lower() == low) + (1 << 60)]
+            seen.add(low)
+            for c, u in enumerate(units):
+                for k, x in enumerate(vectors.get(u) or (index_vector(u) if c == 0 else [0.0] * quality.DIM)):
+                    sums[c][k] += x
+        return [x / max(1, len(words)) for row in sums for x in row]
+
+    for r, want in zip(queries.op8_quality_classifier(spark, small).orderBy("doc_id").collect(), docs.orderBy("doc_id").collect()):
+        if len(want.text or "") > 20000:
+            continue
+        x = [(v - float(m)) / float(s) for v, m, s in zip(pooled((want.text or "").encode()), model.mean, model.scale)]
+        h = [max(0.0, sum(x[i] * float(model.w1[i, k]) for i in range(len(x))) + float(model.b1[k])) for k in range(quality.HIDDEN)]
+        z = (sum(a * float(b) for a, b in zip(h, model.w2)) + model.b2) / model.temperature
+        assert r.doc_id == want.doc_id and abs(r.score - 1 / (1 + math.exp(-max(-60, min(60, z))))) < 2e-4
+
+
 def test_temperature_doesnt_change_order_but_confidence():
     rng = np.random.default_rng(1)
     texts = [(" ".join(f"w{rng.integers(40)}" for _ in range(30)) if i % 2 else "spam! " * int(rng.integers(5, 30))).encode() for i in range(200)]

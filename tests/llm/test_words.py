@@ -1,3 +1,4 @@
+import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -22,3 +23,17 @@ def test_lengths_around_the_lanes():
     assert words.hashes(42).tolist() == [xxhash.xxh64_intdigest(t, 42) for t in texts]
     one = _words.spaced(_words.split([b" a  bb\tccc ", b"", b"d"], _words.SPACES))
     assert one.buf[: one.starts[3] + 1].tobytes() == b"a bb ccc d"
+
+
+def test_words_are_told_apart_by_their_bytes(monkeypatch):
+    import re
+
+    texts = [b"one two three one abcdefghi abcdefghj abcdefgh abcdefgh1 two x", b"", b"\xc3\xa9 one abcdefghijklmnopqrstuvw abcdefghijklmnopqrstuvx abcdefghijklmnopqrstuvw"]
+    for few in (False, True):
+        if few:  # hashes that clash all the time
+            monkeypatch.setattr(_words, "xxh64", lambda buf, starts, lens, seed=0: lens.astype(np.uint64) % np.uint64(3))
+        words = _words.split(texts, _words.SPACES)
+        index, of = _words.distinct(words)
+        raw = [w for t in texts for w in re.findall(rb"[^ ]+", t)]
+        kinds = [words.buf[words.starts[k] : words.starts[k] + words.lens[k]].tobytes() for k in index]
+        assert len(set(kinds)) == len(kinds) == len(set(raw)) and [kinds[k] for k in of] == raw
