@@ -30,10 +30,10 @@ from .quality import HELD_OUT, fold
 TRAIN_ROWS = 300
 TRAIN_BYTES = 8 << 20
 ROUNDS = 4
-#: Stretches up to this many bytes go through the forward algorithm side by side; longer ones aren't used to learn.
-SHORT = 64
+#: Stretches of about equal length, up to the last of these bytes, go through the forward algorithm side by side; longer ones aren't used to learn.
+LENGTHS = (4, 8, 16, 32, 64)
 #: Bytes of words that are segmented at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 1 << 17
 UNKNOWN = "und"
 _START = "▁".encode()
 _NOT_LETTERS = _words.table([(0x00, 0x40), (0x5B, 0x60), (0x7B, 0x7F)])
@@ -67,12 +67,18 @@ class Lattice:
 
     def of(self, which: np.ndarray) -> Lattice:
         """Some of its stretches."""
-        number = np.full(self.n, -1)
+        number = np.full(self.n, -1, np.int32)
         number[which] = np.arange(len(which))
-        own = np.flatnonzero(number[self.at] >= 0)
-        order = own[np.lexsort((number[self.at[own]], self.end[own]))]
+        order = np.flatnonzero(number[self.at] >= 0)
+        if (np.diff(which) < 0).any():
+            order = order[np.lexsort((number[self.at[order]], self.end[order]))]
         return Lattice(self.lens[which], self.word[which], self.piece[order], number[self.at[order]], self.start[order], self.end[order])
 
+    def by_length(self) -> list[tuple[np.ndarray, Lattice]]:
+        """Its stretches of each class of LENGTHS: their numbers, and a lattice of them alone."""
+        kind = np.searchsorted(LENGTHS, self.lens)
+        return [(which, self.of(which)) for k in range(len(LENGTHS)) if len(which := np.flatnonzero(kind == k))]
+
 
 class Pieces:
     """The automaton of the vocabulary. Pieces have numbers from 256 on; a number below stands for that single byte."""
@@ -112,7 +118,8 @@ class Pieces:
         at = number[first[word] + begin]
         shift = place[at] - first[word]
         order = np.lexsort((at, end - shift))
-        return Lattice(np.diff(place, append=total), np.searchsorted(first, place, side="right") - 1, piece[order], at[order], (begin - shift)[order], (end - shift)[order])
+        rows = (x.astype(np.int32)[order] for x in (piece, at, begin - shift, end - shift))
+        return Lattice(np.diff(place, append=total), np.searchsorted(first, place, side="right") - 1, *rows)
 
 
 def forward(lattice: Lattice, p: np.ndarray, scale: float = 64.0) -> np.ndarray:
@@ -154,11 +161,10 @@ def _forward_long(lattice: Lattice, p: np.ndarray) -> np.ndarray:
 def log_probability(lattice: Lattice, p: np.ndarray, scale: float = 64.0) -> np.ndarray:
     """Log probability of each word in each language: the sum of those of its stretches."""
     each = np.zeros((lattice.n, p.shape[1]))
-    short, long = (np.flatnonzero(x) for x in (lattice.lens <= SHORT, lattice.lens > SHORT))
-    if len(short):
-        own = lattice.of(short) if len(long) else lattice
+    for which, own in lattice.by_length():
         alpha = forward(own, p, scale)
-        each[short] = np.log(np.maximum(alpha[np.arange(own.n), own.lens], 1e-300)) - (own.lens * np.log(scale))[:, None]
+        each[which] = np.log(np.maximum(alpha[np.arange(own.n), own.lens], 1e-300)) - (own.lens * np.log(scale))[:, None]
+    long = np.flatnonzero(lattice.lens > LENGTHS[-1])
     if len(long):
         # Longest first and some at a time, so that what is held stays small.
         order = long[np.argsort(-lattice.lens[long], kind="stable")]
@@ -193,14 +199,11 @@ def _runs(lens: np.ndarray, most: int = AT_ONCE) -> list[slice]:
 
 
 def learn(pieces: Pieces, buf: np.ndarray, starts: np.ndarray, lens: np.ndarray, counts: np.ndarray, rounds: int = ROUNDS, scale: float = 64.0) -> np.ndarray:
-    """Piece probabilities (pieces x languages) by expectation-maximisation over words with counts (words x languages). Stretches of more than SHORT bytes aren't used."""
+    """Piece probabilities (pieces x languages) by expectation-maximisation over words with counts (words x languages). Stretches longer than LENGTHS has aren't used."""
     p = np.full((pieces.size, counts.shape[1]), 1.0 / pieces.size)
     lattices = []
     for run in _runs(lens):
-        lattice = pieces.lattice(buf, starts[run], lens[run])
-        lattice = lattice.of(np.flatnonzero(lattice.lens <= SHORT))
-        if lattice.n:
-            lattices.append((counts[run][lattice.word], lattice))
+        lattices += [(counts[run][own.word], own) for _, own in pieces.lattice(buf, starts[run], lens[run]).by_length()]
     for _ in range(rounds):
         seen = np.zeros_like(p)
         for n, lattice in lattices:
