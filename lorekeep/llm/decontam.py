@@ -1,307 +1,421 @@
 """Benchmark decontamination by suffix arrays over the training text.
 
-Each run of documents that a task reads is a shard. Its sparse suffix array lists, in lexicographic order of
-words, the suffixes that begin with a word sequence which begins some benchmark window; no other suffix can hold a
-match. Every benchmark suffix is looked up in every shard by binary search, all of them in lockstep, which
-gives the range of training suffixes that it begins, hence every verbatim match and its place. Nothing
-is shuffled: only the benchmark's index travels, in parts of a checked size.
+Each run of documents that a task reads is a shard, and its suffix array lists all suffixes of its documents in the
+order of their words. Every suffix of the benchmark is looked up in every shard by binary search, all of them in lockstep. That
+gives the range of training suffixes that it begins, hence every verbatim match and its place; the neighbours of where it would
+stand give its longest match. Documents with a match of a whole window are affected, and can be removed.
+
+Nothing is shuffled: only the benchmark travels, indexed in parts of bounded size. Each part is one flat file that all
+workers of a machine map into memory, and each run of documents is looked up in all parts while it's there.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import _words
+from . import _flat, _words
 from ._batches import as_bytes, map_slices
 
 WINDOW = 10
-#: Words that a training suffix must share with the start of a window to enter the suffix array.
-PREFIX = 3
-#: Benchmark text in one broadcast part; a larger benchmark is looked up part by part.
-PART_BYTES = 32 << 20
+#: Bytes of different benchmark texts in one part of the index, and of item ids.
+PART_BYTES = 4 << 20
+
+
+# Suffix arrays
+
+
+def _following(rank: np.ndarray, at: np.ndarray, ends: np.ndarray, step: int) -> np.ndarray:
+    """Rank of what follows `step` words behind each place, plus 1; 0 where the text ends before."""
+    there = at + step
+    return np.where(there < ends[at], rank[np.minimum(there, len(rank) - 1)] + 1, 0)
+
+
+def _ranked(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(order, rank): rank is where the run of equal keys begins in the order."""
+    order = np.argsort(key, kind="stable")
+    sorted_ = key[order]
+    head = np.flatnonzero(np.concatenate([[True], sorted_[1:] != sorted_[:-1]])) if len(key) else np.zeros(0, np.int64)
+    rank = np.empty(len(key), np.int64)
+    rank[order] = np.repeat(head, np.diff(head, append=len(key)))
+    return order, rank
+
+
+def suffix_array(ids: np.ndarray, ends: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(places of all suffixes in the order of their first `depth` words, rank of each place). ends: where the text of each place ends."""
+    at = np.arange(len(ids))
+    order, rank = _ranked(ids)
+    known = 1
+    while known < depth:
+        step = min(known, depth - known)
+        # The words from `step` on overlap with those before where the depth isn't a power of two.
+        order, rank = _ranked(rank * (len(ids) + 1) + _following(rank, at, ends, step))
+        known += step
+    return order, rank
+
+
+def refine(order: np.ndarray, rank: np.ndarray, ends: np.ndarray, depth: int, among: np.ndarray, longest: int) -> None:
+    """Order the suffixes with equal rank further, in place, as far as `longest` words. among: the places concerned, whole runs of equal rank.
+
+    Where what follows isn't among them, it's known to `depth` words only, which is enough to tell what any suffix of interest would find there.
+    """
+    known, own = depth, among
+    while len(own) and known < longest:
+        place = np.lexsort((_following(rank, own, ends, known), rank[own]))
+        own = own[place]
+        first, second = rank[own], _following(rank, own, ends, known)
+        run = np.concatenate([[True], first[1:] != first[:-1]])
+        head = np.flatnonzero(run)
+        order[np.repeat(first[head] - head, np.diff(head, append=len(own))) + np.arange(len(own))] = own
+        split = np.flatnonzero(run | np.concatenate([[True], second[1:] != second[:-1]]))
+        size = np.diff(split, append=len(own))
+        begin = np.repeat(head, np.diff(head, append=len(own)))[split]
+        rank[own] = np.repeat(first[split] + split - begin, size)
+        own = own[np.repeat(size > 1, size)]
+        known *= 2
+
+
+def _common(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, most: np.ndarray, known: np.ndarray) -> np.ndarray:
+    """How many words a[i:] and b[j:] have in common, `most` at most; the first `known` are."""
+    out = known.copy()
+    on, wide = np.flatnonzero(out < most), 4
+    while len(on):
+        k = out[on][:, None] + np.arange(wide)
+        equal = (k < most[on][:, None]) & (a[np.minimum(i[on][:, None] + k, len(a) - 1)] == b[np.minimum(j[on][:, None] + k, len(b) - 1)])
+        run = np.where(equal.all(axis=1), wide, equal.argmin(axis=1))
+        out[on] += run
+        on, wide = on[run == wide], min(64, 2 * wide)
+    return out
+
+
+@dataclass
+class Text:
+    """Word ids of some texts, where each word's text ends, and the order of their suffixes."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    order: np.ndarray
+
+
+def bounds(text: Text, ids: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each run of `size` words ids[at:at+size] the range of text.order whose suffixes begin with it."""
+    out = []
+    for after in (False, True):
+        low, high = np.zeros(len(at), np.int64), np.full(len(at), len(text.order), np.int64)
+        on = np.flatnonzero(low < high)
+        while len(on):
+            mid = (low[on] + high[on]) // 2
+            there = text.order[mid]
+            left = text.ends[there] - there
+            n = _common(text.ids, there, ids, at[on], np.minimum(left, size[on]), np.zeros(len(on), np.int64))
+            ahead = text.ids[np.minimum(there + n, len(text.ids) - 1)] < ids[np.minimum(at[on] + n, len(ids) - 1)]
+            right = np.where(n == size[on], after, (n == left) | ahead)
+            low[on] = np.where(right, mid + 1, low[on])
+            high[on] = np.where(right, high[on], mid)
+            on = on[low[on] < high[on]]
+        out.append(low)
+    return out[0], out[1]
+
+
+def longest(text: Text, ids: np.ndarray, at: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each suffix ids[at:ends] its longest match in the text and a place of one, by binary search for its neighbours."""
+    low, high = np.zeros(len(at), np.int64), np.full(len(at), len(text.order), np.int64)
+    low_common, high_common = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    best, place = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
+    on = np.flatnonzero(low < high)
+    while len(on):
+        mid = (low[on] + high[on]) // 2
+        there = text.order[mid]
+        left, own = text.ends[there] - there, (ends - at)[on]
+        n = _common(text.ids, there, ids, at[on], np.minimum(left, own), np.minimum(low_common[on], high_common[on]))
+        better = n > best[on]
+        best[on], place[on] = np.where(better, n, best[on]), np.where(better, there, place[on])
+        right = (n < own) & ((n == left) | (text.ids[np.minimum(there + n, len(text.ids) - 1)] < ids[np.minimum(at[on] + n, len(ids) - 1)]))
+        low[on], low_common[on] = np.where(right, mid + 1, low[on]), np.where(right, n, low_common[on])
+        high[on], high_common[on] = np.where(right, high[on], mid), np.where(right, high_common[on], n)
+        on = on[low[on] < high[on]]
+    return best, place
+
+
+# The benchmark's side
 
 
 @dataclass
 class Index:
-    """The benchmark's side. vocab: sorted hashes of its words; word i of vocab has id i + 1. windows: distinct windows as rows of ids, zeros behind short ones. owners[first[i]:first[i+1]]: the items with window i. words, word_item: the id and the item of every word."""
+    """One part of the benchmark. vocabulary: its different words, sorted by hash; word k has id k + 1. text: of all items, its suffixes fully sorted. first: where each item begins. at, size: a place of each different window, and its words; the items with window w are owners[begin[w]:begin[w + 1]]. names: the ids of each item."""
 
-    vocab: np.ndarray
+    vocabulary: _words.Words
+    hashes: np.ndarray
     filter: np.ndarray
-    windows: np.ndarray
-    lens: np.ndarray
+    text: Text
     first: np.ndarray
+    at: np.ndarray
+    size: np.ndarray
+    begin: np.ndarray
     owners: np.ndarray
-    names: list[str | None]
-    prefix: int
-    starts: np.ndarray
-    words: np.ndarray
-    word_item: np.ndarray
+    names: list[list[str | None]]
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
+    def ids(self, words: _words.Words) -> np.ndarray:
         """Id of each word, 0 for words that the benchmark lacks."""
+        hashes = words.hashes()
         out = np.zeros(len(hashes), dtype=np.int64)
-        maybe = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)])
-        if len(self.vocab) and len(maybe):
-            at = np.minimum(np.searchsorted(self.vocab, hashes[maybe]), len(self.vocab) - 1)
-            same = self.vocab[at] == hashes[maybe]
-            out[maybe[same]] = at[same] + 1
+        open_ = np.flatnonzero(self.filter[(hashes >> np.uint64(44)).astype(np.int64)]) if len(self.hashes) else out[:0]
+        at = np.searchsorted(self.hashes, hashes[open_])
+        while len(open_):
+            there = np.minimum(at, len(self.hashes) - 1)
+            alike = (at < len(self.hashes)) & (self.hashes[there] == hashes[open_])
+            open_, at = open_[alike], at[alike]
+            # Equal hashes don't make equal words.
+            equal = _words.same(words, open_, self.vocabulary, at)
+            out[open_[equal]] = at[equal] + 1
+            open_, at = open_[~equal], at[~equal] + 1
         return out
 
-    def keys(self, rows: np.ndarray) -> np.ndarray:
-        """One number for the first `prefix` ids of each row."""
-        key = np.zeros(len(rows), dtype=np.uint64)
-        with np.errstate(over="ignore"):
-            for c in range(self.prefix):
-                key = key * np.uint64(len(self.vocab) + 1) + rows[:, c].astype(np.uint64)
-        return key
+    def arrays(self) -> dict[str, np.ndarray]:
+        v, t = self.vocabulary, self.text
+        names = np.frombuffer(json.dumps(self.names).encode(), np.uint8)
+        return {"buf": v.buf, "starts": v.starts, "lens": v.lens, "hashes": self.hashes, "filter": self.filter, "ids": t.ids, "ends": t.ends, "order": t.order, "first": self.first, "at": self.at, "size": self.size, "begin": self.begin, "owners": self.owners, "names": names}
+
+    @staticmethod
+    def of(a: dict[str, np.ndarray]) -> Index:
+        words = _words.Words(a["buf"], a["starts"], a["lens"], np.array([0, len(a["starts"])]))
+        return Index(words, a["hashes"], a["filter"], Text(a["ids"], a["ends"], a["order"]), a["first"], a["at"], a["size"], a["begin"], a["owners"], json.loads(bytes(a["names"])))
+
+
+def _csr(group: np.ndarray, value: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(begin, values): the different values of each group."""
+    pairs = np.unique(np.stack([group, value], axis=1), axis=0) if len(group) else np.zeros((0, 2), np.int64)
+    return np.searchsorted(pairs[:, 0], np.arange(n + 1)), pairs[:, 1]
+
+
+def _ranges(low: np.ndarray, high: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, value) for all values[low[k]:high[k]]."""
+    size = high - low
+    into = np.repeat(low - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
+    return np.repeat(np.arange(len(low)), size), values[into]
+
+
+def _take(begin: np.ndarray, values: np.ndarray, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(k, value) for all values of groups[k]."""
+    return _ranges(begin[groups], begin[groups + 1], values)
 
 
 def build_index(items: list[tuple[str | None, bytes]], window: int = WINDOW) -> Index:
-    """Index of (name, text) items."""
-    words = _words.split([t for _, t in items], _words.NOT_ALNUM)
-    h = words.hashes()
-    vocab = np.unique(h)
-    ids = np.searchsorted(vocab, h) + 1
-    rows, lens, owner = [], [], []
-    for i in range(len(items)):
-        own = ids[words.bounds[i] : words.bounds[i + 1]]
-        size = min(window, len(own))
-        if size:
-            part = np.zeros((len(own) - size + 1, window), dtype=np.int64)
-            part[:, :size] = np.lib.stride_tricks.sliding_window_view(own, size)
-            rows.append(part)
-            owner.append(np.full(len(part), i))
-    table = np.concatenate(rows) if rows else np.zeros((0, window), np.int64)
-    table, inverse = np.unique(table, axis=0, return_inverse=True)
-    lens = (table > 0).sum(axis=1)
-    pairs = np.unique(np.stack([inverse.reshape(-1), np.concatenate(owner) if owner else np.zeros(0, np.int64)], axis=1), axis=0)
+    """Index of (name, text) items; equal texts are one item with several names."""
+    names: dict[bytes, list[str | None]] = {}
+    for name, t in items:
+        names.setdefault(t, []).append(name)
+    words = _words.split(list(names), _words.NOT_ALNUM)
+    kinds, of = _words.distinct(words)
+    hashes = _words.xxh64(words.buf, words.starts[kinds], words.lens[kinds])
+    sort = np.argsort(hashes, kind="stable")
+    number = np.empty(len(sort), np.int64)
+    number[sort] = np.arange(1, len(sort) + 1)
+    kinds, hashes = kinds[sort], hashes[sort]
+    # The vocabulary's bytes alone, not the whole text's.
+    vocabulary = _words.spaced(_words.Words(words.buf, words.starts[kinds], words.lens[kinds], np.array([0, len(kinds)])))
     filter = np.zeros(1 << 20, dtype=bool)
-    filter[(vocab >> np.uint64(44)).astype(np.int64)] = True
-    out = Index(vocab, filter, table, lens, np.searchsorted(pairs[:, 0], np.arange(len(table) + 1)), pairs[:, 1], [n for n, _ in items], int(min(PREFIX, lens.min())) if len(lens) else 1, np.zeros(0, np.uint64), ids, words.rows())
-    out.starts = np.unique(out.keys(table))
+    filter[(hashes >> np.uint64(44)).astype(np.int64)] = True
+    ids = number[of]
+    ends = np.repeat(words.bounds[1:], words.counts())
+    at = np.arange(len(ids))
+    order, rank = suffix_array(ids, ends, window)
+    # Windows: everywhere in long items, at the start of short ones. Equal rank means equal words, ends included.
+    starts = at[(ends - at >= window) | (at == words.bounds[:-1][words.rows()])] if len(ids) else at
+    _, one, window_of = np.unique(rank[starts], return_index=True, return_inverse=True)
+    begin, owners = _csr(window_of.reshape(-1), words.rows()[starts], len(one))
+    many = np.bincount(rank, minlength=len(ids))[rank] > 1
+    refine(order, rank, ends, window, at[many], int((ends - at).max()) if len(ids) else 0)
+    own = starts[one]
+    return Index(vocabulary, hashes, filter, Text(ids, ends, order), words.bounds, own, np.minimum(window, ends[own] - own), begin, owners, list(names.values()))
+
+
+def _indexes(benchmark: DataFrame, id: str, text: str, window: int) -> list[str]:
+    """Names of the files of all parts of the index, for index_for(). The driver holds one part at a time.
+
+    Parts are by the hash of the text, so that equal texts meet, and by that of the id where the ids alone are more than PART_BYTES.
+    """
+    spark = benchmark.sparkSession
+    own = benchmark.select(F.col(id).cast("string").alias("i"), F.col(text).cast("string").alias("t")).where("length(t) > 0").distinct()
+    texts = own.select("t").distinct().agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    ids = own.agg(F.sum(F.coalesce(F.octet_length("i"), F.lit(0)) + 8)).first()[0] or 0
+    by_text, by_id = 1 + texts // PART_BYTES, 1 + ids // PART_BYTES
+    part = F.pmod(F.xxhash64("t"), F.lit(by_text)) * by_id + F.pmod(F.xxhash64("i"), F.lit(by_id))
+    out = []
+    for k in range(by_text * by_id):
+        rows = (own if by_text * by_id == 1 else own.where(part == k)).orderBy("t", "i").collect()
+        out.append(_flat.share(spark, build_index([(r.i, r.t.encode()) for r in rows], window).arrays(), "benchmark"))
     return out
 
 
+_OPEN: dict[str, Index] = {}
+
+
+def index_for(name: str) -> Index:
+    """In a worker: a shipped part, mapped into memory once."""
+    if name not in _OPEN:
+        _OPEN[name] = Index.of(_flat.open_mapped(SparkFiles.get(name)))
+    return _OPEN[name]
+
+
+# The training side
+
+
 @dataclass
 class Shard:
-    """The suffix array of some documents: rows of word ids in lexicographic order, and where each suffix begins among the words."""
+    """The words of some documents, their suffix array and the rank of each suffix by `depth` words."""
 
     words: _words.Words
-    sorted: np.ndarray
-    at: np.ndarray
+    text: Text
+    rank: np.ndarray
 
 
-def build_shard(texts: list[bytes], index: Index, depth: int) -> Shard:
-    """depth: words by which suffixes are told apart."""
+def build_shard(texts: list[bytes], index: Index, depth: int = WINDOW) -> Shard:
     words = _words.split(texts, _words.NOT_ALNUM)
-    ids = np.concatenate([index.ids(words.hashes()), np.zeros(depth, np.int64)])
-    n, q = len(words), index.prefix
-    left = np.repeat(words.bounds[1:], words.counts()) - np.arange(n)
-    known = left >= q
-    for c in range(q):
-        known &= ids[c : c + n] > 0
-    at = np.flatnonzero(known)
-    key = index.keys(np.stack([ids[at + c] for c in range(q)], axis=1))
-    if len(index.starts):
-        hit = np.minimum(np.searchsorted(index.starts, key), len(index.starts) - 1)
-        at = at[index.starts[hit] == key]
-    else:
-        at = at[:0]
-    rows = ids[at[:, None] + np.arange(depth)] * (np.arange(depth) < left[at][:, None])
-    order = np.lexsort(rows.T[::-1])
-    return Shard(words, rows[order], at[order])
-
-
-def _bound(rows: np.ndarray, queries: np.ndarray, lens: np.ndarray, after: bool) -> np.ndarray:
-    """For each query the first row that isn't before it (after: that is beyond all that it begins), by binary search in lockstep."""
-    low, high = np.zeros(len(queries), np.int64), np.full(len(queries), len(rows), np.int64)
-    valid = np.arange(queries.shape[1]) < lens[:, None]
-    open_ = np.flatnonzero(low < high)
-    while len(open_):
-        mid = (low[open_] + high[open_]) // 2
-        there, want = rows[mid], queries[open_]
-        differs = (there != want) & valid[open_]
-        c = differs.argmax(axis=1)
-        pick = np.arange(len(open_))
-        right = np.where(differs[pick, c], there[pick, c] < want[pick, c], after)
-        low[open_] = np.where(right, mid + 1, low[open_])
-        high[open_] = np.where(right, high[open_], mid)
-        open_ = open_[low[open_] < high[open_]]
-    return low
+    ids, ends = index.ids(words), np.repeat(words.bounds[1:], words.counts())
+    order, rank = suffix_array(ids, ends, depth)
+    return Shard(words, Text(ids, ends, order), rank)
 
 
 def occurrences(shard: Shard, index: Index) -> tuple[np.ndarray, np.ndarray]:
     """(word position, window) of every occurrence of every window in the shard."""
-    if not len(shard.at):
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    here = np.unique(index.keys(shard.sorted))
-    keys = index.keys(index.windows)
-    live = np.flatnonzero(here[np.minimum(np.searchsorted(here, keys), len(here) - 1)] == keys)
-    queries, lens = index.windows[live], index.lens[live]
-    a, b = _bound(shard.sorted, queries, lens, False), _bound(shard.sorted, queries, lens, True)
-    size = b - a
-    into = np.repeat(a - np.cumsum(size) + size, size) + np.arange(int(size.sum()))
-    return shard.at[into], np.repeat(live, size)
-
-
-def _hits(texts: list[bytes], index: Index) -> tuple[_words.Words, np.ndarray, list[list[str]]]:
-    """The words, which of them lie in an occurrence, and the items of each text."""
-    shard = build_shard(texts, index, index.windows.shape[1])
-    at, window = occurrences(shard, index)
+    low, high = bounds(shard.text, index.text.ids, index.at, index.size)
+    some = np.flatnonzero(high > low)
+    k, at = _ranges(low[some], high[some], shard.text.order)
+    return at, some[k]
+
+
+@dataclass
+class Found:
+    """Of each text: whether each of its words is hit, the names of its items, its longest match and the first word of the first such."""
+
+    words: _words.Words
+    hit: np.ndarray
+    items: list[set[str]]
+    longest: np.ndarray
+    longest_at: np.ndarray
+
+
+def find(texts: list[bytes], index: Index, window: int = WINDOW, detail: bool = True) -> Found:
+    """Everything that one part of the index says of some texts; detail: items and longest matches too."""
+    shard = build_shard(texts, index, window)
+    at, which = occurrences(shard, index)
     n = len(shard.words)
-    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + index.lens[window], minlength=n + 1)
-    hit = np.cumsum(edge)[:n] > 0
-    items: list[list[str]] = [[] for _ in texts]
-    if len(at):
+    edge = np.bincount(at, minlength=n + 1) - np.bincount(at + index.size[which], minlength=n + 1)
+    items: list[set[str]] = [set() for _ in texts]
+    best, best_at = np.zeros(len(texts), np.int64), np.full(len(texts), -1)
+    if detail and len(at):
         row = np.searchsorted(shard.words.bounds, at, side="right") - 1
-        seen = np.unique(row * len(index.windows) + window)
-        row, window = seen // len(index.windows), seen % len(index.windows)
-        size = index.first[window + 1] - index.first[window]
-        owner = index.owners[np.repeat(index.first[window] - np.cumsum(size) + size, size) + np.arange(int(size.sum()))]
-        both = np.unique(np.repeat(row, size) * len(index.names) + owner)
+        pair = np.unique(row * len(index.at) + which)
+        k, owner = _take(index.begin, index.owners, pair % len(index.at))
+        both = np.unique((pair // len(index.at))[k] * len(index.names) + owner)
         for r, o in zip((both // len(index.names)).tolist(), (both % len(index.names)).tolist(), strict=True):
-            if index.names[o] is not None:
-                items[r].append(index.names[o])
-    return shard.words, hit, items
-
-
-def _parts(benchmark: DataFrame, id: str, text: str) -> list[list[tuple[str | None, bytes]]]:
-    """The benchmark's items on the driver, in parts of about PART_BYTES, each fetched only when it is used."""
-    own = benchmark.select(F.col(id).cast("string").alias("i"), F.encode(F.col(text).cast("string"), "UTF-8").alias("t")).where("octet_length(t) > 0")
-    total = own.agg(F.sum(F.octet_length("t"))).first()[0] or 0
-    n = 1 + total // PART_BYTES
-    return [own if n == 1 else own.where(F.pmod(F.xxhash64("t"), F.lit(n)) == k) for k in range(n)]
+            items[r].update(x for x in index.names[o] if x is not None)
+        # The longest match at each place where a window begins; a match below a window counts only as a whole short item.
+        place, of = np.unique(at, return_inverse=True)
+        length, _ = longest(index.text, shard.text.ids, place, shard.text.ends[place])
+        short = np.zeros(len(place), np.int64)
+        np.maximum.at(short, of.reshape(-1), index.size[which])
+        length = np.where(length >= window, length, short)
+        row = np.searchsorted(shard.words.bounds, place, side="right") - 1
+        order = np.lexsort((place, -length, row))
+        one = order[np.concatenate([[True], np.diff(row[order]) > 0])]
+        best[row[one]], best_at[row[one]] = length[one], place[one] - shard.words.bounds[row[one]]
+    return Found(shard.words, np.cumsum(edge)[:n] > 0, items, best, best_at)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """Per document: id, n_words, n_hit (words inside any occurrence of a window), longest_run (most neighbouring words that are hit), items (array of the ids, as sorted strings, of the items with a window here).
+    """Per document: id, n_words, n_hit (words inside any occurrence of a window), longest_match (words of the longest verbatim match of a window or more, 0 for none), longest_at (the word where the first such match begins, -1 for none), items (array of the ids, as sorted strings, of the items with a window here).
 
     A window is `window` consecutive words of an item, or all words of a shorter one. Null texts have no words,
     on either side. Items without an id count for n_hit but have no entry in items; repeated items count
-    once. An empty benchmark hits nothing; empty documents give an empty result. Only the columns named are read.
+    once. Repeated documents each get a row. An empty benchmark hits nothing; empty documents give an empty result. Texts of any length are read whole. Only the columns named are read.
     """
-    spark = docs.sparkSession
-    out = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"), F.lit(None).cast("binary").alias("h"), F.lit(None).cast("array<string>").alias("x"))
-    kind = out.schema["i"].dataType.simpleString()
-    parts = _parts(benchmark, item, item_text)
-    for k, part in enumerate(parts):
-        shared = spark.sparkContext.broadcast(build_index([(r.i, bytes(r.t)) for r in part.collect()], window))
-        last = k == len(parts) - 1
-
-        def work(shared=shared, last=last):
-            index = shared.value
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                words, hit, items = _hits(as_bytes(batch.column(1)), index)
-                before, named = batch.column(2).to_pylist(), batch.column(3).to_pylist()
-                own = [hit[a:b] for a, b in zip(words.bounds, words.bounds[1:], strict=False)]
-                own = [x if y is None else x | np.frombuffer(y, dtype=bool) for x, y in zip(own, before, strict=True)]
-                items = [sorted({*x, *(y or ())}) for x, y in zip(items, named, strict=True)]
-                if not last:
-                    return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([x.tobytes() for x in own], pa.binary()), pa.array(items, pa.list_(pa.string()))], names=["i", "t", "h", "x"])
-                runs = [int(np.diff(np.flatnonzero(np.concatenate([[True], ~x, [True]]))).max() - 1) if x.any() else 0 for x in own]
-                return pa.RecordBatch.from_arrays([batch.column(0), pa.array(words.counts(), pa.int64()), pa.array([int(x.sum()) for x in own], pa.int64()), pa.array(runs, pa.int64()), pa.array(items, pa.list_(pa.string()))], names=["i", "n_words", "n_hit", "longest_run", "items"])
-
-            return each
-
-        out = map_slices(out, "t", f"i {kind}, n_words long, n_hit long, longest_run long, items array<string>" if last else f"i {kind}, t string, h binary, x array<string>", work)
-    return out.withColumnRenamed("i", id)
+    names = _indexes(benchmark, item, item_text, window)
+    own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
 
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = as_bytes(batch.column(1))
+            found = [find(texts, index_for(name), window) for name in names]
+            words, hit = found[0].words, np.logical_or.reduce([f.hit for f in found])
+            total = np.concatenate([[0], np.cumsum(hit)])
+            longest_ = np.stack([f.longest for f in found])
+            first = np.stack([f.longest_at for f in found])
+            best = longest_.max(axis=0)
+            at = np.where(longest_ == best, first, np.iinfo(np.int64).max).min(axis=0)
+            items = [sorted(set().union(*x)) for x in zip(*(f.items for f in found), strict=True)]
+            columns = [pa.array(words.counts(), pa.int64()), pa.array(total[words.bounds[1:]] - total[words.bounds[:-1]], pa.int64()), pa.array(best), pa.array(at), pa.array(items, pa.list_(pa.string()))]
+            return pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["i", "n_words", "n_hit", "longest_match", "longest_at", "items"])
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
-    """The documents, with all their columns, in which no window of the benchmark occurs. Nulls and empty tables as in contamination()."""
-    out = docs
-    where = docs.columns.index(text)
-    for part in _parts(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index([(r.i, bytes(r.t)) for r in part.collect()], window))
-
-        def work(shared=shared):
-            index = shared.value
+        return each
 
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-                words, hit, _ = _hits(as_bytes(batch.column(where)), index)
-                total = np.concatenate([[0], np.cumsum(hit)])
-                return batch.filter(pa.array(total[words.bounds[1:]] == total[words.bounds[:-1]]))
+    kind = own.schema["i"].dataType.simpleString()
+    return map_slices(own, "t", f"i {kind}, n_words long, n_hit long, longest_match long, longest_at long, items array<string>", work).withColumnRenamed("i", id)
 
-            return each
 
-        out = map_slices(out, text, docs.schema, work)
-    return out
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """The documents, with all their columns, in which no window of the benchmark occurs. Nulls, repeats and empty tables as in contamination(); documents without words stay."""
+    names = _indexes(benchmark, item, item_text, window)
+    where = docs.columns.index(text)
 
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            texts = as_bytes(batch.column(where))
+            clean = np.ones(len(texts), bool)
+            for name in names:
+                found = find(texts, index_for(name), window, detail=False)
+                total = np.concatenate([[0], np.cumsum(found.hit)])
+                clean &= total[found.words.bounds[1:]] == total[found.words.bounds[:-1]]
+            return batch.filter(pa.array(clean))
 
-def _longest(ids: np.ndarray, ends: np.ndarray, index: Index) -> tuple[np.ndarray, np.ndarray]:
-    """For each word of the benchmark the length of the longest match that starts there, and where in the texts one of them begins.
+        return each
 
-    ids: of the words of all texts; ends: the end of each word's text. Position doubling: equal numbers on
-    level k mean equal words, 2 ** k of them or up to where the text, the item or its known words end.
-    """
-    n, m = len(ids), len(index.words)
-    item_end = np.searchsorted(index.word_item, index.word_item, side="right")
-    number = np.concatenate([ids, index.words])
-    at = np.arange(n + m)
-    end = np.concatenate([ends, n + item_end])
-    unknown = np.append(np.where(number == 0, at, n + m), n + m)
-    left = np.minimum(np.minimum.accumulate(unknown[::-1])[::-1][:-1], end) - at
-    most = int(left[n:].max())
-    levels = [number]
-    while 1 << (len(levels) - 1) < most:
-        step = 1 << (len(levels) - 1)
-        after = np.zeros(n + m, np.int64)
-        more = np.flatnonzero(left > step)
-        after[more] = number[more + step]
-        number = np.unique(number * (int(number.max()) + 1) + after, return_inverse=True)[1] + (0 if (left == 0).any() else 1)
-        levels.append(number)
-    texts = np.flatnonzero(left[:n])
-    best, place = np.zeros(m, np.int64), np.zeros(m, np.int64)
-    if not len(texts):
-        return best, place
-    texts = texts[np.argsort(number[texts], kind="stable")]
-    # The longest match is with a neighbour in lexicographic order.
-    near = np.searchsorted(number[texts], number[n:])
-    for row in (near - 1, near):
-        there = texts[np.clip(row, 0, len(texts) - 1)]
-        length = np.zeros(m, np.int64)
-        for k in range(len(levels) - 1, -1, -1):
-            a, b = np.minimum(there + length, n + m - 1), np.minimum(at[n:] + length, n + m - 1)
-            whole = (left[there] - length >= 1 << k) & (left[n:] - length >= 1 << k)
-            length += np.where(whole & (levels[k][a] == levels[k][b]), 1 << k, 0)
-        better = length > best
-        best, place = np.where(better, length, best), np.where(better, there, place)
-    return best, place
+    return map_slices(docs, text, docs.schema, work)
 
 
-def longest_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Per benchmark item (id as string) and shard the longest verbatim match, of any length: item, length in words, doc, position of the match among the document's words.
+def longest_matches(docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", window: int = WINDOW) -> DataFrame:
+    """Per benchmark item (id as string) and shard the longest verbatim match, of one word or more: item, length in words, doc, position of the match among the document's words, item_position.
 
-    Take the greatest length for each item to get the longest of all shards. Of equally long ones in a shard one is listed.
+    Take the greatest length for each item to get the longest of all shards. Of equally long ones in a shard one is listed. Nulls and empty tables as in contamination().
     """
-    out = None
-    for part in _parts(benchmark, item, item_text):
-        shared = docs.sparkSession.sparkContext.broadcast(build_index([(r.i, bytes(r.t)) for r in part.collect()]))
-
-        def work(shared=shared):
-            index = shared.value
-
-            def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-                words = _words.split(as_bytes(batch.column(1)), _words.NOT_ALNUM)
-                if not len(words) or not len(index.words):
-                    return None
-                best, place = _longest(index.ids(words.hashes()), np.repeat(words.bounds[1:], words.counts()), index)
-                order = np.lexsort((-best, index.word_item))
-                first = order[np.concatenate([[True], np.diff(index.word_item[order]) > 0])]
-                first = first[best[first] > 0]
-                where = place[first]
-                row = np.searchsorted(words.bounds, where, side="right") - 1
-                return pa.RecordBatch.from_arrays([pa.array([index.names[i] for i in index.word_item[first]], pa.string()), pa.array(best[first]), batch.column(0).take(pa.array(row)), pa.array(where - words.bounds[row])], names=["item", "length", "doc", "position"])
-
-            return each
-
-        own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
-        found = map_slices(own, "t", f"item string, length long, doc {own.schema['i'].dataType.simpleString()}, position long", work)
-        out = found if out is None else out.union(found)
-    return out
+    names = _indexes(benchmark, item, item_text, window)
+    own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
+
+    def work() -> Callable[[pa.RecordBatch], pa.RecordBatch | None]:
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            rows = []
+            for name in names:
+                index = index_for(name)
+                shard = build_shard(as_bytes(batch.column(1)), index, window)
+                if not len(shard.words) or not len(index.text.ids):
+                    continue
+                at = np.arange(len(index.text.ids))
+                # Only where a window of the benchmark occurs can a match reach beyond what is sorted.
+                hit = np.zeros(len(shard.rank), bool)
+                hit[shard.rank[occurrences(shard, index)[0]]] = True
+                many = hit[shard.rank] & (np.bincount(shard.rank, minlength=len(shard.rank))[shard.rank] > 1)
+                refine(shard.text.order, shard.rank, shard.text.ends, window, np.flatnonzero(many), int((index.text.ends - at).max()))
+                best, place = longest(shard.text, index.text.ids, at, index.text.ends)
+                owner = np.searchsorted(index.first, at, side="right") - 1
+                order = np.lexsort((at, -best, owner))
+                one = order[np.concatenate([[True], np.diff(owner[order]) > 0])]
+                one = one[best[one] > 0]
+                row = np.searchsorted(shard.words.bounds, place[one], side="right") - 1
+                for o, n, r, p, a in zip(owner[one].tolist(), best[one].tolist(), row.tolist(), (place[one] - shard.words.bounds[row]).tolist(), (at[one] - index.first[owner[one]]).tolist(), strict=True):
+                    rows += [(x, n, r, p, a) for x in index.names[o]]
+            if not rows:
+                return None
+            item_, length, row, position, within = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(item_, pa.string()), pa.array(length, pa.int64()), batch.column(0).take(pa.array(row)), pa.array(position, pa.int64()), pa.array(within, pa.int64())], names=["item", "length", "doc", "position", "item_position"])
+
+        return each
+
+    return map_slices(own, "t", f"item string, length long, doc {own.schema['i'].dataType.simpleString()}, position long, item_position long", work)

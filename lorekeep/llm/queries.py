@@ -60,7 +60,7 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     found = decontam.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+        F.sha2(F.encode(F.array_join("items", ","), "UTF-8"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "longest_match", "longest_at",
     )
 
 
@@ -93,21 +93,26 @@ WITH words AS (
 ), sized AS (
   SELECT item_id, w, least(10, len(w)) AS n FROM items WHERE len(w) > 0
 ), windows AS (
-  SELECT DISTINCT item_id, n, w[i : i + n - 1] AS win FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM sized)
+  SELECT item_id, n, j, w[j : j + n - 1] AS win FROM (SELECT item_id, n, w, unnest(range(1, len(w) - n + 2)) AS j FROM sized)
 ), lens AS (
   SELECT DISTINCT n FROM windows
 ), spots AS (
   SELECT doc_id, n, i, w[i : i + n - 1] AS win FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM words, lens)
 ), found AS (
-  SELECT s.doc_id, s.i, s.n, x.item_id FROM spots s JOIN windows x ON s.n = x.n AND s.win = x.win
+  SELECT s.doc_id, s.i, s.n, x.item_id, x.j FROM spots s JOIN windows x ON s.n = x.n AND s.win = x.win
+), runs AS (
+  SELECT doc_id, count(*) + any_value(n) - 1 AS length, min(i) AS start
+  FROM (SELECT *, i - row_number() OVER (PARTITION BY doc_id, item_id, i - j ORDER BY i) AS island FROM (SELECT DISTINCT doc_id, item_id, n, i, j FROM found)) GROUP BY doc_id, item_id, i - j, island
+), longest AS (
+  SELECT doc_id, max(length) AS longest_match, arg_min(start, (-length, start)) - 1 AS longest_at FROM runs GROUP BY doc_id
 ), hits AS (
   SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS p FROM (SELECT DISTINCT doc_id, i, n FROM found)) GROUP BY doc_id
 ), named AS (
   SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM found) GROUP BY doc_id
 )
 SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(m.n_items, 0) AS BIGINT) AS n_items,
-  sha256(coalesce(m.listed, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
-FROM words w LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id)
+  sha256(coalesce(m.listed, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated, CAST(coalesce(l.longest_match, 0) AS BIGINT) AS longest_match, CAST(coalesce(l.longest_at, -1) AS BIGINT) AS longest_at
+FROM words w LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN longest l USING (doc_id)
 """
 
 

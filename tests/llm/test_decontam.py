@@ -1,6 +1,8 @@
 import random
 import re
 
+import numpy as np
+
 from lorekeep.llm import decontam
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -26,7 +28,18 @@ def brute(docs, items):
                 if tuple(w[i : i + n]) in windows:
                     found |= windows[tuple(w[i : i + n])]
                     hit[i : i + n] = [True] * n
-        out.append((len(w), sum(hit), sorted(found)))
+        # The longest match that holds a window, as a whole item or as part of one.
+        best, at = 0, -1
+        for i in range(len(w)):
+            for _, t in items:
+                v = words_of(t)
+                for j in range(len(v)):
+                    n = 0
+                    while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                        n += 1
+                    if (n >= 10 or 0 < n == len(v)) and n > best:
+                        best, at = n, i
+        out.append((len(w), sum(hit), sorted(found), best, at))
     return out
 
 
@@ -39,7 +52,7 @@ def test_contamination_equals_brute_force(spark):
         docs = [text(random.choice([0, 1, 5, 10, 40, 100])) for _ in range(12)]
         d = spark.createDataFrame(list(enumerate(docs)), "doc_id int, text string")
         b = spark.createDataFrame(items, "item_id string, text string")
-        got = {r.doc_id: (r.n_words, r.n_hit, r["items"]) for r in decontam.contamination(d, b).collect()}
+        got = {r.doc_id: (r.n_words, r.n_hit, r["items"], r.longest_match, r.longest_at) for r in decontam.contamination(d, b).collect()}
         want = brute(docs, items)
         assert got == dict(enumerate(want))
         assert {r.doc_id for r in decontam.decontaminate(d, b).collect()} == {i for i, w in enumerate(want) if not w[1]}
@@ -49,7 +62,7 @@ def test_benchmark_in_parts_gives_the_same(spark, small, monkeypatch):
     d, b = spark.read.parquet(f"{small}/documents.parquet"), spark.read.parquet(f"{small}/benchmark.parquet")
     whole = sorted(tuple(map(str, r)) for r in decontam.contamination(d, b).collect())
     monkeypatch.setattr(decontam, "PART_BYTES", 3000)
-    assert len(decontam._parts(b, "item_id", "text")) > 2
+    assert len(decontam._indexes(b, "item_id", "text", 10)) > 2
     assert sorted(tuple(map(str, r)) for r in decontam.contamination(d, b).collect()) == whole
 
 
@@ -88,3 +101,41 @@ def test_longest_matches_equal_brute_force(spark):
             want = max((n for i in range(len(w)) for n in range(1, len(w) - i + 1) if any(f" {' '.join(w[i : i + n])} " in p for p in padded)), default=0)
             assert best.get(name, 0) == want, name
         assert best["whole"] == 200 and best["one"] == 1
+
+
+def test_suffix_arrays_are_sorted():
+    random.seed(9)
+    for _ in range(30):
+        texts = [[random.choice("abc") for _ in range(random.choice([0, 1, 5, 40, 90]))] for _ in range(6)]
+        texts.append(list(texts[3]))
+        flat = [c for t in texts for c in t]
+        ids, ends = np.array([ord(c) for c in flat], np.int64), np.repeat(np.cumsum([len(t) for t in texts]), [len(t) for t in texts])
+        depth = random.choice([1, 2, 3, 7, 10])
+        order, rank = decontam.suffix_array(ids, ends, depth)
+        want = lambda n: [flat[p : min(p + n, ends[p])] for p in order]
+        assert want(depth) == sorted(want(depth)) and sorted(order.tolist()) == list(range(len(flat)))
+        decontam.refine(order, rank, ends, depth, np.arange(len(flat)), 200)
+        assert want(200) == sorted(want(200))
+
+
+def test_words_with_equal_hashes_stay_apart(monkeypatch, spark):
+    monkeypatch.setattr(decontam._words, "xxh64", lambda buf, starts, lens, seed=0: (lens.astype(np.uint64) % np.uint64(2)) << np.uint64(50))
+    texts = ["aa bb cc dd ee ff gg hh ii jj kk", "aa bb cc dd ee ff gg hh ii jx kk", "bb aa"]
+    index = decontam.build_index([("1", texts[0].encode()), ("2", b"bb")])
+    found = decontam.find([t.encode() for t in texts], index)
+    assert [sorted(x) for x in found.items] == [["1", "2"], ["2"], ["2"]] and found.longest.tolist() == [11, 1, 1]
+
+
+def test_long_texts_of_one_word(spark):
+    index = decontam.build_index([("a", b"a " * 500), ("b", b"a " * 400 + b"b")])
+    found = decontam.find([b"a " * 9000, b"b " * 10, b"c " + b"a " * 9], index)
+    assert [sorted(x) for x in found.items] == [["a", "b"], [], []] and found.longest.tolist() == [500, 0, 0] and found.longest_at.tolist() == [0, -1, -1]
+    assert int(found.hit.sum()) == 9000
+
+
+def test_many_ids_of_one_text(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "PART_BYTES", 200)
+    b = spark.createDataFrame([(f"item{i}", "one two three") for i in range(100)] + [(None, "one two three")], "item_id string, text string")
+    d = spark.createDataFrame([("x", "zero one two three")], "doc_id string, text string")
+    (r,) = decontam.contamination(d, b).collect()
+    assert r["items"] == sorted(f"item{i}" for i in range(100)) and (r.n_hit, r.longest_match, r.longest_at) == (3, 3, 1)
