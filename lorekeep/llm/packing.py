@@ -1,9 +1,10 @@
 """Packing of token ids into rows of fixed length by best-fit-decreasing.
 
-Documents longer than a row are cut into full rows and a rest, so no token is lost. The segments of a block of documents
+Documents longer than a row are cut into full rows and a rest, so no token is lost. Documents go to blocks by a hash of id and text, as many
+blocks as the table's size asks for, so rows don't depend on files, tasks or cores. The segments of a block
 are placed by falling length, each into the open row with the least room that still takes it; a segment
-tree over the room values finds it. Blocks are cut by a number of tokens within each task, so packing needs no
-shuffle and its memory is bounded.
+tree over the room values finds it. A block takes BLOCK_BYTES of text on average, so a task holds little; the
+loss against packing the whole table at once is about one row that isn't full for each block.
 """
 
 from __future__ import annotations
@@ -15,12 +16,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import as_bytes, mapped, slices
+from ._batches import as_bytes, map_slices, mapped
 from .bpe import build_lexicon, encoder_for
 
 ROW = 2048
-#: Tokens packed together.
-BLOCK_TOKENS = 1 << 22
+#: Bytes of text that a block has on average.
+BLOCK_BYTES = 16 << 20
+#: Tokens at which a block is packed and begun anew, which takes a block far beyond the average: copies of one row, without ids.
+MOST_TOKENS = 1 << 24
+#: Copies of one row, id and text, that a task leaves in one block from each run of rows.
+COPIES = 64
 
 
 class Rooms:
@@ -80,21 +85,55 @@ def best_fit_decreasing(lens: np.ndarray, size: int) -> list[list[int]]:
     return rows
 
 
+def _sized(docs: DataFrame, text: str) -> int:
+    """Number of blocks for a table."""
+    return 1 + (docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) // BLOCK_BYTES
+
+
+def _encoded(own: DataFrame, name: str, blocks: int, end: int | None) -> DataFrame:
+    """(block, h, i, ids) of each row (i, t, h)."""
+
+    def work():
+        encoder = encoder_for(name)
+
+        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
+            flat, first = encoder.encode(as_bytes(batch.column(1)))
+            h = batch.column(2).to_numpy(zero_copy_only=False)
+            _, of = np.unique(h, return_inverse=True)
+            order = np.argsort(of, kind="stable")
+            copy = np.empty(len(h), np.int64)
+            copy[order] = np.arange(len(h)) - np.searchsorted(of[order], of[order])
+            # A flood of copies is dealt out; a few stay together wherever they are read.
+            with np.errstate(over="ignore"):
+                block = ((h.view(np.uint64) + (copy // COPIES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int64)
+            last = [] if end is None else [end]
+            ids = [np.append(flat[a:b], np.array(last, "<u4")).astype("<u4").tobytes() for a, b in zip(first, first[1:], strict=False)]
+            return pa.RecordBatch.from_arrays([pa.array(block), batch.column(2), batch.column(0), pa.array(ids, pa.binary())], names=["block", "h", "i", "ids"])
+
+        return each
+
+    return map_slices(own, "t", f"block long, h long, i {own.schema['i'].dataType.simpleString()}, ids binary", work)
+
+
 def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", size: int = ROW, pad: int = 0, end: int | None = None) -> DataFrame:
     """One row for each packed row of `size` ids.
 
     ids: binary, `size` unsigned 32-bit little-endian ids, `pad` behind the last token. n_tokens. doc_ids and
-    doc_starts: of each segment its document and the position of its first token in that document. cu_seqlens: where each segment
+    doc_starts: of each segment its document (ids keep their type) and the position of its first token in that document. cu_seqlens: where each segment
     begins in the row, and the end of the last. position_ids: binary like ids, counting from 0 in each segment. block:
-    a number for the packed block; with row_in_block it names the row.
+    the packed block; with row_in_block it names the row.
 
     end: an id appended to each document. Without it, documents without tokens are in no row; null texts count
-    as empty. Documents with a null id are packed with a null in doc_ids. Repeated rows are packed as often as they occur.
+    as empty. Documents with a null id are packed with a null in doc_ids. Repeated rows are packed as often as they occur; segments of equal
+    length are placed in the order of a hash of id and text. An empty table gives an empty result. Only the columns named are read.
     """
     name = build_lexicon(docs, tokenizer, text)
-    own = docs.select(F.col(id).cast("long").alias("i"), F.col(text).cast("string").alias("t"))
+    own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
+    own = own.withColumn("h", F.xxhash64("i", F.coalesce("t", F.lit(""))))
+    kind = own.schema["i"].dataType
+    rows = _encoded(own, name, _sized(docs, text), end).repartition("block").sortWithinPartitions("block", "h", "i")
 
-    def packed(ids: list[int | None], tokens: list[np.ndarray], block: int) -> pa.RecordBatch | None:
+    def packed(ids: pa.Array, tokens: list[np.ndarray], block: int, first_row: int) -> tuple[pa.RecordBatch | None, int]:
         owner, begin, lens = [], [], []
         for k, x in enumerate(tokens):
             for s in range(0, len(x), size):
@@ -102,54 +141,62 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
                 begin.append(s)
                 lens.append(min(size, len(x) - s))
         if not owner:
-            return None
-        rows = best_fit_decreasing(np.array(lens), size)
-        columns: list[list] = [[] for _ in range(8)]
-        for r, segments in enumerate(rows):
+            return None, first_row
+        filled = best_fit_decreasing(np.array(lens), size)
+        columns: list[list] = [[] for _ in range(7)]
+        who, cuts = [], [0]
+        for r, segments in enumerate(filled):
             parts = [tokens[owner[s]][begin[s] : begin[s] + lens[s]] for s in segments]
             n = sum(map(len, parts))
             flat = np.concatenate([*parts, np.full(size - n, pad, "<u4")]).astype("<u4")
             position = np.concatenate([*(np.arange(len(x)) for x in parts), np.zeros(size - n, np.int64)]).astype("<u4")
-            values = [block, r, n, [ids[owner[s]] for s in segments], [begin[s] for s in segments], np.cumsum([0, *map(len, parts)]).tolist(), flat.tobytes(), position.tobytes()]
+            who += [owner[s] for s in segments]
+            cuts.append(len(who))
+            values = [block, first_row + r, n, [begin[s] for s in segments], np.cumsum([0, *map(len, parts)]).tolist(), flat.tobytes(), position.tobytes()]
             for c, v in zip(columns, values, strict=True):
                 c.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
+        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
+        arrays.insert(3, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids.take(pa.array(who))))
         names = ["block", "row_in_block", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", "ids", "position_ids"]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
+        return pa.RecordBatch.from_arrays(arrays, names=names), first_row + len(filled)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        encoder = encoder_for(name)
-        block = TaskContext.get().partitionId() << 32
-        ids: list[int | None] = []
+        ids: list[pa.Array] = []
         tokens: list[np.ndarray] = []
-        held = 0
+        now, held, row = -1, 0, 0
 
         def flush() -> Iterator[pa.RecordBatch]:
-            nonlocal held, block
-            out = packed(ids, tokens, block)
-            ids.clear()
-            tokens.clear()
-            held = 0
-            if out is not None:
-                block += 1
-                for k in range(0, out.num_rows, 512):
-                    yield out.slice(k, 512)
+            nonlocal held, row
+            if tokens:
+                out, row = packed(pa.concat_arrays(ids), tokens, now, row)
+                ids.clear()
+                tokens.clear()
+                held = 0
+                if out is not None:
+                    for k in range(0, out.num_rows, 512):
+                        yield out.slice(k, 512)
 
         for batch in batches:
-            for part in slices(batch, "t"):
-                flat, first = encoder.encode(as_bytes(part.column(1)))
-                for i, a, b in zip(part.column(0).to_pylist(), first.tolist(), first[1:].tolist(), strict=False):
-                    x = flat[a:b]
-                    if end is not None:
-                        x = np.append(x, np.uint32(end))
-                    ids.append(i)
-                    tokens.append(x)
-                    held += len(x)
-                    if held >= BLOCK_TOKENS:
+            blocks = batch.column(0).to_numpy()
+            edges = [0, *(np.flatnonzero(np.diff(blocks)) + 1).tolist(), len(blocks)]
+            for a, b in zip(edges, edges[1:], strict=False):
+                if a == b:
+                    continue
+                if blocks[a] != now:
+                    yield from flush()
+                    now, row = int(blocks[a]), 0
+                while a < b:
+                    to = a
+                    while to < b and held < MOST_TOKENS:
+                        tokens.append(np.frombuffer(batch.column(3)[to].as_buffer(), "<u4"))
+                        held += len(tokens[-1])
+                        to += 1
+                    ids.append(batch.column(2).slice(a, to - a))
+                    a = to
+                    if held >= MOST_TOKENS:
                         yield from flush()
         yield from flush()
 
-    kind = "block long, row_in_block int, n_tokens int, doc_ids array<long>, doc_starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
-    return mapped(own, run, kind)
+    schema = f"block long, row_in_block int, n_tokens int, doc_ids array<{kind.simpleString()}>, doc_starts array<long>, cu_seqlens array<int>, ids binary, position_ids binary"
+    return mapped(rows, run, schema)

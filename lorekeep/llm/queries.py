@@ -75,7 +75,7 @@ def op6_cross_entropy_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), pad=50256, end=50256)
+    found = packing.pack(_table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"), pad=50257, end=50256)
     return found.select("block", "row_in_block", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("position_ids", 256).alias("positions_sha256"))
 
 

@@ -100,14 +100,14 @@ def test_best_fit_decreasing_equals_a_scan():
 
 @pytest.mark.parametrize("size", [16, 2048])
 def test_packing_is_lossless(odd, empty, size):
-    rows = packing.pack(odd, PATH, size=size, pad=50256).collect()
+    rows = packing.pack(odd, PATH, size=size, pad=50257).collect()
     want = {}
     for r in bpe.encode(odd, PATH).collect():
         want.setdefault(r.doc_id, []).append(np.frombuffer(bytes(r.ids), "<u4"))
     got = {}
     for r in rows:
         ids, position = np.frombuffer(bytes(r.ids), "<u4"), np.frombuffer(bytes(r.position_ids), "<u4")
-        assert len(ids) == size == len(position) and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == 50256).all()
+        assert len(ids) == size == len(position) and r.cu_seqlens[0] == 0 and r.cu_seqlens[-1] == r.n_tokens and (ids[r.n_tokens :] == 50257).all()
         for d, s, a, b in zip(r.doc_ids, r.doc_starts, r.cu_seqlens, r.cu_seqlens[1:]):
             assert position[a:b].tolist() == list(range(b - a))
             got.setdefault(d, []).append((s, ids[a:b]))
@@ -116,3 +116,34 @@ def test_packing_is_lossless(odd, empty, size):
         if len(texts) == 1 and len(texts[0]):
             assert np.concatenate([x for _, x in sorted(got[d], key=lambda y: y[0])]).tolist() == texts[0].tolist()
     assert packing.pack(empty, PATH).count() == 0
+
+
+def profile(rows):
+    """What packing decides: the rows of each block with their segments."""
+    return sorted((r.block, r.row_in_block, r.n_tokens, tuple(map(str, r.doc_ids)), tuple(r.doc_starts), bytes(r.ids)) for r in rows)
+
+
+def test_packing_doesnt_depend_on_tasks(spark, small, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 100_000)
+    docs = spark.read.parquet(f"{small}/documents.parquet").selectExpr("concat('d', doc_id) as doc_id", "text")
+    one, many = (packing.pack(docs.repartition(n), PATH, size=256, pad=50257, end=50256).collect() for n in (1, 7))
+    assert profile(one) == profile(many) and len({r.block for r in one}) > 3
+    assert {x for r in one for x in r.doc_ids} == {r.doc_id for r in docs.collect()}
+    # Each block is packed as a plain scan packs it, and as full as the whole table could be, but for a row of each block.
+    for block in {r.block for r in one}:
+        own = [r for r in one if r.block == block]
+        lens = [b - a for r in own for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])]
+        assert sorted(256 - r.n_tokens for r in own) == brute_rows(lens, 256)
+    whole = len(brute_rows([b - a for r in one for a, b in zip(r.cu_seqlens, r.cu_seqlens[1:])], 256))
+    assert len(one) <= whole + len({r.block for r in one})
+
+
+def test_a_flood_of_copies_is_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 20_000)
+    d = spark.createDataFrame([(None, "the same text again and again")] * 3000 + [(i, f"row {i}") for i in range(50)], "doc_id long, text string")
+    rows = packing.pack(d, PATH, size=64, pad=50257).collect()
+    assert len({r.block for r in rows}) > 2
+    assert sum(x is None for r in rows for x in r.doc_ids) == 3000 and {x for r in rows for x in r.doc_ids if x is not None} == set(range(50))
+    monkeypatch.setattr(packing, "MOST_TOKENS", 500)
+    again = packing.pack(d, PATH, size=64, pad=50257).collect()
+    assert sum(r.n_tokens for r in again) == sum(r.n_tokens for r in rows) and len({(r.block, r.row_in_block) for r in again}) == len(again)
