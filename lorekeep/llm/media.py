@@ -25,8 +25,14 @@ FILL = 255
 #: MCUs, or blocks in scans of one component, between restart marks.
 RESTART = 8
 _MCU_BLOCKS = 6
-#: Bytes written at once, each of which takes some hundred bytes meanwhile. Reading takes less, and gains from many lanes.
+#: Bytes of texts written, and of images read, at once. A longer text or image is taken alone, strip by strip where much is needed for each byte.
 WRITE_BYTES = 1 << 20
+READ_BYTES = 2 << 20
+#: Blocks whose codes are made together, each byte of which takes some hundred bytes meanwhile; and rows of samples turned into RGB together.
+STRIP_BLOCKS = 1 << 14
+STRIP_SAMPLES = 1 << 20
+#: An image of more samples than this is reported as an error rather than read: its header, not its bytes, says how much memory it takes.
+MOST_SAMPLES = 1 << 28
 _COMMENT = b"payload="
 
 # The order in which JPEG stores the 64 coefficients of a block: diagonal by diagonal.
@@ -179,6 +185,18 @@ def _entropy(coef: np.ndarray, order: np.ndarray, which: np.ndarray, part: np.nd
     return _pack(values[place], sizes[place], part[blocks[place]], n)
 
 
+def _in_strips(coef: np.ndarray, order: np.ndarray, which: np.ndarray, part: np.ndarray, n: int, lo: int, hi: int, before: int, after: int) -> list[bytes]:
+    """_entropy() for some intervals after the other; nothing is carried over from one interval to the next."""
+    out: list[bytes] = []
+    at = 0
+    while at < len(order):
+        to = min(len(order), at + STRIP_BLOCKS)
+        to = len(order) if to == len(order) else int(np.searchsorted(part, part[to - 1] + 1))
+        out += _entropy(coef, order[at:to], which[at:to], part[at:to] - part[at], int(part[to - 1] - part[at]) + 1, lo, hi, before, after)
+        at = to
+    return out
+
+
 def _mixed(row: list[int], after: int) -> list[tuple[int, int]]:
     """Codes of a band in which some coefficients are zero: runs of zeros before each other one, and an end of band."""
     out = []
@@ -230,7 +248,7 @@ def encode_coefficients(coef: np.ndarray, sizes: list[tuple[int, int]], notes: l
         order = np.concatenate([p[0] + b for p, b in zip(plans, base, strict=False)])
         first = np.cumsum([0, *(p[3] for p in plans)])
         part = np.concatenate([p[2] + f for p, f in zip(plans, first, strict=False)])
-        coded = _entropy(coef, order, np.concatenate([p[1] for p in plans]), part, int(first[-1]), lo, hi, before, after)
+        coded = _in_strips(coef, order, np.concatenate([p[1] for p in plans]), part, int(first[-1]), lo, hi, before, after)
         head = b"\xff\xda" + (6 + 2 * len(components)).to_bytes(2, "big") + bytes([len(components)]) + b"".join(bytes([c + 1, 0]) for c in components) + bytes([lo, hi, before << 4 | after])
         for i, x in enumerate(out):
             x.append(head)
@@ -246,14 +264,17 @@ def padded(data: bytes) -> bytes:
     return data + bytes([FILL]) * (max(1, -(-len(data) // UNIT)) * UNIT - len(data))
 
 
+#: The coefficient of each byte.
+_COEFFICIENT = np.array([b if b >= 128 else b - 255 for b in range(256)], np.int16)
+
+
 def encode_payloads(payloads: list[bytes]) -> list[bytes]:
     """Progressive JPEGs whose coefficients are the payloads' bytes."""
     sizes = [geometry(len(p)) for p in payloads]
     if not sizes:
         return []
     flat = b"".join(p + bytes(a * d * _MCU_BLOCKS * 64 - len(p)) for p, (a, d) in zip(payloads, sizes, strict=True))
-    x = np.frombuffer(flat, np.uint8).astype(np.int16)
-    coef = np.where(x >= 128, x, x - 255)
+    coef = _COEFFICIENT[np.frombuffer(flat, np.uint8)]
     at = 0
     for p, (a, d) in zip(payloads, sizes, strict=True):
         end = at + a * d * _MCU_BLOCKS * 64
@@ -312,6 +333,8 @@ def _parse(data: bytes) -> Image:
             if body[0] != 8 or body[5] != 3:
                 raise ValueError("three components of eight bits expected")
             order = [body[6 + 3 * i] for i in range(3)]
+            if any(not 1 <= x <= 4 for i in range(3) for x in (body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15)):
+                raise ValueError("no such sampling")
             image = Image(int.from_bytes(body[3:5], "big"), int.from_bytes(body[1:3], "big"), [(body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(3)], [body[8 + 3 * i] for i in range(3)], b"")
         elif 0xC0 <= mark <= 0xCF and mark != 0xCC:
             raise ValueError("a progressive Huffman-coded JPEG expected")
@@ -340,6 +363,8 @@ def _parse(data: bytes) -> Image:
             image.scans.append((tuple(c for c, _ in use), lo, hi, bits >> 4, bits & 15, coded, restart, [data[a:b].replace(b"\xff\x00", b"\xff") for a, b in parts]))
     if image is None:
         raise ValueError("no frame header")
+    if not image.width or not image.height or image.width * image.height > MOST_SAMPLES:
+        raise ValueError("an image without samples, or with too many")
     image.note = note
     image.quant = [quant[q] for q in image.quant]
     wide, high = max(h for h, _ in image.sampling), max(v for _, v in image.sampling)
@@ -580,37 +605,66 @@ def _samples(coef: np.ndarray, quant: np.ndarray) -> np.ndarray:
 
 def planes(image: Image, coef: np.ndarray, samples: np.ndarray | None = None) -> np.ndarray:
     """Full-resolution RGB (height x width x 3) from an image's own coefficients, or from its samples where they are known."""
-    full = []
     wide, high = max(h for h, _ in image.sampling), max(v for _, v in image.sampling)
+    parts = []
     for c in range(3):
         rows, cols = image.shape[c]
         own = slice(image.first[c], image.first[c] + rows * cols)
-        x = _samples(coef[own], image.quant[c]) if samples is None else samples[own]
-        plane = x.reshape(rows, cols, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, cols * 8).astype(np.int32)
-        h, v = image.sampling[c]
-        if (h, v) != (wide, high):
-            plane = np.repeat(np.repeat(plane, high // v, axis=0), wide // h, axis=1)
-        full.append(plane[: image.height, : image.width])
-    y, cb, cr = full[0] << 16, full[1] - 128, full[2] - 128
-    # The usual colour matrix, times 2 ** 16.
-    rgb = np.stack([y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb], axis=2)
-    return np.clip((rgb + (1 << 15)) >> 16, 0, 255).astype(np.uint8)
+        parts.append((_samples(coef[own], image.quant[c]) if samples is None else samples[own]).reshape(rows, cols, 8, 8))
+    out = np.empty((image.height, image.width, 3), np.uint8)
+    step = max(1, STRIP_SAMPLES // (image.width * 8 * high))  # rows of MCUs
+    for at in range(0, -(-image.height // (8 * high)), step):
+        full = []
+        for (h, v), x in zip(image.sampling, parts, strict=True):
+            x = x[at * v : (at + step) * v]
+            plane = x.transpose(0, 2, 1, 3).reshape(x.shape[0] * 8, x.shape[1] * 8).astype(np.int32)
+            if high % v or wide % h:
+                # Factors that don't divide each other: the nearest sample.
+                plane = plane[np.arange(x.shape[0] * 8 * high // v) * v // high][:, np.arange(x.shape[1] * 8 * wide // h) * h // wide]
+            elif (h, v) != (wide, high):
+                plane = np.repeat(np.repeat(plane, high // v, axis=0), wide // h, axis=1)
+            full.append(plane)
+        strip = out[at * 8 * high : (at + step) * 8 * high]
+        y, cb, cr = (x[: strip.shape[0], : image.width] for x in full)
+        y, cb, cr = y << 16, cb - 128, cr - 128
+        # The usual colour matrix, times 2 ** 16.
+        for k, x in enumerate((y + 91881 * cr, y - 22554 * cb - 46802 * cr, y + 116130 * cb)):
+            strip[:, :, k] = np.clip((x + (1 << 15)) >> 16, 0, 255)
+    return out
 
 
 def feature_of(rgb: np.ndarray) -> str:
     """Size, mean of each channel in thousandths, and a hash of which cells of an 8 x 8 grid are lighter than the image."""
     h, w, _ = rgb.shape
-    sums = rgb.sum(axis=(0, 1), dtype=np.int64)
-    grey = rgb.sum(axis=2, dtype=np.int64)
+    sums, lines = np.zeros(3, np.int64), np.empty((h, 8), np.int64)
     rows, cols = np.arange(8) * h // 8, np.arange(8) * w // 8
-    cell = np.add.reduceat(np.add.reduceat(grey, rows, axis=0), cols, axis=1)
+    step = max(1, STRIP_SAMPLES // w)
+    for at in range(0, h, step):
+        strip = rgb[at : at + step]
+        sums += strip.sum(axis=(0, 1), dtype=np.int64)
+        lines[at : at + step] = np.add.reduceat(strip.sum(axis=2, dtype=np.int64), cols, axis=1)
+    cell = np.add.reduceat(lines, rows, axis=0)
     area = np.diff(np.append(rows, h))[:, None] * np.diff(np.append(cols, w))
-    light = cell * (h * w) > area * int(grey.sum())
+    light = cell * (h * w) > area * int(sums.sum())
     return f"{w}x{h};{','.join(str(int(s) * 1000 // (h * w)) for s in sums)};{np.packbits(light.reshape(-1)).tobytes().hex()}"
 
 
+def _payload(image: Image, coef: np.ndarray) -> bytes:
+    """What encode_payloads() stored in an image; empty for any other."""
+    if not image.note.startswith(_COMMENT) or image.sampling != [(2, 2), (1, 1), (1, 1)]:
+        return b""
+    n = int(image.note[len(_COMMENT) :])
+    across, down = image.shape[0][1] // 2, image.shape[0][0] // 2
+    # From component order to the order in which the payload was laid.
+    at = np.empty(across * down * _MCU_BLOCKS, np.int64)
+    for c in range(3):
+        at[_scan_plan((c,), across, down)[0]] = np.arange(image.shape[c][0] * image.shape[c][1]) + image.first[c]
+    x = coef[at].reshape(-1)[:n]
+    return np.where(x > 0, x, x + 255).astype(np.uint8).tobytes()
+
+
 def decode(media: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
-    """(payload, RGB) of each image; the payload of images that encode_payloads() didn't make is empty."""
+    """(payload, RGB) of each image; the payload of images that encode_payloads() didn't make is empty. Raises for what isn't a progressive JPEG of three components."""
     images = [_parse(m) for m in media]
     coef, base = coefficients(images)
     # The usual case: all of one kind, transformed together.
@@ -619,23 +673,23 @@ def decode(media: list[bytes]) -> list[tuple[bytes, np.ndarray]]:
     out = []
     for i, im in enumerate(images):
         own = coef[base[i] : base[i + 1]]
-        payload = b""
-        if im.note.startswith(_COMMENT):
-            n = int(im.note[len(_COMMENT) :])
-            across, down = im.shape[0][1] // 2, im.shape[0][0] // 2
-            # From component order to the order in which the payload was laid.
-            at = np.empty(across * down * _MCU_BLOCKS, np.int64)
-            for c in range(3):
-                own_blocks = np.arange(im.shape[c][0] * im.shape[c][1]) + im.first[c]
-                at[_scan_plan((c,), across, down)[0]] = own_blocks
-            x = own[at].reshape(-1)[:n]
-            payload = np.where(x > 0, x, x + 255).astype(np.uint8).tobytes()
-        out.append((payload, planes(im, own, samples[base[i] : base[i + 1]] if plain else None)))
+        out.append((_payload(im, own), planes(im, own, samples[base[i] : base[i + 1]] if plain else None)))
     return out
 
 
+def decode_each(media: list[bytes]) -> list[tuple[bytes, np.ndarray] | str]:
+    """decode(), with what is wrong in place of an image that can't be read; the others are read as they are."""
+    try:
+        return decode(media)
+    except Exception as e:  # what broken bytes lead to can't be listed
+        if len(media) == 1:
+            return [f"{type(e).__name__}: {e}"[:200]]
+        half = len(media) // 2
+        return decode_each(media[:half]) + decode_each(media[half:])
+
+
 def to_media(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Per document: id, n_bytes (of the text as UTF-8) and media, a progressive JPEG that holds the padded text. Null texts count as empty. Repeated rows each get a row."""
+    """Per document: id, n_bytes (of the text as UTF-8) and media, a progressive JPEG that holds the padded text. Null texts count as empty. Texts of any length are stored whole. Repeated rows and rows with equal or null ids each get a row. An empty table gives an empty result."""
     own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
 
     def work():
@@ -649,25 +703,31 @@ def to_media(docs: DataFrame, id: str = "doc_id", text: str = "text") -> DataFra
 
 
 def from_media(stored: DataFrame, media: str = "media") -> DataFrame:
-    """The table with payload (the bytes read back), height, width, rgb (height x width x 3 bytes) and feature added. Rows without media get nulls. Columns of these names in the input are replaced."""
-    new = ["payload", "height", "width", "rgb", "feature"]
+    """The table with payload (the bytes read back), height, width, rgb (height x width x 3 bytes), feature and error added.
+
+    Rows without media get nulls. Bytes that aren't a progressive JPEG of three components get nulls and say why in error, and don't disturb other rows. Repeated rows each get a row. An empty table gives an empty result. Columns of these names in the input are replaced.
+    """
+    new = ["payload", "height", "width", "rgb", "feature", "error"]
     own = stored.select(F.col(media).alias("m_"), *[F.col(c).alias(f"k{i}") for i, c in enumerate(stored.columns)])
     kept = own.schema.fields[1:]
-    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "payload binary, height int, width int, rgb binary, feature string"])
+    schema = ", ".join([*(f"{f.name} {f.dataType.simpleString()}" for f in kept), "payload binary, height int, width int, rgb binary, feature string, error string"])
 
     def work():
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             raw = batch.column(0).to_pylist()
             some = [x for x in raw if x is not None]
-            got = iter(decode(some))
+            got = iter(decode_each(some))
             rows = [next(got) if x is not None else None for x in raw]
+            wrong = [r if isinstance(r, str) else None for r in rows]
+            rows = [None if isinstance(r, str) else r for r in rows]
             columns = [
                 pa.array([r and r[0] for r in rows], pa.binary()), pa.array([r and r[1].shape[0] for r in rows], pa.int32()), pa.array([r and r[1].shape[1] for r in rows], pa.int32()),
                 pa.array([r and r[1].tobytes() for r in rows], pa.binary()), pa.array([r and feature_of(r[1]) for r in rows], pa.string()),
+                pa.array(wrong, pa.string()),
             ]
             return pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=[*(f.name for f in kept), *new])
 
         return each
 
-    out = map_slices(own, "m_", schema, work)
+    out = map_slices(own, "m_", schema, work, READ_BYTES)
     return out.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(stored.columns) if c not in new], *new)

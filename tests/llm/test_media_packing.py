@@ -75,6 +75,68 @@ def test_media_of_odd_rows(odd, empty):
     assert media.from_media(media.to_media(empty)).count() == 0
 
 
+def test_strips_change_nothing(monkeypatch):
+    rng = np.random.default_rng(3)
+    payloads = [media.padded(rng.integers(0, 256, n, dtype=np.uint8).tobytes()) for n in (0, 5000, 60000)]
+    stored = media.encode_payloads(payloads)
+    got = media.decode(stored)
+    monkeypatch.setattr(media, "STRIP_BLOCKS", 20)
+    monkeypatch.setattr(media, "STRIP_SAMPLES", 700)
+    assert media.encode_payloads(payloads) == stored
+    for (p, rgb), (q, again), want in zip(got, media.decode(stored), payloads):
+        assert p == q == want and (rgb == again).all() and media.feature_of(rgb) == media.feature_of(again)
+
+
+def foreign(spark, width, height, rgb, quality):
+    """A progressive JPEG by Java's own writer, and what its reader makes of it."""
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    image = jvm.java.awt.image.BufferedImage(width, height, 1)
+    numbers = gateway.new_array(jvm.int, width * height)
+    for i, (r, g, b) in enumerate(rgb.reshape(-1, 3).tolist()):
+        numbers[i] = r << 16 | g << 8 | b
+    image.setRGB(0, 0, width, height, numbers, 0, width)
+    writer = jvm.javax.imageio.ImageIO.getImageWritersByFormatName("jpeg").next()
+    param = writer.getDefaultWriteParam()
+    param.setProgressiveMode(1)
+    param.setCompressionMode(2)
+    param.setCompressionQuality(quality)
+    out = jvm.java.io.ByteArrayOutputStream()
+    stream = jvm.javax.imageio.ImageIO.createImageOutputStream(out)
+    writer.setOutput(stream)
+    writer.write(None, jvm.javax.imageio.IIOImage(image, None, None), param)
+    stream.close()
+    data = bytes(out.toByteArray())
+    back = jvm.javax.imageio.ImageIO.read(jvm.java.io.ByteArrayInputStream(data))
+    raster = np.array(list(back.getRGB(0, 0, width, height, None, 0, width)), np.int64) & 0xFFFFFF
+    return data, np.stack([raster >> 16, raster >> 8 & 255, raster & 255], axis=1).reshape(height, width, 3)
+
+
+def test_images_of_another_encoder(spark):
+    rng = np.random.default_rng(5)
+    y, x = np.mgrid[0:75, 0:101]
+    smooth = np.stack([128 + 100 * np.sin(x / 15), 128 + 90 * np.cos(y / 11), (x + y) % 256 * 0.6 + 40], axis=2)
+    for rgb, quality, most in ((smooth, 0.9, 2.5), (np.clip(smooth + rng.normal(0, 12, smooth.shape), 0, 255), 0.5, 4.0), (np.full(smooth.shape, 77.0), 0.3, 1.0)):
+        data, want = foreign(spark, 101, 75, rgb.astype(np.uint8), quality)
+        ((payload, got),) = media.decode([data])
+        assert data.count(b"\xff\xda") > 3 and payload == b"" and got.shape == want.shape
+        # Readers differ in how they upsample chroma and round; the grey values hardly do.
+        grey = lambda z: z @ np.array([0.299, 0.587, 0.114])
+        assert np.abs(grey(got) - grey(want)).mean() < most and np.abs(got - want).mean() < 3 * most
+
+
+def test_bytes_that_are_no_such_image_disturb_nothing(spark):
+    good = media.encode_payloads([media.padded(b"some text" * 100), media.padded(b"")])
+    bad = [b"", b"\xff\xd8", b"no image", good[0][:400], good[0][:-300] + b"\xff\xd9", b"\xff\xd8\xff\xc0\x00\x11\x08\x00\x10\x00\x10\x03\x01\x22\x00\x02\x11\x00\x03\x11\x00\xff\xd9", good[0].replace(b"\xff\xc2\x00\x11\x08\x00", b"\xff\xc2\x00\x11\x08\xff", 1), good[0][:300] + bytes(200) + good[0][500:], None]
+    rows = [(i, b) for i, b in enumerate([good[0], *bad, good[1], good[0]])]
+    got = {r.i: r for r in media.from_media(spark.createDataFrame(rows, "i int, media binary").coalesce(1)).collect()}
+    assert len(got) == len(rows)
+    for i in (0, len(rows) - 2, len(rows) - 1):
+        assert got[i].error is None and bytes(got[i].payload) == media.padded(b"some text" * 100 if i != len(rows) - 2 else b"")
+    for i in (1, 2, 3, 6):
+        assert got[i].error and got[i].payload is None and got[i].rgb is None
+    assert got[len(bad)].error is None and got[len(bad)].payload is None
+
+
 def brute_rows(lens, size):
     rows = []
     for i in sorted(range(len(lens)), key=lambda i: -lens[i]):
