@@ -10,6 +10,7 @@ NAMED_KEYS = (
     (r"sk-[a-zA-Z0-9]{20,}", "OpenAI"), (r"ghp_[a-zA-Z0-9]{36,}", "GitHub PAT"), (r"AKIA[A-Z0-9]{16}", "AWS Access Key"),
     (r"xox[bp]-[a-zA-Z0-9-]{10,}", "Slack token"), (r"glpat-[a-zA-Z0-9_-]{20,}", "GitLab PAT"), (r"npm_[a-zA-Z0-9]{36,}", "npm token"),
 )
+# Other secrets, and home folders.
 GENERIC_SECRET = r"(?i)(?:key|token|password|secret|credential|auth)\s*[=:]\s*[\"']?[a-zA-Z0-9+/=_-]{20,}"
 HOME_PATH = r"(?:C:\\\\Users\\[^\\]+|C:\\Users\\[^\\]+|/home/[^/]+|/Users/[^/]+)"
 

@@ -23,10 +23,12 @@ NOTABLE = (
     r"(deploy|migrate|seed|prisma|typeorm|knex)(?![A-Za-z0-9_])",
     r"(curl|wget|ssh|scp|rsync)(?![A-Za-z0-9_])",
 )
+# Signs of errors, as written.
 ERROR_WORDS = (
     "error", "Error", "ERROR", "not found", "Not found", "cannot", "Cannot", "TypeError", "ReferenceError", "SyntaxError", "ENOENT", "EACCES", "EPERM", "fatal", "Fatal", "exception", "Exception",
 )
 ERROR = f"{T.words(*ERROR_WORDS)}|(?<!0 ){T.words('failed', 'Failed', 'FAILED')}|{T.BEFORE}(?:panic|PANIC)|TS[0-9]{{4}}"
+# Signs of imports, error handling, settings and types in code.
 IMPORT_LINE = r"(?m)^[+]?\s*(?:import\s+.+|const\s+[A-Za-z0-9_]+\s*=\s*require\(.+\)|from\s+['\"]).*"
 # A boundary before a dot needs a word character on its left.
 HANDLING = r"(?<![A-Za-z0-9_])(?:try\s*\{|catch\s*\(|if\s*\(\s*err)|(?<=[A-Za-z0-9_])(?:\.catch\s*\(|\.on\s*\(\s*['\"]error)"

@@ -11,6 +11,7 @@ from ..config import DEFAULTS
 from ..functions import scoring, secrets
 from ..functions import text as T
 
+# Names in camel case, in backticks, and imported; fenced code.
 CAMEL_CASE = r"[A-Z][a-z]+(?:[A-Z][a-z]+)+"
 QUOTED = r"`([^`]+)`"
 IMPORTED = r"(?:import|from)\s+['\"]([^'\"]+)['\"]|require\s*\(\s*['\"]([^'\"]+)['\"]\s*\)"

@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
-from ..functions import scoring
-from ..functions import text as T
-from ..schemas import SECTION_OF
 from . import fixtures
-from .queries import PROJECT, TEXT, TEXTS
-from .testviews import AGE_SQL, BULLETS_SQL, WEIGHT_SQL
-
+from .testviews import BULLETS_SQL, WEIGHT_SQL
+
+# Nothing here comes from the library but its inline rows and the definition of the test records: an error in one of its constants must not pass.
+# Fixed values, written out a second time for the SQL.
+STOP_WORDS = (
+    "a an the is are was were be been being have has had do does did will would could should may might shall can need dare ought used to of in for on with at by from as into through during before after above below"
+    " between out off over under again further then once here there when where why how all each every both few more most other some such no nor not only own same so than too very just because but and or if while"
+    " about up what which who whom this that these those am it its my me we our you your he him his she her they them their i"
+)
+PITFALL = "error|bug|fix|wrong|issue|fail|crash"
+SOLUTION = "solution|solve|resolv|fix|workaround|instead|correct|should|must|avoid|prevent|because|caused"
+METHOD = "how to|steps|pattern|approach|procedure|method|process|implement|workflow|guide"
+TRICK = "tip|shortcut|faster|instead of|quick|hack|trick|optimization|efficient"
+PREFERENCE = "always|never|prefer|convention|use .+ not|style|standard|rule|consistent"
+SPECIFIC = "specifically|exactly|must|require|always|never|ensure|when .+ then|if .+ then"
+ACTIONABLE = "use|run|add|set|change|configure|install|create|update|remove|apply|import|export"
+UNIQUE = "gotcha|caveat|note|important|tricky|subtle|undocumented|workaround|edge case"
+TRIVIAL = ("ls", "dir", "cd", "cat", "echo", "pwd", "head", "tail", "wc", "which", "whoami", "date", "clear", "true", "false", "type")
+ANTONYMS = (("always", "never"), ("use", "avoid"), ("enable", "disable"), ("must", "must not"), ("recommend", "discourage"), ("始终", "不要"), ("使用", "避免"), ("开启", "关闭"))
+NAMED_KEYS = (("sk-[a-zA-Z0-9]{20,}", "OpenAI"), ("ghp_[a-zA-Z0-9]{36,}", "GitHub PAT"), ("AKIA[A-Z0-9]{16}", "AWS Access Key"), ("xox[bp]-[a-zA-Z0-9-]{10,}", "Slack token"), ("glpat-[a-zA-Z0-9_-]{20,}", "GitLab PAT"), ("npm_[a-zA-Z0-9]{36,}", "npm token"))
+GENERIC_SECRET = "(?i)(?:key|token|password|secret|credential|auth)[\\s]*[=:]\\s*[\"']?[a-zA-Z0-9+/=_-]{20,}"
+HOME_PATH = r"(?:C:\\\\Users\\[^\\]+|C:\\Users\\[^\\]+|/home/[^/]+|/Users/[^/]+)"
+LANGUAGES = (
+    "'.ts': 'typescript', '.tsx': 'typescript', '.js': 'javascript', '.jsx': 'javascript', '.mjs': 'javascript', '.cjs': 'javascript', '.py': 'python', '.rs': 'rust', '.go': 'go', '.java': 'java', '.c': 'c', '.h': 'c',"
+    " '.cpp': 'cpp', '.hpp': 'cpp', '.cc': 'cpp', '.cs': 'csharp', '.rb': 'ruby', '.php': 'php', '.swift': 'swift', '.kt': 'kotlin', '.json': 'json', '.yaml': 'yaml', '.yml': 'yaml', '.toml': 'toml', '.md': 'markdown',"
+    " '.html': 'html', '.htm': 'html', '.css': 'css', '.scss': 'scss', '.sql': 'sql', '.sh': 'shell', '.bash': 'shell', '.zsh': 'shell', '.ps1': 'powershell'"
+)
+# The query texts' tokens without stop words, and their stems, by hand: text, project, tokens, stems.
+ASKED = (
+    ("src5", ["rewh", "orre", "thatin", "fr", "src3", "lang"], ["rewh", "orre", "thatin", "fr", "src3", "lang"]),
+    ("src7", ["de", "ci", "nosta", "running", "oninning"], ["de", "ci", "nosta", "runn", "oninn"]),
+    (None, ["lang", "en"], ["lang", "en"]),
+)
+PROJECT = "src5"
 _QUOTE = lambda s: "'" + s.replace("'", "''") + "'"
 _WITH = f"WITH {BULLETS_SQL}"
 _FULL = _WITH + ", full_bullets AS (SELECT b.*, e.embedding FROM bullets b LEFT JOIN embeddings e ON e.vec_id = b.doc_id)"
@@ -22,18 +50,16 @@ def _tokens(text: str) -> str:
 
 
 def _stem(x: str) -> str:
-    cases = " ".join(f"WHEN {x} LIKE '%{e}' AND len({x}) >= {n} THEN left({x}, len({x}) - {k})" for e, n, k in T.STEM_RULES)
-    return f"CASE {cases} WHEN {x} LIKE '%s' AND {x} NOT LIKE '%ss' AND len({x}) > 3 THEN left({x}, len({x}) - 1) ELSE {x} END"
+    cut = lambda e, most: f"WHEN {x} LIKE '%{e}' AND len({x}) > {most} THEN left({x}, len({x}) - {len(e)})"
+    return f"CASE {cut('ing', 5)} {cut('tion', 5)} {cut('ed', 4)} {cut('er', 4)} {cut('ly', 4)} {cut('es', 4)} WHEN {x} LIKE '%s' AND {x} NOT LIKE '%ss' AND len({x}) > 3 THEN left({x}, len({x}) - 1) ELSE {x} END"
 
 
 def _list(values: list[str]) -> str:
     return "[" + ", ".join(_QUOTE(v) for v in values) + "]"
 
 
-def _points(text: str) -> str:
-    """Raw keyword points; the queries' tokens are of letters and digits or accented, none CJK."""
-    tokens = T.py_search_tokens(text)
-    stems = [s for s in map(T.py_stem, tokens) if len(s) >= 2]
+def _points(tokens: list[str], stems: list[str]) -> str:
+    """Raw keyword points; no token is CJK."""
     word = " + ".join(f"len(regexp_extract_all(content, '(?i)\\b{t}\\b'))" for t in tokens if len(t) >= 2)
     own = f"list_transform({_tokens('content')}, lambda w: {_stem('w')})"
     has = lambda c, cond: f"len(list_filter({_list(tokens)}, lambda t: {cond.format(c=c)}))"
@@ -55,21 +81,21 @@ _VECTOR = "(SELECT embedding FROM embeddings ORDER BY vec_id LIMIT 1)"
 _VISIBLE = f"decay_weight >= 0.02 AND scope IN ('global', 'project:{PROJECT}')"
 
 
-def _words(alternatives: tuple[str, ...]) -> str:
-    return "(?i)\\b(?:" + "|".join(alternatives) + ")\\b"
+def _words(alternatives: str) -> str:
+    return "(?i)\\b(?:" + alternatives + ")\\b"
 
 
 def _kind(content: str) -> str:
     has = lambda w: f"regexp_matches({content}, {_QUOTE(_words(w))})"
     return (
-        f"CASE WHEN {has(scoring.PITFALL)} AND {has(scoring.SOLUTION)} THEN 'Pitfall' WHEN {has(scoring.METHOD)} THEN 'Method' WHEN {has(scoring.TRICK)} THEN 'Trick'"
-        f" WHEN {has(scoring.PREFERENCE)} THEN 'Preference' ELSE 'Knowledge' END"
+        f"CASE WHEN {has(PITFALL)} AND {has(SOLUTION)} THEN 'Pitfall' WHEN {has(METHOD)} THEN 'Method' WHEN {has(TRICK)} THEN 'Trick'"
+        f" WHEN {has(PREFERENCE)} THEN 'Preference' ELSE 'Knowledge' END"
     )
 
 
 def _score(content: str) -> str:
     count = lambda w: f"len(regexp_extract_all({content}, {_QUOTE(_words(w))}))"
-    base = "least(80, " + " + ".join(f"{k} * {count(w)}" for w, k in scoring.WEIGHTS) + ")"
+    base = "least(80, " + f"8 * {count(SPECIFIC)} + 6 * {count(ACTIONABLE)} + 10 * {count(UNIQUE)}" + ")"
     density = f"CASE WHEN len({content}) > 0 THEN len(regexp_replace({content}, '\\s', '', 'g')) / len({content}) * 100 ELSE 0 END"
     capped = f"CASE WHEN len(regexp_replace({content}, '^\\s+|\\s+$', '', 'g')) < 20 THEN least({base}, 15) ELSE {base} END"
     return f"greatest(0.0, least(100.0, CAST({capped} AS DOUBLE) * (0.6 + 0.4 * ({density}) / 100) + 5))"
@@ -88,9 +114,6 @@ def _entities(content: str) -> str:
 
 def _detected() -> str:
     """Common table expressions up to `found`: the candidates of the fixture's events."""
-    from ..functions.text import LANGUAGES
-    from ..operators.detect import TRIVIAL
-
     # The patterns, in this dialect.
     error = "\\berror\\b|\\bError\\b|\\bERROR\\b|\\bfailed\\b|\\bFailed\\b|\\bFAILED\\b|\\bnot found\\b|\\bNot found\\b|\\bcannot\\b|\\bCannot\\b|\\bTypeError\\b|\\bReferenceError\\b|\\bSyntaxError\\b|\\bENOENT\\b|\\bEACCES\\b|\\bEPERM\\b|\\bpanic|\\bPANIC|\\bfatal\\b|\\bFatal\\b|\\bexception\\b|\\bException\\b|TS[0-9]{4}"
     is_error = lambda x: f"regexp_matches(regexp_replace({x}, '0 (failed|Failed|FAILED)\\b', '0 x', 'g'), '{error}')"
@@ -100,7 +123,7 @@ def _detected() -> str:
     config = "(?i)\\.(?:json|yaml|yml|toml|ini|env|config\\.\\w+)$|config|settings|\\.rc$"
     kind = "\\b(?:interface|type|enum)\\s+\\w+"
     has = lambda x, p: f"regexp_matches({x}, '{p}')"
-    languages = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in LANGUAGES.items()) + "}"
+    languages = "MAP {" + LANGUAGES + "}"
     return f"""events AS (
   SELECT *, coalesce(response, '') AS r, regexp_extract(path, '([^/\\\\]*)$', 1) AS base, {languages}[lower(regexp_extract(path, '(\\.[^.]*)$', 1))] AS language, list_filter(list_transform(string_split(coalesce(response, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS lines,
     CASE WHEN tool = 'Edit' THEN new ELSE content END AS text, CASE WHEN tool = 'Edit' THEN old ELSE '' END AS past, len(string_split(content, chr(10))) AS n, string_split_regex(trim(command), '\\s+') AS parts FROM {fixtures.events_sql()} WHERE given
@@ -120,10 +143,8 @@ def _detected() -> str:
 
 
 def _distilled() -> str:
-    from ..functions.secrets import GENERIC_SECRET, HOME_PATH, NAMED_KEYS
-
     secret = " OR ".join(f"regexp_matches(text, {_QUOTE(p)})" for p in [*(p for p, _ in NAMED_KEYS), GENERIC_SECRET])
-    section = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SECTION_OF.items())
+    section = "WHEN 'Pitfall' THEN 'pitfalls' WHEN 'Method' THEN 'methods' WHEN 'Trick' THEN 'techniques' WHEN 'Preference' THEN 'preferences' WHEN 'Knowledge' THEN 'knowledge'"
     return f"""WITH {_detected()}, sentences AS (
   SELECT *, left(CASE pattern_type WHEN 'error_fix' THEN 'When encountering "' || error_message || '", always apply this fix: ' || summary || '. Ensure you use the correct approach to avoid re-running into the same error.'
     WHEN 'code_pattern' THEN 'In ' || CASE WHEN language = '' THEN 'coding' ELSE language END || ': ' || summary || '. Apply and use this correctly to ensure good results.'
@@ -140,8 +161,6 @@ FROM scored WHERE score >= 30"""
 
 def _clashes() -> str:
     """Contradictions of the fixture by comparing all pairs of a scope."""
-    from ..operators.conflicts import ANTONYMS
-
     meets = [f"((contains(lower(a.content), {_QUOTE(x)}) AND contains(lower(b.content), {_QUOTE(y)})) OR (contains(lower(a.content), {_QUOTE(y)}) AND contains(lower(b.content), {_QUOTE(x)})))" for x, y in ANTONYMS]
     semantic = "CASE " + " ".join(f"WHEN {m} THEN '{x}/{y}'" for m, (x, y) in zip(meets, ANTONYMS, strict=True)) + " END"
     shared = "len(list_filter(a.key_entities, lambda e: list_contains(list_transform(b.key_entities, lambda f: lower(f)), lower(e)))) > 0"
@@ -159,8 +178,6 @@ FROM couples LEFT JOIN moved USING (x, y) WHERE antonyms IS NOT NULL OR negation
 
 
 def _sanitized(id: str, content: str, source: str) -> str:
-    from ..functions.secrets import GENERIC_SECRET, HOME_PATH, NAMED_KEYS
-
     named = [f"list_transform(regexp_extract_all({content}, '{p}'), lambda m: 'API key detected: ' || left(m, 4) || '*** ({n} pattern)')" for p, n in NAMED_KEYS]
     generic = f"list_transform(regexp_extract_all({content}, {_QUOTE(GENERIC_SECRET)}), lambda m: 'Generic secret detected near keyword \"' || regexp_extract(m, '^([^\\s=:]*)', 1) || '\"')"
     every = " || ".join([*named, generic])
@@ -189,18 +206,18 @@ records AS (
 
 
 def oracle_sql() -> dict[str, str]:
-    points = _points(TEXT)
+    points = _points(*ASKED[0][1:])
     hybrid = f"""{_FULL}, raw AS (SELECT *, {points} AS raw, coalesce(greatest(0.0, least(1.0, {_cosine('embedding', _VECTOR)})), 0.0) AS sem FROM full_bullets WHERE {_VISIBLE}),
 scored AS (SELECT *, (CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0 END * 0.6 + sem * 0.4) * decay_weight * {_BOOST} AS final FROM raw)
 SELECT id, scope, round(CAST(raw AS DOUBLE), 6) AS keyword_score, round(CASE WHEN embedding IS NULL THEN 0.0 ELSE sem END, 6) AS semantic_score, round(final, 6) AS final_score FROM scored WHERE final > 0.1 ORDER BY final DESC, decay_weight DESC, id LIMIT 10"""
     many = []
-    for i, (text, project) in enumerate(TEXTS):
+    for i, (project, tokens, stems) in enumerate(ASKED):
         scopes = "'global'" + (f", 'project:{project}'" if project else "")
         many.append(
             f"""SELECT query_id, rank, id, round(final, 6) AS final_score FROM (SELECT {i} AS query_id, id, final, row_number() OVER (ORDER BY final DESC, decay_weight DESC, id) AS rank FROM (
-  SELECT *, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0 END * decay_weight * {_BOOST} AS final FROM (SELECT *, {_points(text)} AS raw FROM bullets WHERE decay_weight >= 0.02 AND scope IN ({scopes}))) WHERE final > 0.1) WHERE rank <= 5"""
+  SELECT *, CASE WHEN max(raw) OVER () > 0 THEN raw / max(raw) OVER () ELSE 0 END * decay_weight * {_BOOST} AS final FROM (SELECT *, {_points(tokens, stems)} AS raw FROM bullets WHERE decay_weight >= 0.02 AND scope IN ({scopes}))) WHERE final > 0.1) WHERE rank <= 5"""
         )
-    stop = _list(list(T.STOP_WORDS))
+    stop = _list(STOP_WORDS.split())
     cjk = lambda n: f"coalesce(array_to_string(list_transform(range(1, len(o) - {n} + 2), lambda i: substring(o, CAST(i AS INTEGER), {n})), ','), '')"
     docs_versions = _VERSIONS.format(id="doc_id", content="text", source="documents", more="", keep="")
     bullet_versions = _VERSIONS.format(id="id", content="content", source="bullets", more="scope,", keep="scope,")

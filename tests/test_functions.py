@@ -76,6 +76,12 @@ GOLDEN = [
 ]
 
 
+def test_patterns_of_several_words_want_their_blanks(spark):
+    texts = ["Whenever it breaks thenceforth try it", "iffy lengthen", "A useful thing, it is nothing", "we use tabs not spaces", "When it breaks then try it"]
+    assert column(spark, texts, "string", scoring.knowledge_type) == ["Knowledge", "Knowledge", "Knowledge", "Preference", "Knowledge"]
+    assert [x > 5 for x in column(spark, texts, "string", scoring.instructivity)] == [False, False, False, True, True]
+
+
 def test_classifier_golden_values(spark):
     d = spark.createDataFrame(GOLDEN, "c string, k string, s double").select("*", scoring.knowledge_type(F.col("c")).alias("kind"), scoring.instructivity(F.col("c")).alias("score"))
     for r in d.collect():
