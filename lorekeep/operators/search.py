@@ -61,11 +61,16 @@ def keyword_points(query: str, stems_of: Column | None = None) -> Column:
     return total.cast("double")
 
 
+def _once(value: Column) -> Column:
+    """A value to select that filters on it don't compute again: conditions aren't pushed below a generator's output."""
+    return F.explode(F.array(value))
+
+
 def keyword_search(bullets: DataFrame, query: str, limit: int = 10, least: float = 0.0) -> DataFrame:
     """The records with the most raw points: a scan and a top-k, no shuffle of records. Ties keep the order of weight, then id."""
     if not query.strip():
         return bullets.withColumn("score", F.lit(0.0)).limit(0)
-    return bullets.withColumn("score", keyword_points(query)).where(F.col("score") > least).orderBy(F.desc("score"), F.desc("decay_weight"), "id").limit(limit)
+    return bullets.withColumn("score", _once(keyword_points(query))).where(F.col("score") > least).orderBy(F.desc("score"), F.desc("decay_weight"), "id").limit(limit)
 
 
 def _weights(c: dict) -> tuple[float, float]:
@@ -93,9 +98,10 @@ def hybrid_search(bullets: DataFrame, query: Query, as_of: Column, c: dict = DEF
     top-k. semantic: whether any vectors are known at all; without them, or a query vector, or with a query of two characters or fewer, keywords count alone.
     """
     on = semantic and query.vector is not None and len(query.text.strip()) > 2
-    own = bullets.withColumn("keyword_score", keyword_points(query.text)).withColumn("semantic_score", similarity_to(query.vector) if on else F.lit(0.0))
+    own = bullets.withColumn("keyword_score", _once(keyword_points(query.text))).withColumn("semantic_score", similarity_to(query.vector) if on else F.lit(0.0))
     if not query.text.strip():
         return own.withColumn("final_score", F.lit(0.0)).limit(0)
+    # The points once more, over the columns they need; the records themselves are neither kept nor shuffled for this.
     most = bullets.select(F.max(keyword_points(query.text)).alias("_most"))
     own = own.crossJoin(F.broadcast(most)).withColumn("final_score", _final(F.col("keyword_score"), F.col("_most"), F.col("semantic_score") if on else None, as_of, c)).drop("_most")
     return own.where(F.col("final_score") > c["min_score"]).orderBy(F.desc("final_score"), F.desc("decay_weight"), "id").limit(limit or c["max_results"])
