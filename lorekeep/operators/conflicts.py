@@ -2,7 +2,8 @@
 
 Each record lists the sides it takes: of antonyms in its section, of negations in its section and for
 each entity, and of versions of a thing. Contradictions are equal keys with different sides, so finding them is an
-equi-join on scope and key, not a comparison of all pairs of a scope.
+equi-join on scope, key and side, not a comparison of all pairs of a scope. Every pair that opposite sides form is a
+candidate, as it is a result but for the semantic kind, whose vectors are compared too.
 """
 
 from __future__ import annotations
@@ -62,11 +63,23 @@ def _version_sides() -> Column:
     return F.transform(versions(F.col("content")), lambda v, i: _side(i, v["name"], v["version"]))
 
 
+def _apart(both: bool) -> Column:
+    return (F.col("a_id") < F.col("b_id")) if both else (F.col("a_id") != F.col("b_id"))
+
+
 def _meet(a: DataFrame, b: DataFrame, sides: Column, extra: tuple[str, ...], both: bool) -> DataFrame:
-    """Pairs of records that take different sides of a key."""
-    of = lambda d, p: d.withColumn("x", F.explode(sides)).select("scope", "x.key", F.col("id").alias(f"{p}_id"), F.col("x.ord").alias(f"{p}_ord"), F.col("x.side").alias(f"{p}_side"), F.substring("content", 1, 80).alias(f"{p}_text"), *[F.col(c).alias(f"{p}_{c}") for c in extra])
-    apart = (F.col("a_side") != F.col("b_side")) & ((F.col("a_id") < F.col("b_id")) if both else (F.col("a_id") != F.col("b_id")))
-    return of(a, "a").join(of(b, "b"), ["scope", "key"]).where(apart)
+    """Pairs of records that take opposite sides, a and b, of a key. The side is part of the join's key, so records of one side never meet, however many share it."""
+    own = F.col("x.side")
+    of = lambda d, p, meets: d.withColumn("x", F.explode(sides)).select("scope", "x.key", meets.alias("meets"), F.col("id").alias(f"{p}_id"), F.col("x.ord").alias(f"{p}_ord"), F.substring("content", 1, 80).alias(f"{p}_text"), *[F.col(c).alias(f"{p}_{c}") for c in extra])
+    return of(a, "a", own).join(of(b, "b", F.when(own == "a", "b").otherwise("a")), ["scope", "key", "meets"]).where(_apart(both))
+
+
+def _differ(a: DataFrame, b: DataFrame, sides: Column, both: bool) -> DataFrame:
+    """Pairs of records with different values of a key. Distinct values are paired first and the records joined to these, so equal values never meet."""
+    of = lambda d, p: d.withColumn("x", F.explode(sides)).select("scope", "x.key", F.col("x.side").alias(f"{p}_side"), F.col("id").alias(f"{p}_id"), F.col("x.ord").alias(f"{p}_ord"))
+    mine, theirs = of(a, "a"), of(b, "b")
+    values = mine.select("scope", "key", "a_side").distinct().join(theirs.select("scope", "key", "b_side").distinct(), ["scope", "key"]).where("a_side <> b_side")
+    return values.join(mine, ["scope", "key", "a_side"]).join(theirs, ["scope", "key", "b_side"]).where(_apart(both))
 
 
 def _between(a: DataFrame, b: DataFrame, as_of: Column, similarity: float, both: bool) -> DataFrame:
@@ -78,7 +91,7 @@ def _between(a: DataFrame, b: DataFrame, as_of: Column, similarity: float, both:
     found = semantic.select(*row(0, F.concat(F.format_string("Semantic contradiction (similarity: %.2f, antonyms: ", F.col("s")), names, F.lit("): "), quoted("a"), F.lit(" vs "), quoted("b"))))
     negation = _meet(a, b, _negation_sides(), (), both)
     found = found.unionByName(negation.select(*row(1, F.concat(F.lit("Direct negation: "), quoted("a"), F.lit(" vs "), quoted("b")))))
-    version = _meet(a, b, _version_sides(), (), both)
+    version = _differ(a, b, _version_sides(), both)
     found = found.unionByName(version.select(*row(2, F.concat_ws(" ", F.lit("Version mismatch:"), "key", "a_side", F.lit("vs"), "b_side"))))
     # One row for each pair: the first kind, and of it the first cause.
     one = found.groupBy("a_id", "b_id").agg(F.min(F.struct("first", "description")).alias("m"))
