@@ -15,7 +15,7 @@ from ..functions import text as T
 from ..functions import vectors
 
 ARRAYS = ("related_tools", "related_files", "key_entities", "tags")
-#: Records that curate() takes in order on the driver; larger batches go through curate_exact() or in several calls.
+#: Records that curate() takes in order on the driver; Engine.curate() takes a queue of any length in such batches.
 MOST_IN_ORDER = 512
 
 
@@ -33,7 +33,7 @@ def curate_exact(bullets: DataFrame, records: DataFrame, as_of: Column, seq: str
 
     Merging equal contents is associative, so any number of records is merged at once: scores by max, arrays by
     the first place of each distinct element, which needs an aggregation by content and element and no list of a
-    group's records. Of several bullets with one content the one with the greatest weight, then the smallest id, takes the merge.
+    group's records; only a content's distinct elements are listed, as the merged row holds them. Of several bullets with one content the one with the greatest weight, then the smallest id, takes the merge.
     """
     own = records.where(~_blank(F.col("content")))
     first = own.groupBy("content").agg(F.min(seq).alias("_first"), F.max("instructivity_score").alias("_score"), F.min_by(F.struct(*[c for c in schemas.names(schemas.DISTILLED) if c != "content"]), seq).alias("_r"))
@@ -44,25 +44,23 @@ def curate_exact(bullets: DataFrame, records: DataFrame, as_of: Column, seq: str
     parts = F.concat(*[listed(c) for c in ARRAYS])
     elements = own.select("content", seq, F.explode(parts).alias("e")).groupBy("content", "e.a", "e.x").agg(F.min(F.struct(seq, "e.i")).alias("at"))
     lists = elements.groupBy("content").agg(*[F.transform(F.array_sort(F.collect_list(F.when(F.col("a") == c, F.struct("at", "x")))), lambda s: s["x"]).alias(f"_{c}") for c in ARRAYS])
-    batch = first.join(lists, "content", "left")
-    rank = F.row_number().over(Window.partitionBy("content").orderBy(F.desc("decay_weight"), "id"))
-    # Only contents that the batch has are ranked.
-    matched = bullets.join(batch, "content").withColumn("_n", rank).where("_n = 1")
+    # The record that takes each content's merge; only contents that the batch has are ranked.
+    place = F.struct(F.coalesce(-F.col("decay_weight"), F.lit(float("inf"))).alias("w"), "id")
+    holder = bullets.join(first.select("content"), "content", "left_semi").groupBy("content").agg(F.min_by("id", place).alias("_old"))
+    made_id = new_id(F.col("content"), F.col("_r.scope"), F.col("_first"))
+    batch = first.join(lists, "content", "left").join(holder, "content", "left")
+    # New rows have keys of their own, so that one full join by key keeps, merges and adds, and no key is shared by all of them.
+    keyed = batch.withColumn("_key", F.coalesce("_old", F.concat(F.lit("new|"), made_id))).withColumn("_made", made_id).withColumnRenamed("content", "_content")
     union = lambda c, old: F.array_union(F.coalesce(old, F.array().cast("array<string>")), F.coalesce(f"_{c}", F.array().cast("array<string>")))
-    changed = matched.select(*[
-        F.greatest("instructivity_score", "_score").alias(c) if c == "instructivity_score" else union(c, F.col(c)).alias(c) if c in ARRAYS else F.coalesce(F.col("_r.embedding"), F.col(c)).alias(c) if c == "embedding" else as_of.cast("timestamp").alias(c) if c == "updated_at" else F.col(c)
-        for c in bullets.columns
-    ])
-    fresh = batch.join(bullets.select("content").distinct(), "content", "left_anti")
-    made = {
-        "id": new_id(F.col("content"), F.col("_r.scope"), F.col("_first")), "content": F.col("content"), "instructivity_score": F.col("_score"), "recall_count": F.lit(0), "last_recall": F.lit(None).cast("timestamp"),
-        "decay_weight": F.lit(1.0), "created_at": as_of.cast("timestamp"), "updated_at": as_of.cast("timestamp"),
+    now = as_of.cast("timestamp")
+    merged = {"instructivity_score": F.greatest("instructivity_score", "_score"), "embedding": F.coalesce(F.col("_r.embedding"), F.col("embedding")), "updated_at": now} | {c: union(c, F.col(c)) for c in ARRAYS}
+    made = {c: F.col(f"_r.{c}") for c in schemas.names(schemas.DISTILLED) if c != "content"} | {
+        "id": F.col("_made"), "content": F.col("_content"), "instructivity_score": F.col("_score"), "recall_count": F.lit(0), "last_recall": F.lit(None).cast("timestamp"), "decay_weight": F.lit(1.0), "created_at": now, "updated_at": now,
     } | {c: union(c, F.array().cast("array<string>")) for c in ARRAYS}
-    added = fresh.select(*[made.get(c, F.col(f"_r.{c}") if c in schemas.names(schemas.DISTILLED) else F.lit(None)).alias(c) for c in bullets.columns])
-    after = bullets.join(changed.select("id"), "id", "left_anti").select(*bullets.columns).unionByName(changed).unionByName(added)
-    known = matched.select("content", F.lit(True).alias("_known"))
-    outcome = records.join(first.select("content", "_first"), "content", "left").join(known, "content", "left")
-    outcome = outcome.select(seq, F.when(_blank(F.col("content")), "skipped").when(F.col("_known").isNull() & (F.col(seq) == F.col("_first")), "added").otherwise("merged").alias("outcome"))
+    joined = bullets.join(keyed, F.col("id") == F.col("_key"), "full")
+    after = joined.select(*[F.when(F.col("_key").isNull(), F.col(c)).when(F.col("_old").isNull(), made.get(c, F.lit(None))).otherwise(merged.get(c, F.col(c))).alias(c) for c in bullets.columns])
+    outcome = records.join(batch.select("content", "_first", "_old"), "content", "left")
+    outcome = outcome.select(seq, F.when(_blank(F.col("content")), "skipped").when(F.col("_old").isNull() & (F.col(seq) == F.col("_first")), "added").otherwise("merged").alias("outcome"))
     return after, outcome
 
 

@@ -103,6 +103,39 @@ def test_conflicts(spark):
     assert [(r.bullet_id_a, r.bullet_id_b) for r in one] == [("a2", "a1")]
 
 
+def test_records_of_one_side_never_meet(spark):
+    many = spark.range(100_000).select(F.col("id").cast("string").alias("id"), F.lit("global").alias("scope"), F.lit("techniques").alias("section"), F.lit("use node 18").alias("content"), F.array(F.lit("Node")).alias("key_entities"), F.array(F.lit(1.0)).alias("embedding"))
+    assert C.all_conflicts(many, AT).count() == 0
+    other = many.limit(1).withColumn("id", F.lit("x")).withColumn("content", F.lit("avoid node 20"))
+    assert C.detect_conflicts(other, many, AT).count() == 100_000
+
+
+def test_exact_merge_keeps_adds_and_ranks(spark):
+    own = bullets(spark, {"id": "a", "content": "t", "decay_weight": 0.5}, {"id": "b", "content": "t", "decay_weight": 0.9}, {"id": "c", "content": "t", "decay_weight": 0.9}, {"id": "d", "content": "other", "tags": ["k"]}, {"id": "e", "content": None})
+    make = lambda i, t, tag: (i, "global", "knowledge", t, t, None, None, "Knowledge", 70.0 + i, "auto", [], [], [], [tag], None)
+    batch = spark.createDataFrame([make(0, "t", "x"), make(1, "n", "y"), make(2, "n", "z"), make(3, None, "q")], f"seq int, {schemas.DISTILLED}")
+    after, outcome = U.curate_exact(own, batch, AT)
+    got = {r.id: r for r in after.collect()}
+    assert {i: r.tags for i, r in got.items() if i in "abcde"} == {"a": got["a"].tags, "b": got["b"].tags, "c": got["c"].tags, "d": ["k"], "e": got["e"].tags}
+    assert "x" in got["b"].tags and "x" not in got["a"].tags + got["c"].tags and got["b"].instructivity_score == 70.0
+    new = [r for i, r in got.items() if i not in "abcde"]
+    assert [(r.content, r.instructivity_score, r.tags, r.recall_count) for r in new] == [("n", 72.0, ["y", "z"], 0)]
+    assert [r.outcome for r in outcome.orderBy("seq").collect()] == ["merged", "added", "merged", "skipped"]
+    again, outcome = U.curate_exact(after, batch, AT)
+    assert again.count() == 6 and [r.outcome for r in outcome.orderBy("seq").collect()] == ["merged", "merged", "merged", "skipped"]
+    empty, _ = U.curate_exact(own.limit(0), batch, AT)
+    assert empty.count() == 2 and U.curate_exact(own, batch.limit(0), AT)[0].count() == 5
+
+
+def test_long_queues_go_in_batches(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(U, "MOST_IN_ORDER", 2)
+    e = Engine(spark, str(tmp_path / "b"))
+    own = entry(spark, *({"summary": f"Executed: npm run build{i % 3}", "command": f"npm run build{i % 3}"} for i in range(5)))
+    assert e.curate(own, NOW) == {"added": 3, "merged": 2, "skipped": 0}
+    assert e.stats()["total"] == 3 and e.store.state()["version"] == 4
+    assert e.curate(own.limit(0), NOW) == {"added": 0, "merged": 0, "skipped": 0}
+
+
 def test_archive_promote_resolve(spark):
     own = bullets(spark, {"id": "a", "scope": "project:p", "instructivity_score": 90.0}, {"id": "b", "scope": "project:p", "instructivity_score": 10.0})
     none = spark.createDataFrame([], schemas.ARCHIVE)
@@ -146,6 +179,11 @@ def test_plans_have_no_surprises(spark, small):
         return df._jdf.queryExecution().executedPlan().toString()
 
     own = plan(queries.recall_keyword_topk(spark, small))
+    # One count for each of the query's six words: the filter on the score doesn't compute it again.
+    spark.conf.set("spark.sql.debug.maxToStringFields", 1000)
+    logical = queries.recall_keyword_topk(spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    spark.conf.unset("spark.sql.debug.maxToStringFields")
+    assert logical.count("regexp_extract_all(") == 6
     assert "TakeOrderedAndProject" in own and "CartesianProduct" not in own and "Python" not in own
     assert "PushedFilters" in plan(M.by_scope(spark.read.schema(schemas.BULLETS).parquet(f"{small}/documents.parquet").select("scope", "instructivity_score", "id"), "global"))
     assert "CartesianProduct" not in plan(queries.conflicts_version(spark, small)) and "NestedLoop" not in plan(queries.conflicts_version(spark, small))
