@@ -149,24 +149,19 @@ def nearest(vectors_of: DataFrame, vector: tuple[float, ...], k: int, id: str =
     return vectors_of.where(F.col("embedding").isNotNull()).select(id, vectors.cosine(F.col("embedding"), fixed).alias("similarity")).orderBy(F.desc("similarity"), id).limit(k)
 
 
-def nearest_of_each(new: DataFrame, known: DataFrame, id: str = "id", block: int = 256) -> DataFrame:
+def nearest_of_each(new: DataFrame, known: DataFrame, id: str = "id", block: int = 4096) -> DataFrame:
     """Of each row of `new` the nearest row of `known` other than itself: id, best_id, similarity.
 
-    new is a batch whose vectors are put into the plan, in blocks; known is scanned once for each block, in place, and only the
-    best row of each task and new row is shuffled. Rows without a vector are left out.
+    new is a stated set of queries, dealt out in blocks of about `block` rows by a hash of the id; each task compares a part of known
+    with one block, and only the best row of each task and query is shuffled. Nothing comes to the driver. Spark broadcasts the blocks
+    only where it knows them to be below its own threshold. Rows without a vector are left out.
     """
-    got = new.where(F.col("embedding").isNotNull()).select(id, "embedding").collect()
-    out = None
-    for start in range(0, len(got), block):
-        part = got[start : start + block]
-        own = known.sparkSession.createDataFrame([(r[0], [float(x) for x in r[1]]) for r in part], f"a {new.schema[id].dataType.simpleString()}, v array<double>")
-        pairs = known.where(F.col("embedding").isNotNull()).select(F.col(id).alias("b"), "embedding").crossJoin(F.broadcast(own)).where("a <> b")
-        best = pairs.select("a", F.struct(vectors.cosine(F.col("embedding"), F.col("v")).alias("s"), F.struct("b").alias("o")).alias("p"))
-        # Greatest similarity first, then the smallest id.
-        best = best.groupBy("a").agg(F.max("p.s").alias("similarity"), F.min_by("p.o.b", F.struct((-F.col("p.s")).alias("s"), F.col("p.o.b").alias("b"))).alias("best_id"))
-        best = best.select(F.col("a").alias(id), "best_id", "similarity")
-        out = best if out is None else out.unionByName(best)
-    return out if out is not None else known.sparkSession.createDataFrame([], f"{id} {new.schema[id].dataType.simpleString()}, best_id {known.schema[id].dataType.simpleString()}, similarity double")
+    own = new.where(F.col("embedding").isNotNull()).select(F.col(id).alias("a"), F.col("embedding").cast("array<double>").alias("v"))
+    own = own.repartition(max(1, -(-own.count() // block)), "a")
+    pairs = known.where(F.col("embedding").isNotNull()).select(F.col(id).alias("b"), "embedding").crossJoin(own).where("a <> b")
+    best = pairs.select("a", "b", vectors.cosine(F.col("embedding"), F.col("v")).alias("s"))
+    # Greatest similarity first, then the smallest id.
+    return best.groupBy("a").agg(F.max("s").alias("similarity"), F.min_by("b", F.struct((-F.col("s")).alias("s"), "b")).alias("best_id")).select(F.col("a").alias(id), "best_id", "similarity")
 
 
 #: Tokens of the context's opening tag and notice.

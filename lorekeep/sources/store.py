@@ -66,6 +66,23 @@ class Store:
             raise RuntimeError("another writer made this version")
         return n
 
+    def vacuum(self, keep: int = 2) -> int:
+        """Delete the folders that none of the newest `keep` snapshots names, and older pointers; the number of folders. For the writer, once readers of those are done."""
+        if keep < 1:
+            raise ValueError("the newest snapshot stays")
+        pointers = sorted((int(f.getPath().getName()) for f in self._fs.listStatus(self._at("pointers")) if f.getPath().getName().isdigit()), reverse=True)
+        named = {f for n in pointers[:keep] for f in json.loads(self.spark.read.text(f"{self.path}/pointers/{n}", wholetext=True).first()[0])["tables"].values()}
+        for n in pointers[keep:]:
+            self._fs.delete(self._at(f"pointers/{n}"), False)
+        gone = 0
+        if self._fs.exists(self._at("data")):
+            for f in self._fs.listStatus(self._at("data")):
+                name = f.getPath().getName()
+                # A folder of a version still to come belongs to a commit under way.
+                if f"data/{name}" not in named and int(name.split("-")[1]) <= pointers[0]:
+                    gone += self._fs.delete(f.getPath(), True)
+        return gone
+
     bullets = property(lambda self: self.table("bullets"))
     archive = property(lambda self: self.table("archive"))
     conflicts = property(lambda self: self.table("conflicts"))
