@@ -100,6 +100,11 @@ def rivals(spark: SparkSession) -> DataFrame:
     return rows.select(*[F.col(n) if n in rows.columns else F.lit(None).cast(t).alias(n) for n, t in (c.strip().split(" ", 1) for c in schemas.BULLETS.split(","))])
 
 
+def complete_rivals(spark: SparkSession) -> DataFrame:
+    """The rivals with values in the columns that exports show."""
+    return rivals(spark).withColumns({"decay_weight": F.lit(1.0), "instructivity_score": F.lit(50.0), "recall_count": F.lit(3), "knowledge_type": F.lit("Knowledge"), "source_type": F.lit("auto")})
+
+
 def batch(spark: SparkSession, vector: tuple[float, ...]) -> DataFrame:
     """Five records: near a stored vector, blank, without a vector, and two alike that are near nothing stored."""
     other = [0.0] * len(vector)

@@ -17,8 +17,9 @@ from ..operators import maintain as M
 from ..operators import search as S
 from ..operators.detect import detect
 from ..sources import exchange, queue
+from ..streaming.queue import sessions
 from . import fixtures
-from .testviews import as_of, bullets, table
+from .testviews import as_of, bullets, scratch, table
 
 TEXT = "rewh orre thatin fr src3 lang"
 TEXTS = (("rewh orre thatin fr src3 lang", "src5"), ("de ciónosta running oninning", "src7"), ("lang en", None))
@@ -29,6 +30,11 @@ def _r(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def _us(c: str):
+    """Microseconds; 0 for null, as a whole number that may be null has no plain type in pandas."""
+    return F.coalesce(F.unix_micros(c), F.lit(0).cast("long"))
+
+
 def _vector(spark: SparkSession, sf_dir: str) -> tuple[float, ...]:
     """The stated query vector: that of the smallest id."""
     return tuple(table(spark, sf_dir, "embeddings").orderBy("vec_id").first().embedding)
@@ -203,7 +209,7 @@ def curate_outcomes(spark, sf_dir):
 
 
 def curate_semantic(spark, sf_dir):
-    """A batch with vectors against all records: order-dependent, so checked against a model in the tests."""
+    """A batch with vectors against all records, one record after the other."""
     from datetime import datetime
 
     after, outcome = U.curate(bullets(spark, sf_dir, True), fixtures.batch(spark, _vector(spark, sf_dir)), datetime(2025, 1, 1))
@@ -268,11 +274,155 @@ def updates(spark, sf_dir):
     return M.updated(bullets(spark, sf_dir), new).select("id", "instructivity_score")
 
 
+def recall_cjk(spark, sf_dir):
+    """Keyword points of a text with ideographs: whole words, stems and bigrams."""
+    empty = F.array().cast("array<string>")
+    own = fixtures.frame(spark, fixtures.CJK).withColumns({"decay_weight": F.lit(1.0), "related_tools": empty, "tags": empty, "key_entities": empty})
+    return S.keyword_search(own, "数据库 连接池 hello", 10).select("id", "score")
+
+
+def recall_bump(spark, sf_dir):
+    """All records after one recall's results were counted."""
+    hit = S.keyword_search(S.visible(bullets(spark, sf_dir, spread=True), ["global", f"project:{PROJECT}"]), TEXT, 10)
+    return M.recalled(bullets(spark, sf_dir), hit, as_of()).select("id", "recall_count", _us("last_recall").alias("last_us"))
+
+
+def bullet_by_id(spark, sf_dir):
+    return M.by_id(bullets(spark, sf_dir), "7").select("id", "scope", "section", "recall_count")
+
+
+def embeddings_listing(spark, sf_dir):
+    return M.embeddings(bullets(spark, sf_dir, True)).select("id", _r(vectors.norm(F.col("embedding")), "norm"))
+
+
+def insert_rows(spark, sf_dir):
+    own = bullets(spark, sf_dir)
+    return M.inserted(own, own.where("section = 'methods'").withColumn("id", F.concat(F.lit("new|"), "id"))).select("id", "section")
+
+
+def clear_rows(spark, sf_dir):
+    return M.cleared(bullets(spark, sf_dir)).agg(F.count("*").alias("n"))
+
+
+def archive_move(spark, sf_dir):
+    """Records of toxic documents to the archive; an id that isn't known is passed over."""
+    bad = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("id")).unionByName(spark.createDataFrame([("nowhere",)], "id string"))
+    after, archive = M.moved_to_archive(bullets(spark, sf_dir), _no_archive(spark), bad, as_of())
+    return after.select("id", F.lit("kept").alias("state"), F.lit(0).cast("long").alias("archived_us")).unionByName(archive.select("id", F.lit("archived").alias("state"), _us("archived_at").alias("archived_us")))
+
+
+def _conflicts(spark, sf_dir) -> DataFrame:
+    """Half of some conflicts first, then all of them, then those of bad documents resolved."""
+    rows = table(spark, sf_dir, "labels").select(
+        F.concat(F.lit("c"), "doc_id").alias("id"), F.col("doc_id").cast("string").alias("bullet_id_a"), (F.col("doc_id") + 1).cast("string").alias("bullet_id_b"), F.lit("version").alias("conflict_type"),
+        F.lit("").alias("description"), F.lit(0).alias("resolved"), F.lit(None).cast("timestamp").alias("resolved_at"), as_of().alias("created_at"), "doc_id", "quality",
+    )
+    names = schemas.names(schemas.CONFLICTS)
+    every = M.with_conflicts(rows.where("doc_id % 2 = 0").select(*names), rows.select(*names))
+    return M.resolved(every, rows.where("quality = 0"), as_of())
+
+
+def conflicts_insert_resolve(spark, sf_dir):
+    return _conflicts(spark, sf_dir).select("id", "resolved", _us("resolved_at").alias("resolved_us"))
+
+
+def conflicts_open(spark, sf_dir):
+    return M.conflicts_by(_conflicts(spark, sf_dir), False).select("id", "bullet_id_a", "bullet_id_b")
+
+
+def _settled(spark, keep: str) -> DataFrame:
+    """The rivals a1 and a2 after their conflict is settled: records, archive and conflict."""
+    own = fixtures.complete_rivals(spark)
+    made = C.all_conflicts(own, as_of())
+    # The one conflict of this pair among those found.
+    id = made.where("bullet_id_a = 'a1' and bullet_id_b = 'a2'").first().id
+    after, archive, conflicts = M.settle(own, _no_archive(spark), made, id, keep, as_of())
+    named = conflicts.select(F.concat_ws("+", "bullet_id_a", "bullet_id_b").alias("id"), F.when(F.col("resolved") == 1, "resolved").otherwise("open").alias("state"))
+    return after.select("id", F.lit("kept").alias("state")).unionByName(archive.select("id", F.lit("archived").alias("state"))).unionByName(named)
+
+
+def conflict_keep_b(spark, sf_dir):
+    return _settled(spark, "keep_b")
+
+
+def conflict_keep_both(spark, sf_dir):
+    return _settled(spark, "keep_both")
+
+
+def promote_one(spark, sf_dir):
+    return M.promoted(bullets(spark, sf_dir), as_of(), id="4").select("id", "scope", F.unix_micros("updated_at").alias("updated_us"))
+
+
+def promote_scope(spark, sf_dir):
+    return M.promoted(bullets(spark, sf_dir), as_of(), scope=f"project:{PROJECT}").select("id", "scope", F.unix_micros("updated_at").alias("updated_us"))
+
+
+def promote_scope_min_score(spark, sf_dir):
+    return M.promoted(bullets(spark, sf_dir), as_of(), scope=f"project:{PROJECT}", min_score=50).select("id", "scope", F.unix_micros("updated_at").alias("updated_us"))
+
+
+def entities_docs(spark, sf_dir):
+    return table(spark, sf_dir, "documents", True).select("doc_id", F.array_join(D.entities(F.col("text")), "|").alias("entities"))
+
+
+def event_sessions(spark, sf_dir):
+    """Runs of a user's events without a pause of an hour."""
+    own = sessions(table(spark, sf_dir, "events"), "1 hour", "user_id", "ts")
+    return own.select("user_id", F.unix_micros(F.col("started").cast("timestamp")).alias("started_us"), F.unix_micros(F.col("ended").cast("timestamp")).alias("ended_us"), "n")
+
+
+def queue_roundtrip(spark, sf_dir):
+    """Events as queue entries, written to the sessions' folders and read back; those about errors are marked as done."""
+    null = F.lit(None).cast("string")
+    entries = table(spark, sf_dir, "events").select(
+        F.lpad(F.col("event_id").cast("string"), 12, "0").alias("timestamp"), F.col("event_type").alias("tool_name"), F.lit("command_usage").alias("pattern_type"), F.concat(F.lit("Executed: "), "event_type").alias("summary"),
+        F.struct(*[null.alias(c) for c in ("file", "language", "error_message", "command")]).alias("context"), F.lit(False).alias("processed"), F.concat(F.lit("s"), F.col("user_id") % 16).alias("session_id"),
+    )
+    path = scratch(spark, "queue")
+    queue.append(entries, path)
+    own = queue.read(spark, path)
+    return queue.unprocessed(queue.marked(own, own.where("tool_name = 'error'"))).select("timestamp", "session_id", "summary")
+
+
+def _lines(spark, text: str) -> DataFrame:
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
+
+
+def markdown_document(spark, sf_dir):
+    """The document for people, of the fixture's few records."""
+    return _lines(spark, exchange.export_markdown(fixtures.complete_rivals(spark), "2025-01-01", "p"))
+
+
+def context_document(spark, sf_dir):
+    own = fixtures.complete_rivals(spark)
+    return _lines(spark, S.format_context(own.withColumn("rank", F.row_number().over(S.Window.partitionBy(F.lit(0)).orderBy("id")))))
+
+
+def _imported(spark) -> DataFrame:
+    """The fixture's records as a JSON document, written, read back and validated."""
+    path = scratch(spark, "export") + ".json"
+    exchange.save(spark, exchange.export_json(fixtures.complete_rivals(spark), "2025-01-01T00:00:00.000Z"), path)
+    return exchange.import_json(spark, path)
+
+
+def import_document(spark, sf_dir):
+    return _imported(spark).select("seq", "scope", "section", "content", "source_type", "instructivity_score", F.array_join("key_entities", ",").alias("entities"))
+
+
+def import_merge(spark, sf_dir):
+    """The document merged into a part of its records."""
+    known = fixtures.complete_rivals(spark).where("id < 'd'")
+    after, _ = U.curate_exact(known, _imported(spark), as_of())
+    return after.select("content", F.when(F.length("id") == 2, F.col("id")).otherwise("new").alias("from_id"), "source_type", F.unix_micros("updated_at").alias("updated_us"))
+
+
 _ALL = (
     recall_keyword_topk, recall_hybrid_topk, recall_multi_query, knn_topk, knn_self_top1, filter_bullets_combo, filter_page, scope_listing, stats_grouping_sets, project_stats, decay_weights, decay_updates,
     decay_archive, bullets_after_decay, recency_boost, context_budget, tokenize_docs, stem_tokens, cjk_bigrams, content_density, classify_docs, classify_fixture, sanitize_docs, sanitize_fixture, entities_fixture,
     versions_docs, detect_fixture, distill_fixture, curate_exact, curate_outcomes, curate_semantic, conflicts_version, conflicts_fixture, promote_min_score, conflict_keep_a, export_rows, export_markdown,
-    import_roundtrip, queue_trigger_batches, vectors_norm, deletes, updates,
+    import_roundtrip, queue_trigger_batches, vectors_norm, deletes, updates, recall_cjk, recall_bump, bullet_by_id, embeddings_listing, insert_rows, clear_rows, archive_move, conflicts_insert_resolve,
+    conflicts_open, conflict_keep_b, conflict_keep_both, promote_one, promote_scope, promote_scope_min_score, entities_docs, event_sessions, queue_roundtrip, markdown_document, context_document,
+    import_document, import_merge,
 )
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,11 @@ def as_of():
     return F.lit(AS_OF).cast("timestamp")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder that the session names; in a machine-local one only where none is named, as in tests."""
+    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='spark-')}/{name}-{uuid.uuid4().hex}"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
     """A test table. spread: for work that is heavy on the CPU, deal the rows out if the files give fewer tasks than there are cores; larger tables stay as they are."""
     out = spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -11,6 +11,7 @@ from pyspark.sql.streaming.query import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from .. import schemas
+from ..config import DEFAULTS
 from ..operators.detect import detect
 from ..ship import ship
 from ..sources.queue import BATCH, TRIGGER
@@ -35,6 +36,12 @@ def entry_stream(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     return spark.readStream.schema(f"{schemas.QUEUE}, session_id string").option("maxFilesPerTrigger", files).json(path)
 
 
+def sessions(events: DataFrame, gap: str = f"{DEFAULTS['sessions']['idle_minutes']} minutes", by: str = "session_id", at: str = "timestamp") -> DataFrame:
+    """Runs of a key's events without a pause of `gap`: by, started, ended and n. The same for a table and, behind a watermark on `at`, for a stream."""
+    found = events.groupBy(by, F.session_window(at, gap).alias("w")).agg(F.count("*").alias("n"), F.max(at).alias("ended"))
+    return found.select(by, F.col("w.start").alias("started"), "ended", "n")
+
+
 def gathered(entries: DataFrame, trigger: int = TRIGGER, size: int = BATCH) -> DataFrame:
     """Entries in the batches in which a session hands them over, with session_id and batch_id.
 

@@ -172,6 +172,31 @@ def test_search_and_budget(spark):
     assert S.format_context(ranked, 2000).count("\n---\n") == 4
 
 
+def test_nearest_of_each_in_blocks(spark):
+    own = bullets(spark, *({"id": f"v{i:02}", "embedding": [float(i % 7), 1.0, float(i % 3), 0.5] if i != 9 else None} for i in range(40)))
+    rows = {r.id: r.embedding for r in own.collect() if r.embedding is not None}
+    want = {i: min((-U._cosine(v, w), j) for j, w in rows.items() if i != j) for i, v in rows.items()}
+    for block in (5, 4096):
+        got = S.nearest_of_each(own, own, block=block).collect()
+        assert len(got) == 39 and all(abs(r.similarity + want[r.id][0]) < 1e-9 for r in got)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    assert S.nearest_of_each(own, own, block=5).count() == 39
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert S.nearest_of_each(own.limit(0), own).count() == 0
+
+
+def test_sessions_of_a_stream(spark, tmp_path):
+    rows = [("a", "2025-01-01 00:00:00"), ("a", "2025-01-01 00:04:00"), ("a", "2025-01-01 00:20:00"), ("b", "2025-01-01 00:00:00"), ("z", "2025-01-02 00:00:00")]
+    own = spark.createDataFrame(rows, "session_id string, timestamp string").withColumn("timestamp", F.to_timestamp("timestamp"))
+    assert sorted((r.session_id, r.n) for r in stream.sessions(own).collect()) == [("a", 1), ("a", 2), ("b", 1), ("z", 1)]
+    own.write.parquet(str(tmp_path / "e"))
+    got = []
+    live = stream.sessions(spark.readStream.schema(own.schema).parquet(str(tmp_path / "e")).withWatermark("timestamp", "1 minute"))
+    live.writeStream.foreachBatch(lambda d, n: got.extend(d.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start().awaitTermination()
+    # The newest session stays open.
+    assert sorted((r.session_id, r.n) for r in got) == [("a", 1), ("a", 2), ("b", 1)]
+
+
 def test_plans_have_no_surprises(spark, small):
     from lorekeep.plans import queries
 
@@ -196,6 +221,10 @@ def test_store_export_import(spark, tmp_path):
     assert store.bullets.count() == 2 and store.archive.count() == 0
     store.commit({"bullets": store.bullets.where("id = 'a'")})
     assert store.bullets.count() == 1 and first == store.state()["version"] - 1
+    before = store.bullets.collect()
+    assert store.vacuum(1) == 1 and store.vacuum(1) == 0 and store.bullets.collect() == before
+    with pytest.raises(ValueError):
+        store.vacuum(0)
     text = exchange.export_json(own, "2025-01-01T00:00:00.000Z", "p")
     got = json.loads(text)
     assert (got["export_version"], got["bullet_count"], "embedding" in got["bullets"][0]) == (1, 2, False)
