@@ -226,104 +226,6 @@ def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "tex
     return train([r.t.encode() for r in got for _ in range(r.n)], [r.y for r in got for _ in range(r.n)])
 
 
-def score(self, texts: list[bytes]) -> np.ndarray:
-        """Probability of label 1 of each text."""
-        z = self.logits(self.pool(texts)).astype(np.float64) / self.temperature
-        return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
-
-
-def _neighbour_sums(texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Of each channel: the distinct units, their counts, and the sums of their neighbours' index vectors."""
-    hashes, bounds = units(texts)
-    rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    out = []
-    for c in range(CHANNELS if len(hashes) else 0):
-        distinct, inverse, count = np.unique(hashes[:, c], return_inverse=True, return_counts=True)
-        base = index_vectors(distinct)
-        around = np.zeros((len(hashes), DIM), dtype=np.float32)
-        for step in range(1, WINDOW + 1):
-            same = rows[step:] == rows[:-step]
-            around[:-step][same] += base[inverse[step:][same]]
-            around[step:][same] += base[inverse[:-step][same]]
-        order = np.argsort(inverse, kind="stable")
-        out.append((distinct, count, np.add.reduceat(around[order], np.cumsum(count) - count, axis=0)))
-    return out
-
-
-def random_indexing(texts: list[bytes], at_once: int = 1 << 20) -> tuple[np.ndarray, np.ndarray]:
-    """(vocab, vectors) of the units that occur LEAST_COUNT times at least, gathered over about `at_once` bytes of text at a time."""
-    ends = np.cumsum([len(t) for t in texts])
-    cuts = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + at_once, at_once), side="right")) if len(texts) else []
-    edges = sorted({0, *(int(c) for c in cuts), len(texts)})
-    parts = [x for a, b in zip(edges, edges[1:], strict=False) for x in _neighbour_sums(texts[a:b])]
-    if not parts:
-        return np.zeros(0, np.uint64), np.zeros((0, DIM), np.float32)
-    all_of = np.concatenate([d for d, _, _ in parts])
-    order = np.argsort(all_of, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], np.diff(all_of[order]) > 0]))
-    count = np.add.reduceat(np.concatenate([n for _, n, _ in parts])[order], first)
-    sums = np.add.reduceat(np.concatenate([x for _, _, x in parts])[order], first, axis=0)
-    vocab = all_of[order][first]
-    keep = count >= LEAST_COUNT
-    return vocab[keep], (index_vectors(vocab[keep]) + sums[keep] / count[keep][:, None]).astype(np.float32)
-
-
-def train(texts: list[bytes], labels: list[int], epochs: int = 60, seed: int = 0) -> Model:
-    """Fit vectors, network and temperature. With labels of one kind only every text gets 0.982 (for 1) or 0.018 (for 0) as its score, without any labels 0.5."""
-    y = np.array(labels, dtype=np.float32)
-    vocab, vectors = random_indexing(texts)
-    model = Model(vocab, vectors, np.zeros(CHANNELS * DIM, np.float32), np.ones(CHANNELS * DIM, np.float32), np.zeros((CHANNELS * DIM, HIDDEN), np.float32), np.zeros(HIDDEN, np.float32), np.zeros(HIDDEN, np.float32), 0.0, 1.0)
-    if not len(y) or y.min() == y.max():
-        model.b2 = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
-        return model
-    x = np.concatenate([model.pool(texts[i : i + 500]) for i in range(0, len(texts), 500)])
-    model.mean, model.scale = x.mean(axis=0), x.std(axis=0) + 1e-3
-    x = (x - model.mean) / model.scale
-    rng = np.random.default_rng(seed)
-    order = rng.permutation(len(y))
-    held, own = order[: len(y) // 5], order[len(y) // 5 :]
-    weight = np.where(y == 1, 0.5 / max(y[own].mean(), 1e-6), 0.5 / max(1 - y[own].mean(), 1e-6)) ** 0.5
-    p = {"w1": rng.normal(0, np.sqrt(2 / x.shape[1]), (x.shape[1], HIDDEN)).astype(np.float32), "b1": np.zeros(HIDDEN, np.float32), "w2": rng.normal(0, np.sqrt(2 / HIDDEN), HIDDEN).astype(np.float32), "b2": np.zeros(1, np.float32)}
-    m, v = {k: np.zeros_like(a) for k, a in p.items()}, {k: np.zeros_like(a) for k, a in p.items()}
-    t = 0
-    for _ in range(epochs):
-        rng.shuffle(own)
-        for i in range(0, len(own), 64):
-            b = own[i : i + 64]
-            h = np.maximum(x[b] @ p["w1"] + p["b1"], 0)
-            z = np.clip(h @ p["w2"] + p["b2"], -30, 30)
-            d = (1 / (1 + np.exp(-z)) - y[b]) * weight[b] / len(b)
-            back = np.outer(d, p["w2"]) * (h > 0)
-            grad = {"w1": x[b].T @ back + 1e-4 * p["w1"], "b1": back.sum(axis=0), "w2": h.T @ d + 1e-4 * p["w2"], "b2": d.sum(keepdims=True)}
-            t += 1
-            for k, g in grad.items():
-                m[k] = 0.9 * m[k] + 0.1 * g
-                v[k] = 0.999 * v[k] + 0.001 * g * g
-                p[k] = (p[k] - 0.003 * (m[k] / (1 - 0.9**t)) / (np.sqrt(v[k] / (1 - 0.999**t)) + 1e-8)).astype(np.float32)
-    model.w1, model.b1, model.w2, model.b2 = p["w1"], p["b1"], p["w2"], float(p["b2"][0])
-    if len(held):
-        z = np.maximum(x[held] @ model.w1 + model.b1, 0) @ model.w2 + model.b2
-        sign = np.where(y[held] == 1, 1.0, -1.0)
-        grid = np.exp(np.linspace(np.log(0.25), np.log(8), 60))
-        model.temperature = float(grid[int(np.argmin([np.logaddexp(0, -sign * z / g).mean() for g in grid]))])
-    return model
-
-
-def fit(docs: DataFrame, labels: DataFrame, id: str = "doc_id", text: str = "text", label: str = "quality", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on about `rows` labelled documents, chosen by a hash of the id, none of them from the held-out fold.
-
-    Rows whose id or label is null aren't used; a document with several labels counts once for each.
-    """
-    known = labels.where(F.col(id).isNotNull() & F.col(label).isNotNull()).where(fold(F.col(id)) != HELD_OUT).select(F.col(id).alias("i"), F.col(label).cast("int").alias("y"))
-    total = known.count()
-    if total > rows:
-        known = known.where(F.pmod(F.xxhash64("i"), F.lit(1 << 30)) < int((1 << 30) * rows / total))
-    # The sample is bounded by `rows`, so the documents are read in place rather than dealt out.
-    own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t")).join(F.broadcast(known), "i")
-    got = own.orderBy("i", "y").collect()
-    return train([(r.t or "").encode() for r in got], [int(r.y == 1) for r in got])
-
-
 def score(docs: DataFrame, model: Model, id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per document: id and score (probability of label 1, 0 to 1). Null texts count as empty; a text without words gets the score of the zero vector.
 

@@ -272,3 +272,15 @@ def test_cross_entropy_counts_every_word_apart(spark):
                     p = PAIR_WEIGHT * both / history + (1 - PAIR_WEIGHT) * p
                 loss -= np.log(p)
             assert abs(ce - loss / len(w)) < 1e-9
+
+
+def test_quality_sample_is_bounded_whatever_repeats(spark, monkeypatch):
+    # Ids of the folds that may be learned from.
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 4 != 2]
+    docs = spark.createDataFrame([(ids[0], f"text {k}") for k in range(500)] + [(i, f"other {i}") for i in ids[1:]], "doc_id long, text string")
+    labels = spark.createDataFrame([(ids[0], 1), (ids[0], 1), *((i, i % 2) for i in ids[1:])], "doc_id long, quality int")
+    monkeypatch.setattr(quality, "train", lambda texts, y: (texts, y))
+    texts, y = quality.fit(docs, labels, rows=100)
+    assert len(texts) == len(y) == 100 and len(set(texts)) == 100
+    texts, _ = quality.fit(docs, labels, rows=1000)
+    assert len(texts) == 500 + len(ids) - 1
