@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
+from ..shared import drop_written, numbered, scratch, shared_dir, written
 from ..ship import ship
 
+__all__ = ["as_bytes", "drop_written", "map_slices", "mapped", "numbered", "scratch", "shared_dir", "slices", "written"]
+
 #: Text bytes that one call of a batch function sees, unless a single row is longer.
 SLICE_BYTES = 4 << 20
 SLICE_ROWS = 4096
@@ -69,54 +68,3 @@ def mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.
     """mapInArrow, with this package at hand in the workers."""
     ship(df.sparkSession)
     return df.mapInArrow(run, schema)
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or outside a cluster a temporary one."""
-    sc = spark.sparkContext
-    found = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
-    if not found:
-        # One process, so there is nothing to share with; local-cluster has several.
-        if not re.fullmatch(r"local(\[.*\])?", sc.master):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        found = sc.getCheckpointDir()
-    return found.rstrip("/")
-
-
-_SCOPES: list[list[DataFrame]] = []
-
-
-def written(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
-    """Write a table into the shared folder and read it again: cuts the lineage, and survives the loss of any executor.
-
-    drop_written() deletes it; inside scratch() that happens at the end of the scope, unless keep is set.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tables/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_path = path
-    if _SCOPES and not keep:
-        _SCOPES[-1].append(out)
-    return out
-
-
-def drop_written(df: DataFrame) -> None:
-    """Delete a table made by written() that nothing will read again; once more is harmless."""
-    path = getattr(df, "_written_path", None)
-    if path:
-        jvm = df.sparkSession.sparkContext._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
-
-
-@contextmanager
-def scratch() -> Iterator[None]:
-    """A scope at whose end the tables written inside are deleted. What it gives to the outside must be written with keep."""
-    _SCOPES.append([])
-    try:
-        yield
-    finally:
-        for df in _SCOPES.pop():
-            drop_written(df)
