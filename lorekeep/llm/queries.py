@@ -115,6 +115,102 @@ SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(coalesce(h.n_hit, 0)
 FROM words w LEFT JOIN hits h USING (doc_id) LEFT JOIN named m USING (doc_id) LEFT JOIN longest l USING (doc_id)
 """
 
+#: CRC-32 of a list of bytes, from a table that the rule of its polynomial gives.
+CRC_SQL = """
+crc_table AS (
+  SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, b: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) ORDER BY i) AS crcs FROM (SELECT unnest(range(256)) AS i)
+)"""
+#: Bytes of a text's UTF-8 form, as numbers.
+BYTES_SQL = "list_transform(regexp_extract_all(hex(encode({})), '..'), lambda x: CAST('0x' || x AS BIGINT))"
+LOWER_SQL = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+
+def crc_sql(text: str) -> str:
+    """CRC-32 of a text, where crc_table is at hand as `crcs`."""
+    return f"xor(list_reduce(list_prepend(4294967295, {BYTES_SQL.format(text)}), lambda c, b: xor(c >> 8, crcs[xor(c & 255, b) + 1])), 4294967295)"
+
+
+OP11_SQL = rf"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({LOWER_SQL}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), words AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), counts AS (
+  SELECT lang, size, phrase, count(*) AS f FROM (
+    SELECT lang, size, array_to_string(w[i : i + size - 1], ' ') AS phrase FROM (SELECT lang, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, (SELECT unnest([1, 2, 3]) AS size))
+  ) GROUP BY lang, size, phrase
+), totals AS (
+  SELECT lang, sum(f) AS n FROM counts WHERE size = 1 GROUP BY lang
+), candidates AS (
+  SELECT lang, size, phrase, f AS a, string_split(phrase, ' ') AS w FROM counts WHERE size >= 2 AND f >= 10
+), cuts AS (
+  SELECT lang, phrase, a, k, array_to_string(w[1 : k], ' ') AS first, array_to_string(w[k + 1 : size], ' ') AS rest FROM (SELECT *, unnest(range(1, size)) AS k FROM candidates)
+), scored AS (
+  SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, CAST(CAST(1000000 AS HUGEINT) * c.a * c.a // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+  FROM cuts c JOIN counts x ON x.lang = c.lang AND x.phrase = c.first JOIN counts y ON y.lang = c.lang AND y.phrase = c.rest
+), best AS (
+  SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_ AS (
+  SELECT lang, a, unnest([array_to_string(w[1 : 2], ' '), array_to_string(w[2 : 3], ' ')]) AS phrase FROM candidates WHERE size = 3
+), longer AS (
+  SELECT lang, phrase, max(a) AS most FROM inner_ GROUP BY lang, phrase
+), ranked AS (
+  SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY b.score DESC, b.a DESC, b.phrase) AS rank FROM best b LEFT JOIN longer g USING (lang, phrase) WHERE g.most IS NULL OR 100 * g.most < 50 * b.a
+)
+SELECT r.lang, r.rank, r.phrase, r.a, r.l, r.r, CAST(t.n AS BIGINT) AS n, r.score FROM ranked r JOIN totals t USING (lang) WHERE r.rank <= 2000
+"""
+
+OP12_SQL = f"""
+WITH {CRC_SQL}, sized AS (
+  SELECT doc_id, coalesce(text, '') AS t, CAST(strlen(coalesce(text, '')) + 1 AS BIGINT) AS size, substr(md5(coalesce(text, '')), 1, 16) AS g, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS h FROM documents
+), placed AS (
+  SELECT *, row_number() OVER (ORDER BY g, h) - 1 AS i, sum(size) OVER (ORDER BY g, h ROWS UNBOUNDED PRECEDING) - size AS before FROM sized
+), total AS (
+  SELECT sum(size) AS bytes, count(*) AS n FROM sized
+), groups AS (
+  SELECT g, sum(size) AS bytes, min(i) AS low, max(i) AS high FROM placed GROUP BY g
+), cuts AS (
+  SELECT k, coalesce((SELECT min(i) FROM placed WHERE before * 16 >= k * (SELECT bytes FROM total)), (SELECT n FROM total)) AS c FROM (SELECT unnest(range(1, 16)) AS k)
+), moved AS (
+  SELECT k, CASE WHEN g.low < c AND g.bytes * 1024 <= (SELECT bytes FROM total) THEN g.high + 1 ELSE c END AS c FROM cuts LEFT JOIN groups g ON g.low <= c AND c <= g.high
+), sharded AS (
+  SELECT p.*, (SELECT count(*) FROM moved WHERE c <= i) AS shard FROM placed p
+)
+SELECT doc_id, size, CAST({crc_sql("t")} AS BIGINT) AS text_crc32, 'bytes' AS law, CAST(shard AS INTEGER) AS shard, i - min(i) OVER (PARTITION BY shard) AS slot, CAST(NULL AS INTEGER) AS grown_shard FROM sharded, crc_table
+"""
+
+OP13_SQL = rf"""
+WITH {CRC_SQL}, words AS (
+  SELECT doc_id, regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+), target AS (
+  SELECT regexp_extract_all({LOWER_SQL}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark
+), sizes AS (
+  SELECT unnest([1, 2, 3]) AS size
+), own AS (
+  SELECT doc_id, array_to_string(w[i : i + size - 1], ' ') AS f FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM words, sizes)
+), wanted AS (
+  SELECT array_to_string(w[i : i + size - 1], ' ') AS f FROM (SELECT w, size, unnest(range(1, len(w) - size + 2)) AS i FROM target, sizes)
+), hashed AS (
+  SELECT f, {crc_sql("f")} % 10000 AS bucket FROM (SELECT f FROM own UNION SELECT f FROM wanted), crc_table
+), own_counts AS (
+  SELECT bucket, count(*) AS s FROM own JOIN hashed USING (f) GROUP BY bucket
+), wanted_counts AS (
+  SELECT bucket, count(*) AS t FROM wanted JOIN hashed USING (f) GROUP BY bucket
+), gains AS (
+  SELECT bucket, CAST(floor(1000 * ln((coalesce(t, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM own) + 10000.0::DOUBLE) / ((coalesce(s, 0) + 1.0::DOUBLE) * ((SELECT count(*) FROM wanted) + 10000.0::DOUBLE)))) AS BIGINT) AS gain
+  FROM own_counts FULL JOIN wanted_counts USING (bucket)
+), weights AS (
+  SELECT doc_id, count(*) AS n_features, sum(gain) AS weight FROM own JOIN hashed USING (f) JOIN gains USING (bucket) GROUP BY doc_id
+), scored AS (
+  SELECT doc_id, len(w) AS n_words, coalesce(n_features, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+    CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('42:' || doc_id), 1, 8) AS BIGINT) + 0.5::DOUBLE) / 4294967296.0::DOUBLE))) AS BIGINT) AS score
+  FROM words LEFT JOIN weights USING (doc_id)
+), able AS (
+  SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_words >= 20
+)
+SELECT s.doc_id, CAST(n_features AS BIGINT) AS n_features, weight, score, CASE WHEN a.rank <= 5 * a.n // 100 THEN a.rank END AS rank FROM scored s LEFT JOIN able a USING (doc_id)
+"""
+
 
 def encoded(docs: DataFrame) -> DataFrame:
     """The digests of bpe.encode() over a table of documents."""
@@ -159,4 +255,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_benchmark_decontamination": OP9_SQL}
+    return {"op9_benchmark_decontamination": OP9_SQL, "op11_phrase_collocations": OP11_SQL, "op12_sharding": OP12_SQL, "op13_importance_resampling": OP13_SQL}
