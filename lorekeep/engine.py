@@ -15,6 +15,8 @@ from .operators import curate as U
 from .operators import distill as D
 from .operators import maintain as M
 from .operators import search as S
+
+from .shared import numbered
 from .sources import exchange
 from .sources.store import TABLES, Store
 
@@ -47,30 +49,20 @@ class Engine:
     def curate(self, entries: DataFrame, as_of: datetime, project: str = "", cached: bool = True, detect: bool = False, order: str = "timestamp") -> dict[str, int]:
         """Distill queue entries and merge them in, in order; the counts of added, merged and skipped records.
 
-        A queue of any length is taken in batches of MOST_IN_ORDER, each of which sees what the ones before it changed and
-        commits a snapshot of its own. If one fails, those before it stay committed, and a new run merges their records into themselves.
+        A queue of any length is one commit: its entries are numbered and merged by tasks, and the counts alone come to the driver.
         """
-        # A total order, so that numbers stay the same if an executor is lost and a part is computed again.
-        place = F.row_number().over(S.Window.partitionBy(F.lit(0)).orderBy(order, F.xxhash64(*entries.columns)))
-        numbered = entries.select(place.alias("seq"), *entries.columns)
-        records = D.distill(numbered, project, self.settings["reflector"], keep=("seq",)).persist()
-        total = entries.count()
-        out = {"added": 0, "merged": 0, "skipped": total}
-        for start in range(0, total, U.MOST_IN_ORDER):
-            batch = records.where((F.col("seq") > start) & (F.col("seq") <= start + U.MOST_IN_ORDER))
-            before = self.store.bullets
-            after, outcome = U.curate(before, batch, as_of, CURATE_THRESHOLD, cached)
-            changed = {"bullets": after}
-            if detect:
-                new = after.join(before.select("id"), "id", "left_anti")
-                changed["conflicts"] = M.with_conflicts(self.store.conflicts, C.detect_conflicts(new, after, self._at(as_of)))
-            got = {r["outcome"]: r["count"] for r in U.counts(outcome).collect()}
-            self.store.commit(changed)
-            for kind in ("added", "merged"):
-                out[kind] += got.get(kind, 0)
-                out["skipped"] -= got.get(kind, 0)
-        records.unpersist()
-        return out
+        numbers = numbered(entries, F.col(order), F.xxhash64(*entries.columns), name="seq")
+        records = D.distill(numbers, project, self.settings["reflector"], keep=("seq",))
+        before = self.store.bullets
+        after, outcome = U.curate(before, records, self._at(as_of), CURATE_THRESHOLD, cached)
+        changed = {"bullets": after}
+        if detect:
+            new = after.join(before.select("id"), "id", "left_anti")
+            changed["conflicts"] = M.with_conflicts(self.store.conflicts, C.detect_conflicts(new, after, self._at(as_of)))
+        got = {r["outcome"]: r["count"] for r in U.counts(outcome).collect()}
+        self.store.commit(changed)
+        added, merged = got.get("added", 0), got.get("merged", 0)
+        return {"added": added, "merged": merged, "skipped": numbers.count() - added - merged}
 
     def learn(self, text: str, as_of: datetime, project: str = "", session_id: str = "manual") -> dict[str, int]:
         """Record a sentence by hand; it is kept however it scores, unless it holds a secret."""

@@ -3,20 +3,24 @@
 from __future__ import annotations
 
 import hashlib
-import math
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..config import CURATE_THRESHOLD
 from ..functions import text as T
-from ..functions import vectors
+from ..shared import written
+from ..ship import ship
+from .components import components
+from .nearest import SLACK, VectorIndex, blocks, linked, unit_rows, usable
 
 ARRAYS = ("related_tools", "related_files", "key_entities", "tags")
-#: Records that curate() takes in order on the driver; Engine.curate() takes a queue of any length in such batches.
-MOST_IN_ORDER = 512
 
 
 def new_id(content: Column, scope: Column, seq: Column) -> Column:
@@ -64,68 +68,176 @@ def curate_exact(bullets: DataFrame, records: DataFrame, as_of: Column, seq: str
     return after, outcome
 
 
-def _cosine(a: list[float], b: list[float]) -> float:
-    size = math.sqrt(sum(x * x for x in a)) * math.sqrt(sum(x * x for x in b))
-    return sum(x * y for x, y in zip(a, b, strict=True)) / size if size and len(a) == len(b) else 0.0
-
-
-def in_order(known: dict[str, dict], records: list[dict], as_of: datetime, threshold: float = CURATE_THRESHOLD, cached: bool = True) -> tuple[dict[str, dict], list[str]]:
-    """(changed rows by id, outcome of each record) of records taken one after the other, so that one can merge into another."""
-    state, changed, outcomes = dict(known), {}, []
-    for r in records:
-        if not (r["content"] or "").strip():
-            outcomes.append("skipped")
-            continue
-        hit = None
-        if cached and r["embedding"] is not None:
-            best = max(((_cosine(r["embedding"], b["embedding"]), i) for i, b in state.items() if b["embedding"] is not None), key=lambda x: (x[0], -list(state).index(x[1])), default=None)
-            if best and best[0] >= threshold:
-                hit = state[best[1]]
-        else:
-            same = [b for b in state.values() if b["content"] == r["content"]]
-            hit = min(same, key=lambda b: (-b["decay_weight"], b["id"]), default=None)
-        if hit:
-            row = hit | {
-                "content": r["content"] if len(r["content"]) > len(hit["content"]) else hit["content"], "instructivity_score": max(hit["instructivity_score"], r["instructivity_score"]),
-                "embedding": r["embedding"] if r["embedding"] is not None else hit["embedding"], "updated_at": as_of,
-            } | {c: list(dict.fromkeys([*(hit[c] or []), *(r[c] or [])])) for c in ARRAYS}
-        else:
-            row = {k: r[k] for k in schemas.names(schemas.DISTILLED)} | {c: list(dict.fromkeys(r[c] or [])) for c in ARRAYS}
-            row |= {"id": hashlib.sha256("|".join([r["content"], r["scope"], str(r["seq"])]).encode()).hexdigest(), "recall_count": 0, "last_recall": None, "decay_weight": 1.0, "created_at": as_of, "updated_at": as_of}
-        outcomes.append("merged" if hit else "added")
-        state[row["id"]] = changed[row["id"]] = row
-    return changed, outcomes
-
-
-def curate(bullets: DataFrame, records: DataFrame, as_of: datetime, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+# In order: a record can merge into what the records before it left
+
+
+class _Group:
+    """The bullets of one group while its records are taken in order: rows in the order in which they came, and their unit vectors."""
+
+    def __init__(self, columns: list[str], threshold: float, cached: bool):
+        self.columns, self.threshold, self.cached = columns, threshold, cached
+        self.rows: list[dict] = []
+        self.places: list[int] = []
+        self.vectors = np.zeros((0, 0))
+        self.n = 0
+        self.by_content: dict[str, list[int]] = {}
+        self.changed: dict[int, bool] = {}
+
+    def _set_vector(self, k: int, vector: list[float] | None) -> None:
+        unit = None if vector is None else np.array(vector, np.float64)
+        size = 0.0 if unit is None else float(np.sqrt(unit @ unit))
+        if not size or not np.isfinite(size):
+            return
+        place = next((p for p in (self.rows[k].get("_place"),) if p is not None), None)
+        if place is None:
+            if not self.n:
+                self.vectors = np.zeros((4, len(unit)))
+            if len(unit) != self.vectors.shape[1]:
+                return
+            if self.n == len(self.vectors):
+                self.vectors = np.concatenate([self.vectors, np.zeros_like(self.vectors)])
+            place = self.rows[k]["_place"] = self.n
+            self.places.append(k)
+            self.n += 1
+        if len(unit) == self.vectors.shape[1]:
+            self.vectors[place] = unit / size
+
+    def add(self, row: dict, new: bool) -> None:
+        k = len(self.rows)
+        self.rows.append(row)
+        self.by_content.setdefault(row["content"], []).append(k)
+        self._set_vector(k, row["embedding"])
+        if new:
+            self.changed[k] = True
+
+    def find(self, record: dict) -> int | None:
+        """The bullet that takes the record: by vector the nearest one, if near enough, and the first of equally near ones; else of equal contents the one with the greatest weight, then the smallest id."""
+        if self.cached and record["embedding"] is not None:
+            unit = np.array(record["embedding"], np.float64)
+            size = float(np.sqrt(unit @ unit))
+            if not self.n or not size or not np.isfinite(size) or len(unit) != self.vectors.shape[1]:
+                return None
+            # Rounded, so that equal vectors are equally near.
+            near = np.round(self.vectors[: self.n] @ (unit / size), 12)
+            best = float(near.max())
+            # Vectors stand in the order of their first use, bullets in that of their coming.
+            return min(self.places[p] for p in np.flatnonzero(near == best).tolist()) if best >= self.threshold else None
+        same = self.by_content.get(record["content"], [])
+        return min(same, key=lambda k: (-(self.rows[k]["decay_weight"] or 0.0), self.rows[k]["id"]), default=None)
+
+    def take(self, record: dict) -> str:
+        k = self.find(record)
+        union = lambda *lists: list(dict.fromkeys(x for own in lists for x in own or []))
+        if k is None:
+            id = hashlib.sha256("|".join([record["content"], record["scope"] or "", str(record["_seq"])]).encode()).hexdigest()
+            row = {c: record.get(c) for c in self.columns} | {c: union(record[c]) for c in ARRAYS} | {"id": id, "recall_count": 0, "last_recall": None, "decay_weight": 1.0}
+            self.add(row, True)
+            return "added"
+        row = self.rows[k]
+        if len(record["content"]) > len(row["content"] or ""):
+            self.by_content[row["content"]].remove(k)
+            self.by_content.setdefault(record["content"], []).append(k)
+            row["content"] = record["content"]
+        row["instructivity_score"] = max((x for x in (row["instructivity_score"], record["instructivity_score"]) if x is not None), default=None)
+        if record["embedding"] is not None:
+            row["embedding"] = record["embedding"]
+            self._set_vector(k, record["embedding"])
+        for c in ARRAYS:
+            row[c] = union(row[c], record[c])
+        self.changed.setdefault(k, False)
+        return "merged"
+
+
+def _in_groups(columns: list[str], threshold: float, cached: bool, schema: pa.Schema) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Groups one after the other, each with its bullets first. A task holds one group's bullets, never its records."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root, group, out = None, None, []
+
+        def done() -> None:
+            for k, made in group.changed.items() if group else ():
+                out.append({c: group.rows[k].get(c) for c in columns} | {"_new": made})
+
+        for b in batches:
+            for r in b.to_pylist():
+                if r["_root"] != root:
+                    done()
+                    root, group = r["_root"], _Group(columns, threshold, cached)
+                if r["_seq"] is None:
+                    group.add(r, False)
+                else:
+                    out.append({"_seq": r["_seq"], "_outcome": group.take(r)})
+            if out:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out.clear()
+        done()
+        if out:
+            yield pa.RecordBatch.from_pylist(out, schema)
+
+    return run
+
+
+def _node(kind: str, name: Column) -> Column:
+    return F.concat(F.lit(f"{kind}|"), name.cast("string"))
+
+
+def _links(bullets: DataFrame, own: DataFrame, by_vector: Column, threshold: float) -> DataFrame:
+    """(a, b): what a record or bullet could merge with, however the ones before change it; a group of many has a link for each member, not for each pair."""
+    index = VectorIndex(own.where(by_vector).select("_seq", "embedding"), "_seq", keep=1)
+
+    def near(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.Table.from_arrays([pa.array([], pa.string())] * 2, names=["a", "b"])
+        i, j = linked(unit_rows(left["v"], index_dim) @ unit_rows(right["v"], index_dim).T >= threshold - SLACK)
+        return pa.Table.from_arrays([left["a"].take(pa.array(i)), right["b"].take(pa.array(j))], names=["a", "b"])
+
+    index_dim = index.dim
+    members = index.members.select("cell", "v", _node("r", F.col("ids")[0]).alias("b"))
+    asking = [index.members.select(_node("r", F.col("ids")[0]).alias("a"), "v"), usable(bullets, "id", index.dim).select(_node("b", F.col("i")).alias("a"), "v")]
+    out = None
+    for left in asking:
+        part = blocks(index.open_to(left, threshold), members, ("cell",), F.xxhash64("a"), F.xxhash64("b"), near, "a string, b string")
+        out = part if out is None else out.unionByName(part)
+    # Records of one vector.
+    same = usable(own.where(by_vector), "_seq", index.dim).select(_node("r", F.col("i")).alias("a"), "v").join(index.members.select("v", _node("r", F.col("ids")[0]).alias("b")), "v").select("a", "b")
+    # Records that go by content, with everything of that content.
+    digest = lambda d: _node("c", F.sha2(F.encode(d["content"], "UTF-8"), 256))
+    asked = own.where(~by_vector).select("content").distinct()
+    said = own.join(asked, "content", "left_semi")
+    known = bullets.join(asked, "content", "left_semi")
+    return out.unionByName(same).unionByName(said.select(_node("r", F.col("_seq")).alias("a"), digest(said).alias("b"))).unionByName(known.select(_node("b", F.col("id")).alias("a"), digest(known).alias("b")))
+
+
+def curate(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(bullets after, outcome of each record), records taken in the order of `seq`, each seeing what the ones before it changed.
 
-    A batch is small (the queue's are of 20), so its order is kept on the driver; the bullets stay where they
-    are. One scan finds for each record the nearest bullets, one more of them than the batch has records, as
-    no more can be changed under way; another finds equal contents. Only these come to the driver. Raises for a batch beyond MOST_IN_ORDER.
+    A record can only meet records and bullets that it is linked to, by a vector that is near enough or by content, over any number of steps. So the groups that
+    are linked are found first, and each is taken in order by a task of its own, which streams the group's records and holds its bullets. The largest group is the longest task, as its order is
+    the result. Nothing comes to the driver. Blank contents are skipped; seq must be a number that no two records share. Where bullets' vectors differ in length from the records' they are near to none. An empty batch changes nothing.
     """
-    rows = [r.asDict() for r in records.orderBy(seq).limit(MOST_IN_ORDER + 1).collect()]
-    if len(rows) > MOST_IN_ORDER:
-        raise ValueError("too many records to take in order: use curate_exact(), or several calls")
     spark = bullets.sparkSession
-    for r in rows:
-        r["seq"] = r[seq]
-    known: dict[str, dict] = {}
-    asked = [(i, [float(x) for x in r["embedding"]]) for i, r in enumerate(rows) if cached and r["embedding"] is not None and (r["content"] or "").strip()]
-    if asked:
-        wanted = F.broadcast(spark.createDataFrame(asked, "q int, v array<double>"))
-        pairs = bullets.where(F.col("embedding").isNotNull()).crossJoin(wanted).withColumn("_s", vectors.cosine(F.col("embedding"), F.col("v"))).where(F.col("_s") >= threshold)
-        near = pairs.withColumn("_n", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("_s"), "id"))).where(F.col("_n") <= len(rows) + 1)
-        known |= {r["id"]: r.asDict() for r in near.select(*bullets.columns).collect()}
-    contents = {r["content"] for r in rows if (not cached or r["embedding"] is None) and (r["content"] or "").strip()}
-    if contents:
-        same = bullets.join(F.broadcast(spark.createDataFrame([(c,) for c in contents], "content string")), "content", "left_semi")
-        same = same.withColumn("_n", F.row_number().over(Window.partitionBy("content").orderBy(F.desc("decay_weight"), "id"))).where(F.col("_n") <= len(rows) + 1)
-        known |= {r["id"]: r.asDict() for r in same.select(*bullets.columns).collect()}
-    changed, outcomes = in_order(dict(sorted(known.items())), rows, as_of, threshold, cached)
-    new = spark.createDataFrame([[row.get(c) for c in bullets.columns] for row in changed.values()], bullets.schema)
-    after = bullets.join(F.broadcast(new.select("id")), "id", "left_anti").select(*bullets.columns).unionByName(new)
-    return after, spark.createDataFrame([(r["seq"], o) for r, o in zip(rows, outcomes, strict=True)], f"{seq} {records.schema[seq].dataType.simpleString()}, outcome string")
+    kind = records.schema[seq].dataType
+    own = records.withColumn("_seq", F.col(seq).cast("long"))
+    wanted = own.where(~_blank(F.col("content")))
+    by_vector = F.col("embedding").isNotNull() & F.lit(cached)
+    columns = bullets.columns
+    groups = components(_links(bullets, wanted, by_vector, threshold))
+    groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
+    # A record in no link is a group of its own.
+    of = lambda d, node: d.withColumn("node", node).join(groups, "node", "left").withColumn("_root", F.coalesce("root", "node"))
+    rows = of(wanted, _node("r", F.col("_seq"))).select("_root", "_seq", *[F.col(c) if c in wanted.columns else F.lit(None).cast(bullets.schema[c].dataType).alias(c) for c in columns])
+    met = bullets.withColumn("node", _node("b", F.col("id"))).join(groups, "node").select(F.col("root").alias("_root"), F.lit(None).cast("long").alias("_seq"), *columns)
+    both = met.unionByName(rows).repartition("_root").sortWithinPartitions("_root", F.asc_nulls_first("_seq"), "id")
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bullets.schema)
+    schema = f"{kinds}, _new boolean, _seq long, _outcome string"
+    ship(spark)
+    done = both.mapInArrow(_in_groups(columns, threshold, cached, to_arrow_schema(spark.createDataFrame([], schema).schema)), schema)
+    done = written(done, "curated", keep=True)
+    at = (F.lit(as_of) if isinstance(as_of, datetime) else as_of).cast("timestamp")
+    changed = done.where("_outcome is null").withColumn("updated_at", at).withColumn("created_at", F.when(F.col("_new"), at).otherwise(F.col("created_at")))
+    after = bullets.join(changed.select("id"), "id", "left_anti").select(*columns).unionByName(changed.select(*columns))
+    outcome = done.where("_outcome is not null").select(F.col("_seq").cast(kind).alias(seq), F.col("_outcome").alias("outcome"))
+    return after, outcome.unionByName(own.where(_blank(F.col("content"))).select(seq, F.lit("skipped").alias("outcome")))
 
 
 def counts(outcome: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..config import DEFAULTS
 from ..functions import scoring, vectors
 from ..functions import text as T
+from .nearest import VectorIndex
 
 FLOOR = 0.02
 # Points for whole words, stems and bigrams, tools and tags, entities.
@@ -149,19 +150,9 @@ def nearest(vectors_of: DataFrame, vector: tuple[float, ...], k: int, id: str =
     return vectors_of.where(F.col("embedding").isNotNull()).select(id, vectors.cosine(F.col("embedding"), fixed).alias("similarity")).orderBy(F.desc("similarity"), id).limit(k)
 
 
-def nearest_of_each(new: DataFrame, known: DataFrame, id: str = "id", block: int = 4096) -> DataFrame:
-    """Of each row of `new` the nearest row of `known` other than itself: id, best_id, similarity.
-
-    new is a stated set of queries, dealt out in blocks of about `block` rows by a hash of the id; each task compares a part of known
-    with one block, and only the best row of each task and query is shuffled. Nothing comes to the driver. Spark broadcasts the blocks
-    only where it knows them to be below its own threshold. Rows without a vector are left out.
-    """
-    own = new.where(F.col("embedding").isNotNull()).select(F.col(id).alias("a"), F.col("embedding").cast("array<double>").alias("v"))
-    own = own.repartition(max(1, -(-own.count() // block)), "a")
-    pairs = known.where(F.col("embedding").isNotNull()).select(F.col(id).alias("b"), "embedding").crossJoin(own).where("a <> b")
-    best = pairs.select("a", "b", vectors.cosine(F.col("embedding"), F.col("v")).alias("s"))
-    # Greatest similarity first, then the smallest id.
-    return best.groupBy("a").agg(F.max("s").alias("similarity"), F.min_by("b", F.struct((-F.col("s")).alias("s"), "b")).alias("best_id")).select(F.col("a").alias(id), "best_id", "similarity")
+def nearest_of_each(new: DataFrame, known: DataFrame, id: str = "id") -> DataFrame:
+    """Of each row of `new` the nearest row of `known` other than itself: id, best_id, similarity. By an index of known's vectors; see VectorIndex for more neighbours and for rows without a usable vector, which are left out."""
+    return VectorIndex(known, id, keep=2).top(new, 1, id).select(id, "best_id", "similarity")
 
 
 #: Tokens of the context's opening tag and notice.

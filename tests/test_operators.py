@@ -2,6 +2,7 @@ import json
 from datetime import datetime, timedelta
 
 import pytest
+from helpers import cosine, curated_in_order
 from pyspark.sql import functions as F
 
 from lorekeep import schemas
@@ -10,6 +11,7 @@ from lorekeep.operators import conflicts as C
 from lorekeep.operators import curate as U
 from lorekeep.operators import distill as D
 from lorekeep.operators import maintain as M
+from lorekeep.operators import nearest
 from lorekeep.operators import search as S
 from lorekeep.operators.detect import detect
 from lorekeep.plans import fixtures
@@ -90,10 +92,12 @@ def test_curate_equals_a_scan_of_everything(spark):
     batch = spark.createDataFrame(rows, f"seq int, {schemas.DISTILLED}")
     after, outcome = U.curate(own, batch, NOW)
     known = {r.id: r.asDict() for r in own.orderBy("id").collect()}
-    changed, want = U.in_order(known, [r.asDict() for r in batch.orderBy("seq").collect()], NOW)
+    state, want = curated_in_order(list(known.values()), [r.asDict() for r in batch.orderBy("seq").collect()])
     assert [r.outcome for r in outcome.orderBy("seq").collect()] == want
-    state = known | changed
-    assert {r.id: (r.content, r.instructivity_score, r.embedding) for r in after.collect()} == {i: (r["content"], r["instructivity_score"], r["embedding"]) for i, r in state.items()}
+    got = {r.id: (r.content, r.instructivity_score, r.embedding) for r in after.collect()}
+    shown = lambda r: (r["content"], r["instructivity_score"], r["embedding"])
+    assert {i: x for i, x in got.items() if i in known} == {i: shown(r) for i, r in state.items() if i in known}
+    assert sorted(map(repr, got.values())) == sorted(repr(shown(r)) for r in state.values())
 
 
 def test_conflicts(spark):
@@ -127,12 +131,11 @@ def test_exact_merge_keeps_adds_and_ranks(spark):
     assert empty.count() == 2 and U.curate_exact(own, batch.limit(0), AT)[0].count() == 5
 
 
-def test_long_queues_go_in_batches(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr(U, "MOST_IN_ORDER", 2)
+def test_a_queue_is_one_commit(spark, tmp_path):
     e = Engine(spark, str(tmp_path / "b"))
     own = entry(spark, *({"summary": f"Executed: npm run build{i % 3}", "command": f"npm run build{i % 3}"} for i in range(5)))
     assert e.curate(own, NOW) == {"added": 3, "merged": 2, "skipped": 0}
-    assert e.stats()["total"] == 3 and e.store.state()["version"] == 4
+    assert e.stats()["total"] == 3 and e.store.state()["version"] == 2
     assert e.curate(own.limit(0), NOW) == {"added": 0, "merged": 0, "skipped": 0}
 
 
@@ -172,16 +175,16 @@ def test_search_and_budget(spark):
     assert S.format_context(ranked, 2000).count("\n---\n") == 4
 
 
-def test_nearest_of_each_in_blocks(spark):
+def test_nearest_of_each_in_blocks(spark, monkeypatch):
     own = bullets(spark, *({"id": f"v{i:02}", "embedding": [float(i % 7), 1.0, float(i % 3), 0.5] if i != 9 else None} for i in range(40)))
     rows = {r.id: r.embedding for r in own.collect() if r.embedding is not None}
-    want = {i: min((-U._cosine(v, w), j) for j, w in rows.items() if i != j) for i, v in rows.items()}
+    want = {i: min((round(-cosine(v, w), 9), j) for j, w in rows.items() if i != j) for i, v in rows.items()}
     for block in (5, 4096):
-        got = S.nearest_of_each(own, own, block=block).collect()
-        assert len(got) == 39 and all(abs(r.similarity + want[r.id][0]) < 1e-9 for r in got)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
-    assert S.nearest_of_each(own, own, block=5).count() == 39
-    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        monkeypatch.setattr(nearest, "BLOCK", block)
+        got = S.nearest_of_each(own, own)
+        assert {r.id: (round(-r.similarity, 9), r.best_id) for r in got.collect()} == want
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "NestedLoop" not in plan and "Cartesian" not in plan
     assert S.nearest_of_each(own.limit(0), own).count() == 0
 
 
