@@ -10,16 +10,18 @@ First words with much behind them are dealt out in parts by the whole suffix. Th
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _words
 from ._batches import as_bytes, map_slices, mapped, written
-from .decontam import suffix_array
 
 LONGEST, LEAST, COVER, TOP = 3, 10, 50, 2000
 #: Between pieces, and between the words of a piece.
@@ -49,6 +51,22 @@ def _runs(values: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
 
 
+def _gathered(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends): the spans of a buffer behind each other, and where each ends."""
+    to = np.cumsum(lens)
+    return buf[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - (to - lens), lens)], to
+
+
+def _in_order(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
+    """Places in the order of several columns of numbers from 0 to below their sizes: by one number for all of them where 63 bits hold it."""
+    if math.prod(sizes) < 1 << 63:
+        key = columns[0].astype(np.int64)
+        for c, n in zip(columns[1:], sizes[1:], strict=True):
+            key = key * n + c
+        return np.argsort(key)
+    return np.lexsort(columns[::-1])
+
+
 def suffixes(texts: list[bytes], langs: list[str], longest: int = LONGEST) -> pa.RecordBatch | None:
     """A row for each language and first word of some texts: the rest of each different suffix, and how often it occurs."""
     words = _words.split(texts, BREAKS)
@@ -58,13 +76,17 @@ def suffixes(texts: list[bytes], langs: list[str], longest: int = LONGEST) -> pa
     _, of = _words.distinct(words)
     names = sorted(set(langs))
     lang = np.searchsorted(np.array(names), np.array(langs))[words.rows()]
-    piece = np.cumsum(PIECES[words.buf])[words.starts]
+    piece = np.cumsum(PIECES[words.buf], dtype=np.int32)[words.starts]
     first = _runs(piece)
     ends = np.repeat(np.append(first[1:], n), np.diff(first, append=n))
-    # All words of a text have its language, so ids of their own for each language keep suffixes of different ones apart.
-    ids = lang * n + of
-    order, rank = suffix_array(ids, ends, longest)
-    head = _runs(rank[order])
+    # The words of each suffix as numbers from 1, 0 behind its end. All have the language of the first one.
+    kinds = int(of.max()) + 2
+    at = np.arange(n)
+    columns = [lang] + [np.where(at + d < ends, of[np.minimum(at + d, n - 1)] + 1, 0) for d in range(longest)]
+    order = _in_order(columns, [len(names)] + [kinds] * longest)
+    new = np.ones(n, bool)
+    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    head = np.flatnonzero(new)
     counts = np.diff(head, append=n)
     at = order[head]
     more = np.minimum(ends[at] - at, longest) - 1
@@ -74,61 +96,72 @@ def suffixes(texts: list[bytes], langs: list[str], longest: int = LONGEST) -> pa
     nth = np.arange(len(entry)) - np.repeat(np.cumsum(slots) - slots, slots)
     place = np.minimum(at[entry] + 1 + nth, n - 1)
     lens = np.where(more[entry] > 0, words.lens[place], 0)
-    to = np.cumsum(lens + 1)
-    data = words.buf[np.arange(int(to[-1])) + np.repeat(words.starts[place] - (to - lens - 1), lens + 1)]
+    data, to = _gathered(words.buf, words.starts[place], lens + 1)
     data[to - 1] = np.where(nth + 1 == slots[entry], 10, 32)
-    row = _runs(ids[at])
+    row = np.flatnonzero(np.concatenate([[True], (of[at][1:] != of[at][:-1]) | (lang[at][1:] != lang[at][:-1])]))
     stop = np.append(row[1:], len(at))
     size = to[np.cumsum(slots)[stop - 1] - 1]
     one = at[row]
-    total = np.cumsum(words.lens[one])
-    name = words.buf[np.arange(int(total[-1])) + np.repeat(words.starts[one] - (total - words.lens[one]), words.lens[one])]
-    kinds = pa.array(names).take(pa.array(lang[one]))
-    return pa.RecordBatch.from_arrays([kinds, _binary(name, total), pa.array(np.diff(size, prepend=0)), _binary(data, size), _binary(counts.astype("<u4").view(np.uint8), 4 * stop)], names=["lang", "word", "size", "rest", "counts"])
-
-
-def _dealt(batch: pa.RecordBatch, parts: dict[tuple[str, bytes], int]) -> pa.RecordBatch:
-    """The rows with a part, those of first words in `parts` cut up by a hash of each suffix's rest."""
-    lang, word = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-    many = [parts.get(k, 1) for k in zip(lang, word, strict=True)]
-    hot = np.flatnonzero(np.array(many) > 1)
-    keep = batch.take(pa.array(np.setdiff1d(np.arange(batch.num_rows), hot)))
-    rows = [[*keep.column(0).to_pylist()], [*keep.column(1).to_pylist()], [0] * keep.num_rows, [*keep.column(3).to_pylist()], [*keep.column(4).to_pylist()]]
-    for i in hot.tolist():
-        rest, counts = batch.column(3)[i].as_py(), np.frombuffer(batch.column(4)[i].as_py(), "<u4")
+    name, total = _gathered(words.buf, words.starts[one], words.lens[one])
+    return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(lang[one])), _binary(name, total), pa.array(np.diff(size, prepend=0)), _binary(data, size), _binary(counts.astype("<u4").view(np.uint8), 4 * stop)], names=["lang", "word", "size", "rest", "counts"])
+
+
+def _dealt(batch: pa.RecordBatch) -> pa.RecordBatch:
+    """Rows of first words that go in parts, cut up by a hash of each suffix's rest. The last column has how many parts."""
+    rows: list[list] = [[] for _ in range(5)]
+    for lang, word, _, rest, counts, many in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        n = np.frombuffer(counts, "<u4")
         buf = np.frombuffer(rest + bytes(8), np.uint8)
         end = np.flatnonzero(buf[: len(rest)] == 10) + 1
         begin = np.concatenate([[0], end[:-1]])
-        part = (_words.xxh64(buf, begin, end - begin) % np.uint64(many[i])).astype(np.int64)
+        part = (_words.xxh64(buf, begin, end - begin) % np.uint64(many)).astype(np.int64)
         order = np.argsort(part, kind="stable")
-        lines = (end - begin)[order]
-        to = np.cumsum(lines)
-        data = buf[np.arange(len(rest)) + np.repeat(begin[order] - (to - lines), lines)]
-        for a, b in zip(_runs(part[order]).tolist(), [*_runs(part[order])[1:].tolist(), len(order)], strict=True):
-            for column, value in zip(rows, (lang[i], word[i], 1 + int(part[order[a]]), data[to[a - 1] if a else 0 : to[b - 1]].tobytes(), counts[order[a:b]].tobytes()), strict=True):
+        data, to = _gathered(buf, begin[order], (end - begin)[order])
+        runs = _runs(part[order]).tolist()
+        for a, b in zip(runs, [*runs[1:], len(order)], strict=True):
+            for column, value in zip(rows, (lang, word, 1 + int(part[order[a]]), data[to[a - 1] if a else 0 : to[b - 1]].tobytes(), n[order[a:b]].tobytes()), strict=True):
                 column.append(value)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(rows, (pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["lang", "word", "part", "rest", "counts"])
 
 
-def prefixes(group: np.ndarray, rests: list[bytes], counts: list[bytes], longest: int = LONGEST) -> list[tuple[np.ndarray, np.ndarray, list[bytes] | Callable[[np.ndarray], list[bytes]]]]:
-    """For each length the phrases of all groups: the group of each, its count, and a function that gives the rest of chosen ones.
+def _spans(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, ends) of a column of bytes or texts."""
+    column = column.combine_chunks()
+    column = column.chunk(0) if isinstance(column, pa.ChunkedArray) else column
+    kind = "<i8" if pa.types.is_large_binary(column.type) or pa.types.is_large_string(column.type) else "<i4"
+    offsets = np.frombuffer(column.buffers()[1], kind)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    data = np.frombuffer(column.buffers()[2] or b"", np.uint8)[offsets[0] : offsets[-1]]
+    return data, offsets[1:] - offsets[0]
+
+
+@dataclass
+class Prefixes:
+    """Phrases of one length: the group of each, its count, and where what follows its first word stands in buf."""
+
+    group: np.ndarray
+    n: np.ndarray
+    buf: np.ndarray
+    start: np.ndarray
+    size: np.ndarray
+
+
+def prefixes(group: np.ndarray, rest: np.ndarray, n: np.ndarray, longest: int = LONGEST) -> list[Prefixes]:
+    """The phrases of each length of some suffixes. group: the first word of each suffix, as a number; rest: what follows it, each with a new line behind it; n: its count.
 
     Suffixes go in reverse order, so a prefix is open, on the stack, from its first suffix to the last one that it begins; what was counted meanwhile is its count.
     """
-    raw = b"".join(rests)
-    n = np.frombuffer(b"".join(counts), "<u4").astype(np.int64)
-    of = np.repeat(group, [len(c) // 4 for c in counts])
-    words = _words.split([raw], _MARKS, lower=False)
+    words = _words.split([rest.tobytes()], _MARKS, lower=False)
     # split() puts one mark before the text.
-    end = np.flatnonzero(words.buf[1 : len(raw) + 1] == 10) + 1
+    end = np.flatnonzero(words.buf[1 : len(rest) + 1] == 10) + 1
     begin = np.searchsorted(words.starts, np.concatenate([[1], end[:-1] + 1]))
     left = np.searchsorted(words.starts, end) - begin
     kind = _words.distinct(words)[1] + 1 if len(words) else np.zeros(1, np.int64)
     follow = [np.where(left > d, kind[np.minimum(begin + d, len(kind) - 1)], 0) for d in range(longest - 1)]
-    order = np.lexsort((*follow[::-1], of))[::-1]
+    order = _in_order([group, *follow], [int(group.max(initial=0)) + 1, *[int(kind.max()) + 1] * (longest - 1)])[::-1]
     run = np.cumsum(n[order])
     open_ = np.ones(len(order), bool)
-    open_[1:] = of[order][1:] != of[order][:-1]
+    own = group[order]
+    open_[1:] = own[1:] != own[:-1]
     out = []
     for d in range(longest):
         if d:
@@ -140,70 +173,107 @@ def prefixes(group: np.ndarray, rests: list[bytes], counts: list[bytes], longest
             on = word[head] > 0
             head, count = head[on], count[on]
         at = order[head]
-
-        def text(chosen: np.ndarray, at: np.ndarray = at, d: int = d) -> list[bytes]:
-            if not d:
-                return [b""] * len(chosen)
-            own = begin[at[chosen]]
-            return [b" " + raw[a:b] for a, b in zip((words.starts[own] - 1).tolist(), (words.starts[own + d - 1] + words.lens[own + d - 1] - 1).tolist(), strict=True)]
-
-        out.append((of[at], count, text))
+        if d:
+            start, last = words.starts[begin[at]], begin[at] + d - 1
+            out.append(Prefixes(group[at], count, words.buf, start, words.starts[last] + words.lens[last] - start))
+        else:
+            out.append(Prefixes(group[at], count, words.buf, np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)))
     return out
 
 
 def _counted(least: int, longest: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts of all phrases from rows in the order of language, first word and part."""
-
-    def flush(rows: list[tuple], partial: bool) -> pa.RecordBatch:
-        keys = list(dict.fromkeys(r[:3] for r in rows))
-        number = {k: i for i, k in enumerate(keys)}
-        group = np.array([number[r[:3]] for r in rows])
-        langs, phrases, words, ns, whole = [], [], [], [], []
-        split = np.array([k[2] > 0 for k in keys])
-        for d, (of, n, text) in enumerate(prefixes(group, [r[3] for r in rows], [r[4] for r in rows], longest)):
-            if not d:
-                total: dict[str, int] = {}
-                for g, c in zip(of.tolist(), n.tolist(), strict=True):
-                    total[keys[g][0]] = total.get(keys[g][0], 0) + c
-                for lang, c in total.items():
-                    for column, value in zip((langs, phrases, words, ns, whole), (lang, None, 0, c, False), strict=True):
-                        column.append(value)
+    """Counts of all phrases from rows in which those of a language, first word and part stand together."""
+
+    def flush(held: list[tuple[pa.RecordBatch, np.ndarray]], partial: bool) -> pa.RecordBatch:
+        """held: rows, and whether each begins a group."""
+        rows = pa.Table.from_batches([b for b, _ in held])
+        new = np.concatenate([x for _, x in held])
+        new[0] = True
+        group = np.cumsum(new) - 1
+        first = pa.array(np.flatnonzero(new))
+        lang, (name, name_end), split = rows["lang"].take(first).combine_chunks(), _spans(rows["word"].take(first)), rows["part"].take(first).to_numpy() > 0
+        n, n_end = _spans(rows["counts"])
+        n = n.view("<u4").astype(np.int64) if len(n) else np.zeros(0, np.int64)
+        of = np.repeat(group, np.diff(n_end, prepend=0) // 4)
+        found = prefixes(of, _spans(rows["rest"])[0], n, longest)
+        kinds = lang.dictionary_encode()
+        kinds = kinds.combine_chunks() if isinstance(kinds, pa.ChunkedArray) else kinds
+        total = np.zeros(len(kinds.dictionary), np.int64)
+        np.add.at(total, kinds.indices.to_numpy()[found[0].group], found[0].n)
+        out = [pa.RecordBatch.from_arrays([kinds.dictionary, pa.nulls(len(total), pa.string()), pa.array(np.zeros(len(total)), pa.int32()), pa.array(total), pa.array(np.zeros(len(total), bool))], names=["lang", "phrase", "words", "n", "whole"])]
+        name_start = name_end - np.diff(name_end, prepend=0)
+        for d, f in enumerate(found):
             # A suffix of full length is in one part alone.
-            part = np.full(len(of), partial) if partial or d + 1 == longest else split[of]
-            on = np.flatnonzero(part | (n >= least))
-            langs += [keys[g][0] for g in of[on].tolist()]
-            phrases += [(keys[g][1] + t).decode() for g, t in zip(of[on].tolist(), text(on), strict=True)]
-            words += [d + 1] * len(on)
-            ns += n[on].tolist()
-            whole += (~part[on]).tolist()
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip((langs, phrases, words, ns, whole), (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.bool_()), strict=True)], names=["lang", "phrase", "words", "n", "whole"])
+            part = np.full(len(f.n), partial) if partial or d + 1 == longest else split[f.group]
+            on = np.flatnonzero(part | (f.n >= least))
+            g = f.group[on]
+            # The first word, then a space and the rest.
+            buf = np.concatenate([name, f.buf])
+            starts = np.stack([name_start[g], len(name) + f.start[on] - 1], axis=1)[:, : 1 + (d > 0)]
+            lens = np.stack([name_end[g] - name_start[g], f.size[on] + 1], axis=1)[:, : 1 + (d > 0)]
+            text, to = _gathered(buf, starts.ravel(), lens.ravel())
+            if d:
+                text[to[1::2] - lens[:, 1]] = 32
+            phrase = _binary(text, to[d > 0 :: 1 + (d > 0)]).cast(pa.string())
+            out.append(pa.RecordBatch.from_arrays([lang.take(pa.array(g)), phrase, pa.array(np.full(len(on), d + 1), pa.int32()), pa.array(f.n[on]), pa.array(~part[on])], names=["lang", "phrase", "words", "n", "whole"]))
+        return pa.Table.from_batches(out).combine_chunks().to_batches()[0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple] = []
+        held: list[tuple[pa.RecordBatch, np.ndarray]] = []
         size, last, torn = 0, None, False
         for b in batches:
-            for row in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                if row[:3] != last:
-                    if torn:
-                        # The rest of a first word that was too large.
-                        yield flush(rows, True)
-                        rows, size, torn = [], 0, False
-                    elif size >= SORTED_BYTES // 2:
-                        yield flush(rows, False)
-                        rows, size = [], 0
-                    last, begun = row[:3], len(rows)
-                elif size >= SORTED_BYTES:
-                    if begun and not torn:
-                        yield flush(rows[:begun], False)
-                        rows = rows[begun:]
-                    else:
-                        yield flush(rows, True)
-                        rows, torn = [], True
-                    size, begun = sum(len(r[3]) for r in rows), 0
-                rows.append(row)
-                size += len(row[3])
-        if rows:
-            yield flush(rows, torn)
+            new = np.zeros(b.num_rows, bool)
+            keys = [b.column(k) for k in range(3)]
+            for c in keys:
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, b.num_rows - 1)).to_numpy(zero_copy_only=False)
+            bytes_ = np.cumsum(pc.binary_length(b.column(3)).to_numpy(zero_copy_only=False))
+            new[0] = [c[0].as_py() for c in keys] != last
+            last = [c[b.num_rows - 1].as_py() for c in keys]
+            at = 0
+            while at < b.num_rows:
+                # As much as fits, a row at least.
+                to = max(at + 1, int(np.searchsorted(bytes_, (bytes_[at - 1] if at else 0) + SORTED_BYTES - size, side="right")))
+                held.append((b.slice(at, to - at), new[at:to]))
+                size += int(bytes_[to - 1] - (bytes_[at - 1] if at else 0))
+                at = to
+                if size < SORTED_BYTES:
+                    continue
+                # Whole groups go; the last one may go on. One that fills all of it goes in pieces.
+                flags = np.concatenate([x for _, x in held])
+                begins = np.flatnonzero(flags)
+                begins = begins[begins > 0]
+                if torn and len(begins):
+                    cut, piece = int(begins[0]), True
+                elif len(begins):
+                    cut, piece = int(begins[-1]), False
+                else:
+                    cut, piece = len(flags), True
+                go, stay, seen = [], [], 0
+                for part, flag in held:
+                    k = min(max(cut - seen, 0), len(flag))
+                    go += [(part.slice(0, k), flag[:k])] if k else []
+                    stay += [(part.slice(k), flag[k:])] if k < len(flag) else []
+                    seen += len(flag)
+                yield flush(go, piece)
+                torn = piece and not len(begins)
+                held = stay
+                size = sum(int(pc.sum(pc.binary_length(p.column(3))).as_py() or 0) for p, _ in held)
+        if held:
+            flags = np.concatenate([x for _, x in held])
+            begins = np.flatnonzero(flags[1:]) + 1
+            if torn and not flags[0] and len(begins):
+                # The end of a group that went in pieces, then whole ones.
+                cut, seen = int(begins[0]), 0
+                go, stay = [], []
+                for part, flag in held:
+                    k = min(max(cut - seen, 0), len(flag))
+                    go += [(part.slice(0, k), flag[:k])] if k else []
+                    stay += [(part.slice(k), flag[k:])] if k < len(flag) else []
+                    seen += len(flag)
+                yield flush(go, True)
+                yield flush(stay, False)
+            else:
+                yield flush(held, torn and not flags[0])
 
     return run
 
@@ -223,14 +293,19 @@ def phrase_counts(docs: DataFrame, lang: str = "lang", text: str = "text", longe
     behind = found.groupBy("lang", "word").agg(F.sum("size").alias("size"))
     # The sizes alone are read for this.
     size = max(HOT_BYTES, (found.agg(F.sum("size")).first()[0] or 0) // MOST_HOT)
-    parts = {(r["lang"], bytes(r["word"])): int(-(-r["size"] // size)) for r in behind.where(F.col("size") > size).collect()}
+    parts = [(r["lang"], bytes(r["word"]), int(-(-r["size"] // size))) for r in behind.where(F.col("size") > size).collect()]
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield _dealt(b, parts)
-
-    dealt = mapped(found, deal, "lang string, word binary, part int, rest binary, counts binary")
-    dealt = dealt.repartition("lang", "word", "part").sortWithinPartitions(F.desc("lang"), F.desc("word"), F.desc("part"))
+            yield _dealt(b)
+
+    # MOST_HOT rows at most.
+    hot = F.broadcast(docs.sparkSession.createDataFrame(parts, "lang string, word binary, many int"))
+    dealt = found.join(hot, ["lang", "word"], "left_anti").select("lang", "word", F.lit(0).alias("part"), "rest", "counts")
+    if parts:
+        dealt = dealt.unionByName(mapped(found.join(hot, ["lang", "word"]), deal, "lang string, word binary, part int, rest binary, counts binary"))
+    # By a hash first, as that is quick to compare; rows of one language, word and part stand together.
+    dealt = dealt.repartition("lang", "word", "part").sortWithinPartitions(F.xxhash64("lang", "word", "part"), "lang", "word", "part")
     raw = written(mapped(dealt, _counted(least, longest), _COUNTS), "phrases")
     added = raw.where("not whole and words > 0").groupBy("lang", "phrase", "words").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     counts = written(raw.where("whole").select("lang", "phrase", "words", "n").unionByName(added), "phrases")
