@@ -18,7 +18,7 @@ from ..functions import text as T
 from ..shared import written
 from ..ship import ship
 from .components import components
-from .nearest import SLACK, VectorIndex, blocks, linked, unit_rows, usable
+from .nearest import SLACK, VectorIndex, blocks, linked, open_to, unit_rows, usable
 
 ARRAYS = ("related_tools", "related_files", "key_entities", "tags")
 
@@ -196,7 +196,7 @@ def _links(bullets: DataFrame, own: DataFrame, by_vector: Column, threshold: flo
     asking = [index.members.select(_node("r", F.col("ids")[0]).alias("a"), "v"), usable(bullets, "id", index.dim).select(_node("b", F.col("i")).alias("a"), "v")]
     out = None
     for left in asking:
-        part = blocks(index.open_to(left, threshold), members, ("cell",), F.xxhash64("a"), F.xxhash64("b"), near, "a string, b string")
+        part = blocks(open_to(left, index.cells, threshold), members, ("cell",), F.xxhash64("a"), F.xxhash64("b"), near, "a string, b string")
         out = part if out is None else out.unionByName(part)
     # Records of one vector.
     same = usable(own.where(by_vector), "_seq", index.dim).select(_node("r", F.col("i")).alias("a"), "v").join(index.members.select("v", _node("r", F.col("ids")[0]).alias("b")), "v").select("a", "b")

@@ -69,6 +69,10 @@ def _mapped(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(run, schema)
 
 
+def _kinds(df: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+
+
 def _centers(sample: np.ndarray, n: int) -> np.ndarray:
     """Directions of n groups of a sample, by a few rounds of spherical k-means from every so-many-th vector."""
     if not len(sample):
@@ -83,6 +87,63 @@ def _centers(sample: np.ndarray, n: int) -> np.ndarray:
     return centers
 
 
+def sampled_centers(own: DataFrame, n: int, dim: int) -> np.ndarray:
+    """Centers of the cells of n vectors v, from a sample that a hash of the vectors chooses: SAMPLE for each of MOST_CELLS cells at most on average."""
+    cells, space = max(1, min(MOST_CELLS, n // IN_CELL)), 1 << 40
+    part = own.where(F.pmod(F.xxhash64("v"), F.lit(space)) < F.lit(int(min(1.0, cells * SAMPLE / max(1, n)) * space))).select("v").collect()
+    sample = np.array([r["v"] for r in part], np.float64).reshape(-1, dim or 1)
+    sample = sample[np.lexsort(sample.T)] if len(sample) else sample
+    sample = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
+    # A sample may by chance have no vector at all; any direction is a center then.
+    return _centers(sample, cells) if len(sample) else np.eye(1, dim or 1)
+
+
+def assigned(own: DataFrame, centers: np.ndarray) -> DataFrame:
+    """The rows with the cell of their vector v and its angle to the center."""
+    at, dim = own.columns.index("v"), centers.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            s = unit_rows(b.column(at), dim) @ centers.T
+            of = s.argmax(axis=1) if len(s) else np.zeros(0, np.int64)
+            angle = np.arccos(np.clip(s[np.arange(len(s)), of], -1.0, 1.0))
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(angle), *b.columns], names=["cell", "angle", *b.schema.names])
+
+    return _mapped(own, run, f"cell int, angle double, {_kinds(own)}")
+
+
+def cells_of(members: DataFrame, centers: np.ndarray) -> Cells:
+    """The cells of assigned rows, with their bounds: one row for each comes to the driver."""
+    low, high = np.full(len(centers), np.inf), np.full(len(centers), -np.inf)
+    for r in members.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
+        low[r["cell"]], high[r["cell"]] = r["low"] - SLACK, r["high"] + SLACK
+    return Cells(centers, low, high)
+
+
+def asking(queries: DataFrame, marks: Callable[[np.ndarray, np.ndarray | None], np.ndarray], dim: int) -> DataFrame:
+    """A row for each query and cell that marks(unit vectors, the column least if there is one) marks: the query's columns but least, and cell."""
+    own = queries.drop("least")
+    names = [*own.columns, "cell"]
+    at, least = queries.columns.index("v"), queries.columns.index("least") if "least" in queries.columns else None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 1024):
+                part = b.slice(start, 1024)
+                row, cell = np.nonzero(marks(unit_rows(part.column(at), dim), None if least is None else part.column(least).to_numpy(zero_copy_only=False)))
+                kept = [c for k, c in enumerate(part.columns) if k != least]
+                for k in range(0, len(row), 8192):
+                    rows = pa.array(row[k : k + 8192])
+                    yield pa.RecordBatch.from_arrays([*(c.take(rows) for c in kept), pa.array(cell[k : k + 8192], pa.int32())], names=names)
+
+    return _mapped(queries, run, f"{_kinds(own)}, cell int")
+
+
+def open_to(queries: DataFrame, cells: Cells, least: float) -> DataFrame:
+    """The queries (with v) with each cell that may hold a vector of similarity `least` or more."""
+    return asking(queries, lambda v, _: (np.cos(cells.least_angle(v)) >= least - SLACK) & np.isfinite(cells.high), cells.centers.shape[1])
+
+
 class VectorIndex:
     """An index of the rows of a table. members: cell, ids (the smallest of each different vector, in order), v; written to the shared folder.
 
@@ -101,43 +162,9 @@ class VectorIndex:
         own = own.withColumn("n", place).where(F.col("n") <= keep).groupBy("v").agg(F.array_sort(F.collect_list("i")).alias("ids"))
         own = written(own, "vectors", keep=True)
         self.n = own.count()
-        cells = max(1, min(MOST_CELLS, self.n // IN_CELL))
-        space = 1 << 40
-        part = own.where(F.pmod(F.xxhash64("v"), F.lit(space)) < F.lit(int(min(1.0, cells * SAMPLE / max(1, self.n)) * space))).select("v").collect()
-        sample = np.array([r["v"] for r in part], np.float64).reshape(-1, self.dim or 1)
-        sample = sample[np.lexsort(sample.T)] if len(sample) else sample
-        sample = sample / np.sqrt((sample * sample).sum(axis=1, keepdims=True))
-        # A sample may by chance have no vector at all; any direction is a center then.
-        centers = _centers(sample, cells) if len(sample) else np.eye(1, self.dim or 1)
-        dim, kind = self.dim, self.kind
-
-        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                s = unit_rows(b.column(0), dim) @ centers.T
-                of = s.argmax(axis=1) if len(s) else np.zeros(0, np.int64)
-                angle = np.arccos(np.clip(s[np.arange(len(s)), of], -1.0, 1.0))
-                yield pa.RecordBatch.from_arrays([pa.array(of, pa.int32()), pa.array(angle), *b.columns], names=["cell", "angle", *b.schema.names])
-
-        self.members = written(_mapped(own, assign, f"cell int, angle double, v array<double>, ids array<{kind}>"), "cells", keep=True)
-        low, high = np.full(len(centers), np.inf), np.full(len(centers), -np.inf)
-        for r in self.members.groupBy("cell").agg(F.min("angle").alias("low"), F.max("angle").alias("high")).collect():
-            low[r["cell"]], high[r["cell"]] = r["low"] - SLACK, r["high"] + SLACK
-        self.cells = Cells(centers, low, high)
-
-    def _ask(self, queries: DataFrame, cells_of: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> DataFrame:
-        """(a, v, cell): a row for each query (a, v, least) and cell that cells_of(unit vectors, least similarities) marks."""
-        dim = self.dim
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for start in range(0, b.num_rows, 1024):
-                    part = b.slice(start, 1024)
-                    row, cell = np.nonzero(cells_of(unit_rows(part.column(1), dim), part.column(2).to_numpy(zero_copy_only=False)))
-                    for k in range(0, len(row), 8192):
-                        at = pa.array(row[k : k + 8192])
-                        yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(cell[k : k + 8192], pa.int32())], names=["a", "v", "cell"])
-
-        return _mapped(queries, run, f"a {queries.schema['a'].dataType.simpleString()}, v array<double>, cell int")
+        centers = sampled_centers(own, self.n, self.dim)
+        self.members = written(assigned(own, centers), "cells", keep=True)
+        self.cells = cells_of(self.members, centers)
 
     def top(self, queries: DataFrame, k: int = 1, id: str = "id", probes: int | None = None, exact: bool = True) -> DataFrame:
         """Of each query the k nearest rows of another id: id, rank (from 1), best_id, similarity, compared (how many different vectors it was compared with).
@@ -157,7 +184,7 @@ class VectorIndex:
             np.put_along_axis(out, np.argsort(angle, axis=1, kind="stable")[:, :probes], True, axis=1)
             return out & np.isfinite(angle)
 
-        first = written(self._best(self._ask(own, nearest_cells), k), "found", keep=True)
+        first = written(self._best(asking(own, nearest_cells, self.dim), k), "found", keep=True)
         found = first
         if exact and len(cells.centers) > probes:
             # What the first cells leave open; where they have too few vectors everything is.
@@ -167,7 +194,7 @@ class VectorIndex:
             def open_cells(v: np.ndarray, least: np.ndarray) -> np.ndarray:
                 return (np.cos(cells.least_angle(v)) >= least[:, None] - SLACK) & np.isfinite(cells.high) & ~nearest_cells(v, least)
 
-            found = first.unionByName(self._best(self._ask(rest, open_cells), k))
+            found = first.unionByName(self._best(asking(rest, open_cells, self.dim), k))
         found = found.withColumn("compared", F.sum("compared").over(Window.partitionBy("a")))
         each = found.select("a", "s", "compared", F.explode("ids").alias("b")).where("a <> b")
         rank = F.row_number().over(Window.partitionBy("a").orderBy(F.desc("s"), "b"))
@@ -229,11 +256,6 @@ class VectorIndex:
         needed = sorted(int(rank[r["q"], r["cell"]]) + 1 for r in got)
         return needed[min(len(needed) - 1, int(share * len(needed)))] if needed else 1
 
-    def open_to(self, queries: DataFrame, least: float) -> DataFrame:
-        """(a, v, cell) for all cells that may hold a vector of similarity `least` or more to a query (a, v)."""
-        cells = self.cells
-        return self._ask(queries.withColumn("least", F.lit(least)), lambda v, s: (np.cos(cells.least_angle(v)) >= s[:, None] - SLACK) & np.isfinite(cells.high))
-
 
 def blocks(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_hash, right_hash, compare: Callable[[pa.Table, pa.Table], pa.Table], schema: str) -> DataFrame:
     """compare(left, right) for the rows of both sides that share the columns `by`, in parts of about BLOCK rows of either side.
@@ -250,6 +272,50 @@ def blocks(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_hash, ri
     return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(compare, schema)
 
 
+def near_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: float) -> DataFrame:
+    """(a columns, b columns, s) of all rows of both sides that share the columns `by` and whose vectors v have the similarity `least` or more.
+
+    left and right: by, v and columns of their own, none of a name that the other has. A row meets only members of cells that may be near enough, and no pair is formed that isn't. Both sides are used several times and so should be written tables.
+    Vectors of another length than the right side's first one are near to none.
+    """
+    one, two = _prepared(left, right, least)
+    lefts, rights = [c for c in left.columns if c not in (*by, "v")], [c for c in right.columns if c not in (*by, "v")]
+    kinds = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
+    names = [*by, *lefts, *rights]
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        if not a.num_rows or not b.num_rows:
+            i = j = np.zeros(0, np.int64)
+            s = np.zeros(0)
+        else:
+            dim = len(a["v"][0])
+            near = unit_rows(a["v"], dim) @ unit_rows(b["v"], dim).T
+            i, j = np.nonzero(near >= least - SLACK)
+            s = near[i, j]
+        return pa.Table.from_arrays([*(a[c].take(pa.array(i, pa.int64())) for c in (*by, *lefts)), *(b[c].take(pa.array(j, pa.int64())) for c in rights), pa.array(s, pa.float64())], names=[*names, "s"])
+
+    hash = lambda columns: F.xxhash64("v", *columns)
+    found = blocks(one, two, (*by, "cell"), hash(lefts), hash(rights), compare, ", ".join(f"`{n}` {kinds[n]}" for n in names) + ", s double")
+    # As near as doubles tell.
+    return found.where(F.col("s") >= least)
+
+
+def _prepared(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+    first = right.select(F.size("v").alias("d")).first()
+    dim = first["d"] if first else 0
+    left, right = left.where(F.size("v") == dim), right.where(F.size("v") == dim)
+    centers = sampled_centers(right, right.count(), dim)
+    members = written(assigned(right, centers), "cells", keep=True)
+    return open_to(left, cells_of(members, centers), least), members.drop("angle")
+
+
+def pairs_compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: float) -> int:
+    """How many pairs near_pairs() multiplies: a report."""
+    one, two = _prepared(left, right, least)
+    count = lambda d, n: d.groupBy(*by, "cell").agg(F.count("*").alias(n))
+    return count(one, "l").join(count(two, "r"), [*by, "cell"]).agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0
+
+
 def linked(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Of the links near[i, j] between rows and columns a spanning forest, as (i, j): no more than there are rows and columns, with the same connections."""
     n, m = near.shape

@@ -15,10 +15,13 @@ from ..operators import curate as U
 from ..operators import distill as D
 from ..operators import maintain as M
 from ..operators import search as S
+from ..operators.nearest import VectorIndex
+from ..operators.postings import InvertedIndex, recall_joined
 from ..operators.detect import detect
+from ..shared import written
 from ..sources import exchange, queue
 from ..streaming.queue import sessions
-from . import fixtures
+from . import fixtures, made
 from .testviews import as_of, bullets, scratch, table
 
 TEXT = "rewh orre thatin fr src3 lang"
@@ -65,6 +68,25 @@ def knn_self_top1(spark, sf_dir):
     return S.nearest_of_each(own.where("id % 100 = 0"), own).select("id", "best_id", _r("similarity", "similarity"))
 
 
+def knn_top10(spark, sf_dir):
+    own = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+    return VectorIndex(own).top(own.where("id % 100 = 0"), 10).select("id", F.col("rank").cast("long").alias("rank"), "best_id", _r("similarity", "similarity"))
+
+
+def recall_index_topk(spark, sf_dir):
+    """The rows of recall_keyword_topk from a stored index of all records."""
+    index = InvertedIndex(spark, scratch(spark, "index")).build(bullets(spark, sf_dir, spread=True))
+    return index.search(S.Query(TEXT, PROJECT), 10).select("id", "scope", _r("score", "score"))
+
+
+def recall_conversations(spark, sf_dir):
+    """The best records for every turn of the conversations whose number is divisible by 100, each with the whole text of the turn as its query."""
+    asked = table(spark, sf_dir, "conversations").where("conv_id % 100 = 0")
+    queries = asked.select((F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), "text", F.concat(F.lit("src"), (F.col("turn") % 12).cast("string")).alias("project"))
+    found = recall_joined(bullets(spark, sf_dir, spread=True), queries, as_of(), limit=5)
+    return found.select("query_id", F.col("rank").cast("long").alias("rank"), "id", "keyword_score", _r("final_score", "final_score"))
+
+
 def filter_bullets_combo(spark, sf_dir):
     found = M.select_bullets(bullets(spark, sf_dir), ["global", "project:src5"], "pitfalls", "Pitfall", 0.1)
     return found.select("id", "scope", _r("decay_weight", "decay_weight"))
@@ -131,8 +153,8 @@ def stem_tokens(spark, sf_dir):
     return words.groupBy(T.stem(F.col("token")).alias("stem")).agg(F.sum("count").alias("n"), F.count("*").alias("n_forms"))
 
 
-def cjk_bigrams(spark, sf_dir):
-    own = fixtures.frame(spark, fixtures.CJK)
+def cjk_ngrams_docs(spark, sf_dir):
+    own = made.texts(spark, sf_dir, fixtures.CJK)
     return own.select("id", *[F.array_join(T.cjk_ngrams(F.col("content"), n), ",").alias(f"grams{n}") for n in (2, 3)])
 
 
@@ -149,8 +171,8 @@ def classify_docs(spark, sf_dir):
     return _classified(table(spark, sf_dir, "documents", True), "doc_id", "text")
 
 
-def classify_fixture(spark, sf_dir):
-    return _classified(fixtures.frame(spark, fixtures.SENTENCES), "id", "content")
+def classify_sentences(spark, sf_dir):
+    return _classified(made.texts(spark, sf_dir, fixtures.SENTENCES), "id", "content")
 
 
 def _sanitized(own: DataFrame, id: str, content: str) -> DataFrame:
@@ -162,24 +184,24 @@ def sanitize_docs(spark, sf_dir):
     return _sanitized(table(spark, sf_dir, "documents", True), "doc_id", "text")
 
 
-def sanitize_fixture(spark, sf_dir):
-    return _sanitized(fixtures.frame(spark, fixtures.SECRETS), "id", "content")
+def sanitize_secrets(spark, sf_dir):
+    return _sanitized(made.texts(spark, sf_dir, fixtures.SECRETS), "id", "content")
 
 
-def entities_fixture(spark, sf_dir):
-    return fixtures.frame(spark, fixtures.SENTENCES).select("id", F.array_join(D.entities(F.col("content")), "|").alias("entities"))
+def entities_sentences(spark, sf_dir):
+    return made.texts(spark, sf_dir, fixtures.SENTENCES).select("id", F.array_join(D.entities(F.col("content")), "|").alias("entities"))
 
 
 def versions_docs(spark, sf_dir):
     return table(spark, sf_dir, "documents", True).select("doc_id", F.explode(C.versions(F.col("text"))).alias("v")).select("doc_id", "v.name", "v.version")
 
 
-def detect_fixture(spark, sf_dir):
-    return detect(fixtures.events(spark)).select("id", "pattern_type", "summary", *[F.coalesce(f"context.{c}", F.lit("")).alias(c) for c in ("file", "language", "error_message", "command")])
+def detect_events(spark, sf_dir):
+    return detect(made.events(spark, sf_dir)).select("id", "pattern_type", "summary", *[F.coalesce(f"context.{c}", F.lit("")).alias(c) for c in ("file", "language", "error_message", "command")])
 
 
-def distill_fixture(spark, sf_dir):
-    entries = detect(fixtures.events(spark))
+def distill_events(spark, sf_dir):
+    entries = detect(made.events(spark, sf_dir))
     found = D.distill(entries, "myapp", keep=("id",))
     return found.select("id", "scope", "section", "knowledge_type", "content", "instructivity_score", F.array_join("tags", ",").alias("tags"), F.array_join("key_entities", "|").alias("entities"), F.coalesce("code_language", F.lit("")).alias("code_language"))
 
@@ -216,12 +238,34 @@ def curate_semantic(spark, sf_dir):
     return outcome.select("seq", "outcome")
 
 
+def curate_ordered(spark, sf_dir):
+    """Four records for each embedding, in order: near the record of that number and longer, far from all, far again and longer, and one that goes by content."""
+    from datetime import datetime
+
+    i, v = F.col("vec_id"), F.col("embedding")
+    far = F.transform(v, lambda x: -x)
+    empty, none = F.array().cast("array<string>"), F.lit(None).cast("string")
+    own = table(spark, sf_dir, "embeddings").join(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), "text"), "vec_id", "left")
+    number = i.cast("string")
+    made_of = (
+        (0, F.concat(F.coalesce("text", F.lit("")), F.lit(" near "), number), (i * 13) % 101, F.concat(F.lit("q"), (i % 3).cast("string")), v), (1, F.concat(F.lit("far "), number), (i * 7) % 101, F.lit("far"), far),
+        (2, F.concat(F.lit("far and longer "), number), (i * 11) % 101, F.lit("again"), far), (3, F.concat(F.lit("plain "), (i % 50).cast("string")), i % 101, F.concat(F.lit("p"), (i % 3).cast("string")), F.lit(None).cast("array<float>")),
+    )
+    rows = F.array(*[F.struct((i * 4 + k).alias("seq"), c.alias("content"), s.cast("double").alias("score"), t.alias("tag"), e.alias("embedding")) for k, c, s, t, e in made_of])
+    records = own.select(F.explode(rows).alias("r")).select(
+        "r.seq", F.lit("global").alias("scope"), F.lit("knowledge").alias("section"), "r.content", F.col("r.content").alias("distilled_rule"), none.alias("code_content"), none.alias("code_language"), F.lit("Knowledge").alias("knowledge_type"),
+        F.col("r.score").alias("instructivity_score"), F.lit("auto").alias("source_type"), empty.alias("related_tools"), empty.alias("related_files"), empty.alias("key_entities"), F.array("r.tag").alias("tags"), "r.embedding",
+    )
+    after, _ = U.curate(bullets(spark, sf_dir, True), records, datetime(2025, 1, 1))
+    return after.select("id", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "instructivity_score", "recall_count", F.array_join("tags", ",").alias("tags"))
+
+
 def conflicts_version(spark, sf_dir):
     return C.all_conflicts(bullets(spark, sf_dir, spread=True), as_of()).where("conflict_type = 'version'").select("bullet_id_a", "bullet_id_b", "description")
 
 
-def conflicts_fixture(spark, sf_dir):
-    return C.all_conflicts(fixtures.rivals(spark), as_of()).select("bullet_id_a", "bullet_id_b", "conflict_type", "description")
+def conflicts_kinds(spark, sf_dir):
+    return C.all_conflicts(made.rivals(spark, sf_dir), as_of()).select("bullet_id_a", "bullet_id_b", "conflict_type", "description")
 
 
 def promote_min_score(spark, sf_dir):
@@ -277,7 +321,7 @@ def updates(spark, sf_dir):
 def recall_cjk(spark, sf_dir):
     """Keyword points of a text with ideographs: whole words, stems and bigrams."""
     empty = F.array().cast("array<string>")
-    own = fixtures.frame(spark, fixtures.CJK).withColumns({"decay_weight": F.lit(1.0), "related_tools": empty, "tags": empty, "key_entities": empty})
+    own = made.texts(spark, sf_dir, fixtures.CJK).withColumns({"decay_weight": F.lit(1.0), "related_tools": empty, "tags": empty, "key_entities": empty})
     return S.keyword_search(own, "数据库 连接池 hello", 10).select("id", "score")
 
 
@@ -330,23 +374,22 @@ def conflicts_open(spark, sf_dir):
     return M.conflicts_by(_conflicts(spark, sf_dir), False).select("id", "bullet_id_a", "bullet_id_b")
 
 
-def _settled(spark, keep: str) -> DataFrame:
-    """The rivals a1 and a2 after their conflict is settled: records, archive and conflict."""
-    own = fixtures.complete_rivals(spark)
-    made = C.all_conflicts(own, as_of())
-    # The one conflict of this pair among those found.
-    id = made.where("bullet_id_a = 'a1' and bullet_id_b = 'a2'").first().id
-    after, archive, conflicts = M.settle(own, _no_archive(spark), made, id, keep, as_of())
+def _settled(spark, sf_dir, keep: str) -> DataFrame:
+    """All rivals after the conflict of the first two is settled: records, archive and conflicts."""
+    own = made.rivals(spark, sf_dir)
+    found = written(C.all_conflicts(own, as_of()), "conflicts", keep=True)
+    id = found.where("bullet_id_a = '0' and bullet_id_b = '1'").first().id
+    after, archive, conflicts = M.settle(own, _no_archive(spark), found, id, keep, as_of())
     named = conflicts.select(F.concat_ws("+", "bullet_id_a", "bullet_id_b").alias("id"), F.when(F.col("resolved") == 1, "resolved").otherwise("open").alias("state"))
     return after.select("id", F.lit("kept").alias("state")).unionByName(archive.select("id", F.lit("archived").alias("state"))).unionByName(named)
 
 
 def conflict_keep_b(spark, sf_dir):
-    return _settled(spark, "keep_b")
+    return _settled(spark, sf_dir, "keep_b")
 
 
 def conflict_keep_both(spark, sf_dir):
-    return _settled(spark, "keep_both")
+    return _settled(spark, sf_dir, "keep_both")
 
 
 def promote_one(spark, sf_dir):
@@ -384,42 +427,41 @@ def queue_roundtrip(spark, sf_dir):
     return queue.unprocessed(queue.marked(own, own.where("tool_name = 'error'"))).select("timestamp", "session_id", "summary")
 
 
-def _lines(spark, text: str) -> DataFrame:
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
-
-
 def markdown_document(spark, sf_dir):
-    """The document for people, of the fixture's few records."""
-    return _lines(spark, exchange.export_markdown(fixtures.complete_rivals(spark), "2025-01-01", "p"))
+    """The document of all records, line by line."""
+    return exchange.markdown_rows(bullets(spark, sf_dir), "2025-01-01", "p").select("n", F.md5(F.encode("line", "UTF-8")).alias("line_md5"))
 
 
 def context_document(spark, sf_dir):
-    own = fixtures.complete_rivals(spark)
-    return _lines(spark, S.format_context(own.withColumn("rank", F.row_number().over(S.Window.partitionBy(F.lit(0)).orderBy("id")))))
+    """The context text of a recall over all visible records, as far as the token budget goes."""
+    best = S.keyword_search(S.visible(bullets(spark, sf_dir, spread=True), ["global", f"project:{PROJECT}"]), TEXT, 10)
+    ranked = best.withColumn("rank", F.row_number().over(S.Window.partitionBy(F.lit(0)).orderBy(F.desc("score"), F.desc("decay_weight"), "id")))
+    text = S.format_context(ranked, 4000)
+    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n int, line string")
 
 
-def _imported(spark) -> DataFrame:
-    """The fixture's records as a JSON document, written, read back and validated."""
-    path = scratch(spark, "export") + ".json"
-    exchange.save(spark, exchange.export_json(fixtures.complete_rivals(spark), "2025-01-01T00:00:00.000Z"), path)
+def _exported(spark, sf_dir) -> DataFrame:
+    """All records as one JSON document, written and read back by tasks and validated."""
+    path = scratch(spark, "export")
+    exchange.write_lines(exchange.json_rows(made.rivals(spark, sf_dir), "2025-01-01T00:00:00.000Z"), path)
     return exchange.import_json(spark, path)
 
 
 def import_document(spark, sf_dir):
-    return _imported(spark).select("seq", "scope", "section", "content", "source_type", "instructivity_score", F.array_join("key_entities", ",").alias("entities"))
+    return _exported(spark, sf_dir).select("seq", "scope", "section", F.md5(F.encode("content", "UTF-8")).alias("content_md5"), "source_type", "instructivity_score", F.array_join("key_entities", ",").alias("entities"))
 
 
 def import_merge(spark, sf_dir):
     """The document merged into a part of its records."""
-    known = fixtures.complete_rivals(spark).where("id < 'd'")
-    after, _ = U.curate_exact(known, _imported(spark), as_of())
-    return after.select("content", F.when(F.length("id") == 2, F.col("id")).otherwise("new").alias("from_id"), "source_type", F.unix_micros("updated_at").alias("updated_us"))
+    known = made.rivals(spark, sf_dir).where("id % 3 <> 0")
+    after, _ = U.curate_exact(known, _exported(spark, sf_dir), as_of())
+    return after.select(F.md5(F.encode("content", "UTF-8")).alias("content_md5"), F.when(F.length("id") < 64, F.col("id")).otherwise("new").alias("from_id"), "source_type", _us("updated_at").alias("updated_us"))
 
 
 _ALL = (
-    recall_keyword_topk, recall_hybrid_topk, recall_multi_query, knn_topk, knn_self_top1, filter_bullets_combo, filter_page, scope_listing, stats_grouping_sets, project_stats, decay_weights, decay_updates,
-    decay_archive, bullets_after_decay, recency_boost, context_budget, tokenize_docs, stem_tokens, cjk_bigrams, content_density, classify_docs, classify_fixture, sanitize_docs, sanitize_fixture, entities_fixture,
-    versions_docs, detect_fixture, distill_fixture, curate_exact, curate_outcomes, curate_semantic, conflicts_version, conflicts_fixture, promote_min_score, conflict_keep_a, export_rows, export_markdown,
+    recall_keyword_topk, recall_hybrid_topk, recall_multi_query, knn_topk, knn_self_top1, knn_top10, recall_index_topk, recall_conversations, filter_bullets_combo, filter_page, scope_listing, stats_grouping_sets, project_stats, decay_weights, decay_updates,
+    decay_archive, bullets_after_decay, recency_boost, context_budget, tokenize_docs, stem_tokens, cjk_ngrams_docs, content_density, classify_docs, classify_sentences, sanitize_docs, sanitize_secrets, entities_sentences,
+    versions_docs, detect_events, distill_events, curate_exact, curate_outcomes, curate_semantic, curate_ordered, conflicts_version, conflicts_kinds, promote_min_score, conflict_keep_a, export_rows, export_markdown,
     import_roundtrip, queue_trigger_batches, vectors_norm, deletes, updates, recall_cjk, recall_bump, bullet_by_id, embeddings_listing, insert_rows, clear_rows, archive_move, conflicts_insert_resolve,
     conflicts_open, conflict_keep_b, conflict_keep_both, promote_one, promote_scope, promote_scope_min_score, entities_docs, event_sessions, queue_roundtrip, markdown_document, context_document,
     import_document, import_merge,

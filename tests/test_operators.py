@@ -272,3 +272,68 @@ def test_queue_and_stream(spark, tmp_path):
     assert queue.read(spark, path).where("session_id = 's1'").count() == 0
     many = spark.createDataFrame([("s", i) for i in range(45)], "session_id string, timestamp int")
     assert sorted(r["count"] for r in queue.batches(many).groupBy("batch").count().collect()) == [5, 20, 20]
+
+
+def test_documents_of_any_size(spark, tmp_path):
+    """Numbered lines are those of the driver's documents; a document of many splits comes back in order."""
+    rows = [{"id": f"{i:03}", "section": ("pitfalls", "knowledge", "methods")[i % 3], "decay_weight": (i * 7 % 10) / 10, "content": f"one | two {i}\nand \"three\"\n    }},\n    {{\n", "code_content": "x\ny" if i % 4 else None, "tags": ["t"]} for i in range(60)]
+    own = bullets(spark, *rows)
+    for project in (None, "p"):
+        got = exchange.markdown_rows(own.repartition(5), "2025-01-01", project).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(len(got))) and "\n".join(r.line for r in got) == exchange.export_markdown(own, "2025-01-01", project)
+    assert [r.line for r in exchange.markdown_rows(own.limit(0), "2025-01-01").orderBy("n").collect()] == exchange.export_markdown(own.limit(0), "2025-01-01").split("\n")
+    lines, pretty = str(tmp_path / "lines"), str(tmp_path / "pretty.json")
+    exchange.write_lines(exchange.json_rows(own.repartition(7), "2025-01-01T00:00:00.000Z", "p"), lines)
+    text = "".join(f.read_text() for f in sorted((tmp_path / "lines").glob("part-*")))
+    assert json.loads(text) == json.loads(exchange.export_json(own, "2025-01-01T00:00:00.000Z", "p"))
+    exchange.save(spark, exchange.export_json(own, "2025-01-01T00:00:00.000Z", "p"), pretty)
+    whole = tmp_path / "compact.json"
+    whole.write_text(json.dumps(json.loads(text)))
+    assert exchange.import_split(spark, str(whole)) is None
+    shown = lambda d: sorted((r.seq, r.content, r.section, r.instructivity_score, r.tags, r.code_content) for r in d.collect())
+    want = shown(exchange.import_json(spark, str(whole)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4k")
+    try:
+        for path in (lines, pretty):
+            assert exchange.import_split(spark, path) is not None and shown(exchange.import_json(spark, path)) == want
+        assert spark.read.option("lineSep", exchange._BETWEEN).text(pretty).rdd.getNumPartitions() >= 4
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    for bare in ([], [bullets(spark, {"id": "x"})]):
+        d = bare[0] if bare else own.limit(0)
+        exchange.save(spark, exchange.export_json(d, "t"), str(tmp_path / "few.json"))
+        assert exchange.import_json(spark, str(tmp_path / "few.json")).count() == len(bare)
+
+
+def test_semantic_pairs_are_few(spark, monkeypatch):
+    """Opposite sides meet in cells: with vectors in clusters most pairs are never multiplied."""
+    import numpy as np
+
+    monkeypatch.setattr(nearest, "IN_CELL", 30)
+    r = np.random.default_rng(3)
+    centers = r.normal(size=(12, 16))
+    vector = lambda i: [float(x) for x in centers[i % 12] + 0.05 * r.normal(size=16)]
+    own = bullets(spark, *({"id": f"r{i:03}", "content": ("Always x", "Never x")[i % 2] + f" {i}", "embedding": vector(i // 2)} for i in range(600))).persist()
+    rows = {x.id: (x.content[:5], x.embedding) for x in own.collect()}
+    want = {(a, b) for a, x in rows.items() for b, y in rows.items() if a < b and x[0] != y[0] and cosine(x[1], y[1]) >= 0.75}
+    got = C.all_conflicts(own, AT).where("conflict_type = 'semantic'")
+    assert {(x.bullet_id_a, x.bullet_id_b) for x in got.collect()} == want and want
+    sides = C._sides(own)
+    ends = C.semantic_ends(own, own, sides, sides)
+    compared = nearest.pairs_compared(*ends, ("scope", "key", "meets"), 0.75)
+    assert 2 * len(want) <= compared < 2 * 300 * 300 / 3
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "Cartesian" not in plan
+
+
+def test_stated_rows(spark):
+    """The inline rows that the queries deal over the tables, by themselves."""
+    from lorekeep.functions import scoring, secrets
+    from lorekeep.functions import text as T
+
+    assert [r.g for r in fixtures.frame(spark, fixtures.CJK).orderBy("id").select(F.array_join(T.cjk_ngrams(F.col("content"), 2), ",").alias("g")).collect()] == ["数据,据库", "数据,据库", "", "", "数据,据库,库连,连接,接池"]
+    kinds = [r.k for r in fixtures.frame(spark, fixtures.SENTENCES).orderBy("id").select(scoring.knowledge_type(F.col("content")).alias("k")).collect()]
+    assert kinds == ["Pitfall", "Method", "Trick", "Preference", "Knowledge", "Knowledge", "Knowledge", "Preference", "Preference", "Knowledge"]
+    assert [r.n for r in fixtures.frame(spark, fixtures.SECRETS).orderBy("id").select(F.size(secrets.reasons(F.col("content"))).alias("n")).collect()] == [2, 3, 1, 1, 0, 1, 0, 0]
+    found = {r.id: r.pattern_type for r in detect(fixtures.events(spark)).collect()}
+    assert found == {0: "error_fix", 3: "error_fix", 5: "command_usage", 7: "command_usage", 8: "command_usage", 10: "code_pattern", 11: "code_pattern", 12: "code_pattern", 13: "code_pattern", 14: "code_pattern", 16: "file_creation", 17: "file_creation", 19: "code_pattern", 22: "command_usage", **{k: v for k, v in found.items() if k in (1, 6)}}
