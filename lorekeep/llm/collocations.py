@@ -34,7 +34,7 @@ COUNTED_BYTES = 8 << 20
 #: First words with more bytes behind them than this, or than the MOST_HOT-th part of all, are dealt out in parts of about that size. So at most MOST_HOT words are listed.
 HOT_BYTES, MOST_HOT = 4 << 20, 1 << 18
 #: Bytes that a task puts in order at once; a first word with more gives partial counts.
-SORTED_BYTES = 16 << 20
+SORTED_BYTES = 8 << 20
 
 _SUFFIXES = "lang string, word binary, size long, rest binary, counts binary"
 _COUNTS = "lang string, phrase string, words int, n long, whole boolean"
@@ -54,7 +54,12 @@ def _runs(values: np.ndarray) -> np.ndarray:
 def _gathered(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, ends): the spans of a buffer behind each other, and where each ends."""
     to = np.cumsum(lens)
-    return buf[np.arange(int(to[-1]) if len(to) else 0) + np.repeat(starts - (to - lens), lens)], to
+    total = int(to[-1]) if len(to) else 0
+    # An index for each byte is what takes most memory here.
+    kind = np.int32 if max(total, len(buf)) < 1 << 31 else np.int64
+    at = np.arange(total, dtype=kind)
+    at += np.repeat((starts - (to - lens)).astype(kind), lens)
+    return buf[at], to
 
 
 def _in_order(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
