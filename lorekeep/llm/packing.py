@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._batches import as_bytes, map_slices, mapped
+from ._batches import as_bytes, map_slices, mapped, written
 from .bpe import build_lexicon, encoder_for
 
 ROW = 2048
@@ -24,7 +24,7 @@ ROW = 2048
 BLOCK_BYTES = 16 << 20
 #: Tokens at which a block is packed and begun anew, which takes a block far beyond the average: copies of one row, without ids.
 MOST_TOKENS = 1 << 24
-#: Copies of one row, id and text, that a task leaves in one block from each run of rows.
+#: Copies of one row, id and text, that stay in one block.
 COPIES = 64
 
 
@@ -85,30 +85,32 @@ def best_fit_decreasing(lens: np.ndarray, size: int) -> list[list[int]]:
     return rows
 
 
-def _sized(docs: DataFrame, text: str) -> int:
-    """Number of blocks for a table."""
-    return 1 + (docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0) // BLOCK_BYTES
+def _dealt(own: DataFrame) -> DataFrame:
+    """(i, t, h, block): each row with its block, of as many as the table's bytes ask for. A row that occurs more than COPIES times is counted, and its copies go to several blocks by their number, whichever files they came from."""
+    sizes = written(own.groupBy("h").agg(F.count("*").alias("n"), F.sum(F.coalesce(F.octet_length("t"), F.lit(0))).alias("b")), "sizes")
+    total, most = sizes.agg(F.sum("b"), F.max("n")).first()
+    blocks = F.lit(1 + (total or 0) // BLOCK_BYTES)
+    plain = own.withColumn("block", F.pmod("h", blocks))
+    if (most or 0) <= COPIES:
+        return plain
+    often = sizes.where(F.col("n") > COPIES).select("h")
+    counted = own.join(often, "h", "left_semi").groupBy("i", "t", "h").agg(F.count("*").alias("n"))
+    copies = counted.select("i", "t", "h", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("copy"))
+    copies = copies.withColumn("block", F.pmod(F.xxhash64("h", F.floor(F.col("copy") / COPIES)), blocks)).drop("copy")
+    return plain.join(often, "h", "left_anti").select("i", "t", "h", "block").unionByName(copies)
 
 
-def _encoded(own: DataFrame, name: str, blocks: int, end: int | None) -> DataFrame:
-    """(block, h, i, ids) of each row (i, t, h)."""
+def _encoded(own: DataFrame, name: str, end: int | None) -> DataFrame:
+    """(block, h, i, ids) of each row (i, t, h, block)."""
 
     def work():
         encoder = encoder_for(name)
 
         def each(batch: pa.RecordBatch) -> pa.RecordBatch:
             flat, first = encoder.encode(as_bytes(batch.column(1)))
-            h = batch.column(2).to_numpy(zero_copy_only=False)
-            _, of = np.unique(h, return_inverse=True)
-            order = np.argsort(of, kind="stable")
-            copy = np.empty(len(h), np.int64)
-            copy[order] = np.arange(len(h)) - np.searchsorted(of[order], of[order])
-            # A flood of copies is dealt out; a few stay together wherever they are read.
-            with np.errstate(over="ignore"):
-                block = ((h.view(np.uint64) + (copy // COPIES).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) % np.uint64(blocks)).astype(np.int64)
             last = [] if end is None else [end]
             ids = [np.append(flat[a:b], np.array(last, "<u4")).astype("<u4").tobytes() for a, b in zip(first, first[1:], strict=False)]
-            return pa.RecordBatch.from_arrays([pa.array(block), batch.column(2), batch.column(0), pa.array(ids, pa.binary())], names=["block", "h", "i", "ids"])
+            return pa.RecordBatch.from_arrays([batch.column(3), batch.column(2), batch.column(0), pa.array(ids, pa.binary())], names=["block", "h", "i", "ids"])
 
         return each
 
@@ -131,7 +133,7 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
     own = own.withColumn("h", F.xxhash64("i", F.coalesce("t", F.lit(""))))
     kind = own.schema["i"].dataType
-    rows = _encoded(own, name, _sized(docs, text), end).repartition("block").sortWithinPartitions("block", "h", "i")
+    rows = _encoded(_dealt(own), name, end).repartition("block").sortWithinPartitions("block", "h", "i")
 
     def packed(ids: pa.Array, tokens: list[np.ndarray], block: int, first_row: int) -> tuple[pa.RecordBatch | None, int]:
         owner, begin, lens = [], [], []

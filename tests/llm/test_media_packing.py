@@ -209,3 +209,15 @@ def test_a_flood_of_copies_is_dealt_out(spark, monkeypatch):
     monkeypatch.setattr(packing, "MOST_TOKENS", 500)
     again = packing.pack(d, PATH, size=64, pad=50257).collect()
     assert sum(r.n_tokens for r in again) == sum(r.n_tokens for r in rows) and len({(r.block, r.row_in_block) for r in again}) == len(again)
+
+
+def test_copies_go_by_their_number(spark, monkeypatch, tmp_path):
+    """400 copies of one row, wherever they are read."""
+    monkeypatch.setattr(packing, "BLOCK_BYTES", 4000)
+    d = spark.createDataFrame([(7, "copied again and again " * 5)] * 400 + [(None, None)] * 90 + [(i, f"row {i} " * 9) for i in range(100)], "doc_id long, text string")
+    found = []
+    for n in (1, 4, 9):
+        d.repartition(n, "text" if n == 4 else "doc_id").write.parquet(str(tmp_path / f"p{n}")) if n > 1 else d.coalesce(1).write.parquet(str(tmp_path / "p1"))
+        found.append(profile(packing.pack(spark.read.parquet(str(tmp_path / f"p{n}")), PATH, size=64, pad=50257, end=50256).collect()))
+    assert found[0] == found[1] == found[2] and len({r[0] for r in found[0] if "7" in r[3]}) > 1
+    assert sum(x == "7" for r in found[0] for x, at in zip(r[3], r[4], strict=True) if at == 0) == 401
