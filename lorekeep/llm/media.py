@@ -31,7 +31,7 @@ READ_BYTES = 2 << 20
 #: Blocks whose codes are made together, each byte of which takes some hundred bytes meanwhile; and rows of samples turned into RGB together.
 STRIP_BLOCKS = 1 << 14
 STRIP_SAMPLES = 1 << 20
-#: An image of more samples than this is reported as an error rather than read: its header, not its bytes, says how much memory it takes.
+#: An image whose header claims more samples than this, and more than its bytes could hold, is reported as an error rather than read.
 MOST_SAMPLES = 1 << 28
 _COMMENT = b"payload="
 
@@ -363,7 +363,8 @@ def _parse(data: bytes) -> Image:
             image.scans.append((tuple(c for c, _ in use), lo, hi, bits >> 4, bits & 15, coded, restart, [data[a:b].replace(b"\xff\x00", b"\xff") for a, b in parts]))
     if image is None:
         raise ValueError("no frame header")
-    if not image.width or not image.height or image.width * image.height > MOST_SAMPLES:
+    # As many as its bytes could hold, a bit for each, are no mere claim.
+    if not image.width or not image.height or image.width * image.height > max(MOST_SAMPLES, 8 * len(data)):
         raise ValueError("an image without samples, or with too many")
     image.note = note
     image.quant = [quant[q] for q in image.quant]
