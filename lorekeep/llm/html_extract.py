@@ -33,13 +33,16 @@ _OUT_TAGS = frozenset(["nav", "footer", "aside", "form", "dialog", "menu"])
 _IN_ROLES = frozenset(["main", "article"])
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 
-#: Parts of class names and ids that hint at something beside the article. A name counts only if all its parts are among these and _PLAIN_PARTS.
+#: Parts of class names and ids that hint at something beside the article. A name counts if all its parts are among these and _PLAIN_PARTS, or one of them is among _TELLING_PARTS.
 _OUT_PARTS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner nav navbar navigation menu breadcrumb breadcrumbs sidebar footer masthead topbar toolbar comment comments reply replies cookie cookies consent"
-    " notice popup modal overlay subscribe newsletter signup login share sharing social related recommended pagination pager widget widgets".split()
+    " notice popup modal overlay subscribe newsletter signup login share sharing social related recommended pagination pager widget widgets discussion discussions disqus gdpr ccpa alert alerts copyright".split()
 )
+#: Parts that tell whatever stands beside them, but for a part of _IN_PARTS; and parts that are a headline's inside an article.
+_TELLING_PARTS = frozenset("ads advert adverts advertisement sponsored comments disqus cookie cookies gdpr newsletter breadcrumb breadcrumbs navbar sidebar".split())
+_HEAD_PARTS = frozenset(["banner", "masthead"])
 _IN_PARTS = frozenset("article content post entry story main body text".split())
-_PLAIN_PARTS = frozenset("site page top bottom left right list item items box block wrap wrapper container inner outer area section row column col group panel bar links global primary secondary thread form header".split()) | _IN_PARTS
+_PLAIN_PARTS = frozenset("site page top bottom left right list item items box block wrap wrapper container inner outer area section row column col group panel bar links global primary secondary thread form header bar user users reader readers".split()) | _IN_PARTS
 
 _ATTRIBUTE = re.compile(r"([a-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
 _TELLING = re.compile(r"class|\bid\b|role|style|hidden|itemprop", re.I)
@@ -119,12 +122,17 @@ def trained() -> Tree:
     return grow(*labelled())
 
 
-def _hints(name: str) -> float:
-    """What a class name or id hints at: -1, 0 or 1."""
-    parts = [p for p in _PART.split(name) if p]
-    if not all(p in _OUT_PARTS or p in _PLAIN_PARTS for p in parts):
+def _hints(name: str, inside: bool = False) -> float:
+    """What a class name or id hints at: -1, 0 or 1. inside: in an article."""
+    parts = {p for p in _PART.split(name) if p}
+    if inside:
+        parts -= _HEAD_PARTS
+    told = parts & _OUT_PARTS
+    if parts & _TELLING_PARTS and not parts & _IN_PARTS:
+        return -1.0
+    if parts - _OUT_PARTS - _PLAIN_PARTS:
         return 0.0
-    return -1.0 if any(p in _OUT_PARTS for p in parts) else 1.0 if any(p in _IN_PARTS for p in parts) else 0.0
+    return -1.0 if told else 1.0 if parts & _IN_PARTS else 0.0
 
 
 def _marks(tag: str, attributes: str, region: float, forms: bool) -> tuple[float, float, bool]:
@@ -134,7 +142,7 @@ def _marks(tag: str, attributes: str, region: float, forms: bool) -> tuple[float
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id") and tag not in ("html", "body"):
-                found = [_hints(x) for x in value.split()]
+                found = [_hints(x, region == INSIDE) for x in value.split()]
                 hint = min(found) if found and min(found) < 0 else max([hint, *found]) if hint >= 0 else hint
             elif name == "role":
                 role = value
@@ -146,6 +154,9 @@ def _marks(tag: str, attributes: str, region: float, forms: bool) -> tuple[float
                 label = True
     if hidden:
         return OUT, hint, label
+    if tag in ("article", "main"):
+        # What names an article itself says nothing against it.
+        hint = max(hint, 0.0)
     if tag in ("article", "main") or role in _IN_ROLES or body:
         return (INSIDE if region != OUT or forms else OUT), hint, label
     if tag in _OUT_TAGS or tag in _CONTROLS or role in _OUT_ROLES or tag == "header" and region != INSIDE:

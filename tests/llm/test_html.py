@@ -118,6 +118,20 @@ def test_left_out(tree):
             assert text_of(f"<p>{'b ' * n}</p><article><p>{'a ' * 40}</p></article><div>{'b ' * n}</div>", tree).count("b") == 0
 
 
+def test_names_that_tell(tree):
+    run = "a " * 60
+    for left in ("<div class=discussion><p>{}</p></div>", "<div id=disqus_thread><p>{}</p></div>", "<section class=user-comments><p>{}</p></section>", "<div class=gdpr-bar>{}</div>", "<div class='alert alert-box'>{}</div>", "<div class=x9-newsletter-q>{}</div>"):
+        for page in ("<main><h1>t</h1><p>{run}</p>{left}<p>{run}</p></main>", "<article><p>{run}</p>{left}</article>"):
+            assert "b" not in text_of(page.format(run=run, left=left.format("b " * 30)), tree), left
+    assert "b" not in text_of(f"<div class=gdpr-bar>{'b ' * 20}</div><p>{run}</p><p>{run}</p><p>{run}</p>", tree)
+    for kept in ("<div class=banner><h1>{}</h1></div>", "<div class=masthead><h1>{}</h1></div>", "<div class='post-comments-free text'><p>{}</p></div>", "<section class='panel-discussion-report'><p>{}</p></section>"):
+        assert text_of(f"<article>{kept.format('b b b b')}<p>{run}</p></article>", tree).startswith("b b b b"), kept
+    assert text_of(f"<article class=newsletter><p>{run}</p></article>", tree) == run.strip()
+    # Without a marked article the neighbours decide: the same nine words among text, and among links.
+    nine, link = "c " * 9, "<div><a href=#>d d</a></div>"
+    assert "c" in text_of(f"<p>{run}</p><p>{run}</p><p>{nine}</p><p>{run}</p><p>{run}</p>", tree) and "c" not in text_of(f"{link * 4}<div>{nine}</div>{link * 4}", tree)
+
+
 def test_the_tree_looks_at_neighbours(tree):
     x, y = html_extract.labelled()
     assert ((tree.predict(x) >= 0.5) == y).mean() > 0.98
