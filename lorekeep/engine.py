@@ -16,7 +16,7 @@ from .operators import distill as D
 from .operators import maintain as M
 from .operators import search as S
 
-from .shared import numbered
+from .shared import numbered, written
 from .sources import exchange
 from .sources.store import TABLES, Store
 
@@ -35,7 +35,9 @@ class Engine:
         bullets = self.store.bullets
         rows = [r.asDict() for r in S.recall(bullets, S.Query(text, project, vector), self._at(as_of), self.settings["search"], limit).collect()]
         if rows and bump:
-            self.store.commit({"bullets": M.recalled(bullets, self.spark.createDataFrame([(r["id"],) for r in rows], "id string"), self._at(as_of))})
+            ids = [r["id"] for r in rows]
+            hit = self.spark.createDataFrame([(i,) for i in ids], "id string")
+            self.store.commit({}, upserts={"bullets": M.recalled(bullets.where(F.col("id").isin(ids)), hit, self._at(as_of))})
         return rows
 
     def context(self, text: str, as_of: datetime, project: str | None = None, vector: tuple[float, ...] | None = None) -> str:
@@ -54,13 +56,15 @@ class Engine:
         numbers = numbered(entries, F.col(order), F.xxhash64(*entries.columns), name="seq")
         records = D.distill(numbers, project, self.settings["reflector"], keep=("seq",))
         before = self.store.bullets
-        after, outcome = U.curate(before, records, self._at(as_of), CURATE_THRESHOLD, cached)
-        changed = {"bullets": after}
+        changed, outcome = U.curate_changes(before, records, self._at(as_of), CURATE_THRESHOLD, cached)
+        upserts = {"bullets": changed}
         if detect:
-            new = after.join(before.select("id"), "id", "left_anti")
-            changed["conflicts"] = M.with_conflicts(self.store.conflicts, C.detect_conflicts(new, after, self._at(as_of)))
+            new = changed.join(before.select("id"), "id", "left_anti")
+            after = before.join(changed.select("id"), "id", "left_anti").unionByName(changed)
+            found = written(C.detect_conflicts(new, after, self._at(as_of)), "conflicts", keep=True)
+            upserts["conflicts"] = found.join(self.store.conflicts.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*found.columns)
         got = {r["outcome"]: r["count"] for r in U.counts(outcome).collect()}
-        self.store.commit(changed)
+        self.store.commit({}, upserts=upserts)
         added, merged = got.get("added", 0), got.get("merged", 0)
         return {"added": added, "merged": merged, "skipped": numbers.count() - added - merged}
 
@@ -103,10 +107,12 @@ class Engine:
         return M.project_stats(self.store.bullets)
 
     def decay_update(self, as_of: datetime) -> dict[str, int]:
-        bullets, archive = self.store.bullets, self.store.archive
-        marks = M.aged(bullets, self._at(as_of), self.settings["decay"]).agg(F.count_if("is_update").alias("u"), F.count_if("is_faded").alias("f")).first()
-        after, kept = M.decay_update(bullets, archive, self._at(as_of), self.settings["decay"])
-        self.store.commit({"bullets": after, "archive": kept})
+        bullets = self.store.bullets
+        aged = M.aged(bullets, self._at(as_of), self.settings["decay"])
+        marks = aged.agg(F.count_if("is_update").alias("u"), F.count_if("is_faded").alias("f")).first()
+        moved = aged.withColumn("decay_weight", F.when(F.col("is_update"), F.col("new_weight")).otherwise(F.col("decay_weight")))
+        faded = moved.where("is_faded")
+        self.store.commit({}, upserts={"bullets": moved.where("is_update and not is_faded").select(*bullets.columns), "archive": M.archived(faded, self._at(as_of))}, deletes={"bullets": faded.select("id")})
         return {"updated": marks.u, "archived": marks.f}
 
     def conflicts_check(self, id: str, as_of: datetime) -> DataFrame:

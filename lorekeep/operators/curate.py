@@ -208,8 +208,8 @@ def _links(bullets: DataFrame, own: DataFrame, by_vector: Column, threshold: flo
     return out.unionByName(same).unionByName(said.select(_node("r", F.col("_seq")).alias("a"), digest(said).alias("b"))).unionByName(known.select(_node("b", F.col("id")).alias("a"), digest(known).alias("b")))
 
 
-def curate(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
-    """(bullets after, outcome of each record), records taken in the order of `seq`, each seeing what the ones before it changed.
+def curate_changes(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(bullets that are new or changed, outcome of each record), records taken in the order of `seq`, each seeing what the ones before it changed.
 
     A record can only meet records and bullets that it is linked to, by a vector that is near enough or by content, over any number of steps. So the groups that
     are linked are found first, and each is taken in order by a task of its own, which streams the group's records and holds its bullets. The largest group is the longest task, as its order is
@@ -235,9 +235,14 @@ def curate(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, thr
     done = written(done, "curated", keep=True)
     at = (F.lit(as_of) if isinstance(as_of, datetime) else as_of).cast("timestamp")
     changed = done.where("_outcome is null").withColumn("updated_at", at).withColumn("created_at", F.when(F.col("_new"), at).otherwise(F.col("created_at")))
-    after = bullets.join(changed.select("id"), "id", "left_anti").select(*columns).unionByName(changed.select(*columns))
     outcome = done.where("_outcome is not null").select(F.col("_seq").cast(kind).alias(seq), F.col("_outcome").alias("outcome"))
-    return after, outcome.unionByName(own.where(_blank(F.col("content"))).select(seq, F.lit("skipped").alias("outcome")))
+    return changed.select(*columns), outcome.unionByName(own.where(_blank(F.col("content"))).select(seq, F.lit("skipped").alias("outcome")))
+
+
+def curate(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
+    """(bullets after, outcome of each record): curate_changes() put in place."""
+    changed, outcome = curate_changes(bullets, records, as_of, threshold, cached, seq)
+    return bullets.join(changed.select("id"), "id", "left_anti").select(*bullets.columns).unionByName(changed), outcome
 
 
 def counts(outcome: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ CONTEXT = "struct<file: string, language: string, error_message: string, command
 QUEUE = f"timestamp string, tool_name string, pattern_type string, summary string, context {CONTEXT}, processed boolean"
 EVENTS = "tool_name string, tool_input map<string, string>, tool_response string, session_id string"
 #: Version of the stored layout.
-VERSION = 1
+VERSION = 2
 # The kinds of knowledge, each with its section.
 SECTION_OF = {"Pitfall": "pitfalls", "Method": "methods", "Trick": "techniques", "Preference": "preferences", "Knowledge": "knowledge"}
 SOURCE_TYPES = ("auto", "manual", "imported")

@@ -225,7 +225,7 @@ def test_store_export_import(spark, tmp_path):
     store.commit({"bullets": store.bullets.where("id = 'a'")})
     assert store.bullets.count() == 1 and first == store.state()["version"] - 1
     before = store.bullets.collect()
-    assert store.vacuum(1) == 1 and store.vacuum(1) == 0 and store.bullets.collect() == before
+    assert store.vacuum(1) == 2 and store.vacuum(1) == 0 and store.bullets.collect() == before
     with pytest.raises(ValueError):
         store.vacuum(0)
     text = exchange.export_json(own, "2025-01-01T00:00:00.000Z", "p")
@@ -337,3 +337,44 @@ def test_stated_rows(spark):
     assert [r.n for r in fixtures.frame(spark, fixtures.SECRETS).orderBy("id").select(F.size(secrets.reasons(F.col("content"))).alias("n")).collect()] == [2, 3, 1, 1, 0, 1, 0, 0]
     found = {r.id: r.pattern_type for r in detect(fixtures.events(spark)).collect()}
     assert found == {0: "error_fix", 3: "error_fix", 5: "command_usage", 7: "command_usage", 8: "command_usage", 10: "code_pattern", 11: "code_pattern", 12: "code_pattern", 13: "code_pattern", 14: "code_pattern", 16: "file_creation", 17: "file_creation", 19: "code_pattern", 22: "command_usage", **{k: v for k, v in found.items() if k in (1, 6)}}
+
+
+def test_small_commits_write_their_buckets(spark, tmp_path):
+    """Five raised counters write five folders at most, whatever the store holds; old folders go with their last snapshot."""
+    path = str(tmp_path / "s")
+    store = Store(spark, path, 16)
+    own = bullets(spark, *({"id": f"r{i:03}", "content": f"c {i}", "scope": ("global", "project:p")[i % 2], "decay_weight": 1.0} for i in range(400)))
+    store.commit({"bullets": own})
+    files = lambda: {f for f in (tmp_path / "s" / "data").rglob("*.parquet")}
+    assert len(files()) == 16 and store.bullets.count() == 400
+    state = {r.id: r.recall_count for r in store.bullets.collect()}
+    for k in range(12):
+        before = files()
+        ids = [f"r{(k * 37 + j * 11) % 400:03}" for j in range(5)]
+        hit = store.bullets.where(F.col("id").isin(ids))
+        store.commit({}, upserts={"bullets": M.recalled(hit, hit.select("id"), AT)})
+        assert 1 <= len(files() - before) <= 5
+        state |= {i: state[i] + 1 for i in ids}
+    assert {r.id: r.recall_count for r in store.bullets.collect()} == state
+    gone = spark.createDataFrame([("r000",), ("r001",), ("nowhere",)], "id string")
+    store.commit({}, upserts={"bullets": own.limit(1).withColumn("id", F.lit("new"))}, deletes={"bullets": gone})
+    assert {r.id for r in store.bullets.collect()} == set(state) - {"r000", "r001"} | {"new"}
+    rows = sorted(map(repr, store.bullets.collect()))
+    assert len(files()) > 16 and store.vacuum(1) > 0 and len(files()) == 16 and sorted(map(repr, store.bullets.collect())) == rows
+    # All rows of a bucket, then of all, may go; an id list without rows changes nothing.
+    store.commit({}, deletes={"bullets": store.bullets.select("id")})
+    assert store.bullets.count() == 0
+    store.commit({}, upserts={"bullets": own.limit(0)})
+    assert store.bullets.count() == 0 and Store(spark, path).state()["buckets"] == 16
+
+
+def test_a_store_of_the_first_layout(spark, tmp_path):
+    own = bullets(spark, {"id": "a"}, {"id": "b"})
+    own.write.partitionBy("scope").parquet(str(tmp_path / "s" / "data" / "bullets-1-x"))
+    (tmp_path / "s" / "pointers").mkdir()
+    (tmp_path / "s" / "pointers" / "1").write_text(json.dumps({"version": 1, "layout": 1, "tables": {"bullets": "data/bullets-1-x"}}))
+    store = Store(spark, str(tmp_path / "s"), 4)
+    assert store.bullets.count() == 2
+    store.commit({}, upserts={"bullets": own.where("id = 'b'").withColumn("content", F.lit("changed"))})
+    assert {r.id: r.content for r in store.bullets.collect()} == {"a": own.first().content, "b": "changed"} and store.vacuum(1) == 1
+    assert store.bullets.count() == 2
