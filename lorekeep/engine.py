@@ -48,11 +48,14 @@ class Engine:
         ranked = self.spark.createDataFrame([(i, r["knowledge_type"], r["content"], r["recall_count"]) for i, r in enumerate(rows)], "rank int, knowledge_type string, content string, recall_count int")
         return S.format_context(ranked, self.settings["search"]["max_tokens"])
 
-    def curate(self, entries: DataFrame, as_of: datetime, project: str = "", cached: bool = True, detect: bool = False, order: str = "timestamp") -> dict[str, int]:
+    def curate(self, entries: DataFrame, as_of: datetime, project: str = "", cached: bool = True, detect: bool = False, order: str = "timestamp", stream: tuple[str, int] | None = None) -> dict[str, int]:
         """Distill queue entries and merge them in, in order; the counts of added, merged and skipped records.
 
         A queue of any length is one commit: its entries are numbered and merged by tasks, and the counts alone come to the driver.
+        stream: a stream's name and the number of its batch; one that was committed before changes nothing.
         """
+        if stream and self.store.state().get("streams", {}).get(stream[0], -1) >= stream[1]:
+            return {"added": 0, "merged": 0, "skipped": 0}
         numbers = numbered(entries, F.col(order), F.xxhash64(*entries.columns), name="seq")
         records = D.distill(numbers, project, self.settings["reflector"], keep=("seq",))
         before = self.store.bullets
@@ -64,7 +67,7 @@ class Engine:
             found = written(C.detect_conflicts(new, after, self._at(as_of)), "conflicts", keep=True)
             upserts["conflicts"] = found.join(self.store.conflicts.select("id"), "id", "left_anti").dropDuplicates(["id"]).select(*found.columns)
         got = {r["outcome"]: r["count"] for r in U.counts(outcome).collect()}
-        self.store.commit({}, upserts=upserts)
+        self.store.commit({}, upserts=upserts, streams=dict([stream]) if stream else None)
         added, merged = got.get("added", 0), got.get("merged", 0)
         return {"added": added, "merged": merged, "skipped": numbers.count() - added - merged}
 

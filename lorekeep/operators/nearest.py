@@ -275,10 +275,11 @@ def blocks(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_hash, ri
 def near_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: float) -> DataFrame:
     """(a columns, b columns, s) of all rows of both sides that share the columns `by` and whose vectors v have the similarity `least` or more.
 
-    left and right: by, v and columns of their own, none of a name that the other has. A row meets only members of cells that may be near enough, and no pair is formed that isn't. Both sides are used several times and so should be written tables.
+    left and right: by, v and columns of their own, none of a name that the other has. Keys with more than IN_CELL rows on the right are divided into cells, and there a row meets only members of cells that may be near enough; the few rows of other keys meet all.
+    No pair is formed that isn't near. Both sides are used several times and so should be written tables.
     Vectors of another length than the right side's first one are near to none.
     """
-    one, two = _prepared(left, right, least)
+    one, two = _prepared(left, right, by, least)
     lefts, rights = [c for c in left.columns if c not in (*by, "v")], [c for c in right.columns if c not in (*by, "v")]
     kinds = {f.name: f.dataType.simpleString() for f in (*left.schema, *right.schema)}
     names = [*by, *lefts, *rights]
@@ -300,18 +301,28 @@ def near_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: fl
     return found.where(F.col("s") >= least)
 
 
-def _prepared(left: DataFrame, right: DataFrame, least: float) -> tuple[DataFrame, DataFrame]:
+def _prepared(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: float) -> tuple[DataFrame, DataFrame]:
+    """Both sides with cells, -1 for keys that have none."""
     first = right.select(F.size("v").alias("d")).first()
     dim = first["d"] if first else 0
     left, right = left.where(F.size("v") == dim), right.where(F.size("v") == dim)
-    centers = sampled_centers(right, right.count(), dim)
-    members = written(assigned(right, centers), "cells", keep=True)
-    return open_to(left, cells_of(members, centers), least), members.drop("angle")
+    large = written(right.groupBy(*by).agg(F.count("*").alias("n")).where(F.col("n") > IN_CELL), "large", keep=True)
+    n = large.agg(F.sum("n")).first()[0]
+    none = F.lit(-1).alias("cell")
+    if not n:
+        return left.select("*", none), right.select("*", none)
+    keys = large.select(*by)
+    many = right.join(keys, list(by), "left_semi")
+    centers = sampled_centers(many, n, dim)
+    members = written(assigned(many, centers), "cells", keep=True)
+    asked = open_to(left.join(keys, list(by), "left_semi"), cells_of(members, centers), least)
+    few = lambda d: d.join(keys, list(by), "left_anti").select(*d.columns, none)
+    return asked.unionByName(few(left)), members.drop("angle").unionByName(few(right))
 
 
 def pairs_compared(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: float) -> int:
     """How many pairs near_pairs() multiplies: a report."""
-    one, two = _prepared(left, right, least)
+    one, two = _prepared(left, right, by, least)
     count = lambda d, n: d.groupBy(*by, "cell").agg(F.count("*").alias(n))
     return count(one, "l").join(count(two, "r"), [*by, "cell"]).agg(F.sum(F.col("l") * F.col("r"))).first()[0] or 0
 

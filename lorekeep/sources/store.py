@@ -74,10 +74,11 @@ class Store:
         where = self._at(f"data/{name}/commit={commit}")
         return {f.getPath().getName().split("=")[1]: commit for f in self._fs.listStatus(where) if f.getPath().getName().startswith("bucket=")}
 
-    def commit(self, changed: dict[str, DataFrame], upserts: dict[str, DataFrame] | None = None, deletes: dict[str, DataFrame] | None = None) -> int:
+    def commit(self, changed: dict[str, DataFrame], upserts: dict[str, DataFrame] | None = None, deletes: dict[str, DataFrame] | None = None, streams: dict[str, int] | None = None) -> int:
         """Make a new snapshot: whole tables in `changed`; in the others the rows of `upserts` replace those of their ids or are added, and the ids of `deletes` go.
 
         Upserts and deletes write the buckets of their ids and no other. They are read twice, so a table that is dear to make should be a written one. Ids of upserts are unique.
+        streams: numbers of the batches that this commit takes in, kept in the pointer, so they stand or fall with it.
         """
         now = self.state()
         n = now["version"] + 1
@@ -99,7 +100,7 @@ class Store:
             kept = now["tables"].get(name) or {}
             kept = {} if isinstance(kept, str) else {k: c for k, c in kept.items() if int(k) not in touched}
             now["tables"][name] = kept | self._write(name, rows, n, now["buckets"])
-        now |= {"version": n, "layout": schemas.VERSION}
+        now |= {"version": n, "layout": schemas.VERSION, "streams": now.get("streams", {}) | (streams or {})}
         # The pointer appears at once, under a name that doesn't exist yet: a second writer fails.
         aside = self._at(f"aside-{uuid.uuid4().hex}")
         out = self._fs.create(aside)

@@ -378,3 +378,56 @@ def test_a_store_of_the_first_layout(spark, tmp_path):
     store.commit({}, upserts={"bullets": own.where("id = 'b'").withColumn("content", F.lit("changed"))})
     assert {r.id: r.content for r in store.bullets.collect()} == {"a": own.first().content, "b": "changed"} and store.vacuum(1) == 1
     assert store.bullets.count() == 2
+
+
+def _entries(spark, path, rows):
+    queue.append(spark.createDataFrame([(t, "Bash", k, f"Executed: npm run {x}", {"file": None, "language": None, "error_message": None, "command": f"npm run {x}"}, False, s) for t, k, x, s in rows], f"{schemas.QUEUE}, session_id string").coalesce(1), path)
+
+
+def test_idle_sessions_hand_over(spark, tmp_path):
+    """Event time decides: a session's few entries go once the stream is five minutes beyond them, and no state is left."""
+    path, got = str(tmp_path / "q"), []
+
+    def play(rows):
+        _entries(spark, path, rows)
+        batches = stream.gathered(stream.entry_stream(spark, path), idle="5 minutes")
+        q = stream.run_curate(batches, lambda d, n: got.extend(d.collect()), str(tmp_path / "c"))
+        q.awaitTermination()
+        return q.lastProgress["stateOperators"][0]["numRowsTotal"]
+
+    at = lambda m: f"2025-01-01 00:{m:02}:00"
+    kind = "command_usage"
+    play([(at(0), kind, "a", "few"), (at(1), kind, "b", "few"), (at(1), kind, "c", "slow"), *((at(2), kind, f"m{i}", "many") for i in range(4))])
+    assert {r.session_id for r in got} == {"many"} and len({r.batch_id for r in got}) == 1
+    # Ten minutes later in another session: both idle ones hand over.
+    play([(at(12), kind, "d", "other")])
+    assert sorted((r.session_id, r.summary[-1]) for r in got if r.session_id != "many") == [("few", "a"), ("few", "b"), ("slow", "c")]
+    assert {r.batch_id for r in got if r.session_id == "few"} == {f"few-{at(0)}-0"}
+    # A session that comes back begins anew; the end row of another pushes the time.
+    left = play([(at(13), kind, "e", "few"), (at(59), stream.END, "", "clock")])
+    assert ("few", f"few-{at(13)}-0") in {(r.session_id, r.batch_id) for r in got} and ("other", "d") in {(r.session_id, r.summary[-1]) for r in got}
+    assert left == 0 and len(got) == 9
+
+
+def test_a_batch_is_taken_once(spark, tmp_path):
+    """A batch that comes again changes nothing, and one that fails is passed over."""
+    path, e = str(tmp_path / "q"), Engine(spark, str(tmp_path / "e"))
+    at = lambda m: f"2025-01-01 00:{m:02}:00"
+    _entries(spark, path, [(at(i), "command_usage", f"build{i}", "s") for i in range(3)])
+    seen = []
+
+    def curate(d, n):
+        # Handed over twice, as after a stop behind the commit and before the checkpoint.
+        seen.extend(e.curate(d, NOW, stream=("main", n)) for _ in range(2))
+
+    stream.run_curate(stream.gathered(stream.entry_stream(spark, path)), curate, str(tmp_path / "c")).awaitTermination()
+    assert seen == [{"added": 3, "merged": 0, "skipped": 0}, {"added": 0, "merged": 0, "skipped": 0}]
+    assert e.stats()["total"] == 3 and e.store.state()["streams"] == {"main": 0} and e.curate(entry(spark, {"summary": "Executed: docker build .", "command": "docker build ."}), NOW, stream=("other", 0)) == {"added": 1, "merged": 0, "skipped": 0}
+    _entries(spark, path, [(at(9), "command_usage", f"late{i}", "t") for i in range(3)])
+    wrong = []
+
+    def broken(d, n):
+        raise ValueError("no")
+
+    stream.run_curate(stream.gathered(stream.entry_stream(spark, path)), broken, str(tmp_path / "c"), failed=lambda d, n, x: wrong.append((n, d.count(), str(x)))).awaitTermination()
+    assert wrong == [(1, 3, "no")] and e.stats()["total"] == 4
