@@ -23,6 +23,15 @@ from .nearest import SLACK, VectorIndex, blocks, linked, open_to, unit_rows, usa
 ARRAYS = ("related_tools", "related_files", "key_entities", "tags")
 
 
+#: Ids of bullets that are handed to every task, so that the bullets themselves stay where they are; more are joined by shuffles.
+MOST_SHIPPED = 200_000
+
+
+def _shipped(ids: DataFrame) -> DataFrame:
+    """The ids, for a join that doesn't move the other side if they are few enough."""
+    return F.broadcast(ids) if ids.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED else ids
+
+
 def new_id(content: Column, scope: Column, seq: Column) -> Column:
     """A stable id in place of a random one, so that a replay gives the same rows."""
     return F.sha2(F.encode(F.concat_ws("|", content, scope, seq.cast("string")), "UTF-8"), 256)
@@ -226,7 +235,8 @@ def curate_changes(bullets: DataFrame, records: DataFrame, as_of: datetime | Col
     # A record in no link is a group of its own.
     of = lambda d, node: d.withColumn("node", node).join(groups, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     rows = of(wanted, _node("r", F.col("_seq"))).select("_root", "_seq", *[F.col(c) if c in wanted.columns else F.lit(None).cast(bullets.schema[c].dataType).alias(c) for c in columns])
-    met = bullets.withColumn("node", _node("b", F.col("id"))).join(groups, "node").select(F.col("root").alias("_root"), F.lit(None).cast("long").alias("_seq"), *columns)
+    of_bullets = written(groups.where(F.col("node").startswith("b|")), "met", keep=True)
+    met = bullets.withColumn("node", _node("b", F.col("id"))).join(_shipped(of_bullets), "node").select(F.col("root").alias("_root"), F.lit(None).cast("long").alias("_seq"), *columns)
     both = met.unionByName(rows).repartition("_root").sortWithinPartitions("_root", F.asc_nulls_first("_seq"), "id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bullets.schema)
     schema = f"{kinds}, _new boolean, _seq long, _outcome string"
@@ -242,7 +252,7 @@ def curate_changes(bullets: DataFrame, records: DataFrame, as_of: datetime | Col
 def curate(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(bullets after, outcome of each record): curate_changes() put in place."""
     changed, outcome = curate_changes(bullets, records, as_of, threshold, cached, seq)
-    return bullets.join(changed.select("id"), "id", "left_anti").select(*bullets.columns).unionByName(changed), outcome
+    return bullets.join(_shipped(changed.select("id")), "id", "left_anti").select(*bullets.columns).unionByName(changed), outcome
 
 
 def counts(outcome: DataFrame) -> DataFrame:

@@ -422,7 +422,7 @@ def test_a_batch_is_taken_once(spark, tmp_path):
 
     stream.run_curate(stream.gathered(stream.entry_stream(spark, path)), curate, str(tmp_path / "c")).awaitTermination()
     assert seen == [{"added": 3, "merged": 0, "skipped": 0}, {"added": 0, "merged": 0, "skipped": 0}]
-    assert e.stats()["total"] == 3 and e.store.state()["streams"] == {"main": 0} and e.curate(entry(spark, {"summary": "Executed: docker build .", "command": "docker build ."}), NOW, stream=("other", 0)) == {"added": 1, "merged": 0, "skipped": 0}
+    assert e.stats()["total"] == 3 and e.store.state()["streams"] == {"main": 0} and e.curate(entry(spark, {"summary": "Executed: npm run build9", "command": "npm run build9"}), NOW, stream=("other", 0)) == {"added": 1, "merged": 0, "skipped": 0}
     _entries(spark, path, [(at(9), "command_usage", f"late{i}", "t") for i in range(3)])
     wrong = []
 
