@@ -46,3 +46,26 @@ def test_run_equals_brute_force(spark, small):
 def test_stages_keep_the_columns(spark, odd, small):
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, odd, small).columns == odd.columns
+
+
+def test_stages_over_odd_rows(spark, odd, small):
+    """Rows that stay or change, with nulls, blanks, repeats, a long text, a row without id, and columns of clashing names."""
+    stages = dict(corpus_pipeline.STAGES)
+    ids = lambda d: sorted((r.doc_id for r in d.collect()), key=lambda x: (x is None, x))
+    assert ids(stages["SimHash near-dedup"](spark, odd, small)) == [1, 2, 5, 6, 7, None]
+    clean = stages["benchmark decontamination"](spark, odd, small)
+    assert sorted(map(repr, clean.collect())) == sorted(map(repr, odd.collect()))
+    masked = stages["PII"](spark, odd, small)
+    assert {r.doc_id: r.text for r in masked.collect() if r.doc_id in (2, 3)} == {2: None, 3: ""} and masked.count() == odd.count()
+    (seven,) = masked.where("doc_id = 7").collect()
+    assert "me@example.com" not in seven.text and "<EMAIL>" in seven.text and seven.n_chars == len(seven.text)
+    digests = {(r.doc_id, r.decoded_sha256) for r in stages["BPE encoding and decoding"](spark, odd, small).collect()}
+    assert digests == {(r.doc_id, hashlib.sha256((r.text or "").encode()).hexdigest()) for r in odd.collect()}
+    kept = stages["quality classifier"](spark, odd, small)
+    assert {repr(r) for r in kept.collect()} <= {repr(r) for r in odd.collect()}
+
+
+def test_run_over_empty_tables(spark, small, tmp_path):
+    for table in ("documents", "labels", "benchmark"):
+        spark.read.parquet(f"{small}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
