@@ -32,8 +32,9 @@ KINDS = ("semantic", "negation", "version")
 
 def versions(content: Column) -> Column:
     """(name in lower case, version) of each thing with a version: the last version of each, in the order of first mention."""
-    names, found = (F.regexp_extract_all(content, F.lit(VERSION), F.lit(g)) for g in (1, 2))
-    pairs = F.zip_with(names, found, lambda n, v: F.struct(F.lower(n).alias("name"), v.alias("version")))
+    # The text is searched once; a match's name and version are told apart in the match.
+    every = F.regexp_extract_all(content, F.lit(VERSION), F.lit(0))
+    pairs = F.transform(every, lambda m: F.struct(F.lower(F.regexp_extract(m, r"^([A-Za-z0-9_]+)", 1)).alias("name"), F.regexp_extract(m, r"([0-9]+(?:\.[0-9]+)*)\z", 1).alias("version")))
     return T.bound(pairs, lambda p: F.transform(F.array_distinct(F.transform(p, lambda x: x["name"])), lambda n: F.element_at(F.filter(p, lambda x: x["name"] == n), -1)))
 
 
@@ -45,7 +46,7 @@ _SIDES = "array<struct<kind:int,ord:int,key:string,side:string>>"
 
 
 def _antonym_sides() -> Column:
-    low = F.lower("content")
+    low = F.col("_low")
     sides = [F.when(low.contains(w), _side(0, i, F.concat_ws("|", "section", F.lit(str(i))), F.lit(s))) for i, pair in enumerate(ANTONYMS) for s, w in zip("ab", pair, strict=True)]
     return F.when(F.col("embedding").isNotNull(), F.array_compact(F.array(*sides))).otherwise(F.array().cast(_SIDES))
 
@@ -59,7 +60,9 @@ def _negation_sides() -> Column:
 
     for i, (words, cjk, against, against_cjk) in enumerate(NEGATIONS):
         for side, english, other in (("a", words, cjk), ("b", against, against_cjk)):
-            taken = F.col("content").rlike("(?i)" + "|".join([T.words(*english), *other]))
+            # Most texts have none of the words at all, which is quicker to see than where words begin and end.
+            some = F.reduce(F.array(*[F.contains(F.col("_low"), F.lit(w)) for w in (*english, *other)]), F.lit(False), lambda x, y: x | y)
+            taken = some & F.col("content").rlike("(?i)" + "|".join([T.words(*english), *other]))
             out.append(F.when(taken, taking(i, side)).otherwise(F.array().cast(_SIDES)))
     return F.flatten(F.array(*out))
 
@@ -70,7 +73,7 @@ def _version_sides() -> Column:
 
 def _sides(d: DataFrame) -> DataFrame:
     """(scope, id, kind, ord, key, side): one scan of the records, written, as every join below reads them."""
-    made = d.select("scope", "id", F.explode(F.concat(_antonym_sides(), _negation_sides(), _version_sides())).alias("x")).select("scope", "id", "x.*")
+    made = d.withColumn("_low", F.lower("content")).select("scope", "id", F.explode(F.concat(_antonym_sides(), _negation_sides(), _version_sides())).alias("x")).select("scope", "id", "x.*")
     return written(made, "sides", keep=True)
 
 
