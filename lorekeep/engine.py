@@ -142,6 +142,11 @@ class Engine:
     def export_markdown(self, exported_on: str, scopes: list[str] | None = None, project: str | None = None) -> str:
         return exchange.export_markdown(M.select_bullets(self.store.bullets, scopes), exported_on, project)
 
+    def export_files(self, path: str, exported_at: str, scopes: list[str] | None = None, project: str | None = None, markdown: bool = False) -> None:
+        """An export of any size as a folder of text files, made by tasks: in the order of their names they are the document."""
+        own = M.select_bullets(self.store.bullets, scopes)
+        exchange.write_lines(exchange.markdown_rows(own, exported_at, project) if markdown else exchange.json_rows(own, exported_at, project), path)
+
     def import_json(self, path: str, as_of: datetime) -> dict[str, int]:
         """Merge an export in, by content; the counts of added, merged and skipped records."""
         after, outcome = U.curate_exact(self.store.bullets, exchange.import_json(self.spark, path), self._at(as_of))

@@ -250,6 +250,11 @@ def test_engine_end_to_end(spark, tmp_path):
     assert e.recall("npm build", NOW)[0]["recall_count"] == 0
     assert e.store.bullets.first().recall_count == 1
     assert "npm run build" in e.context("npm build", NOW)
+    e.export_files(str(tmp_path / "json"), "2025-01-01T00:00:00.000Z")
+    e.export_files(str(tmp_path / "md"), "2025-01-01", markdown=True)
+    other = Engine(spark, str(tmp_path / "other"))
+    assert other.import_json(str(tmp_path / "json"), NOW) == {"added": 1, "merged": 0, "skipped": 0} and other.import_json(str(tmp_path / "json"), NOW) == {"added": 0, "merged": 1, "skipped": 0}
+    assert "".join(f.read_text() for f in sorted((tmp_path / "md").glob("part-*"))).rstrip("\n") == e.export_markdown("2025-01-01").rstrip("\n")
     assert e.decay_update(NOW + timedelta(days=400)) == {"updated": 1, "archived": 1}
     assert e.recall("npm build", NOW) == []
 
