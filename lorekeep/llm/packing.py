@@ -136,30 +136,40 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     rows = _encoded(_dealt(own), name, end).repartition("block").sortWithinPartitions("block", "h", "i")
 
     def packed(ids: pa.Array, tokens: list[np.ndarray], block: int, first_row: int) -> tuple[pa.RecordBatch | None, int]:
-        owner, begin, lens = [], [], []
-        for k, x in enumerate(tokens):
-            for s in range(0, len(x), size):
-                owner.append(k)
-                begin.append(s)
-                lens.append(min(size, len(x) - s))
-        if not owner:
+        counts = np.fromiter(map(len, tokens), np.int64, len(tokens))
+        pieces = -(-counts // size)
+        owner = np.repeat(np.arange(len(tokens)), pieces)
+        if not len(owner):
             return None, first_row
-        filled = best_fit_decreasing(np.array(lens), size)
-        columns: list[list] = [[] for _ in range(7)]
-        who, cuts = [], [0]
-        for r, segments in enumerate(filled):
-            parts = [tokens[owner[s]][begin[s] : begin[s] + lens[s]] for s in segments]
-            n = sum(map(len, parts))
-            flat = np.concatenate([*parts, np.full(size - n, pad, "<u4")]).astype("<u4")
-            position = np.concatenate([*(np.arange(len(x)) for x in parts), np.zeros(size - n, np.int64)]).astype("<u4")
-            who += [owner[s] for s in segments]
-            cuts.append(len(who))
-            values = [block, first_row + r, n, [begin[s] for s in segments], np.cumsum([0, *map(len, parts)]).tolist(), flat.tobytes(), position.tobytes()]
-            for c, v in zip(columns, values, strict=True):
-                c.append(v)
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
-        arrays = [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)]
-        arrays.insert(3, pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), ids.take(pa.array(who))))
+        begin = (np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)) * size
+        lens = np.minimum(size, counts[owner] - begin)
+        filled = best_fit_decreasing(lens, size)
+        # All rows of the block at once: the segments in their order, and where each of their tokens goes.
+        segments = np.concatenate([np.array(x) for x in filled])
+        per_row = np.fromiter(map(len, filled), np.int64, len(filled))
+        row = np.repeat(np.arange(len(filled)), per_row)
+        n, cuts = lens[segments], np.concatenate([[0], np.cumsum(per_row)])
+        to = np.cumsum(n)
+        filling = to[cuts[1:] - 1] - np.concatenate([[0], to[cuts[1:-1] - 1]])
+        offset = to - n - np.repeat(np.cumsum(filling) - filling, per_row)
+        place = np.arange(int(to[-1])) - np.repeat(to - n, n)
+        target = place + np.repeat(row * size + offset, n)
+        first = np.cumsum(counts) - counts
+        flat, position = np.full(len(filled) * size, pad, "<u4"), np.zeros(len(filled) * size, "<u4")
+        flat[target] = np.concatenate(tokens)[place + np.repeat(first[owner[segments]] + begin[segments], n)]
+        position[target] = place
+        ends = np.arange(len(filled) + 1, dtype=np.int32) * (4 * size)
+        binary = lambda x: pa.BinaryArray.from_buffers(pa.binary(), len(filled), [None, pa.py_buffer(ends), pa.py_buffer(x)])
+        # Where the segments of a row begin, and where the last one ends.
+        edges = np.empty(len(segments) + len(filled), np.int32)
+        at = np.arange(len(segments)) + row
+        edges[at] = offset
+        edges[cuts[1:] + np.arange(len(filled))] = filling
+        lists = lambda values, cuts: pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+        arrays = [
+            pa.array(np.full(len(filled), block)), pa.array(np.arange(first_row, first_row + len(filled)), pa.int32()), pa.array(filling, pa.int32()), lists(ids.take(pa.array(owner[segments])), cuts),
+            lists(pa.array(begin[segments], pa.int64()), cuts), lists(pa.array(edges), cuts + np.arange(len(filled) + 1)), binary(flat), binary(position),
+        ]
         names = ["block", "row_in_block", "n_tokens", "doc_ids", "doc_starts", "cu_seqlens", "ids", "position_ids"]
         return pa.RecordBatch.from_arrays(arrays, names=names), first_row + len(filled)
 
