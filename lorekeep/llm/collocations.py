@@ -33,6 +33,8 @@ _MARKS = _words.table([(0x20, 0x20), (0x0A, 0x0A)])
 COUNTED_BYTES = 8 << 20
 #: First words with more bytes behind them than this, or than the MOST_HOT-th part of all, are dealt out in parts of about that size. So at most MOST_HOT words are listed.
 HOT_BYTES, MOST_HOT = 4 << 20, 1 << 18
+#: Bytes that are copied together by an index for each of them.
+GATHERED_BYTES = 1 << 20
 #: Bytes that a task puts in order at once; a first word with more gives partial counts.
 SORTED_BYTES = 8 << 20
 
@@ -53,23 +55,39 @@ def _runs(values: np.ndarray) -> np.ndarray:
 
 def _gathered(buf: np.ndarray, starts: np.ndarray, lens: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(bytes, ends): the spans of a buffer behind each other, and where each ends."""
-    to = np.cumsum(lens)
-    total = int(to[-1]) if len(to) else 0
-    # An index for each byte is what takes most memory here.
-    kind = np.int32 if max(total, len(buf)) < 1 << 31 else np.int64
-    at = np.arange(total, dtype=kind)
-    at += np.repeat((starts - (to - lens)).astype(kind), lens)
-    return buf[at], to
+    to = np.cumsum(lens, dtype=np.int64)
+    out = np.empty(int(to[-1]) if len(to) else 0, np.uint8)
+    # An index for each byte takes several times the bytes themselves, so it is made for a stretch of them at a time.
+    a = 0
+    while a < len(to):
+        base = int(to[a - 1]) if a else 0
+        b = max(a + 1, int(np.searchsorted(to, base + GATHERED_BYTES, side="right")))
+        if b == a + 1:
+            out[base : to[a]] = buf[starts[a] : starts[a] + lens[a]]
+        else:
+            at = np.arange(base, int(to[b - 1]))
+            at += np.repeat(starts[a:b] - (to[a:b] - lens[a:b]), lens[a:b])
+            out[base : to[b - 1]] = buf[at]
+        a = b
+    return out, to
 
 
-def _in_order(columns: list[np.ndarray], sizes: list[int]) -> np.ndarray:
-    """Places in the order of several columns of numbers from 0 to below their sizes: by one number for all of them where 63 bits hold it."""
+def _in_order(columns: list[np.ndarray], sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(order, new): places in the order of several columns of numbers from 0 to below their sizes, and whether each there differs from the one before it. By one number for all of them where 63 bits hold it."""
     if math.prod(sizes) < 1 << 63:
         key = columns[0].astype(np.int64)
         for c, n in zip(columns[1:], sizes[1:], strict=True):
-            key = key * n + c
-        return np.argsort(key)
-    return np.lexsort(columns[::-1])
+            key *= n
+            key += c
+        columns, order = [key], np.argsort(key)
+    else:
+        order = np.lexsort(columns[::-1])
+    new = np.ones(len(order), bool)
+    new[1:] = False
+    for c in columns:
+        own = c[order]
+        new[1:] |= own[1:] != own[:-1]
+    return order, new
 
 
 def suffixes(texts: list[bytes], langs: list[str], longest: int = LONGEST) -> pa.RecordBatch | None:
@@ -78,36 +96,43 @@ def suffixes(texts: list[bytes], langs: list[str], longest: int = LONGEST) -> pa
     n = len(words)
     if not n:
         return None
-    _, of = _words.distinct(words)
+    # Numbers of 32 bits where they hold all places, as these arrays are what takes most memory here.
+    kind = np.int32 if len(words.buf) < 1 << 31 else np.int64
+    of = _words.distinct(words)[1].astype(kind)
+    starts, sizes = words.starts.astype(kind), words.lens.astype(kind)
     names = sorted(set(langs))
-    lang = np.searchsorted(np.array(names), np.array(langs))[words.rows()]
-    piece = np.cumsum(PIECES[words.buf], dtype=np.int32)[words.starts]
+    lang = np.repeat(np.searchsorted(np.array(names), np.array(langs)).astype(np.int32), words.counts())
+    piece = np.cumsum(PIECES[words.buf], dtype=np.int32)[starts]
     first = _runs(piece)
-    ends = np.repeat(np.append(first[1:], n), np.diff(first, append=n))
+    ends = np.repeat(np.append(first[1:], n).astype(kind), np.diff(first, append=n))
+    del piece
     # The words of each suffix as numbers from 1, 0 behind its end. All have the language of the first one.
     kinds = int(of.max()) + 2
-    at = np.arange(n)
-    columns = [lang] + [np.where(at + d < ends, of[np.minimum(at + d, n - 1)] + 1, 0) for d in range(longest)]
-    order = _in_order(columns, [len(names)] + [kinds] * longest)
-    new = np.ones(n, bool)
-    new[1:] = np.logical_or.reduce([c[order][1:] != c[order][:-1] for c in columns])
+    at = np.arange(n, dtype=kind)
+    columns = [lang] + [np.where(at + kind(d) < ends, of[np.minimum(at + kind(d), n - 1)] + kind(1), kind(0)) for d in range(longest)]
+    order, new = _in_order(columns, [len(names)] + [kinds] * longest)
+    del columns
     head = np.flatnonzero(new)
     counts = np.diff(head, append=n)
-    at = order[head]
+    at = order[head].astype(kind)
+    del order, new, head
     more = np.minimum(ends[at] - at, longest) - 1
     # The words behind the first one, or nothing, and their marks.
     slots = np.maximum(more, 1)
-    entry = np.repeat(np.arange(len(at)), slots)
-    nth = np.arange(len(entry)) - np.repeat(np.cumsum(slots) - slots, slots)
-    place = np.minimum(at[entry] + 1 + nth, n - 1)
-    lens = np.where(more[entry] > 0, words.lens[place], 0)
-    data, to = _gathered(words.buf, words.starts[place], lens + 1)
-    data[to - 1] = np.where(nth + 1 == slots[entry], 10, 32)
+    last = np.cumsum(slots, dtype=np.int64)
+    nth = np.arange(int(last[-1]), dtype=kind)
+    nth -= np.repeat((last - slots).astype(kind), slots)
+    place = np.minimum(np.repeat(at, slots) + kind(1) + nth, n - 1)
+    lens = np.where(np.repeat(more, slots) > 0, sizes[place], kind(0))
+    lens += 1
+    data, to = _gathered(words.buf, starts[place], lens)
+    data[to - 1] = np.where(nth + 1 == np.repeat(slots, slots), np.uint8(10), np.uint8(32))
+    del nth, place, lens
     row = np.flatnonzero(np.concatenate([[True], (of[at][1:] != of[at][:-1]) | (lang[at][1:] != lang[at][:-1])]))
     stop = np.append(row[1:], len(at))
-    size = to[np.cumsum(slots)[stop - 1] - 1]
+    size = to[last[stop - 1] - 1]
     one = at[row]
-    name, total = _gathered(words.buf, words.starts[one], words.lens[one])
+    name, total = _gathered(words.buf, starts[one], sizes[one])
     return pa.RecordBatch.from_arrays([pa.array(names).take(pa.array(lang[one])), _binary(name, total), pa.array(np.diff(size, prepend=0)), _binary(data, size), _binary(counts.astype("<u4").view(np.uint8), 4 * stop)], names=["lang", "word", "size", "rest", "counts"])
 
 
@@ -162,7 +187,7 @@ def prefixes(group: np.ndarray, rest: np.ndarray, n: np.ndarray, longest: int =
     left = np.searchsorted(words.starts, end) - begin
     kind = _words.distinct(words)[1] + 1 if len(words) else np.zeros(1, np.int64)
     follow = [np.where(left > d, kind[np.minimum(begin + d, len(kind) - 1)], 0) for d in range(longest - 1)]
-    order = _in_order([group, *follow], [int(group.max(initial=0)) + 1, *[int(kind.max()) + 1] * (longest - 1)])[::-1]
+    order = _in_order([group, *follow], [int(group.max(initial=0)) + 1, *[int(kind.max()) + 1] * (longest - 1)])[0][::-1]
     run = np.cumsum(n[order])
     open_ = np.ones(len(order), bool)
     own = group[order]

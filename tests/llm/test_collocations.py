@@ -1,7 +1,9 @@
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 
 from lorekeep.llm import collocations, queries
@@ -90,3 +92,28 @@ def test_a_long_text():
     got = collocations.suffixes([b"one two three. " * 1_400_000], ["en"])
     n = {bytes(w): (r, c) for w, r, c in zip(got.column(1).to_pylist(), got.column(3).to_pylist(), got.column(4).to_pylist(), strict=True)}
     assert n[b"one"] == (b"two three\n", (1_400_000).to_bytes(4, "little")) and n[b"three"] == (b"\n", (1_400_000).to_bytes(4, "little"))
+
+
+def test_memory_of_a_run_of_texts():
+    """Two such runs at once have to fit beside the executor's heap."""
+    r = random.Random(3)
+    words = ["".join(r.choices("abcdefghij", k=r.randint(1, 9))) for _ in range(20000)]
+    made = [" ".join(r.choices(words, k=300)).encode() for _ in range(1500)]
+    tracemalloc.start()
+    try:
+        collocations.suffixes(made, ["en"] * len(made))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 40 * sum(map(len, made))
+
+
+@pytest.mark.parametrize("at_once", [1, 7, 1 << 20])
+def test_stretches_of_a_buffer(monkeypatch, at_once):
+    monkeypatch.setattr(collocations, "GATHERED_BYTES", at_once)
+    buf = np.frombuffer(b"0123456789" * 3, np.uint8)
+    for spans in ([], [(0, 0)], [(0, 30)], [(5, 3), (0, 0), (0, 20), (29, 1), (3, 4), (3, 4)]):
+        start, size = (np.array([s[k] for s in spans], np.int32) for k in (0, 1))
+        data, to = collocations._gathered(buf, start, size)
+        assert data.tobytes() == b"".join(buf[s : s + n].tobytes() for s, n in spans)
+        assert to.tolist() == np.cumsum(size).tolist()
