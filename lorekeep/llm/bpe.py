@@ -1,6 +1,6 @@
 """Byte-level BPE encoding and decoding with a minimal acyclic transducer as lexicon.
 
-Frequent pieces of text are compiled, with their token ids, into a minimal acyclic automaton: suffixes are
+All tokens of the vocabulary are compiled, with the ids that they encode to, into a minimal acyclic automaton: suffixes are
 shared, and each edge carries how many entries precede it, so the sum along a path is the entry's number and
 leads to its ids. Automaton, merges and vocabulary are one flat file that every worker of a machine
 maps into memory. Pieces that the automaton doesn't hold are merged pair by pair, exactly as the
@@ -24,9 +24,6 @@ from pyspark.sql import functions as F
 from . import _flat, _words
 from ._batches import as_bytes, map_slices
 
-#: Documents, chosen by a hash of their text, whose pieces are counted to fill the lexicon. The result doesn't depend on it, only the speed.
-LEXICON_DOCS = 4000
-LEXICON_WORDS = 16384
 #: Pieces up to this many bytes are merged side by side, longer ones one at a time.
 WIDE = 32
 _NONE = np.int32(2**31 - 1)
@@ -367,42 +364,19 @@ def encoder_for(name: str) -> Encoder:
     return _OPEN[name]
 
 
-def frequent_pieces(docs: DataFrame, arrays: dict[str, np.ndarray], text: str = "text", sample: int = LEXICON_DOCS, most: int = LEXICON_WORDS) -> list[bytes]:
-    """The most frequent pieces of about `sample` documents, chosen by a hash of their text."""
-    own = docs.select(F.col(text).cast("string").alias("t")).where("length(t) > 0")
-    total = docs.count()
-    if total > sample:
-        own = own.where(F.pmod(F.xxhash64("t"), F.lit(1 << 30)) < int((1 << 30) * sample / total))
-    shared = docs.sparkSession.sparkContext.broadcast({k: arrays[k] for k in ("char_class", "special", "token_first")})
-
-    def work():
-        encoder = Encoder(shared.value)
-
-        def each(batch: pa.RecordBatch) -> pa.RecordBatch:
-            words = encoder.pieces(as_bytes(batch.column(0)))
-            index, of = _words.distinct(words)
-            count = np.bincount(of, minlength=len(index))
-            keep = (words.lens[index] <= 64) & (words.lens[index] > 0)
-            spans = [words.buf[s : s + n].tobytes() for s, n in zip(words.starts[index[keep]], words.lens[index[keep]], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array(spans, pa.binary()), pa.array(count[keep])], names=["piece", "n"])
-
-        return each
-
-    counts = map_slices(own, "t", "piece binary, n long", work).groupBy("piece").agg(F.sum("n").alias("n"))
-    return [bytes(r.piece) for r in counts.orderBy(F.desc("n"), "piece").limit(most).collect()]
+def lexicon(arrays: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
+    """The arrays of load_vocabulary() with a lexicon of all tokens. Its ids are made by merging, as a token may be one that no merges lead to."""
+    first, flat = arrays["token_first"], arrays["token_bytes"].tobytes()
+    entries = sorted({flat[a:b] for a, b in zip(first, first[1:], strict=False) if a < b})
+    lens = np.array([len(e) for e in entries])
+    buf = np.frombuffer(b"".join(entries) + bytes(40), np.uint8)
+    ids, ends = Encoder(arrays)._encode_spans(buf, np.cumsum(lens) - lens, lens)
+    return arrays | {"entry_ids": ids, "entry_first": ends} | minimal_automaton(entries)
 
 
-def build_lexicon(docs: DataFrame, tokenizer: str, text: str = "text", sample: int = LEXICON_DOCS, most: int = LEXICON_WORDS) -> str:
-    """Compile vocabulary and lexicon into one file, hand it to the executors, and return its name for encoder_for()."""
-    arrays = load_vocabulary(tokenizer)
-    plain = Encoder(arrays)
-    entries = sorted(frequent_pieces(docs, arrays, text, sample, most))
-    if entries:
-        lens = np.array([len(e) for e in entries])
-        buf = np.frombuffer(b"".join(entries) + bytes(40), np.uint8)
-        arrays["entry_ids"], arrays["entry_first"] = plain._encode_spans(buf, np.cumsum(lens) - lens, lens)
-        arrays |= minimal_automaton(entries)
-    return _flat.share(docs.sparkSession, arrays, "lexicon")
+def build_lexicon(spark: SparkSession, tokenizer: str) -> str:
+    """Compile vocabulary and lexicon into one file, hand it to the executors, and return its name for encoder_for(). No document is read for it."""
+    return _flat.share(spark, lexicon(load_vocabulary(tokenizer)), "lexicon")
 
 
 def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text", decoded: bool = False) -> DataFrame:
@@ -411,7 +385,7 @@ def encode(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "tex
     tokenizer: path of a byte-level BPE file, read by the driver only. Special tokens in a text become their
     id, as the library does by default. Null texts count as empty, and empty texts have no ids. Repeated rows each get a row. Only the columns named are read.
     """
-    name = build_lexicon(docs, tokenizer, text)
+    name = build_lexicon(docs.sparkSession, tokenizer)
     own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
 
     def work():

@@ -129,7 +129,7 @@ def pack(docs: DataFrame, tokenizer: str, id: str = "doc_id", text: str = "text"
     as empty. Documents with a null id are packed with a null in doc_ids. Repeated rows are packed as often as they occur; segments of equal
     length are placed in the order of a hash of id and text. An empty table gives an empty result. Only the columns named are read.
     """
-    name = build_lexicon(docs, tokenizer, text)
+    name = build_lexicon(docs.sparkSession, tokenizer)
     own = docs.select(F.col(id).alias("i"), F.col(text).cast("string").alias("t"))
     own = own.withColumn("h", F.xxhash64("i", F.coalesce("t", F.lit(""))))
     kind = own.schema["i"].dataType

@@ -70,3 +70,27 @@ def test_odd_rows(odd, empty, library):
     got = {r.doc_id: r.text for r in bpe.decode(encoded, PATH).collect()}
     assert all(got[r.doc_id] == (r.text or "") for r in odd.collect())
     assert bpe.encode(empty, PATH).count() == 0
+
+
+def test_the_lexicon_holds_the_vocabulary(spark, library):
+    arrays = bpe.encoder_for(bpe.build_lexicon(spark, PATH)).a
+    plain, own = bpe.Encoder(bpe.load_vocabulary(PATH)), bpe.Encoder(arrays)
+    tokens = sorted({arrays["token_bytes"][a:b].tobytes() for a, b in zip(arrays["token_first"], arrays["token_first"][1:])} - {b""})
+    assert len(tokens) == library.get_vocab_size()
+    lens = np.array([len(t) for t in tokens])
+    entry = own._find(np.frombuffer(b"".join(tokens) + bytes(40), np.uint8), np.cumsum(lens) - lens, lens)
+    assert entry.tolist() == list(range(len(tokens)))
+    first = arrays["entry_first"]
+    assert all(arrays["entry_ids"][first[i] : first[i + 1]].tolist() == plain.merge_one(tokens[i]) for i in range(0, len(tokens), 7))
+
+
+def test_no_document_is_read_beforehand(spark, odd, library):
+    """Nothing is counted or sampled: the documents are read once, by the encoding itself."""
+    spark.sparkContext.setJobGroup("lexicon", "")
+    try:
+        encoded = bpe.encode(odd, PATH)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("lexicon")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    want = sorted(library.encode(r.text or "", add_special_tokens=False).ids for r in odd.collect())
+    assert sorted(np.frombuffer(r.ids, "<u4").tolist() for r in encoded.collect()) == want
