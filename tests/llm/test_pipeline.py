@@ -69,3 +69,16 @@ def test_run_over_empty_tables(spark, small, tmp_path):
     for table in ("documents", "labels", "benchmark"):
         spark.read.parquet(f"{small}/{table}.parquet").limit(0).write.parquet(str(tmp_path / f"{table}.parquet"))
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_encoding_reads_its_documents_once(spark, odd, small):
+    """The last stage counts and samples nothing beforehand, and encodes every row."""
+    spark.sparkContext.setJobGroup("encoding", "")
+    try:
+        found = corpus_pipeline.encode_tokens(spark, odd, small)
+        assert not spark.sparkContext.statusTracker().getJobIdsForGroup("encoding")
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    want = sorted(hashlib.sha256(np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for r in odd.collect())
+    assert sorted(r.ids_sha256 for r in found.collect()) == want
