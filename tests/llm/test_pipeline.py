@@ -1,6 +1,7 @@
 """The pipeline against the plain form of each stage."""
 
 import hashlib
+import zlib
 
 import numpy as np
 import public_tokenizers
@@ -11,7 +12,7 @@ from test_simhash import brute_fingerprint, roots
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from lorekeep.llm import pii, quality, queries
+from lorekeep.llm import _words, pii, quality, queries
 
 
 def test_op9_equals_its_sql(spark, small, duck):
@@ -82,3 +83,21 @@ def test_encoding_reads_its_documents_once(spark, odd, small):
     library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     want = sorted(hashlib.sha256(np.array(library.encode(r.text or "", add_special_tokens=False).ids, "<u4").tobytes()).hexdigest() for r in odd.collect())
     assert sorted(r.ids_sha256 for r in found.collect()) == want
+
+
+def test_quality_learns_from_every_labelled_document(spark, tmp_path, monkeypatch):
+    """More labelled documents than a sample of 4000 holds, each with a word of its own that occurs often enough to have a vector. The model depends on the rows alone, however they are dealt out."""
+    rows = [(k, f"own{k} " * 3 + ("good words follow" if k % 2 else "bad bad bad!")) for k in range(8000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    spark.createDataFrame([(k, k % 2) for k, _ in rows], "doc_id long, quality int").write.parquet(str(tmp_path / "labels.parquet"))
+    monkeypatch.setattr(quality, "PART_ROWS", 2000)
+    monkeypatch.setattr(quality, "accepted", lambda docs, model: model)
+    model = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+    own = lambda chosen: set(_words.split([f"own{k}".encode() for k in chosen], _words.SPACES).hashes().tolist())
+    learned = [k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 != quality.HELD_OUT]
+    assert len(learned) > 5000 and own(learned) <= set(model.vocab.tolist())
+    assert not own(k for k, _ in rows if zlib.crc32(str(k).encode()) % 4 == quality.HELD_OUT) & set(model.vocab.tolist())
+    assert ((model.score([t.encode() for _, t in rows]) >= 0.5) == np.array([k % 2 for k, _ in rows])).mean() > 0.99
+    monkeypatch.setattr(quality, "MOST_SHIPPED", 0)
+    again = corpus_pipeline.keep_quality(spark, docs.repartition(7), str(tmp_path))
+    assert all(np.array_equal(getattr(model, k), getattr(again, k)) for k in ("vocab", "vectors", "mean", "scale", "w1", "b1", "w2", "b2", "temperature"))
