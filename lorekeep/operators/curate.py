@@ -15,21 +15,35 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .. import schemas
 from ..config import CURATE_THRESHOLD
 from ..functions import text as T
-from ..shared import written
+from ..shared import parted, written
 from ..ship import ship
 from .components import components
-from .nearest import SLACK, VectorIndex, blocks, linked, open_to, unit_rows, usable
+from .nearest import VectorIndex, near_links, usable
 
 ARRAYS = ("related_tools", "related_files", "key_entities", "tags")
 
 
-#: Ids of bullets that are handed to every task, so that the bullets themselves stay where they are; more are joined by shuffles.
+#: Ids of bullets that are handed to every task, so that the bullets themselves stay where they are; of more, bits are handed out that tell apart the bullets that have to be moved.
 MOST_SHIPPED = 200_000
 
 
-def _shipped(ids: DataFrame) -> DataFrame:
-    """The ids, for a join that doesn't move the other side if they are few enough."""
-    return F.broadcast(ids) if ids.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED else ids
+def _few(ids: DataFrame) -> bool:
+    return ids.limit(MOST_SHIPPED + 1).count() <= MOST_SHIPPED
+
+
+def _met(bullets: DataFrame, of: DataFrame) -> DataFrame:
+    """The bullets whose id is in a table, with its columns."""
+    if _few(of):
+        return bullets.join(F.broadcast(of), "id")
+    return parted(bullets, "id", of.select("id"), of.count())[0].join(of, "id")
+
+
+def _without(bullets: DataFrame, ids: DataFrame) -> DataFrame:
+    """The bullets of other ids."""
+    if _few(ids):
+        return bullets.join(F.broadcast(ids), "id", "left_anti")
+    may, rest = parted(bullets, "id", ids, ids.count())
+    return may.join(ids, "id", "left_anti").unionByName(rest)
 
 
 def new_id(content: Column, scope: Column, seq: Column) -> Column:
@@ -187,34 +201,36 @@ def _in_groups(columns: list[str], threshold: float, cached: bool, schema: pa.Sc
 
 
 def _node(kind: str, name: Column) -> Column:
-    return F.concat(F.lit(f"{kind}|"), name.cast("string"))
+    """A number for each thing of a kind. Two that share one by chance are in one group, which changes no result."""
+    return F.xxhash64(F.lit(kind), name)
 
 
-def _links(bullets: DataFrame, own: DataFrame, by_vector: Column, threshold: float) -> DataFrame:
-    """(a, b): what a record or bullet could merge with, however the ones before change it; a group of many has a link for each member, not for each pair."""
+def _links(bullets: DataFrame, own: DataFrame, by_vector: Column, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(links, ids of the bullets in them). Links (a, b) connect what a record or bullet could merge with, however the ones before it change it: each with its vector or its content, and near vectors with one another, for each member and not for each pair."""
     index = VectorIndex(own.where(by_vector).select("_seq", "embedding"), "_seq", keep=1)
-
-    def near(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows or not right.num_rows:
-            return pa.Table.from_arrays([pa.array([], pa.string())] * 2, names=["a", "b"])
-        i, j = linked(unit_rows(left["v"], index_dim) @ unit_rows(right["v"], index_dim).T >= threshold - SLACK)
-        return pa.Table.from_arrays([left["a"].take(pa.array(i)), right["b"].take(pa.array(j))], names=["a", "b"])
-
-    index_dim = index.dim
-    members = index.members.select("cell", "v", _node("r", F.col("ids")[0]).alias("b"))
-    asking = [index.members.select(_node("r", F.col("ids")[0]).alias("a"), "v"), usable(bullets, "id", index.dim).select(_node("b", F.col("i")).alias("a"), "v")]
-    out = None
-    for left in asking:
-        part = blocks(open_to(left, index.cells, threshold), members, ("cell",), F.xxhash64("a"), F.xxhash64("b"), near, "a string, b string")
-        out = part if out is None else out.unionByName(part)
-    # Records of one vector.
-    same = usable(own.where(by_vector), "_seq", index.dim).select(_node("r", F.col("i")).alias("a"), "v").join(index.members.select("v", _node("r", F.col("ids")[0]).alias("b")), "v").select("a", "b")
+    of_vector = _node("v", F.col("v"))
+    members = index.members.select(of_vector.alias("node"), "cell", "v")
+    nodes = members.select("node")
+    placed = usable(bullets, "id", index.dim).select(F.col("i").alias("id"), of_vector.alias("node"), "v")
+    # Bullets with a record's vector are near what it is near to; the others ask for themselves.
+    others = written(placed.join(nodes, "node", "left_anti").dropDuplicates(["node"]).select("node", "v"), "others", keep=True)
+    n = others.count()
+    near = near_links(None, members, index.cells, index.n, index.n, threshold)
+    if n:
+        near = near.unionByName(near_links(others, members, index.cells, n, index.n, threshold))
+    near = written(near, "near", keep=True)
+    met = nodes.unionByName(near.select(F.col("a").alias("node"))).distinct()
+    by_place = placed.select("id", "node").join(met, "node", "left_semi")
+    records = usable(own.where(by_vector), "_seq", index.dim).select(_node("r", F.col("i")).alias("a"), of_vector.alias("b"))
     # Records that go by content, with everything of that content.
-    digest = lambda d: _node("c", F.sha2(F.encode(d["content"], "UTF-8"), 256))
-    asked = own.where(~by_vector).select("content").distinct()
-    said = own.join(asked, "content", "left_semi")
-    known = bullets.join(asked, "content", "left_semi")
-    return out.unionByName(same).unionByName(said.select(_node("r", F.col("_seq")).alias("a"), digest(said).alias("b"))).unionByName(known.select(_node("b", F.col("id")).alias("a"), digest(known).alias("b")))
+    digest = _node("c", F.col("content")).alias("node")
+    asked = written(own.where(~by_vector).select(digest).distinct(), "asked", keep=True)
+    asked = F.broadcast(asked) if _few(asked) else asked
+    said = own.select(_node("r", F.col("_seq")).alias("a"), digest).join(asked, "node", "left_semi").select("a", F.col("node").alias("b"))
+    known = bullets.select("id", digest).join(asked, "node", "left_semi")
+    of_bullets = written(by_place.select("id", "node").unionByName(known.select("id", "node")), "of_bullets", keep=True)
+    links = near.unionByName(records).unionByName(said).unionByName(of_bullets.select(_node("b", F.col("id")).alias("a"), F.col("node").alias("b")))
+    return links, of_bullets.select("id").distinct()
 
 
 def curate_changes(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
@@ -227,16 +243,18 @@ def curate_changes(bullets: DataFrame, records: DataFrame, as_of: datetime | Col
     spark = bullets.sparkSession
     kind = records.schema[seq].dataType
     own = records.withColumn("_seq", F.col(seq).cast("long"))
-    wanted = own.where(~_blank(F.col("content")))
+    # Read several times below.
+    wanted = written(own.where(~_blank(F.col("content"))), "records", keep=True)
     by_vector = F.col("embedding").isNotNull() & F.lit(cached)
     columns = bullets.columns
-    groups = components(_links(bullets, wanted, by_vector, threshold))
+    links, linked = _links(bullets, wanted, by_vector, threshold)
+    groups = components(links)
     groups = groups.unionByName(groups.select(F.col("root").alias("node"), "root").distinct())
     # A record in no link is a group of its own.
     of = lambda d, node: d.withColumn("node", node).join(groups, "node", "left").withColumn("_root", F.coalesce("root", "node"))
     rows = of(wanted, _node("r", F.col("_seq"))).select("_root", "_seq", *[F.col(c) if c in wanted.columns else F.lit(None).cast(bullets.schema[c].dataType).alias(c) for c in columns])
-    of_bullets = written(groups.where(F.col("node").startswith("b|")), "met", keep=True)
-    met = bullets.withColumn("node", _node("b", F.col("id"))).join(_shipped(of_bullets), "node").select(F.col("root").alias("_root"), F.lit(None).cast("long").alias("_seq"), *columns)
+    of_bullets = written(linked.withColumn("node", _node("b", F.col("id"))).join(groups, "node").select("id", F.col("root").alias("_root")), "met", keep=True)
+    met = _met(bullets, of_bullets).select("_root", F.lit(None).cast("long").alias("_seq"), *columns)
     both = met.unionByName(rows).repartition("_root").sortWithinPartitions("_root", F.asc_nulls_first("_seq"), "id")
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in bullets.schema)
     schema = f"{kinds}, _new boolean, _seq long, _outcome string"
@@ -252,7 +270,7 @@ def curate_changes(bullets: DataFrame, records: DataFrame, as_of: datetime | Col
 def curate(bullets: DataFrame, records: DataFrame, as_of: datetime | Column, threshold: float = CURATE_THRESHOLD, cached: bool = True, seq: str = "seq") -> tuple[DataFrame, DataFrame]:
     """(bullets after, outcome of each record): curate_changes() put in place."""
     changed, outcome = curate_changes(bullets, records, as_of, threshold, cached, seq)
-    return bullets.join(_shipped(changed.select("id")), "id", "left_anti").select(*bullets.columns).unionByName(changed), outcome
+    return _without(bullets, changed.select("id")).select(*bullets.columns).unionByName(changed), outcome
 
 
 def counts(outcome: DataFrame) -> DataFrame:

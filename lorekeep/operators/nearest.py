@@ -272,6 +272,97 @@ def blocks(left: DataFrame, right: DataFrame, by: tuple[str, ...], left_hash, ri
     return one.groupBy(*keys).cogroup(two.groupBy(*keys)).applyInArrow(compare, schema)
 
 
+#: Vectors of one side of a task that looks for links, and into how many parts each side is dealt if it has enough.
+SIDE, SIDES = 131_072, 8
+#: Rounding of products in single precision.
+ROUNDING = 1e-5
+
+
+def _packed(own: DataFrame, dim: int) -> DataFrame:
+    """(node, cell, u): unit vectors in single precision as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            u = np.ascontiguousarray(unit_rows(b.column(2), dim).astype(np.float32))
+            data = pa.py_buffer(u.tobytes())
+            ends = pa.py_buffer((np.arange(len(u) + 1) * 4 * dim).astype(np.int32).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.Array.from_buffers(pa.binary(), len(u), [None, ends, data])], names=["node", "cell", "u"])
+
+    return _mapped(own.select("node", "cell", "v"), run, "node long, cell int, u binary")
+
+
+class _Linked:
+    """Which of numbers 0 to n - 1 are linked already."""
+
+    def __init__(self, n: int):
+        self.up = list(range(n))
+
+    def top(self, i: int) -> int:
+        up = self.up
+        while up[i] != i:
+            up[i] = up[up[i]]
+            i = up[i]
+        return i
+
+    def join(self, i: int, j: int) -> bool:
+        i, j = self.top(i), self.top(j)
+        self.up[i] = j
+        return i != j
+
+
+def near_links(left: DataFrame | None, right: DataFrame, cells: Cells, n_left: int, n_right: int, least: float) -> DataFrame:
+    """(a, b): links between nodes of left (node, v; right's own if None) and of right (node, cell, v) that connect all whose vectors have the similarity `least`, or nearly.
+
+    Both sides are dealt out in up to SIDES parts, or more if these had over SIDE vectors, and each two parts are one task, so a vector is sent as often as the other side has parts, however many cells it
+    has to look into. Inside, vectors are compared with the cells that may be near enough, and only links between what isn't linked yet become rows.
+    """
+    dim, alone = cells.centers.shape[1], left is None
+    of = lambda n: max(-(-n // SIDE), min(SIDES, -(-n // IN_CELL)), 1)
+    lefts, rights = of(n_right if alone else n_left), of(n_right)
+    two = _packed(right, dim)
+    one = two if alone else _packed(left.withColumn("cell", F.lit(-1)), dim)
+    deal = lambda d, name, n, other, first, last: d.withColumn(name, F.pmod("node", F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(first, last)))
+    one = deal(one, "_l", lefts, "_r", F.col("_l") if alone else F.lit(0), F.lit(rights - 1))
+    two = deal(two, "_r", rights, "_l", F.lit(0), F.col("_r") if alone else F.lit(lefts - 1))
+
+    def vectors(t: pa.Table) -> np.ndarray:
+        return np.frombuffer(b"".join(t["u"].to_pylist()), np.float32).reshape(-1, dim)
+
+    def compare(a: pa.Table, b: pa.Table) -> pa.Table:
+        out_a, out_b = [], []
+        if a.num_rows and b.num_rows:
+            b = b.sort_by("cell")
+            x, y, n = vectors(a), vectors(b), a.num_rows
+            cell = b["cell"].to_numpy()
+            begins = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+            runs = list(zip(cell[begins].tolist(), begins.tolist(), [*begins[1:].tolist(), len(cell)], strict=True))
+            whole = [(s, min(len(y), s + BLOCK)) for s in range(0, len(y), BLOCK)]
+            known = _Linked(n + len(y))
+            for start in range(0, n, IN_CELL):
+                own = x[start : start + IN_CELL]
+                open_ = (np.cos(cells.least_angle(own.astype(np.float64))) >= least - ROUNDING) & np.isfinite(cells.high)
+                if open_.mean() > 0.25:
+                    todo = [(None, s, e) for s, e in whole]
+                else:
+                    todo = [(np.flatnonzero(open_[:, c]), s, e) for c, s, e in runs]
+                for rows, s, e in todo:
+                    if rows is not None and not len(rows):
+                        continue
+                    near = (own if rows is None else own[rows]) @ y[s:e].T
+                    if near.max() < least - ROUNDING:
+                        continue
+                    i, j = linked(near >= least - ROUNDING)
+                    i = (i if rows is None else rows[i]) + start
+                    for p, q in zip(i.tolist(), (j + s).tolist(), strict=True):
+                        if known.join(p, n + q):
+                            out_a.append(p)
+                            out_b.append(q)
+        return pa.Table.from_arrays([a["node"].take(pa.array(out_a, pa.int64())), b["node"].take(pa.array(out_b, pa.int64()))], names=["a", "b"])
+
+    ship(right.sparkSession)
+    return one.groupBy("_l", "_r").cogroup(two.groupBy("_l", "_r")).applyInArrow(compare, "a long, b long").where("a <> b")
+
+
 def near_pairs(left: DataFrame, right: DataFrame, by: tuple[str, ...], least: float) -> DataFrame:
     """(a columns, b columns, s) of all rows of both sides that share the columns `by` and whose vectors v have the similarity `least` or more.
 

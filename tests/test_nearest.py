@@ -112,3 +112,52 @@ def test_ordered_curate_of_5000_records(spark, monkeypatch):
     assert {x["id"]: shown(x) for x in got} == {i: shown(x) for i, x in state.items()}
     assert all(x["updated_at"] == x["created_at"] for x in got if len(x["id"]) == 64)
     assert "NestedLoop" not in after._jdf.queryExecution().executedPlan().toString()
+
+
+def test_links_connect_what_is_near_and_send_no_vector_once_for_each_cell(spark, monkeypatch):
+    vectors = [list(map(float, v)) for v in clustered(30, 8, 300, 0.1, 3)] + [[float(x) for x in np.random.default_rng(k).normal(0, 1, 8)] for k in range(200)]
+    monkeypatch.setattr(nearest, "IN_CELL", 16)
+    index = VectorIndex(frame(spark, vectors), keep=1)
+    monkeypatch.setattr(nearest, "asking", None)
+    monkeypatch.setattr(nearest, "SIDE", 150)
+    members = index.members.select(F.col("ids")[0].alias("node"), "cell", "v")
+    asked = [[float(x) for x in np.random.default_rng(1000 + k).normal(0, 1, 8)] for k in range(100)]
+    left = spark.createDataFrame([(10_000 + k, v) for k, v in enumerate(asked)], "node long, v array<double>")
+    got = nearest.near_links(None, members, index.cells, index.n, index.n, 0.8).unionByName(nearest.near_links(left, members, index.cells, len(asked), index.n, 0.8)).collect()
+
+    def parts(nodes, pairs):
+        of = {x: x for x in nodes}
+
+        def top(x):
+            while of[x] != x:
+                x = of[x]
+            return x
+
+        for a, b in pairs:
+            of[top(a)] = top(b)
+        return sorted(sorted(x for x in nodes if top(x) == t) for t in {top(x) for x in nodes})
+
+    nodes = [*range(len(vectors)), *range(10_000, 10_000 + len(asked))]
+    unit = np.array(vectors + asked)
+    unit = unit / np.sqrt((unit * unit).sum(axis=1, keepdims=True))
+    want = [(nodes[i], nodes[j]) for i, j in np.argwhere(unit @ unit.T >= 0.8).tolist() if j < len(vectors)]
+    assert parts(nodes, [(r.a, r.b) for r in got]) == parts(nodes, want) and len(got) < len(want)
+
+
+def test_curate_beyond_the_ids_that_are_handed_out(spark, monkeypatch):
+    """Bullets that no record meets are told apart by bits and not moved."""
+    from lorekeep import shared
+
+    own = bullets(spark, *({"id": f"r{i}", "content": f"c{i}", "embedding": [float(i % 7 == k) for k in range(7)] if i % 2 else None} for i in range(400)), {"id": None, "content": "none"})
+    rows = [(i, "global", "knowledge", f"c{i * 2}", "", None, None, "Knowledge", 99.0, "auto", [], None, [], [], [0.0] * 6 + [1.0] if i == 3 else None) for i in range(9)]
+    batch = spark.createDataFrame(rows, f"seq int, {schemas.DISTILLED}")
+    shown = lambda: sorted(repr(x) for x in U.curate(own, batch, NOW)[0].select("id", "content", "instructivity_score", "embedding").collect())
+    want = shown()
+    monkeypatch.setattr(U, "MOST_SHIPPED", 0)
+    assert shown() == want and len(want) == 401
+    ids = spark.createDataFrame([(f"r{i}",) for i in range(0, 400, 40)], "id string")
+    may, rest = shared.parted(own, "id", ids, 10)
+    kept = {x.id for x in may.collect()}
+    assert {f"r{i}" for i in range(0, 400, 40)} <= kept and len(kept) < 40 and rest.count() == 401 - len(kept)
+    may, rest = shared.parted(own, "id", ids.limit(0), 0)
+    assert may.count() == 0 and rest.count() == 401
